@@ -49,24 +49,33 @@ def numbered(df: DataFrame, keys: list[str], bucket_unit: str = "hour") -> DataF
     return j.withColumn("rn", F.col("_off") + F.row_number().over(wb)).drop("_tb", "_off")
 
 
-def rolling_stats(df: DataFrame, keys: list[str], value: str = "numeric_value",
-                  frame: int = FRAME_ROWS, chunk_rows: int = CHUNK_ROWS,
-                  bucket_unit: str = "hour") -> DataFrame:
-    """mean and sample stddev of the previous ``frame`` rows per key
-    (current row excluded); adds ``rolling_avg``, ``rolling_std``, ``rn`` and
-    ``n_rows``. Exact for any key size (chunk + halo)."""
+def chunked_window(df: DataFrame, keys: list[str], frame: int, columns,
+                   chunk_rows: int = CHUNK_ROWS, bucket_unit: str = "hour") -> DataFrame:
+    """Evaluate window columns that look back at most ``frame`` rows per key,
+    exactly, with every task holding at most ``chunk_rows + frame`` rows of
+    one key. ``columns(w)`` returns the columns to add for window spec ``w``
+    (partitioned by key + chunk, ordered by the row number ``rn``)."""
     assert chunk_rows >= frame
     n = numbered(df, keys, bucket_unit)
     chunk = F.floor((F.col("rn") - 1) / chunk_rows)
     in_tail = ((F.col("rn") - 1) % chunk_rows) >= (chunk_rows - frame)
     copies = n.withColumn("_own", chunk).withColumn(
         "_chunk", F.explode(F.when(in_tail, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array(F.col("_own")))))
-    wf = W.partitionBy(*keys, "_chunk").orderBy("rn").rowsBetween(-frame, -1)
-    scored = copies.select(
-        "*",
-        F.avg(value).over(wf).alias("rolling_avg"),
-        F.stddev_samp(value).over(wf).alias("rolling_std"))
-    return scored.where(F.col("_chunk") == F.col("_own")).drop("_chunk", "_own")
+    w = W.partitionBy(*keys, "_chunk").orderBy("rn")
+    out = copies.select("*", *columns(w))
+    return out.where(F.col("_chunk") == F.col("_own")).drop("_chunk", "_own")
+
+
+def rolling_stats(df: DataFrame, keys: list[str], value: str = "numeric_value",
+                  frame: int = FRAME_ROWS, chunk_rows: int = CHUNK_ROWS,
+                  bucket_unit: str = "hour") -> DataFrame:
+    """mean and sample stddev of the previous ``frame`` rows per key
+    (current row excluded); adds ``rolling_avg``, ``rolling_std``, ``rn`` and
+    ``n_rows``. Exact for any key size (chunk + halo)."""
+    def cols(w):
+        wf = w.rowsBetween(-frame, -1)
+        return [F.avg(value).over(wf).alias("rolling_avg"), F.stddev_samp(value).over(wf).alias("rolling_std")]
+    return chunked_window(df, keys, frame, cols, chunk_rows, bucket_unit)
 
 
 def score(rolled: DataFrame, threshold: float = Z_THRESHOLD) -> DataFrame:

@@ -55,3 +55,109 @@ st AS (SELECT r.asset, r.signal, count(*) AS readings, stddev_samp(numeric_value
   FROM {windowed(7)} r JOIN scan USING (asset, signal) GROUP BY r.asset, r.signal)""", select="""
 SELECT asset, signal, readings, (floor((sd) * 1e6 + 0.5) / 1e6) AS stddev, (floor((coalesce(av, 0)) * 1e6 + 0.5) / 1e6) AS avg_value
 FROM st WHERE readings >= 50 AND coalesce(sd, 0) > 0 ORDER BY asset, signal LIMIT 10"""))
+
+# --- E2, E15, F3, F4, G -----------------------------------------------------
+from histospark.plans.oracle_base import r6  # noqa: E402
+
+_NUM = "(SELECT * FROM readings WHERE data_type IN ('FLOAT', 'NUMBER', 'DOUBLE', 'NUMERIC'))"
+
+oracle("series_profile", sql(select=f"""
+SELECT asset, signal, count(*) AS readings, min(ts) AS first_ts, max(ts) AS last_ts,
+       {r6('avg(numeric_value)')} AS avg_value, {r6('stddev_samp(numeric_value)')} AS stddev
+FROM {_NUM} GROUP BY asset, signal"""))
+
+oracle("reading_gaps", sql(select=f"""
+SELECT asset, signal, ts, row_id,
+       date_diff('minute', lag(ts) OVER (PARTITION BY asset, signal ORDER BY ts, row_id), ts) AS gap_minutes
+FROM {_NUM}"""))
+
+oracle("last_n_readings", sql(select=f"""
+SELECT asset, signal, ts, row_id, numeric_value, recency_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY asset, signal ORDER BY ts DESC, row_id DESC) AS recency_rank FROM {_NUM})
+WHERE recency_rank <= 200"""))
+
+_INTERVAL = f"""
+t201 AS (SELECT asset, signal, ts, row_number() OVER (PARTITION BY asset, signal ORDER BY ts DESC, row_id DESC) AS k
+         FROM {_NUM}),
+g201 AS (SELECT asset, signal, k, date_diff('minute', lag(ts) OVER (PARTITION BY asset, signal ORDER BY k DESC), ts) AS gap
+         FROM t201 WHERE k <= 201),
+med AS (SELECT asset, signal, median(gap) AS med FROM g201 WHERE k <= 200 AND gap > 0 GROUP BY asset, signal),
+ivl AS (SELECT s.asset, s.signal, coalesce(CAST(med.med AS DOUBLE), 60.0) AS interval_minutes
+        FROM (SELECT DISTINCT asset, signal FROM {_NUM}) s LEFT JOIN med USING (asset, signal))"""
+
+oracle("sampling_interval", sql(_INTERVAL, select="SELECT asset, signal, interval_minutes FROM ivl"))
+
+_STEPS = "CAST(least(greatest(floor(1440.0 / interval_minutes), 1) * {h}, 5000) AS INTEGER)"
+
+oracle("forecast_steps", sql(_INTERVAL, select=f"""
+SELECT asset, signal, interval_minutes, {_STEPS.format(h=7)} AS steps FROM ivl"""))
+
+_A, _B, _P = "0.3::DOUBLE", "0.1::DOUBLE", "0.98::DOUBLE"
+_LP = f"(rec.l + {_P} * rec.t)"
+_HOLT = f"""
+tr AS (SELECT asset, signal, ts, row_id, numeric_value AS v,
+              row_number() OVER (PARTITION BY asset, signal ORDER BY ts DESC, row_id DESC) AS k
+       FROM {_NUM} WHERE numeric_value IS NOT NULL),
+tr2 AS (SELECT asset, signal, ts, v, row_number() OVER (PARTITION BY asset, signal ORDER BY ts, row_id) AS i,
+               count(*) OVER (PARTITION BY asset, signal) AS n
+        FROM tr WHERE k <= 200),
+rec AS (
+  SELECT a.asset, a.signal, 1 AS i, a.v AS l,
+         CASE WHEN a.n > 1 THEN (b.v - a.v) / (a.n - 1) ELSE 0.0 END AS t, CAST(NULL AS DOUBLE) AS r
+  FROM tr2 a JOIN tr2 b ON a.asset = b.asset AND a.signal = b.signal AND a.i = 1 AND b.i = b.n
+  UNION ALL
+  SELECT rec.asset, rec.signal, rec.i + 1,
+         {_A} * x.v + (1.0::DOUBLE - {_A}) * {_LP},
+         {_B} * (({_A} * x.v + (1.0::DOUBLE - {_A}) * {_LP}) - rec.l) + (1.0::DOUBLE - {_B}) * {_P} * rec.t,
+         x.v - {_LP}
+  FROM rec JOIN tr2 x ON x.asset = rec.asset AND x.signal = rec.signal AND x.i = rec.i + 1),
+fit AS (SELECT rec.asset, rec.signal, max(rec.i) AS train_rows, arg_max(rec.l, rec.i) AS level,
+               arg_max(rec.t, rec.i) AS trend, stddev_samp(rec.r) AS residual_std
+        FROM rec GROUP BY rec.asset, rec.signal),
+lastts AS (SELECT asset, signal, max(ts) AS last_ts FROM tr2 GROUP BY asset, signal)"""
+
+oracle("holt_fit", sql(_HOLT, select=f"""
+SELECT f.asset, f.signal, CAST(f.train_rows AS INTEGER) AS train_rows, l.last_ts, {r6('f.level')} AS level,
+       {r6('f.trend')} AS trend, {r6('f.residual_std')} AS residual_std
+FROM fit f JOIN lastts l USING (asset, signal)"""))
+
+
+def _forecast_sql(pick: str = "") -> str:
+    num = _NUM if not pick else f"(SELECT * FROM readings WHERE (asset, signal) IN (SELECT asset, signal FROM pick))"
+    body = (_INTERVAL + "," + _HOLT).replace(_NUM, num)
+    ctes = ([pick] if pick else []) + [body, f"""
+cnt AS (SELECT asset, signal, count(*) AS n, stddev_samp(numeric_value) AS all_std, max(domain) AS domain
+        FROM {num} GROUP BY asset, signal),
+base AS (SELECT c.asset, c.signal, coalesce(c.domain, 'general') AS domain, f.level, f.trend,
+                coalesce(f.residual_std, CASE WHEN c.all_std <> 0 THEN c.all_std ELSE 1.0 END) AS sigma,
+                l.last_ts, i.interval_minutes, {_STEPS.format(h=7)} AS steps
+         FROM cnt c JOIN fit f USING (asset, signal) JOIN lastts l USING (asset, signal) JOIN ivl i USING (asset, signal)
+         WHERE c.n >= 12 AND f.train_rows >= 5),
+st AS (SELECT *, unnest(generate_series(1, steps)) AS step FROM base),
+fc AS (SELECT *, level + (({_P} * (1.0::DOUBLE - pow({_P}, step))) / (1.0::DOUBLE - {_P})) * trend AS fv,
+              1.96::DOUBLE * sigma * sqrt(CAST(step AS DOUBLE)) AS band FROM st)"""]
+    return sql(*ctes, select=f"""
+SELECT asset, signal, domain, CAST(step AS INTEGER) AS step,
+       last_ts + to_microseconds(CAST(round(interval_minutes * step * 60000000) AS BIGINT)) AS ts,
+       {r6('fv')} AS forecast_value, {r6('fv - band')} AS lower_bound, {r6('fv + band')} AS upper_bound,
+       'FORECAST' AS model_type
+FROM fc""")
+
+
+oracle("forecast_signal", _forecast_sql())
+oracle("auto_forecast_signal", _forecast_sql(
+    "pick AS (SELECT asset, signal FROM num_meta ORDER BY signal, asset LIMIT 1)"))
+
+oracle("data_sufficiency", sql(f"""
+ds AS (SELECT r.asset, r.signal, count(*) AS total_readings, count(r.numeric_value) AS numeric_readings,
+              count(*) FILTER (WHERE r.ts >= fm.max_ts - INTERVAL 7 DAY) AS window_readings,
+              stddev_samp(r.numeric_value) FILTER (WHERE r.ts >= fm.max_ts - INTERVAL 7 DAY) AS wstd
+       FROM {_NUM} r JOIN feed_max fm ON r.feed = fm.feed GROUP BY r.asset, r.signal)""", select="""
+SELECT asset, signal, total_readings, numeric_readings, window_readings,
+       window_readings >= 12 AS can_detect,
+       total_readings >= 12 AND least(numeric_readings, 200) >= 5 AS can_forecast,
+       CASE WHEN window_readings >= 50 AND coalesce(wstd, 0) > 0 THEN 'CANDIDATE'
+            WHEN window_readings >= 12 THEN 'DETECTABLE'
+            WHEN total_readings >= 12 AND least(numeric_readings, 200) >= 5 THEN 'FORECAST_ONLY'
+            ELSE 'INSUFFICIENT' END AS status
+FROM ds"""))

@@ -167,4 +167,5 @@ def r6(x: str) -> str:
 def sql(*ctes: str, select: str) -> str:
     """WITH BASE, extra CTEs..., then the final SELECT."""
     extra = "".join("," + c for c in ctes)
-    return "WITH " + BASE + extra + "\n" + select
+    head = "WITH RECURSIVE " if "rec AS (" in extra else "WITH "
+    return head + BASE + extra + "\n" + select

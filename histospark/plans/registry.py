@@ -74,3 +74,57 @@ def q_signal_stats(h: Historian) -> DataFrame:
 @query("anomaly_candidates")
 def q_anomaly_candidates(h: Historian) -> DataFrame:
     return A.anomaly_candidates(h, lookback=7)
+
+
+# --- E2, E15, F3, F4, G: series, gaps, forecasts ----------------------------
+from histospark.operators import forecast as G  # noqa: E402
+
+
+@query("series_profile")
+def q_series_profile(h: Historian) -> DataFrame:
+    return G.series_profile(G.numeric_readings(h))
+
+
+@query("reading_gaps")
+def q_reading_gaps(h: Historian) -> DataFrame:
+    return G.reading_gaps(G.numeric_readings(h)).select("asset", "signal", "ts", "row_id", "gap_minutes")
+
+
+@query("last_n_readings")
+def q_last_n_readings(h: Historian) -> DataFrame:
+    t = G.last_n(G.numeric_readings(h), G.TRAIN_ROWS)
+    return t.select("asset", "signal", "ts", "row_id", "numeric_value", F.col("k").alias("recency_rank"))
+
+
+@query("sampling_interval")
+def q_sampling_interval(h: Historian) -> DataFrame:
+    return G.sampling_interval(G.numeric_readings(h))
+
+
+@query("holt_fit")
+def q_holt_fit(h: Historian) -> DataFrame:
+    f = G.holt_fit(G.numeric_readings(h))
+    return f.select("asset", "signal", "train_rows", "last_ts", round6("level").alias("level"),
+                    round6("trend").alias("trend"), round6("residual_std").alias("residual_std"))
+
+
+@query("forecast_steps")
+def q_forecast_steps(h: Historian) -> DataFrame:
+    iv = G.sampling_interval(G.numeric_readings(h))
+    return iv.select("asset", "signal", "interval_minutes",
+                     G.forecast_steps(F.col("interval_minutes"), G.DEFAULT_HORIZON_DAYS).alias("steps"))
+
+
+@query("forecast_signal")
+def q_forecast_signal(h: Historian) -> DataFrame:
+    return G.forecast(h, horizon=7)
+
+
+@query("auto_forecast_signal")
+def q_auto_forecast_signal(h: Historian) -> DataFrame:
+    return G.auto_forecast(h, horizon=7)
+
+
+@query("data_sufficiency")
+def q_data_sufficiency(h: Historian) -> DataFrame:
+    return G.data_sufficiency(h, lookback=7)
