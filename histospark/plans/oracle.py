@@ -26,16 +26,20 @@ _ROLL = """
   count(*) OVER (PARTITION BY asset, signal) AS n_rows"""
 _WIN = "WINDOW w AS (PARTITION BY asset, signal ORDER BY ts, row_id ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"
 
-oracle("detect_anomalies", sql(f"""
+ANOM = f"""
 scored_base AS (SELECT asset, signal, domain, ts, row_id, numeric_value, {_ROLL}
   FROM {windowed(7)} {_WIN}),
 scored AS (SELECT *, CASE WHEN rolling_std > 0 THEN abs((numeric_value - rolling_avg) / rolling_std) ELSE 0 END AS z
-  FROM scored_base WHERE n_rows >= 12 AND rolling_avg IS NOT NULL)""", select="""
+  FROM scored_base WHERE n_rows >= 12 AND rolling_avg IS NOT NULL),
+anom AS (
 SELECT asset, signal, domain, ts, (floor((numeric_value) * 1e6 + 0.5) / 1e6) AS numeric_value,
        coalesce(z > 3, false) AS is_anomaly, (floor((z) * 1e6 + 0.5) / 1e6) AS anomaly_score,
-       (floor((rolling_avg) * 1e6 + 0.5) / 1e6) AS forecast_value, (floor((rolling_avg - 3 * rolling_std) * 1e6 + 0.5) / 1e6) AS lower_bound,
+       (floor((rolling_avg) * 1e6 + 0.5) / 1e6) AS forecast_value,
+       (floor((rolling_avg - 3 * rolling_std) * 1e6 + 0.5) / 1e6) AS lower_bound,
        (floor((rolling_avg + 3 * rolling_std) * 1e6 + 0.5) / 1e6) AS upper_bound, 'ANOMALY' AS model_type
-FROM scored"""))
+FROM scored)"""
+
+oracle("detect_anomalies", sql(ANOM, select="SELECT * FROM anom"))
 
 oracle("rolling_stats", sql(select=f"""
 SELECT asset, signal, ts, row_id,
@@ -122,10 +126,10 @@ SELECT f.asset, f.signal, CAST(f.train_rows AS INTEGER) AS train_rows, l.last_ts
 FROM fit f JOIN lastts l USING (asset, signal)"""))
 
 
-def _forecast_sql(pick: str = "") -> str:
-    num = _NUM if not pick else f"(SELECT * FROM readings WHERE (asset, signal) IN (SELECT asset, signal FROM pick))"
+def forecast_ctes(pick: str = "") -> list[str]:
+    num = _NUM if not pick else "(SELECT * FROM readings WHERE (asset, signal) IN (SELECT asset, signal FROM pick))"
     body = (_INTERVAL + "," + _HOLT).replace(_NUM, num)
-    ctes = ([pick] if pick else []) + [body, f"""
+    return ([pick] if pick else []) + [body, f"""
 cnt AS (SELECT asset, signal, count(*) AS n, stddev_samp(numeric_value) AS all_std, max(domain) AS domain
         FROM {num} GROUP BY asset, signal),
 base AS (SELECT c.asset, c.signal, coalesce(c.domain, 'general') AS domain, f.level, f.trend,
@@ -135,18 +139,18 @@ base AS (SELECT c.asset, c.signal, coalesce(c.domain, 'general') AS domain, f.le
          WHERE c.n >= 12 AND f.train_rows >= 5),
 st AS (SELECT *, unnest(generate_series(1, steps)) AS step FROM base),
 fc AS (SELECT *, level + (({_P} * (1.0::DOUBLE - pow({_P}, step))) / (1.0::DOUBLE - {_P})) * trend AS fv,
-              1.96::DOUBLE * sigma * sqrt(CAST(step AS DOUBLE)) AS band FROM st)"""]
-    return sql(*ctes, select=f"""
+              1.96::DOUBLE * sigma * sqrt(CAST(step AS DOUBLE)) AS band FROM st),
+fcout AS (
 SELECT asset, signal, domain, CAST(step AS INTEGER) AS step,
        last_ts + to_microseconds(CAST(round(interval_minutes * step * 60000000) AS BIGINT)) AS ts,
        {r6('fv')} AS forecast_value, {r6('fv - band')} AS lower_bound, {r6('fv + band')} AS upper_bound,
        'FORECAST' AS model_type
-FROM fc""")
+FROM fc)"""]
 
 
-oracle("forecast_signal", _forecast_sql())
-oracle("auto_forecast_signal", _forecast_sql(
-    "pick AS (SELECT asset, signal FROM num_meta ORDER BY signal, asset LIMIT 1)"))
+oracle("forecast_signal", sql(*forecast_ctes(), select="SELECT * FROM fcout"))
+oracle("auto_forecast_signal", sql(*forecast_ctes(
+    "pick AS (SELECT asset, signal FROM num_meta ORDER BY signal, asset LIMIT 1)"), select="SELECT * FROM fcout"))
 
 oracle("data_sufficiency", sql(f"""
 ds AS (SELECT r.asset, r.signal, count(*) AS total_readings, count(r.numeric_value) AS numeric_readings,
@@ -161,3 +165,202 @@ SELECT asset, signal, total_readings, numeric_readings, window_readings,
             WHEN total_readings >= 12 AND least(numeric_readings, 200) >= 5 THEN 'FORECAST_ONLY'
             ELSE 'INSUFFICIENT' END AS status
 FROM ds"""))
+
+# --- E, H, Q ----------------------------------------------------------------------
+from histospark.plans.oracle_base import s as _s  # noqa: E402
+from histospark.sources.fixtures import CLASSIC_FEED, LONG_FEED, WIDE_FEED  # noqa: E402
+
+FEED_NAMES = f"(VALUES ('{LONG_FEED}', 1), ('{WIDE_FEED}', 2), ('{CLASSIC_FEED}', 3)) fl(feed, feed_ord)"
+FT = f"""ft AS (SELECT '{LONG_FEED}' AS feed, "Timestamp" AS ts FROM f_long
+  UNION ALL SELECT '{WIDE_FEED}', "Timestamp" FROM f_wide
+  UNION ALL SELECT '{CLASSIC_FEED}', "Timestamp" FROM f_classic)"""
+
+oracle("feed_volume", sql(FT, """
+v AS (SELECT feed, count(*) AS n, min(ts) AS earliest, max(ts) AS latest FROM ft GROUP BY feed),
+sg AS (SELECT feed, count(*) AS signals FROM meta GROUP BY feed)""", select=f"""
+SELECT fl.feed, coalesce(v.n, 0) AS "rows", v.earliest, v.latest, coalesce(sg.signals, 0) AS signals
+FROM {FEED_NAMES} LEFT JOIN v ON v.feed = fl.feed LEFT JOIN sg ON sg.feed = fl.feed"""))
+
+oracle("domain_stats", sql(select="SELECT domain, count(*) AS streams, count(DISTINCT asset) AS assets FROM meta GROUP BY domain"))
+
+oracle("asset_stats", sql(select="""
+SELECT asset, domain, count(*) AS signals FROM meta GROUP BY asset, domain
+ORDER BY signals DESC, asset, domain LIMIT 200"""))
+
+oracle("kpi_summary", sql(select="""
+SELECT count(*) AS total_streams, count(DISTINCT asset) AS assets, count(DISTINCT domain) AS domains,
+       count(DISTINCT signal) AS signal_types FROM meta"""))
+
+oracle("domain_top_assets", sql("""
+g AS (SELECT domain, asset, count(*) AS signals FROM meta GROUP BY domain, asset),
+rk AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY asset) AS asset_rank,
+              CAST(sum(signals) OVER (PARTITION BY domain) AS BIGINT) AS domain_streams FROM g)""", select="""
+SELECT domain, domain_streams, asset, signals, asset_rank FROM rk WHERE asset_rank <= 4"""))
+
+oracle("hourly_trend", sql(f"""
+g AS (SELECT asset, signal, date_trunc('hour', ts) AS hour, avg(numeric_value) AS avg_value
+      FROM {_NUM} GROUP BY asset, signal, date_trunc('hour', ts))""", select=f"""
+SELECT asset, signal, hour, {r6('avg_value')} AS avg_value FROM (
+  SELECT *, row_number() OVER (PARTITION BY asset, signal ORDER BY hour) AS k FROM g) WHERE k <= 48"""))
+
+oracle("trend_summary", sql(f"""
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset, signal ORDER BY ts DESC, row_id DESC) AS k
+      FROM {_NUM}) WHERE k <= 500)""", select=f"""
+SELECT asset, signal, count(*) AS readings, {r6('min(numeric_value)')} AS min_value, {r6('max(numeric_value)')} AS max_value,
+       {r6('avg(numeric_value)')} AS mean_value, {r6('stddev_samp(numeric_value)')} AS std_value
+FROM t GROUP BY asset, signal"""))
+
+_TOPA = "topa AS (SELECT * FROM anom ORDER BY ts DESC, asset, signal LIMIT 5000)"
+oracle("anomaly_kpis", sql(ANOM, _TOPA, select="""
+SELECT count(*) AS rows_analyzed, count_if(is_anomaly) AS anomalies,
+       count(DISTINCT (asset, signal)) AS signals_analyzed FROM topa"""))
+
+oracle("anomaly_counts", sql(ANOM, select="""
+SELECT asset, signal, count(*) AS scored_rows, count_if(is_anomaly) AS anomalies FROM anom GROUP BY asset, signal"""))
+
+oracle("recent_anomalies", sql(ANOM, _TOPA, select="SELECT * FROM topa"))
+
+oracle("forecast_summary", sql(*forecast_ctes(), select="""
+SELECT asset, signal, count(*) AS forecast_points, min(ts) AS forecast_from, max(ts) AS forecast_to
+FROM fcout GROUP BY asset, signal"""))
+
+oracle("event_usage", """
+SELECT event_type, count(*) AS event_count, min(ts) AS first_event, max(ts) AS last_event
+FROM events GROUP BY event_type""")
+
+oracle("schema_inventory", sql(select="""
+SELECT 'domain' AS section, domain AS name, domain, count(*) AS streams FROM meta GROUP BY domain
+UNION ALL SELECT DISTINCT 'asset', asset, domain, CAST(NULL AS BIGINT) FROM meta
+UNION ALL SELECT DISTINCT 'signal', signal, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM meta"""))
+
+oracle("feed_freshness", sql(FT, """
+lt AS (SELECT feed, max(ts) AS latest FROM ft GROUP BY feed),
+fj AS (SELECT m.feed, lt.latest,
+              coalesce(date_diff('hour', lt.latest, TIMESTAMP '2024-01-31 00:00:00'), -1) AS hours_stale
+       FROM (SELECT DISTINCT feed FROM meta) m LEFT JOIN lt ON lt.feed = m.feed)""", select="""
+SELECT feed, latest, hours_stale, hours_stale > 48 AS is_stale, max(hours_stale) OVER () AS fleet_max_hours,
+       CAST(floor(max(hours_stale) OVER () / 24) AS BIGINT) AS fleet_max_days FROM fj"""))
+
+oracle("bundle_lists", sql("""
+per AS (SELECT feed, stream, count(numeric_value) AS n_num FROM readings GROUP BY feed, stream),
+bs AS (SELECT m.feed, m.stream, coalesce(per.n_num, 0) > 0 AS bundled
+       FROM meta m LEFT JOIN per ON per.feed = m.feed AND per.stream = m.stream)""", select="""
+SELECT feed,
+       coalesce(array_to_string(list_sort(list(stream) FILTER (WHERE bundled)), ','), '') AS bundled_streams,
+       coalesce(array_to_string(list_sort(list(stream) FILTER (WHERE NOT bundled)), ','), '') AS not_bundled_streams,
+       count_if(bundled) AS bundled_count, count_if(NOT bundled) AS not_bundled_count
+FROM bs GROUP BY feed"""))
+
+_STEPS_SQL = """
+done AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts
+         FROM events GROUP BY user_id, event_type),
+grid AS (SELECT u.user_id, st.step FROM (SELECT DISTINCT user_id FROM events) u
+         CROSS JOIN (VALUES ('click'), ('view'), ('purchase'), ('signup'), ('error')) st(step)),
+stepst AS (SELECT g.user_id, g.step,
+                  CASE WHEN d.n IS NULL THEN 'PENDING' WHEN g.step = 'error' THEN 'ERROR' ELSE 'COMPLETE' END AS status,
+                  coalesce(d.n, 0) AS events, d.first_ts, d.last_ts
+           FROM grid g LEFT JOIN done d ON d.user_id = g.user_id AND d.event_type = g.step)"""
+
+oracle("step_status", "WITH " + _STEPS_SQL + "\nSELECT * FROM stepst")
+
+oracle("step_rollup", "WITH " + _STEPS_SQL + """,
+ro AS (SELECT user_id, count_if(status = 'COMPLETE') AS done_steps, count_if(status = 'ERROR') AS failed_steps,
+              count_if(status = 'RUNNING') AS running_steps FROM stepst GROUP BY user_id)
+SELECT user_id, done_steps, failed_steps,
+       CASE WHEN failed_steps > 0 THEN 'ERROR' WHEN running_steps > 0 THEN 'RUNNING'
+            WHEN done_steps = 4 THEN 'COMPLETE' WHEN done_steps > 0 THEN 'PARTIAL' ELSE 'NOT_STARTED' END AS status
+FROM ro""")
+
+oracle("latest_step_log", """
+SELECT user_id, event_type, event_id, ts, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events)
+WHERE k = 1""")
+
+oracle("recent_events", """
+SELECT event_id, ts, event_type, user_id, props FROM events ORDER BY ts DESC, event_id DESC LIMIT 20""")
+
+oracle("ordered_metadata", sql(select="""
+SELECT feed, stream, asset_path, asset, signal, domain, data_type FROM meta ORDER BY domain, asset, signal"""))
+
+oracle("distinct_streams", sql(select='SELECT DISTINCT "Field" AS stream FROM f_long'))
+
+oracle("avg_signal_by_asset", sql(select=f"""
+SELECT signal, asset, {r6('avg(numeric_value)')} AS avg_value FROM {_NUM} GROUP BY signal, asset"""))
+
+oracle("top_asset_for_signal", sql(select=f"""
+SELECT signal, asset, {r6('numeric_value')} AS max_value, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY signal ORDER BY numeric_value DESC, asset DESC, ts DESC, row_id DESC) AS k
+  FROM {_NUM} WHERE numeric_value IS NOT NULL) WHERE k = 1"""))
+
+oracle("total_over_time", sql(select=f"""
+SELECT asset, signal, date_trunc('day', ts) AS period, {r6('sum(numeric_value)')} AS total_value, count(*) AS readings
+FROM {_NUM} GROUP BY asset, signal, date_trunc('day', ts)"""))
+
+oracle("quality_issue_count", sql(select="""
+SELECT feed, asset, signal, count(*) FILTER (WHERE is_questionable) AS questionable, count(*) AS readings
+FROM readings GROUP BY feed, asset, signal"""))
+
+_PS = [f"Rotating Machinery - PS{i}" for i in range(7)]
+oracle("compare_across_assets", sql(select="SELECT signal, date_trunc('hour', ts) AS period, " + ", ".join(
+    f"{r6(f'avg(numeric_value) FILTER (WHERE asset = {_s(a)})')} AS \"{a}\"" for a in _PS) + f"""
+FROM {_NUM} WHERE domain = 'rotating_machinery' GROUP BY signal, date_trunc('hour', ts)"""))
+
+oracle("latest_reading", sql(select=f"""
+SELECT asset, signal, ts, {r6('numeric_value')} AS numeric_value, string_value FROM (
+  SELECT *, row_number() OVER (PARTITION BY asset, signal ORDER BY ts DESC, row_id DESC) AS k FROM readings)
+WHERE k = 1"""))
+
+# --- C, J --------------------------------------------------------------------------
+oracle("metadata_filter", sql(select="""
+SELECT feed, stream, asset_path, asset, signal, domain, data_type FROM meta
+WHERE domain IN ('rotating_machinery', 'general')"""))
+
+oracle("numeric_signals", sql(select="SELECT feed, stream, asset_path, asset, signal, domain, data_type FROM num_meta"))
+
+oracle("entitled_feeds", f"""
+WITH acc AS (SELECT c.c_name AS account, p.view_pattern FROM customer c JOIN (VALUES
+  ('AUTOMOBILE', 'wind%'), ('MACHINERY', 'rotating%'), ('BUILDING', '%'), ('FURNITURE', 'process%'),
+  ('HOUSEHOLD', '%_single')) p(seg, view_pattern) ON c.c_mktsegment = p.seg)
+SELECT account, view_pattern, fl.feed FROM acc JOIN {FEED_NAMES} ON fl.feed LIKE acc.view_pattern""")
+
+oracle("resolve_signal_join", sql(select="""
+SELECT feed, stream, asset, signal, domain, count(*) AS readings FROM readings
+GROUP BY feed, stream, asset, signal, domain"""))
+
+oracle("domain_lookup", sql(select="""
+SELECT c.feed, c.stream, c.asset, c.signal, m.domain, coalesce(m.domain, 'general') AS domain_or_general
+FROM cand c LEFT JOIN meta m ON m.feed = c.feed AND m.stream = c.stream"""))
+
+HIER = """
+hier AS (
+  SELECT asset_path, string_split(asset_path, '.')[-1] AS asset_name,
+         CASE WHEN strpos(asset_path, '.') > 0
+              THEN substr(asset_path, 1, length(asset_path) - length(string_split(asset_path, '.')[-1]) - 1)
+              ELSE '' END AS parent_path,
+         CAST(len(string_split(asset_path, '.')) AS BIGINT) AS level_depth,
+         domain, stream_count
+  FROM (SELECT asset_path, domain, count(*) OVER (PARTITION BY asset_path) AS stream_count,
+               row_number() OVER (PARTITION BY asset_path ORDER BY feed_ord, col_ord, stream) AS k FROM meta)
+  WHERE k = 1)"""
+
+oracle("asset_hierarchy", sql(HIER, select="SELECT * FROM hier"))
+
+oracle("hierarchy_signals", sql(HIER, select="""
+SELECT h.asset_path, h.asset_name, h.level_depth, m.signal, m.data_type, m.domain AS signal_domain
+FROM hier h LEFT JOIN meta m ON m.asset = h.asset_path"""))
+
+oracle("queryable_feeds", sql(select=f"""
+SELECT fl.feed, fl.feed_ord, CASE fl.feed_ord WHEN 1 THEN 'LONG' WHEN 2 THEN 'WIDE' ELSE 'CLASSIC' END AS format
+FROM {FEED_NAMES} WHERE fl.feed IN (SELECT feed FROM meta)"""))
+
+oracle("missing_keys", sql(select="""
+SELECT feed, stream, asset_path, asset, signal, domain, data_type FROM meta m
+WHERE NOT EXISTS (SELECT 1 FROM readings r JOIN feed_max fm ON r.feed = fm.feed
+                  WHERE r.ts >= fm.max_ts - INTERVAL 7 DAY AND r.asset = m.asset AND r.signal = m.signal)"""))
+
+oracle("history_forecast_align", sql(*forecast_ctes(), f"""
+hist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset, signal ORDER BY ts DESC, row_id DESC) AS k
+         FROM {_NUM}) WHERE k <= 2000)""", select=f"""
+SELECT coalesce(h.asset, f.asset) AS asset, coalesce(h.signal, f.signal) AS signal, coalesce(h.ts, f.ts) AS ts,
+       {r6('h.numeric_value')} AS historical, f.forecast_value AS forecast, f.lower_bound, f.upper_bound
+FROM hist h FULL OUTER JOIN fcout f ON h.asset = f.asset AND h.signal = f.signal AND h.ts = f.ts"""))

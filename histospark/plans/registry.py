@@ -93,7 +93,7 @@ def q_reading_gaps(h: Historian) -> DataFrame:
 @query("last_n_readings")
 def q_last_n_readings(h: Historian) -> DataFrame:
     t = G.last_n(G.numeric_readings(h), G.TRAIN_ROWS)
-    return t.select("asset", "signal", "ts", "row_id", "numeric_value", F.col("k").alias("recency_rank"))
+    return t.select("asset", "signal", "ts", "row_id", "numeric_value", F.col("k").cast("bigint").alias("recency_rank"))
 
 
 @query("sampling_interval")
@@ -128,3 +128,189 @@ def q_auto_forecast_signal(h: Historian) -> DataFrame:
 @query("data_sufficiency")
 def q_data_sufficiency(h: Historian) -> DataFrame:
     return G.data_sufficiency(h, lookback=7)
+
+
+# --- E, H, Q: aggregates, top-k, sample questions -----------------------------
+from histospark.operators import catalog as C  # noqa: E402
+from histospark.operators import stats as S  # noqa: E402
+from histospark.sources.fixtures import table  # noqa: E402
+
+
+def _events(h: Historian) -> DataFrame:
+    return table(h.spark, h.sf_dir, "events")
+
+
+def _anomalies(h: Historian) -> DataFrame:
+    return A.detect_anomalies(h, lookback=7)
+
+
+@query("feed_volume")
+def q_feed_volume(h): return S.feed_volume(h)
+
+
+@query("domain_stats")
+def q_domain_stats(h): return S.domain_stats(h.metadata)
+
+
+@query("asset_stats")
+def q_asset_stats(h): return S.asset_stats(h.metadata)
+
+
+@query("kpi_summary")
+def q_kpi_summary(h): return S.kpi_summary(h.metadata)
+
+
+@query("domain_top_assets")
+def q_domain_top_assets(h): return S.domain_top_assets(h.metadata)
+
+
+@query("hourly_trend")
+def q_hourly_trend(h): return S.hourly_trend(h)
+
+
+@query("trend_summary")
+def q_trend_summary(h): return S.trend_summary(h)
+
+
+@query("anomaly_kpis")
+def q_anomaly_kpis(h): return S.anomaly_kpis(_anomalies(h))
+
+
+@query("anomaly_counts")
+def q_anomaly_counts(h): return S.anomaly_counts(_anomalies(h))
+
+
+@query("forecast_summary")
+def q_forecast_summary(h): return S.forecast_summary(G.forecast(h, horizon=7))
+
+
+@query("event_usage")
+def q_event_usage(h): return S.event_usage(_events(h))
+
+
+@query("schema_inventory")
+def q_schema_inventory(h): return S.schema_inventory(h.metadata)
+
+
+@query("feed_freshness")
+def q_feed_freshness(h): return S.feed_freshness(h)
+
+
+@query("bundle_lists")
+def q_bundle_lists(h): return S.bundle_lists(h)
+
+
+@query("step_status")
+def q_step_status(h): return S.step_status(_events(h))
+
+
+@query("step_rollup")
+def q_step_rollup(h): return S.step_rollup(_events(h))
+
+
+@query("latest_step_log")
+def q_latest_step_log(h): return S.latest_step_log(_events(h))
+
+
+@query("recent_anomalies")
+def q_recent_anomalies(h): return S.recent_anomalies(_anomalies(h))
+
+
+@query("recent_events")
+def q_recent_events(h): return S.recent_events(_events(h))
+
+
+@query("ordered_metadata")
+def q_ordered_metadata(h):
+    return h.metadata.select(*M.PUBLIC_COLUMNS).orderBy("domain", "asset", "signal")
+
+
+@query("distinct_streams")
+def q_distinct_streams(h):
+    return h.feed("rotatingmachine_fixed_26q1").df.select(F.col("Field").alias("stream")).distinct()
+
+
+@query("avg_signal_by_asset")
+def q_avg_signal_by_asset(h): return S.avg_signal_by_asset(h)
+
+
+@query("top_asset_for_signal")
+def q_top_asset_for_signal(h): return S.top_asset_for_signal(h)
+
+
+@query("total_over_time")
+def q_total_over_time(h): return S.total_over_time(h, "day")
+
+
+@query("quality_issue_count")
+def q_quality_issue_count(h): return S.quality_issue_count(h)
+
+
+COMPARE_DOMAIN = "rotating_machinery"
+
+
+@query("compare_across_assets")
+def q_compare_across_assets(h):
+    assets = sorted(r["asset"] for r in h.metadata.where(F.col("domain") == COMPARE_DOMAIN)
+                    .select("asset").distinct().collect())
+    return S.compare_across_assets(h, COMPARE_DOMAIN, assets)
+
+
+@query("latest_reading")
+def q_latest_reading(h): return S.latest_reading(h)
+
+
+# --- C, J: catalog filters and joins ----------------------------------------------
+@query("metadata_filter")
+def q_metadata_filter(h):
+    return C.metadata_filter(h.metadata, ["rotating_machinery", "general"]).select(*M.PUBLIC_COLUMNS)
+
+
+@query("numeric_signals")
+def q_numeric_signals(h): return C.numeric_signals(h.metadata).select(*M.PUBLIC_COLUMNS)
+
+
+# Access pattern per market segment (fixed demo mapping for the entitlement join).
+SEGMENT_PATTERNS = [("AUTOMOBILE", "wind%"), ("MACHINERY", "rotating%"), ("BUILDING", "%"),
+                    ("FURNITURE", "process%"), ("HOUSEHOLD", "%_single")]
+
+
+@query("entitled_feeds")
+def q_entitled_feeds(h):
+    cust = table(h.spark, h.sf_dir, "customer")
+    pats = h.spark.createDataFrame(SEGMENT_PATTERNS, "c_mktsegment string, view_pattern string")
+    acc = cust.join(F.broadcast(pats), "c_mktsegment").select(F.col("c_name").alias("account"), "view_pattern")
+    return C.entitled_feeds(h, acc).select("account", "view_pattern", "feed")
+
+
+@query("resolve_signal_join")
+def q_resolve_signal_join(h): return C.resolve_signal_join(h)
+
+
+@query("domain_lookup")
+def q_domain_lookup(h): return C.domain_lookup(h)
+
+
+@query("hierarchy_signals")
+def q_hierarchy_signals(h): return C.hierarchy_signals(M.asset_hierarchy(h.metadata), h.metadata)
+
+
+@query("queryable_feeds")
+def q_queryable_feeds(h): return C.queryable_feeds(h)
+
+
+@query("missing_keys")
+def q_missing_keys(h): return C.missing_keys(h, 7)
+
+
+HISTORY_ROWS = 2000
+
+
+@query("history_forecast_align")
+def q_history_forecast_align(h):
+    hist = G.last_n(G.numeric_readings(h), HISTORY_ROWS)
+    return C.history_forecast_align(hist, G.forecast(h, horizon=7))
+
+
+@query("asset_hierarchy")
+def q_asset_hierarchy(h): return M.asset_hierarchy(h.metadata)
