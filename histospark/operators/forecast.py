@@ -120,7 +120,7 @@ def holt_fit(r: DataFrame) -> DataFrame:
                       F.expr(_RSTD).alias("residual_std"))
 
 
-def forecast(h, horizon=None, meta: DataFrame | None = None) -> DataFrame:
+def forecast(h, horizon=None, meta: DataFrame | None = None) -> DataFrame:  # noqa: C901
     """Forecast every numeric signal (or the signals of ``meta``).
 
     Guards: >= 12 readings over all history and >= 5 training values. For

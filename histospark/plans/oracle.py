@@ -126,15 +126,20 @@ SELECT f.asset, f.signal, CAST(f.train_rows AS INTEGER) AS train_rows, l.last_ts
 FROM fit f JOIN lastts l USING (asset, signal)"""))
 
 
-def forecast_ctes(pick: str = "") -> list[str]:
+_FC_NAMES = ["t201", "g201", "med", "ivl", "tr", "tr2", "rec", "fit", "lastts", "cnt", "base", "st", "fc", "fcout", "pick"]
+
+
+def forecast_ctes(pick: str = "", horizon: int = 7, suffix: str = "") -> list[str]:
+    """CTEs ending in ``fcout<suffix>``: forecasts of every numeric signal
+    (or of the signals in the ``pick`` CTE)."""
     num = _NUM if not pick else "(SELECT * FROM readings WHERE (asset, signal) IN (SELECT asset, signal FROM pick))"
     body = (_INTERVAL + "," + _HOLT).replace(_NUM, num)
-    return ([pick] if pick else []) + [body, f"""
+    ctes = ([pick] if pick else []) + [body, f"""
 cnt AS (SELECT asset, signal, count(*) AS n, stddev_samp(numeric_value) AS all_std, max(domain) AS domain
         FROM {num} GROUP BY asset, signal),
 base AS (SELECT c.asset, c.signal, coalesce(c.domain, 'general') AS domain, f.level, f.trend,
                 coalesce(f.residual_std, CASE WHEN c.all_std <> 0 THEN c.all_std ELSE 1.0 END) AS sigma,
-                l.last_ts, i.interval_minutes, {_STEPS.format(h=7)} AS steps
+                l.last_ts, i.interval_minutes, {_STEPS.format(h=int(horizon))} AS steps
          FROM cnt c JOIN fit f USING (asset, signal) JOIN lastts l USING (asset, signal) JOIN ivl i USING (asset, signal)
          WHERE c.n >= 12 AND f.train_rows >= 5),
 st AS (SELECT *, unnest(generate_series(1, steps)) AS step FROM base),
@@ -146,6 +151,10 @@ SELECT asset, signal, domain, CAST(step AS INTEGER) AS step,
        {r6('fv')} AS forecast_value, {r6('fv - band')} AS lower_bound, {r6('fv + band')} AS upper_bound,
        'FORECAST' AS model_type
 FROM fc)"""]
+    if suffix:
+        import re
+        ctes = [re.sub(r"\b(" + "|".join(_FC_NAMES) + r")\b", lambda m: m.group(1) + suffix, c) for c in ctes]
+    return ctes
 
 
 oracle("forecast_signal", sql(*forecast_ctes(), select="SELECT * FROM fcout"))
@@ -364,3 +373,297 @@ hist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset, signal
 SELECT coalesce(h.asset, f.asset) AS asset, coalesce(h.signal, f.signal) AS signal, coalesce(h.ts, f.ts) AS ts,
        {r6('h.numeric_value')} AS historical, f.forecast_value AS forecast, f.lower_bound, f.upper_bound
 FROM hist h FULL OUTER JOIN fcout f ON h.asset = f.asset AND h.signal = f.signal AND h.ts = f.ts"""))
+
+# --- B: parsing views ------------------------------------------------------------------
+from histospark.functions.names import KEY_PATTERN  # noqa: E402
+from histospark.functions.redact import REDACTION_RULES  # noqa: E402
+from histospark.plans.oracle_base import UNIT_RE, UUID_RE, clean, domain_case, numeric, strip_ws, unit_of  # noqa: E402
+
+
+def clean_alias_sql(x: str) -> str:
+    base = f"regexp_replace(regexp_replace({x}, '{UUID_RE}', '', 'g'), '{UNIT_RE}', '')"
+    last = f"string_split({base}, '.')[-1]"
+    no_prefix = f"regexp_replace({last}, '^[A-Z0-9]+_', '')"
+    collapsed = f"regexp_replace({no_prefix}, '[^A-Za-z0-9]+', '_', 'g')"
+    trimmed = f"upper(regexp_replace({collapsed}, '^_+|_+$', '', 'g'))"
+    return f"CASE WHEN {trimmed} = '' THEN 'VALUE' ELSE {trimmed} END"
+
+
+oracle("clean_signal_name", sql(select=f"SELECT feed, stream, {clean('stream')} AS clean_name FROM cand"))
+oracle("parse_long_field", sql(select="SELECT feed, stream, asset, signal FROM cand WHERE format = 'LONG'"))
+oracle("parse_wide_column", sql(select="SELECT feed, stream, asset, signal FROM cand WHERE format = 'WIDE'"))
+oracle("extract_unit", sql(select=f"SELECT feed, stream, {unit_of('stream')} AS unit FROM cand"))
+oracle("clean_alias", sql(select=f"SELECT feed, stream, {clean_alias_sql('stream')} AS alias FROM cand"))
+oracle("domain_classify", sql(select=f"SELECT feed, stream, asset, signal, {domain_case('asset', 'signal')} AS domain FROM cand"))
+oracle("dedupe_signals", sql(select="SELECT feed, stream, asset, signal, data_type FROM meta"))
+oracle("domain_distribution", sql(select="SELECT domain, count(*) AS streams FROM meta GROUP BY domain"))
+oracle("numeric_coercion", sql(select=f"""
+SELECT row_id, {numeric('"Value"')} AS numeric_value, {numeric('"Value"')} IS NOT NULL AS is_numeric
+FROM f_long WHERE "Value" IS NOT NULL"""))
+
+_COLS = [  # feed, feed_ord, col_ord, column, model class (NULL = not modelled)
+    (LONG_FEED, 1, 1, "Timestamp", None), (LONG_FEED, 1, 2, "Field", "DIMENSION"),
+    (LONG_FEED, 1, 3, "Value", "DIMENSION"), (LONG_FEED, 1, 4, "Name", "DIMENSION"),
+    (LONG_FEED, 1, 5, "Uom", "DIMENSION"),
+    (WIDE_FEED, 2, 1, "Timestamp", None)] + [
+    (WIDE_FEED, 2, o, c, "FACT" if t == "NUMERIC" else "DIMENSION") for o, c, t in
+    __import__("histospark.plans.oracle_base", fromlist=["_WIDE_COLS"])._WIDE_COLS] + [
+    (CLASSIC_FEED, 3, 1, "Timestamp", None), (CLASSIC_FEED, 3, 2, "Value", "FACT"),
+    (CLASSIC_FEED, 3, 3, "IsQuestionable", None)]
+
+
+def _v(x):
+    return "NULL" if x is None else (str(x) if isinstance(x, int) else _s(x))
+
+
+_COLS_VALUES = ", ".join("(" + ", ".join(_v(x) for x in row) + ")" for row in _COLS)
+_SPECIAL = "column_name IN ('Timestamp', 'Field', 'Name', 'Uom', 'Value')"
+SEM = f"""
+mcols AS (SELECT * FROM (VALUES {_COLS_VALUES}) v(feed, feed_ord, col_ord, column_name, model_class)
+          WHERE feed IN (SELECT feed FROM meta)),
+sem0 AS (SELECT feed, feed_ord, col_ord, column_name,
+                upper(regexp_replace(feed, '[^A-Za-z0-9_]', '_', 'g')) AS table_alias,
+                CASE WHEN column_name = 'Timestamp' THEN 'MEASUREMENT_TIME'
+                     WHEN column_name IN ('Field', 'Name', 'Uom') THEN upper(column_name)
+                     WHEN column_name = 'Value' THEN 'SENSOR_VALUE'
+                     ELSE {clean_alias_sql('column_name')} END AS base_alias,
+                CASE WHEN column_name IN ('Timestamp', 'Field', 'Name', 'Uom') THEN 'DIMENSION'
+                     WHEN column_name = 'Value' THEN CASE WHEN model_class = 'FACT' THEN 'FACT' ELSE 'DIMENSION' END
+                     ELSE model_class END AS role,
+                CASE WHEN NOT ({_SPECIAL}) THEN {unit_of('column_name')} END AS unit,
+                model_class
+         FROM mcols),
+sem AS (SELECT feed, table_alias, column_name,
+               CASE WHEN k = 1 THEN base_alias ELSE base_alias || '_' || CAST(k AS VARCHAR) END AS alias, role, unit,
+               CASE WHEN column_name = 'Timestamp' THEN 'Measurement timestamp'
+                    WHEN column_name = 'Field' THEN 'Signal/tag field name'
+                    WHEN column_name = 'Name' THEN 'Asset or sensor name'
+                    WHEN column_name = 'Uom' THEN 'Unit of measurement'
+                    WHEN column_name = 'Value' THEN CASE WHEN model_class = 'FACT' THEN 'Numeric sensor reading'
+                                                         ELSE 'Sensor reading (string)' END
+                    WHEN model_class = 'FACT' THEN replace(regexp_replace(column_name, '{UUID_RE}', '', 'g'), '''', '')
+                         || CASE WHEN unit IS NOT NULL THEN ' (' || unit || ')' ELSE '' END
+                    ELSE replace(regexp_replace(column_name, '{UUID_RE}', '', 'g'), '''', '') END AS comment
+        FROM (SELECT *, row_number() OVER (PARTITION BY feed, base_alias ORDER BY col_ord) AS k FROM sem0)
+        WHERE role IS NOT NULL)"""
+
+oracle("semantic_model", sql(SEM, select="SELECT feed, table_alias, column_name, alias, role, unit, comment FROM sem"))
+
+from histospark.sources.fixtures import W_ACTIVE, W_BLADE, W_EXPECTED, W_REVENUE, W_STATE  # noqa: E402
+from histospark.plans.oracle_base import q as _q  # noqa: E402
+
+oracle("semantic_select", sql(select=f"""
+SELECT {_q(W_STATE)} AS "STATE",
+       {r6(f'avg(CAST({_q(W_ACTIVE)} AS DOUBLE))')} AS ACTIVE_POWER_10_MIN_ROLLING_AVG,
+       {r6(f'avg(CAST({_q(W_EXPECTED)} AS DOUBLE))')} AS EXPECTED_POWER,
+       {r6(f'avg(CAST({_q(W_REVENUE)} AS DOUBLE))')} AS REVENUE_MONTHLY,
+       {r6(f'avg(CAST({_q(W_BLADE)} AS DOUBLE))')} AS BL1_ACT
+FROM f_wide GROUP BY {_q(W_STATE)}"""))
+
+oracle("event_payload", """
+SELECT event_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
+
+_CODE0 = "upper(replace(trim(o_orderpriority), ' ', '_'))"
+_CODE1 = f"CASE WHEN starts_with({_CODE0}, 'PUBLIC.') THEN substr({_CODE0}, 8) ELSE {_CODE0} END"
+_CODE = f"CASE WHEN NOT starts_with({_CODE1}, 'PRIO') THEN 'PRIO_' || {_CODE1} ELSE {_CODE1} END"
+oracle("normalise_code", f"""
+WITH x AS (SELECT o_orderkey, o_orderpriority AS raw_code, {_CODE} AS code FROM orders)
+SELECT o_orderkey, raw_code, code, 'PUBLIC.' || code AS full_code, split_part(code, '_', 1) AS code_group,
+       code IN ('PRIO_1-URGENT', 'PRIO_2-HIGH', 'PRIO_3-MEDIUM', 'PRIO_4-NOT_SPECIFIED') AS is_valid
+FROM x""")
+
+oracle("validate_key", f"""
+WITH x AS (SELECT c_custkey, c_name,
+  CASE WHEN c_name IS NULL THEN 'missing'
+       WHEN NOT regexp_matches(c_name, '{KEY_PATTERN}') THEN 'bad characters'
+       WHEN length(c_name) > 100 OR length(c_name) < 1 THEN 'too long' END AS reason FROM customer)
+SELECT c_custkey, c_name, reason IS NULL AS is_valid, reason FROM x""")
+
+# --- A ----------------------------------------------------------------------------------
+oracle("feed_registry", sql(FT, select=f"""
+SELECT fl.feed, fl.feed_ord, fl.format, fl.n_columns, coalesce(v.n, 0) AS "rows", coalesce(sg.s, 0) AS streams
+FROM (VALUES ('{LONG_FEED}', 1, 'LONG', 6), ('{WIDE_FEED}', 2, 'WIDE', 7), ('{CLASSIC_FEED}', 3, 'CLASSIC', 4))
+     fl(feed, feed_ord, format, n_columns)
+LEFT JOIN (SELECT feed, count(*) AS n FROM ft GROUP BY feed) v ON v.feed = fl.feed
+LEFT JOIN (SELECT feed, count(*) AS s FROM meta GROUP BY feed) sg ON sg.feed = fl.feed"""))
+
+_PROFILE = [  # cte, feed, ordinal, column, metadata class, model class, kind
+    ("f_long", LONG_FEED, 1, "Timestamp", "NUMERIC", None, "other"),
+    ("f_long", LONG_FEED, 2, "Field", "STRING", "DIMENSION", "str"),
+    ("f_long", LONG_FEED, 3, "Value", "STRING", "DIMENSION", "str"),
+    ("f_long", LONG_FEED, 4, "Name", "STRING", "DIMENSION", "str"),
+    ("f_long", LONG_FEED, 5, "Uom", "STRING", "DIMENSION", "str"),
+    ("f_long", LONG_FEED, 6, "row_id", "NUMERIC", "FACT", "num"),
+    ("f_wide", WIDE_FEED, 1, "Timestamp", "NUMERIC", None, "other"),
+    ("f_wide", WIDE_FEED, 2, W_ACTIVE, "NUMERIC", "FACT", "num"),
+    ("f_wide", WIDE_FEED, 3, W_EXPECTED, "NUMERIC", "FACT", "num"),
+    ("f_wide", WIDE_FEED, 4, W_REVENUE, "NUMERIC", "FACT", "num"),
+    ("f_wide", WIDE_FEED, 5, W_BLADE, "NUMERIC", "FACT", "num"),
+    ("f_wide", WIDE_FEED, 6, W_STATE, "STRING", "DIMENSION", "str"),
+    ("f_wide", WIDE_FEED, 7, "row_id", "NUMERIC", "FACT", "num"),
+    ("f_classic", CLASSIC_FEED, 1, "Timestamp", "NUMERIC", None, "other"),
+    ("f_classic", CLASSIC_FEED, 2, "Value", "NUMERIC", "FACT", "num"),
+    ("f_classic", CLASSIC_FEED, 3, "IsQuestionable", "NUMERIC", None, "other"),
+    ("f_classic", CLASSIC_FEED, 4, "row_id", "NUMERIC", "FACT", "num"),
+]
+
+
+def _prof(cte, feed, o, c, mc, mo, kind):
+    x = {"str": f"count(TRY_CAST({_q(c)} AS DOUBLE))", "num": f"count({_q(c)})", "other": "CAST(NULL AS BIGINT)"}[kind]
+    return (f"SELECT {_s(feed)} AS feed, {o} AS ordinal, {_s(c)} AS column_name, {_s(mc)} AS metadata_class, "
+            f"{_v(mo)} AS model_class, count({_q(c)}) AS non_null, {x} AS numeric_castable FROM {cte}")
+
+
+oracle("feed_column_profile", sql(select="\nUNION ALL ".join(_prof(*p) for p in _PROFILE)))
+
+oracle("feed_bundle_status", f"""
+SELECT * FROM (VALUES ('{LONG_FEED}', 1, 'BUNDLED', false), ('{WIDE_FEED}', 2, 'BUNDLED', false),
+  ('{CLASSIC_FEED}', 3, 'BUNDLED', false), ('missing_feed', 4, 'NOT_BUNDLED', true)) v(feed, feed_ord, status, has_error)""")
+
+oracle("feed_preview", sql(select="""
+SELECT "Timestamp", "Field", TRY_CAST("Value" AS DOUBLE) AS "Value", "Name", "Uom", row_id
+FROM f_long ORDER BY "Timestamp", row_id LIMIT 100"""))
+
+_RES_COLS = ("asset, signal, domain, ts, numeric_value, is_anomaly, anomaly_score, forecast_value, "
+             "lower_bound, upper_bound, model_type")
+RESULTS = f"""
+results AS (
+  SELECT {_RES_COLS} FROM anom
+  UNION ALL
+  SELECT asset, signal, domain, ts, CAST(NULL AS DOUBLE), CAST(NULL AS BOOLEAN), CAST(NULL AS DOUBLE),
+         forecast_value, lower_bound, upper_bound, model_type FROM fcout)"""
+
+oracle("result_store_replace", sql(ANOM, *forecast_ctes(), *forecast_ctes(
+    "pick AS (SELECT asset, signal FROM num_meta WHERE asset = 'GE01')", horizon=14, suffix="_r"), RESULTS,
+    select=f"""
+SELECT {_RES_COLS} FROM results
+WHERE NOT (model_type = 'FORECAST' AND (asset, signal) IN (SELECT asset, signal FROM fcout_r))
+UNION ALL
+SELECT asset, signal, domain, ts, CAST(NULL AS DOUBLE), CAST(NULL AS BOOLEAN), CAST(NULL AS DOUBLE),
+       forecast_value, lower_bound, upper_bound, model_type FROM fcout_r"""))
+
+oracle("export_csv", sql(*forecast_ctes(), select="SELECT * FROM fcout"))
+
+STATE = f"""
+dd AS (SELECT domain, count(*) AS n FROM meta GROUP BY domain),
+state AS (
+  SELECT 'VIEWS_INITIALIZED' AS key, 'TRUE' AS value
+  UNION ALL SELECT 'VIEW_COUNT', '3'
+  UNION ALL SELECT 'STREAM_COUNT', CAST(count(*) AS VARCHAR) FROM meta
+  UNION ALL SELECT 'METADATA_DISCOVERED', CASE WHEN count(*) > 0 THEN 'TRUE' ELSE 'FALSE' END FROM meta
+  UNION ALL SELECT 'DOMAIN_DISTRIBUTION', '{{' || string_agg('"' || domain || '":' || CAST(n AS VARCHAR), ',' ORDER BY domain) || '}}' FROM dd
+  UNION ALL SELECT 'SEMANTIC_VIEW_CREATED', CASE WHEN count(*) > 0 THEN 'TRUE' ELSE 'FALSE' END FROM sem)"""
+
+oracle("state_upsert", sql(SEM, STATE, select="""
+SELECT key, value FROM state
+UNION ALL SELECT 'LAST_ERROR', 'none'"""))
+
+oracle("seed_if_absent", sql(SEM, STATE, select="""
+SELECT key, value FROM state
+UNION ALL SELECT * FROM (VALUES ('VIEW_PATTERN', '%'), ('ACCESS_REGION', 'PUBLIC.AWS_US_WEST_2'), ('STREAM_COUNT', '0')) d(key, value)
+WHERE d.key NOT IN (SELECT key FROM state)"""))
+
+oracle("append_log", """
+SELECT user_id AS entity, 'error' AS step, 'ERROR' AS status, ts AS step_ts, event_id FROM events WHERE event_type = 'error'
+UNION ALL
+SELECT user_id, 'error', 'ERROR', ts, event_id FROM events WHERE event_type = 'error'""")
+
+oracle("reset_keys", sql(ANOM, *forecast_ctes(), RESULTS, select=f"SELECT {_RES_COLS} FROM results WHERE asset <> 'GE01'"))
+
+oracle("share_back", sql(ANOM, *forecast_ctes(), RESULTS, select=f"""
+SELECT {_RES_COLS}, 'CONSUMER_ACCOUNT_1' AS consumer_account FROM results"""))
+
+oracle("share_back_counts", sql(ANOM, *forecast_ctes(), RESULTS, select="""
+SELECT 'CONSUMER_ACCOUNT_1' AS consumer_account, count(*) AS shared_count,
+       count(*) FILTER (WHERE coalesce(is_anomaly, false)) AS anomaly_count FROM results"""))
+
+# --- C1, C2, C4, L -----------------------------------------------------------------------
+oracle("signal_readings", sql(select=f"""
+SELECT asset, signal, ts, {r6('numeric_value')} AS numeric_value, row_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY asset, signal ORDER BY ts DESC, row_id DESC) AS k FROM readings)
+WHERE k <= 500"""))
+
+oracle("lookback_filter", sql(select="""
+SELECT r.feed, r.asset, r.signal, r.ts, r.numeric_value, r.row_id
+FROM readings r JOIN feed_max fm ON r.feed = fm.feed WHERE r.ts >= fm.max_ts - INTERVAL 7 DAY"""))
+
+DICT = f"""
+first_r AS (SELECT asset, signal, numeric_value FROM (
+  SELECT *, row_number() OVER (PARTITION BY asset, signal ORDER BY ts, row_id) AS k FROM readings) WHERE k = 1),
+agg_r AS (SELECT asset, signal, min(numeric_value) AS mn, max(numeric_value) AS mx, count(*) AS n
+          FROM readings GROUP BY asset, signal),
+dict AS (
+  SELECT m.signal AS field, 'Signal' AS category,
+         concat_ws(' ', m.signal, 'of', m.asset, '(', m.domain, ')') AS description,
+         m.unit, m.data_type, m.feed, m.asset, {r6('f.numeric_value')} AS example_value,
+         {r6('a.mn')} AS min_value, {r6('a.mx')} AS max_value, coalesce(a.n, 0) AS readings
+  FROM meta m LEFT JOIN first_r f ON f.asset = m.asset AND f.signal = m.signal
+              LEFT JOIN agg_r a ON a.asset = m.asset AND a.signal = m.signal
+  UNION ALL
+  SELECT field, 'Metadata', description, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+         CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(0 AS BIGINT)
+  FROM (VALUES ('Timestamp', 'Measurement timestamp'), ('Value', 'Sensor reading'), ('Field', 'Signal/tag field name'),
+               ('Name', 'Asset or sensor name'), ('Uom', 'Unit of measurement')) s(field, description))"""
+
+oracle("data_dictionary", sql(DICT, select="SELECT * FROM dict"))
+oracle("dictionary_search", sql(DICT, select="""
+SELECT * FROM dict WHERE coalesce(contains(lower(field), 'pressure'), false)
+                      OR coalesce(contains(lower(description), 'pressure'), false)"""))
+
+
+def redact_sql(x: str) -> str:
+    for _, pattern, tag in REDACTION_RULES:
+        x = f"regexp_replace({x}, {_s(pattern)}, {_s(tag)}, 'g')"
+    return x
+
+
+oracle("log_events", f"""
+SELECT conv_id, turn, 'QUERY_' || upper(role) AS event_type,
+       CAST(json_object('conv_id', conv_id, 'turn', turn, 'chars', length(text)) AS VARCHAR) AS event_data,
+       CASE WHEN length(coalesce(text, '')) > 0 THEN {redact_sql('substr(text, 1, 1000)')} END AS redacted_query
+FROM conversations""")
+
+oracle("redact_text", f"SELECT doc_id, source, {redact_sql('text')} AS redacted_text FROM documents")
+
+
+def _stages_sql() -> str:
+    cols, x = [], "text"
+    for kind, pattern, tag in REDACTION_RULES:
+        cols.append(f"len(regexp_extract_all({x}, {_s(pattern)})) AS {kind}")
+        x = f"regexp_replace({x}, {_s(pattern)}, {_s(tag)}, 'g')"
+    return ", ".join(cols)
+
+
+oracle("redaction_counts", f"""
+WITH per AS (SELECT source, {_stages_sql()} FROM documents)
+SELECT source, {", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}_count" for k, _, _ in REDACTION_RULES)},
+       count(*) AS documents FROM per GROUP BY source""")
+
+oracle("health_check", sql(SEM, STATE, FT, """
+lt AS (SELECT feed, max(ts) AS latest FROM ft GROUP BY feed),
+fr AS (SELECT m.feed, coalesce(date_diff('hour', lt.latest, TIMESTAMP '2024-01-31 00:00:00'), -1) > 48 AS is_stale
+       FROM (SELECT DISTINCT feed FROM meta) m LEFT JOIN lt ON lt.feed = m.feed),
+checks AS (
+  SELECT 'shared_content_sync' AS check_name,
+         CASE WHEN 3 = coalesce(max(TRY_CAST(value AS BIGINT)), 0) THEN 'OK' ELSE 'DRIFT' END AS status,
+         CAST(3 AS BIGINT) AS value, CAST(coalesce(max(TRY_CAST(value AS BIGINT)), 0) AS BIGINT) AS total
+  FROM state WHERE key = 'VIEW_COUNT'
+  UNION ALL
+  SELECT 'app_state_keys', CASE WHEN count(DISTINCT key) = 6 THEN 'OK' ELSE 'MISSING' END, count(DISTINCT key), 6
+  FROM state WHERE key IN ('VIEWS_INITIALIZED', 'VIEW_COUNT', 'METADATA_DISCOVERED', 'STREAM_COUNT',
+                           'DOMAIN_DISTRIBUTION', 'SEMANTIC_VIEW_CREATED')
+  UNION ALL
+  SELECT 'stream_metadata', CASE WHEN count(*) > 0 THEN 'OK' ELSE 'EMPTY' END, count(*), count(*) FROM meta
+  UNION ALL
+  SELECT 'proxy_views', 'OK', 3, 3
+  UNION ALL
+  SELECT 'semantic_view', CASE WHEN count(*) > 0 THEN 'OK' ELSE 'SKIPPED' END, count(*) FILTER (WHERE role = 'FACT'), count(*)
+  FROM sem
+  UNION ALL
+  SELECT 'data_freshness', CASE WHEN count(*) FILTER (WHERE is_stale) = 0 THEN 'OK' ELSE 'STALE' END,
+         count(*) FILTER (WHERE is_stale), count(*) FROM fr)""", select="""
+SELECT check_name, status, CAST(value AS BIGINT) AS value, CAST(total AS BIGINT) AS total FROM checks
+UNION ALL
+SELECT 'overall', CASE WHEN count(*) FILTER (WHERE status NOT IN ('OK', 'SKIPPED', 'STALE')) = 0 THEN 'HEALTHY'
+                       ELSE 'DEGRADED' END,
+       count(*) - count(*) FILTER (WHERE status NOT IN ('OK', 'SKIPPED', 'STALE')), count(*) FROM checks"""))

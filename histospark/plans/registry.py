@@ -314,3 +314,239 @@ def q_history_forecast_align(h):
 
 @query("asset_hierarchy")
 def q_asset_hierarchy(h): return M.asset_hierarchy(h.metadata)
+
+
+# --- B: parsing views over data-derived names -----------------------------------
+from histospark.functions import names as N  # noqa: E402
+from histospark.operators import events as EV  # noqa: E402
+from histospark.operators import health as HL  # noqa: E402
+from histospark.operators import tables as TB  # noqa: E402
+from histospark.sources.fixtures import LONG_FEED, WIDE_FEED, fixture_feeds  # noqa: E402
+
+
+def _cands(h):
+    return M.stream_candidates(h.spark, h.feeds)
+
+
+@query("clean_signal_name")
+def q_clean_signal_name(h):
+    return _cands(h).select("feed", "stream", N.clean_signal_name(F.col("stream")).alias("clean_name"))
+
+
+@query("parse_long_field")
+def q_parse_long_field(h):
+    c = _cands(h).where(F.col("format") == "LONG")
+    a, s = N.parse_long_field(F.col("stream"), F.col("feed"))
+    return c.select("feed", "stream", a.alias("asset"), s.alias("signal"))
+
+
+@query("parse_wide_column")
+def q_parse_wide_column(h):
+    c = _cands(h).where(F.col("format") == "WIDE")
+    a, s = N.parse_wide_column(F.col("stream"), F.col("feed"))
+    return c.select("feed", "stream", a.alias("asset"), s.alias("signal"))
+
+
+@query("extract_unit")
+def q_extract_unit(h):
+    return _cands(h).select("feed", "stream", N.extract_unit(F.col("stream")).alias("unit"))
+
+
+@query("clean_alias")
+def q_clean_alias(h):
+    return _cands(h).select("feed", "stream", N.clean_alias(F.col("stream")).alias("alias"))
+
+
+@query("domain_classify")
+def q_domain_classify(h):
+    return _cands(h).select("feed", "stream", "asset", "signal",
+                            N.domain_of(F.col("asset"), F.col("signal")).alias("domain"))
+
+
+@query("dedupe_signals")
+def q_dedupe_signals(h):
+    return h.metadata.select("feed", "stream", "asset", "signal", "data_type")
+
+
+@query("domain_distribution")
+def q_domain_distribution(h): return M.domain_distribution(h.metadata)
+
+
+@query("numeric_coercion")
+def q_numeric_coercion(h):
+    f = h.feed(LONG_FEED).df.where(F.col("Value").isNotNull())
+    v = N.numeric_of(F.col("Value"))
+    return f.select("row_id", v.alias("numeric_value"), v.isNotNull().alias("is_numeric"))
+
+
+@query("semantic_model")
+def q_semantic_model(h):
+    return M.semantic_model(h.spark, h.feeds, h.metadata).select(
+        "feed", "table_alias", "column_name", "alias", "role", "unit", "comment")
+
+
+WIDE_FACTS = ["ACTIVE_POWER_10_MIN_ROLLING_AVG", "EXPECTED_POWER", "REVENUE_MONTHLY", "BL1_ACT"]
+
+
+@query("semantic_select")
+def q_semantic_select(h):
+    model = M.semantic_model(h.spark, h.feeds, h.metadata)
+    return M.semantic_select(h, model, "WINDTURBINE_FIXED_2603", WIDE_FACTS, ["STATE"])
+
+
+@query("event_payload")
+def q_event_payload(h): return EV.event_payload(_events(h))
+
+
+# Code normalisation: group hint and the list of valid codes (demo reference list).
+PRIORITY_HINT = "PRIO"
+VALID_PRIORITY_CODES = ["PRIO_1-URGENT", "PRIO_2-HIGH", "PRIO_3-MEDIUM", "PRIO_4-NOT_SPECIFIED"]
+
+
+@query("normalise_code")
+def q_normalise_code(h):
+    o = table(h.spark, h.sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    code = N.normalise_code(F.col("o_orderpriority"), F.lit(PRIORITY_HINT))
+    valid = h.spark.createDataFrame([(c,) for c in VALID_PRIORITY_CODES], "code string")
+    x = o.select("o_orderkey", F.col("o_orderpriority").alias("raw_code"), code.alias("code"))
+    j = x.join(F.broadcast(valid.withColumn("is_valid", F.lit(True))), "code", "left")
+    return j.select("o_orderkey", "raw_code", "code", F.concat(F.lit("PUBLIC."), F.col("code")).alias("full_code"),
+                    F.split_part(F.col("code"), F.lit("_"), F.lit(1)).alias("code_group"),
+                    F.coalesce("is_valid", F.lit(False)).alias("is_valid"))
+
+
+@query("validate_key")
+def q_validate_key(h):
+    c = table(h.spark, h.sf_dir, "customer").select("c_custkey", "c_name")
+    reason = N.validate_key_reason(F.col("c_name"))
+    return c.select("c_custkey", "c_name", reason.isNull().alias("is_valid"), reason.alias("reason"))
+
+
+# --- A: sources, sinks, table maintenance -----------------------------------------
+@query("feed_registry")
+def q_feed_registry(h): return HL.feed_registry(h)
+
+
+@query("feed_column_profile")
+def q_feed_column_profile(h): return HL.feed_column_profile(h)
+
+
+@query("feed_bundle_status")
+def q_feed_bundle_status(h):
+    srcs = dict(fixture_feeds(h.spark, h.sf_dir))
+    srcs["missing_feed"] = f"{h.sf_dir}/missing_feed.parquet"
+    return HL.feed_bundle_status(h.spark, srcs).select("feed", "feed_ord", "status",
+                                                       F.col("error").isNotNull().alias("has_error"))
+
+
+@query("feed_preview")
+def q_feed_preview(h):
+    return HL.feed_preview(h.feed(LONG_FEED), 100).select(
+        "Timestamp", "Field", F.col("Value").try_cast("double").alias("Value"), "Name", "Uom", "row_id")
+
+
+def _results(h):
+    return TB.as_results(A.detect_anomalies(h, lookback=7)).unionByName(TB.as_results(G.forecast(h, horizon=7)))
+
+
+REPLACED_ASSET = "GE01"
+
+
+@query("result_store_replace")
+def q_result_store_replace(h):
+    meta = h.metadata.where(F.col("asset") == REPLACED_ASSET).where(F.col("data_type").isin(A.NUMERIC_TYPES))
+    return TB.result_store_replace(h.spark, _results(h), G.forecast(h, horizon=14, meta=meta))
+
+
+@query("export_csv")
+def q_export_csv(h):
+    return TB.export_csv(h.spark, G.forecast(h, horizon=7))
+
+
+def _state(h):
+    return HL.app_state(h, M.semantic_model(h.spark, h.feeds, h.metadata))
+
+
+@query("state_upsert")
+def q_state_upsert(h):
+    previous = h.spark.createDataFrame([("STREAM_COUNT", "0"), ("METADATA_DISCOVERED", "FALSE"),
+                                        ("LAST_ERROR", "none")], "key string, value string")
+    return TB.state_upsert(previous, _state(h)).select("key", "value")
+
+
+CONFIG_DEFAULTS = [("VIEW_PATTERN", "%"), ("ACCESS_REGION", "PUBLIC.AWS_US_WEST_2"), ("STREAM_COUNT", "0")]
+
+
+@query("seed_if_absent")
+def q_seed_if_absent(h):
+    defaults = h.spark.createDataFrame(CONFIG_DEFAULTS, "key string, value string")
+    return TB.seed_if_absent(_state(h), defaults).select("key", "value")
+
+
+@query("append_log")
+def q_append_log(h):
+    rows = _events(h).where(F.col("event_type") == "error").select(
+        F.col("user_id").alias("entity"), F.lit("error").alias("step"), F.lit("ERROR").alias("status"),
+        F.col("ts").alias("step_ts"), "event_id")
+    return TB.append_log(h.spark, rows, times=2).select("entity", "step", "status", "step_ts", "event_id")
+
+
+@query("reset_keys")
+def q_reset_keys(h):
+    return TB.reset_keys(h.spark, _results(h), F.col("asset") != REPLACED_ASSET, TB.RESULT_SCHEMA, TB.RESULT_KEYS)
+
+
+CONSUMER = "CONSUMER_ACCOUNT_1"
+
+
+@query("share_back")
+def q_share_back(h):
+    return TB.share_back(h.spark, _results(h), CONSUMER, runs=2)
+
+
+@query("share_back_counts")
+def q_share_back_counts(h):
+    return TB.share_back_counts(TB.share_back(h.spark, _results(h), CONSUMER, runs=1))
+
+
+# --- C1, C2, C4, L ------------------------------------------------------------------
+SIGNAL_ROWS = 500
+
+
+@query("signal_readings")
+def q_signal_readings(h):
+    r = R.unified_readings(h)
+    t = G.last_n(r, SIGNAL_ROWS)
+    return t.select("asset", "signal", "ts", round6("numeric_value").alias("numeric_value"), "row_id")
+
+
+@query("lookback_filter")
+def q_lookback_filter(h):
+    r = R.unified_readings(h, days=R.lookback_days(None))
+    return r.select("feed", "asset", "signal", "ts", "numeric_value", "row_id")
+
+
+@query("dictionary_search")
+def q_dictionary_search(h): return C.dictionary_search(EV.data_dictionary(h), "pressure")
+
+
+@query("data_dictionary")
+def q_data_dictionary(h): return EV.data_dictionary(h)
+
+
+@query("log_events")
+def q_log_events(h): return EV.log_events(table(h.spark, h.sf_dir, "conversations"))
+
+
+@query("redact_text")
+def q_redact_text(h): return EV.redact_text(table(h.spark, h.sf_dir, "documents"))
+
+
+@query("redaction_counts")
+def q_redaction_counts(h): return EV.redaction_counts(table(h.spark, h.sf_dir, "documents"))
+
+
+@query("health_check")
+def q_health_check(h):
+    sem = M.semantic_model(h.spark, h.feeds, h.metadata)
+    return HL.health_check(h, HL.app_state(h, sem), sem, S.feed_freshness(h))
