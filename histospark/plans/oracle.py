@@ -667,3 +667,6 @@ UNION ALL
 SELECT 'overall', CASE WHEN count(*) FILTER (WHERE status NOT IN ('OK', 'SKIPPED', 'STALE')) = 0 THEN 'HEALTHY'
                        ELSE 'DEGRADED' END,
        count(*) - count(*) FILTER (WHERE status NOT IN ('OK', 'SKIPPED', 'STALE')), count(*) FROM checks"""))
+
+oracle("incremental_ingest", sql(select=f"""
+SELECT feed, asset, signal, ts, numeric_value, string_value, row_id FROM readings WHERE feed = '{LONG_FEED}'"""))

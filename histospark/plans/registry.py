@@ -550,3 +550,15 @@ def q_redaction_counts(h): return EV.redaction_counts(table(h.spark, h.sf_dir, "
 def q_health_check(h):
     sem = M.semantic_model(h.spark, h.feeds, h.metadata)
     return HL.health_check(h, HL.app_state(h, sem), sem, S.feed_freshness(h))
+
+
+# --- A7: streaming ingest ------------------------------------------------------------
+@query("incremental_ingest")
+def q_incremental_ingest(h):
+    from histospark.sources.fixtures import long_feed_of
+    from histospark.streaming.ingest import incremental_ingest, read_ingested
+    path, ckpt = incremental_ingest(h, h.sf_dir, long_feed_of, LONG_FEED, file_glob="events.parquet")
+    incremental_ingest(h, h.sf_dir, long_feed_of, LONG_FEED, table_path=path, checkpoint=ckpt,
+                       file_glob="events.parquet")  # a rerun adds nothing
+    return read_ingested(h.spark, path).select("feed", "asset", "signal", "ts", "numeric_value", "string_value",
+                                               "row_id")

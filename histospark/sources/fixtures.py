@@ -32,7 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def long_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return long_feed_of(table(spark, sf_dir, "events"))
+
+
+def long_feed_of(e: DataFrame) -> DataFrame:
+    """LONG adapter over an events frame (batch or streaming)."""
     asset = F.concat(F.lit("Rotating Machinery - PS"), (F.col("user_id") % 7).cast("string"))
     signal = (F.when(F.col("event_type") == "click", "Bearing Temperature Value")
               .when(F.col("event_type") == "view", "Discharge Pressure Value")
