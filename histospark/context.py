@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histospark.operators import metadata as M
-from histospark.session import checkpoint_root
+from histospark.session import workspace_dir
 from histospark.sources.feeds import Feed, register_feeds
 
 # Joins against the metadata broadcast it only up to this many streams.
@@ -59,10 +59,14 @@ class Historian:
     # -- metadata ---------------------------------------------------------
     @property
     def metadata(self) -> DataFrame:
-        """Deduped stream metadata, checkpointed to the shared folder."""
+        """Deduped stream metadata, written once to the shared folder."""
         if self._meta is None:
-            checkpoint_root(self.spark)
-            meta = M.stream_metadata(self.spark, self.feeds).checkpoint(eager=True)
+            # One job writes the table; reading it back cuts the lineage (a
+            # lost executor never recomputes discovery) and the count comes
+            # from the small written table.
+            path = workspace_dir(self.spark, "stream-metadata")
+            M.stream_metadata(self.spark, self.feeds).write.parquet(path)
+            meta = self.spark.read.parquet(path)
             self._meta_rows = meta.count()
             self._meta = meta
         return self._meta

@@ -37,7 +37,10 @@ NUMERIC_TYPES = ["FLOAT", "NUMBER", "DOUBLE", "NUMERIC"]
 def numbered(df: DataFrame, keys: list[str], bucket_unit: str = "hour") -> DataFrame:
     """Adds ``rn`` (1-based, ordered by ts, row_id) and ``n_rows`` per key
     without sorting a whole key in one task (steps 1–3 above)."""
-    b = df.withColumn("_tb", F.date_trunc(bucket_unit, F.col("ts")))
+    # One exchange on (key, bucket) feeds the counts, the offset join and
+    # the bucket-local row numbers (the plan reuses it; the source is read
+    # once). A hot key is spread over its buckets.
+    b = df.withColumn("_tb", F.date_trunc(bucket_unit, F.col("ts"))).repartition(*keys, "_tb")
     counts = b.groupBy(*keys, "_tb").agg(F.count(F.lit(1)).alias("_n"))
     wk = W.partitionBy(*keys)
     offs = counts.select(
