@@ -7,7 +7,9 @@ Skew: a plain ``Window.partitionBy(signal)`` sends a whole signal to one task,
 so one hot signal (a third of all rows, say) would serialise the job. Instead
 rows get an exact per-signal row number without a per-signal sort:
 
-1. count rows per (signal, time bucket) — map-side combined, small;
+1. count rows per (signal, minute bucket) after one exchange on
+   (signal, bucket); a signal spans at most 525,600 buckets a year, so the
+   offset table per signal stays small even for a hot signal;
 2. running offsets over those counts (a window over the *count* table);
 3. row number = offset + ``row_number()`` inside (signal, bucket), so the
    sort is bucket-parallel (the join and this window share one exchange);
@@ -34,7 +36,7 @@ CHUNK_ROWS = 65_536      # rows per window task for one signal
 NUMERIC_TYPES = ["FLOAT", "NUMBER", "DOUBLE", "NUMERIC"]
 
 
-def numbered(df: DataFrame, keys: list[str], bucket_unit: str = "hour") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], bucket_unit: str = "minute") -> DataFrame:
     """Adds ``rn`` (1-based, ordered by ts, row_id) and ``n_rows`` per key
     without sorting a whole key in one task (steps 1–3 above)."""
     # One exchange on (key, bucket) feeds the counts, the offset join and
@@ -53,7 +55,7 @@ def numbered(df: DataFrame, keys: list[str], bucket_unit: str = "hour") -> DataF
 
 
 def chunked_window(df: DataFrame, keys: list[str], frame: int, columns,
-                   chunk_rows: int = CHUNK_ROWS, bucket_unit: str = "hour") -> DataFrame:
+                   chunk_rows: int = CHUNK_ROWS, bucket_unit: str = "minute") -> DataFrame:
     """Evaluate window columns that look back at most ``frame`` rows per key,
     exactly, with every task holding at most ``chunk_rows + frame`` rows of
     one key. ``columns(w)`` returns the columns to add for window spec ``w``
@@ -71,7 +73,7 @@ def chunked_window(df: DataFrame, keys: list[str], frame: int, columns,
 
 def rolling_stats(df: DataFrame, keys: list[str], value: str = "numeric_value",
                   frame: int = FRAME_ROWS, chunk_rows: int = CHUNK_ROWS,
-                  bucket_unit: str = "hour") -> DataFrame:
+                  bucket_unit: str = "minute") -> DataFrame:
     """mean and sample stddev of the previous ``frame`` rows per key
     (current row excluded); adds ``rolling_avg``, ``rolling_std``, ``rn`` and
     ``n_rows``. Exact for any key size (chunk + halo)."""

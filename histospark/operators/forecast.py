@@ -68,17 +68,25 @@ def last_n(r: DataFrame, n: int, value_filter: bool = False) -> DataFrame:
     return src.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
 
 
-def sampling_interval(r: DataFrame) -> DataFrame:
-    """Exact median of the positive minute gaps among the latest 200
-    rows (each gap measured to its predecessor, hence 201 rows); none -> 60."""
+def median_gaps(r: DataFrame) -> DataFrame:
+    """Exact median of the positive minute gaps among the latest 200 rows
+    (each gap measured to its predecessor, hence 201 rows); signals without
+    a positive gap are absent."""
     tail = last_n(r, TRAIN_ROWS + 1)
     w = W.partitionBy(*KEYS).orderBy(F.col("k").desc())
     gaps = tail.withColumn("gap", boundary_diff("minute", F.lag("ts").over(w), F.col("ts")))
-    med = (gaps.where((F.col("k") <= TRAIN_ROWS) & (F.col("gap") > 0))
-           .groupBy(*KEYS).agg(F.median("gap").alias("med")))
+    return (gaps.where((F.col("k") <= TRAIN_ROWS) & (F.col("gap") > 0))
+            .groupBy(*KEYS).agg(F.median("gap").alias("med")))
+
+
+def interval_of(med: F.Column) -> F.Column:
+    return F.coalesce(med.cast("double"), F.lit(DEFAULT_GAP_MINUTES))
+
+
+def sampling_interval(r: DataFrame) -> DataFrame:
+    """Median positive gap per signal; none -> 60 minutes."""
     sig = r.select(*KEYS).distinct()
-    return sig.join(med, KEYS, "left").select(
-        *KEYS, F.coalesce(F.col("med").cast("double"), F.lit(DEFAULT_GAP_MINUTES)).alias("interval_minutes"))
+    return sig.join(median_gaps(r), KEYS, "left").select(*KEYS, interval_of(F.col("med")).alias("interval_minutes"))
 
 
 def forecast_steps(interval: F.Column, horizon: int) -> F.Column:
@@ -132,10 +140,10 @@ def forecast(h, horizon=None, meta: DataFrame | None = None) -> DataFrame:  # no
                                   F.stddev_samp("numeric_value").alias("all_std"),
                                   F.max("domain").alias("domain"))
     fit = holt_fit(r)
-    iv = sampling_interval(r)
     base = (counts.where(F.col("n") >= MIN_READINGS)
             .join(fit.where(F.col("train_rows") >= MIN_TRAIN), KEYS)
-            .join(iv, KEYS))
+            .join(median_gaps(r), KEYS, "left")
+            .withColumn("interval_minutes", interval_of(F.col("med"))))
     sigma = F.coalesce(F.col("residual_std"),
                        F.when(F.col("all_std") != 0, F.col("all_std")).otherwise(F.lit(1.0)))
     steps = base.select(*KEYS, F.coalesce("domain", F.lit("general")).alias("domain"), "level", "trend",

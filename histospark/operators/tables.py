@@ -39,12 +39,20 @@ def as_results(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+WRITE_SALT = 16  # writer tasks one partition value may be spread over
+
+
 def write_partitions(df: DataFrame, path: str, keys: list[str], mode: str = "overwrite") -> None:
     """Write ``df`` partitioned by ``keys``; in overwrite mode only the
     partitions present in ``df`` are replaced (dynamic overwrite). Rows are
-    clustered by the keys first, so each partition is written by few tasks."""
-    (df.repartition(*keys).write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*keys).parquet(path))
+    clustered by the keys plus a deterministic hash salt: a partition value
+    is written by at most ``WRITE_SALT`` tasks (few files), and a hot value
+    (one signal with a third of the rows) is still split over several tasks.
+    The salt depends on row content only, so a retried task rewrites exactly
+    the same rows."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(WRITE_SALT))
+    (df.repartition(*[F.col(k) for k in keys], salt).write.mode(mode)
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
