@@ -20,16 +20,32 @@ def ts_lit(t: _dt.datetime) -> Column:
     return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def _epoch_seconds(c: Column) -> Column:
-    # unix_seconds needs TIMESTAMP; NTZ -> TIMESTAMP uses the session zone on
-    # both operands, so the difference is zone-free for UTC sessions.
-    return F.unix_seconds(c.cast("timestamp"))
+def epoch_seconds(ts: Column) -> Column:
+    """Whole seconds since 1970 of a TIMESTAMP_NTZ wall clock (no zone)."""
+    return F.unix_timestamp(ts)
 
 
 def boundary_diff(unit: str, start: Column, end: Column) -> Column:
-    """Number of ``unit`` boundaries crossed from ``start`` to ``end``."""
+    """Number of ``unit`` boundaries crossed from ``start`` to ``end``
+    (difference of the truncated wall clocks, independent of the session
+    time zone)."""
     s = _UNIT_SECONDS[unit]
-    return ((_epoch_seconds(F.date_trunc(unit, end)) - _epoch_seconds(F.date_trunc(unit, start))) / s).cast("bigint")
+    return (F.floor(epoch_seconds(end) / F.lit(s)) - F.floor(epoch_seconds(start) / F.lit(s))).cast("bigint")
+
+
+def trunc_ntz(unit: str, ts: Column) -> Column:
+    """``date_trunc`` that stays TIMESTAMP_NTZ (Spark's ``date_trunc``
+    returns a zoned TIMESTAMP): the wall clock minus its finer fields."""
+    secs = F.date_part(F.lit("SECOND"), ts)
+    if unit == "minute":
+        iv = F.make_dt_interval(secs=secs)
+    elif unit == "hour":
+        iv = F.make_dt_interval(mins=F.minute(ts), secs=secs)
+    elif unit == "day":
+        iv = F.make_dt_interval(hours=F.hour(ts), mins=F.minute(ts), secs=secs)
+    else:
+        raise ValueError(unit)
+    return (ts - iv).cast("timestamp_ntz")
 
 
 def add_minutes(ts: Column, minutes: Column) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from histospark.functions.names import round6
 
+from histospark.functions.timecalc import trunc_ntz
 from histospark.operators.readings import lookback_days, unified_readings
 
 FRAME_ROWS = 24          # previous rows in the rolling frame
@@ -42,7 +43,7 @@ def numbered(df: DataFrame, keys: list[str], bucket_unit: str = "minute") -> Dat
     # One exchange on (key, bucket) feeds the counts, the offset join and
     # the bucket-local row numbers (the plan reuses it; the source is read
     # once). A hot key is spread over its buckets.
-    b = df.withColumn("_tb", F.date_trunc(bucket_unit, F.col("ts"))).repartition(*keys, "_tb")
+    b = df.withColumn("_tb", trunc_ntz(bucket_unit, F.col("ts"))).repartition(*keys, "_tb")
     counts = b.groupBy(*keys, "_tb").agg(F.count(F.lit(1)).alias("_n"))
     wk = W.partitionBy(*keys)
     offs = counts.select(
@@ -117,7 +118,7 @@ def detect_anomalies(h, lookback=None, asset: str | None = None, signal: str | N
         meta = meta.where(F.col("asset") == asset)
     if signal is not None:
         meta = meta.where(F.col("signal") == signal)
-    r = unified_readings(h, days=days, as_of=as_of, meta=meta)
+    r = unified_readings(h, days=days, as_of=as_of, meta=meta, numeric_only=signal is None)
     rolled = rolling_stats(r.select("asset", "signal", "domain", "ts", "row_id", "numeric_value"),
                            ["asset", "signal"], frame=frame, chunk_rows=chunk_rows)
     scored = score(rolled.where(F.col("n_rows") >= min_readings))
@@ -134,7 +135,7 @@ def signal_window_stats(h, lookback=None, as_of=None) -> DataFrame:
     mean of the numeric values (NULL -> 0), one grouped aggregation."""
     days = lookback_days(lookback)
     meta = h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES))
-    r = unified_readings(h, days=days, as_of=as_of, meta=meta)
+    r = unified_readings(h, days=days, as_of=as_of, meta=meta, numeric_only=True)
     return r.groupBy("asset", "signal").agg(
         F.count(F.lit(1)).alias("readings"),
         round6(F.coalesce(F.stddev_samp("numeric_value"), F.lit(0.0))).alias("stddev"),
@@ -153,7 +154,7 @@ def anomaly_candidates(h, lookback=None, asset: str | None = None, scan_first: i
     if scan_first is not None:
         # top-k: every partition keeps its first k, one task merges k x partitions
         meta = meta.orderBy("asset", "signal").limit(scan_first)
-    r = unified_readings(h, days=days, as_of=as_of, meta=meta)
+    r = unified_readings(h, days=days, as_of=as_of, meta=meta, numeric_only=True)
     stats = r.groupBy("asset", "signal").agg(
         F.count(F.lit(1)).alias("readings"),
         F.stddev_samp("numeric_value").alias("_std"),

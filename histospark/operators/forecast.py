@@ -38,7 +38,8 @@ def horizon_days(n) -> int:
 def numeric_readings(h, meta: DataFrame | None = None) -> DataFrame:
     """All-history readings of numeric signals (non-null raw values)."""
     m = meta if meta is not None else h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES))
-    return unified_readings(h, meta=m).select("asset", "signal", "domain", "ts", "row_id", "numeric_value")
+    return unified_readings(h, meta=m, numeric_only=True).select(
+        "asset", "signal", "domain", "ts", "row_id", "numeric_value")
 
 
 def series_profile(r: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def data_sufficiency(h, lookback: int = 7) -> DataFrame:
     start = F.coalesce(*[F.when(F.col("feed") == f, F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz"))
                          for f, t in mx.items() if t is not None])
     m = h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES))
-    rr = unified_readings(h, meta=m).select(*KEYS, "ts", "numeric_value", "feed")
+    rr = unified_readings(h, meta=m, numeric_only=True).select(*KEYS, "ts", "numeric_value", "feed")
     in_win = F.col("ts") >= start - F.make_dt_interval(days=F.lit(days))
     g = rr.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("total_readings"),

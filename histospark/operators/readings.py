@@ -48,8 +48,10 @@ def _q(c: str) -> Column:
     return F.col("`" + c.replace("`", "``") + "`")
 
 
-def feed_readings(feed: Feed, since: _dt.datetime | None = None, streams: list[str] | None = None) -> DataFrame:
-    """Normalise one feed; non-null readings only."""
+def feed_readings(feed: Feed, since: _dt.datetime | None = None, streams: list[str] | None = None,
+                  numeric_only: bool = False) -> DataFrame:
+    """Normalise one feed; non-null readings only. ``numeric_only`` skips
+    the text columns of a WIDE feed (their streams are typed STRING)."""
     df = feed.df
     if since is not None:
         df = df.where(F.col(TS_COL) >= ts_lit(since))
@@ -83,7 +85,7 @@ def feed_readings(feed: Feed, since: _dt.datetime | None = None, streams: list[s
     ids = [F.col(TS_COL).alias("ts"), _row_id(feed).alias("row_id")]
     parts = []
     num = [c for c, t in sig if type_class(t) == "NUMERIC"]
-    txt = [c for c, t in sig if type_class(t) == "STRING"]
+    txt = [] if numeric_only else [c for c, t in sig if type_class(t) == "STRING"]
     if num:
         base = df.select(*ids, *[_q(c).cast("double").alias(c) for c in num])
         u = base.unpivot(["ts", "row_id"], [_q(c) for c in num], "stream", "numeric_value").where(F.col("numeric_value").isNotNull())
@@ -102,14 +104,16 @@ def feed_readings(feed: Feed, since: _dt.datetime | None = None, streams: list[s
 
 
 def unified_readings(h, days: int | None = None, as_of: dict | _dt.datetime | None = None,
-                     meta: DataFrame | None = None, streams_by_feed: dict[str, list[str]] | None = None) -> DataFrame:
+                     meta: DataFrame | None = None, streams_by_feed: dict[str, list[str]] | None = None,
+                     numeric_only: bool = False) -> DataFrame:
     """All feeds in the canonical readings schema.
 
     ``days`` = lookback window (None: whole history); ``as_of`` = one instant
     or {feed: instant}, default the latest Timestamp of each feed.
     ``meta`` = an already filtered metadata frame (e.g. one signal) and
     ``streams_by_feed`` the matching stream names, so that only those
-    streams/columns are read (C1)."""
+    streams/columns are read (C1). ``numeric_only`` = only numeric signals
+    are wanted, so text columns are not even read."""
     if days is not None and as_of is None:
         as_of = h.feed_max_ts()
     parts = []
@@ -119,7 +123,8 @@ def unified_readings(h, days: int | None = None, as_of: dict | _dt.datetime | No
         a = as_of.get(f.name) if isinstance(as_of, dict) else as_of
         if days is not None and a is None:
             continue  # empty feed: nothing inside any window
-        r = feed_readings(f, since_of(a, days), streams_by_feed.get(f.name) if streams_by_feed else None)
+        r = feed_readings(f, since_of(a, days), streams_by_feed.get(f.name) if streams_by_feed else None,
+                          numeric_only)
         if r is not None:
             parts.append(r)
     if not parts:

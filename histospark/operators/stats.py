@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from histospark.functions.names import round6
-from histospark.functions.timecalc import boundary_diff, ts_lit
+from histospark.functions.timecalc import boundary_diff, trunc_ntz, ts_lit
 from histospark.operators.anomaly import NUMERIC_TYPES
 from histospark.operators.readings import unified_readings
 
@@ -85,8 +85,8 @@ def domain_top_assets(meta: DataFrame, top: int = TOP_ASSETS) -> DataFrame:
 
 def hourly_trend(h, hours: int = TREND_HOURS) -> DataFrame:
     """Hourly mean per numeric signal, the first ``hours`` hours."""
-    r = unified_readings(h, meta=numeric_only(h))
-    g = r.groupBy("asset", "signal", F.date_trunc("hour", "ts").alias("hour")).agg(
+    r = unified_readings(h, meta=numeric_only(h), numeric_only=True)
+    g = r.groupBy("asset", "signal", trunc_ntz("hour", F.col("ts")).alias("hour")).agg(
         F.avg("numeric_value").alias("avg_value"))
     w = W.partitionBy("asset", "signal").orderBy("hour")
     return (g.withColumn("k", F.row_number().over(w)).where(F.col("k") <= hours)
@@ -95,7 +95,7 @@ def hourly_trend(h, hours: int = TREND_HOURS) -> DataFrame:
 
 def trend_summary(h, rows: int = TREND_ROWS) -> DataFrame:
     """Min / max / mean / sample std of the latest ``rows`` readings."""
-    r = unified_readings(h, meta=numeric_only(h))
+    r = unified_readings(h, meta=numeric_only(h), numeric_only=True)
     w = W.partitionBy("asset", "signal").orderBy(F.col("ts").desc(), F.col("row_id").desc())
     t = r.withColumn("k", F.row_number().over(w)).where(F.col("k") <= rows)
     return t.groupBy("asset", "signal").agg(
@@ -232,13 +232,13 @@ def recent_events(events: DataFrame, n: int = RECENT_EVENTS) -> DataFrame:
 # --- sample questions -----------------------------------------------------------
 def avg_signal_by_asset(h) -> DataFrame:
     """Q1: average of each signal by asset."""
-    r = unified_readings(h, meta=numeric_only(h))
+    r = unified_readings(h, meta=numeric_only(h), numeric_only=True)
     return r.groupBy("signal", "asset").agg(round6(F.avg("numeric_value")).alias("avg_value"))
 
 
 def top_asset_for_signal(h) -> DataFrame:
     """Q2: per signal name, the asset holding the highest reading."""
-    r = unified_readings(h, meta=numeric_only(h)).where(F.col("numeric_value").isNotNull())
+    r = unified_readings(h, meta=numeric_only(h), numeric_only=True).where(F.col("numeric_value").isNotNull())
     g = r.groupBy("signal").agg(F.max_by(F.struct("asset", "numeric_value", "ts"),
                                          F.struct("numeric_value", "asset", "ts", "row_id")).alias("top"))
     return g.select("signal", "top.asset", round6(F.col("top.numeric_value")).alias("max_value"), "top.ts")
@@ -246,8 +246,8 @@ def top_asset_for_signal(h) -> DataFrame:
 
 def total_over_time(h, unit: str = "day") -> DataFrame:
     """Q3: total of each signal per day (or hour)."""
-    r = unified_readings(h, meta=numeric_only(h))
-    return r.groupBy("asset", "signal", F.date_trunc(unit, "ts").alias("period")).agg(
+    r = unified_readings(h, meta=numeric_only(h), numeric_only=True)
+    return r.groupBy("asset", "signal", trunc_ntz(unit, F.col("ts")).alias("period")).agg(
         round6(F.sum("numeric_value")).alias("total_value"), F.count(F.lit(1)).alias("readings"))
 
 
@@ -262,8 +262,8 @@ def compare_across_assets(h, domain: str, assets: list[str], unit: str = "hour")
     """Q5: each signal of ``domain`` side by side for its assets (one column
     per asset; explicit pivot values, so no extra job)."""
     meta = numeric_only(h).where(F.col("domain") == domain)
-    r = unified_readings(h, meta=meta)
-    p = r.groupBy("signal", F.date_trunc(unit, "ts").alias("period")).pivot("asset", assets).agg(
+    r = unified_readings(h, meta=meta, numeric_only=True)
+    p = r.groupBy("signal", trunc_ntz(unit, F.col("ts")).alias("period")).pivot("asset", assets).agg(
         F.avg("numeric_value"))
     return p.select("signal", "period", *[round6(F.col(f"`{a}`")).alias(a) for a in assets])
 

@@ -59,7 +59,7 @@ def q_detect_anomalies(h: Historian) -> DataFrame:
 
 @query("rolling_stats")
 def q_rolling_stats(h: Historian) -> DataFrame:
-    r = R.unified_readings(h).where(F.col("data_type").isin(A.NUMERIC_TYPES))
+    r = R.unified_readings(h, numeric_only=True).where(F.col("data_type").isin(A.NUMERIC_TYPES))
     rolled = A.rolling_stats(r.select("asset", "signal", "ts", "row_id", "numeric_value"), ["asset", "signal"])
     return rolled.select("asset", "signal", "ts", "row_id",
                          round6("rolling_avg").alias("rolling_avg"),

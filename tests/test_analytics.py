@@ -120,3 +120,20 @@ def test_closed_form_damped_sum():
     for h in range(1, 501):
         run += phi ** h
         assert math.isclose(run, phi * (1 - phi ** h) / (1 - phi), rel_tol=1e-12)
+
+
+def test_time_helpers_ignore_session_zone(spark):
+    from histospark.functions.timecalc import trunc_ntz
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 1, 59, 30), dt.datetime(2024, 3, 10, 3, 0, 10),
+                                     dt.datetime(2024, 3, 10, 2, 30, 15, 123456))],
+                                   "a timestamp_ntz, b timestamp_ntz, c timestamp_ntz")
+        r = df.select(boundary_diff("minute", F.col("a"), F.col("b")).alias("m"),
+                      boundary_diff("hour", F.col("a"), F.col("b")).alias("h"),
+                      trunc_ntz("hour", F.col("c")).alias("t")).first()
+        assert (r["m"], r["h"]) == (61, 2)           # wall-clock crossings, DST gap ignored
+        assert r["t"] == dt.datetime(2024, 3, 10, 2, 0, 0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
