@@ -35,6 +35,7 @@ class Historian:
         self._meta: DataFrame | None = None
         self._meta_rows: int | None = None
         self._max_ts: dict[str, _dt.datetime | None] | None = None
+        self._hot: dict[int, bool] = {}
 
     # -- construction -----------------------------------------------------
     @classmethod
@@ -76,6 +77,14 @@ class Historian:
         _ = self.metadata
         return int(self._meta_rows or 0)
 
+    def has_hot_streams(self, rows: int) -> bool:
+        """Whether any stream holds more than ``rows`` readings (decided on
+        the small metadata table; one boolean reaches the driver)."""
+        key = int(rows)
+        if key not in self._hot:
+            self._hot[key] = self.metadata.where(F.col("n_readings") > key).limit(1).count() > 0
+        return self._hot[key]
+
     def small(self, df: DataFrame, rows: int) -> DataFrame:
         """Broadcast hint only when ``rows`` (a measured count) is within the
         bound; otherwise the planner shuffles (sort-merge join)."""

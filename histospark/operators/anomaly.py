@@ -33,7 +33,7 @@ FRAME_ROWS = 24          # previous rows in the rolling frame
 MIN_READINGS = 12        # detection guard (rows inside the lookback)
 Z_THRESHOLD = 3.0
 CANDIDATE_MIN_ROWS = 50  # auto-candidate guard
-CHUNK_ROWS = 65_536      # rows per window task for one signal
+CHUNK_ROWS = 1 << 20       # rows per window task for one signal (~50 MB)
 NUMERIC_TYPES = ["FLOAT", "NUMBER", "DOUBLE", "NUMERIC"]
 
 
@@ -72,16 +72,45 @@ def chunked_window(df: DataFrame, keys: list[str], frame: int, columns,
     return out.where(F.col("_chunk") == F.col("_own")).drop("_chunk", "_own")
 
 
+def plain_window(df: DataFrame, keys: list[str], columns) -> DataFrame:
+    """The same columns with one window per key (one exchange); only for
+    keys known to fit a task (at most one chunk of rows)."""
+    w = W.partitionBy(*keys).orderBy("ts", "row_id")
+    return df.select("*", F.row_number().over(w).cast("bigint").alias("rn"),
+                     F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("n_rows"), *columns(w))
+
+
+def signal_window(h, df: DataFrame, keys: list[str], frame: int, columns,
+                  chunk_rows: int = CHUNK_ROWS, bucket_unit: str = "minute") -> DataFrame:
+    """Route by stream size (``n_readings`` from the metadata, an upper
+    bound for any time window): signals within one chunk take the plain
+    window, larger ("hot") ones the chunk + halo path. When the metadata
+    holds no hot stream the plan has the plain branch only."""
+    if h is None:
+        return chunked_window(df, keys, frame, columns, chunk_rows, bucket_unit)
+    if not h.has_hot_streams(chunk_rows):
+        return plain_window(df, keys, columns)
+    hot = F.coalesce(F.col("n_readings") > chunk_rows, F.lit(True))
+    small = plain_window(df.where(~hot), keys, columns)
+    big = chunked_window(df.where(hot), keys, frame, columns, chunk_rows, bucket_unit)
+    return small.unionByName(big)
+
+
+def _rolling_columns(value: str, frame: int):
+    def cols(w):
+        wf = w.rowsBetween(-frame, -1)
+        return [F.avg(value).over(wf).alias("rolling_avg"), F.stddev_samp(value).over(wf).alias("rolling_std")]
+    return cols
+
+
 def rolling_stats(df: DataFrame, keys: list[str], value: str = "numeric_value",
                   frame: int = FRAME_ROWS, chunk_rows: int = CHUNK_ROWS,
-                  bucket_unit: str = "minute") -> DataFrame:
+                  bucket_unit: str = "minute", h=None) -> DataFrame:
     """mean and sample stddev of the previous ``frame`` rows per key
     (current row excluded); adds ``rolling_avg``, ``rolling_std``, ``rn`` and
-    ``n_rows``. Exact for any key size (chunk + halo)."""
-    def cols(w):
-        wf = w.rowsBetween(-frame, -1)
-        return [F.avg(value).over(wf).alias("rolling_avg"), F.stddev_samp(value).over(wf).alias("rolling_std")]
-    return chunked_window(df, keys, frame, cols, chunk_rows, bucket_unit)
+    ``n_rows``. Exact for any key size: without a Historian ``h`` every key
+    takes the chunk + halo path; with one, keys are routed by size."""
+    return signal_window(h, df, keys, frame, _rolling_columns(value, frame), chunk_rows, bucket_unit)
 
 
 def score(rolled: DataFrame, threshold: float = Z_THRESHOLD) -> DataFrame:
@@ -119,8 +148,8 @@ def detect_anomalies(h, lookback=None, asset: str | None = None, signal: str | N
     if signal is not None:
         meta = meta.where(F.col("signal") == signal)
     r = unified_readings(h, days=days, as_of=as_of, meta=meta, numeric_only=signal is None)
-    rolled = rolling_stats(r.select("asset", "signal", "domain", "ts", "row_id", "numeric_value"),
-                           ["asset", "signal"], frame=frame, chunk_rows=chunk_rows)
+    rolled = rolling_stats(r.select("asset", "signal", "domain", "ts", "row_id", "numeric_value", "n_readings"),
+                           ["asset", "signal"], frame=frame, chunk_rows=chunk_rows, h=h)
     scored = score(rolled.where(F.col("n_rows") >= min_readings))
     out = scored.select(
         "asset", "signal", "domain", "ts",

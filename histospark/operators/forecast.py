@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from histospark.functions.names import round6
 from histospark.functions.timecalc import add_minutes, boundary_diff
-from histospark.operators.anomaly import MIN_READINGS, NUMERIC_TYPES, chunked_window
+from histospark.operators.anomaly import MIN_READINGS, NUMERIC_TYPES, signal_window
 from histospark.operators.readings import unified_readings
 
 # Fixed model parameters (must equal the reference's).
@@ -39,7 +39,7 @@ def numeric_readings(h, meta: DataFrame | None = None) -> DataFrame:
     """All-history readings of numeric signals (non-null raw values)."""
     m = meta if meta is not None else h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES))
     return unified_readings(h, meta=m, numeric_only=True).select(
-        "asset", "signal", "domain", "ts", "row_id", "numeric_value")
+        "asset", "signal", "domain", "ts", "row_id", "numeric_value", "n_readings")
 
 
 def series_profile(r: DataFrame) -> DataFrame:
@@ -51,12 +51,14 @@ def series_profile(r: DataFrame) -> DataFrame:
         round6(F.stddev_samp("numeric_value")).alias("stddev"))
 
 
-def reading_gaps(r: DataFrame) -> DataFrame:
+def reading_gaps(r: DataFrame, h=None) -> DataFrame:
     """minutes since the previous reading of the same signal (boundary
-    count); exact lag for any series length via chunk + halo of one row."""
+    count); exact lag for any series length (hot signals via chunk + halo
+    of one row, see ``signal_window``)."""
     def cols(w):
         return [F.lag("ts").over(w).alias("prev_ts")]
-    g = chunked_window(r.select(*KEYS, "ts", "row_id"), KEYS, 1, cols)
+    src = r.select(*KEYS, "ts", "row_id", *(["n_readings"] if "n_readings" in r.columns else []))
+    g = signal_window(h if "n_readings" in r.columns else None, src, KEYS, 1, cols)
     return g.select(*KEYS, "ts", "row_id", "prev_ts",
                     boundary_diff("minute", F.col("prev_ts"), F.col("ts")).alias("gap_minutes"))
 

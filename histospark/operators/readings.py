@@ -133,18 +133,18 @@ def unified_readings(h, days: int | None = None, as_of: dict | _dt.datetime | No
                                              ("signal", T.StringType()), ("domain", T.StringType()), ("unit", T.StringType()),
                                              ("ts", T.TimestampNTZType()), ("raw_value", T.StringType()),
                                              ("numeric_value", T.DoubleType()), ("string_value", T.StringType()),
-                                             ("is_questionable", T.BooleanType()), ("row_id", T.LongType())]]))
+                                             ("is_questionable", T.BooleanType()), ("row_id", T.LongType()),
+                                             ("data_type", T.StringType()), ("n_readings", T.LongType())]]))
     allr = reduce(lambda a, b: a.unionByName(b), parts)
-    m = meta if meta is not None else h.meta_side("feed", "stream", "asset", "signal", "domain", "unit", "data_type")
-    if meta is not None:
-        m = h.small(meta.select("feed", "stream", "asset", "signal", "domain", "unit", "data_type"), h.metadata_rows)
+    mcols = ["feed", "stream", "asset", "signal", "domain", "unit", "data_type", "n_readings"]
+    m = h.meta_side(*mcols) if meta is None else h.small(meta.select(*mcols), h.metadata_rows)
     j = allr.join(m, ["feed", "stream"], "inner")
     return j.select(
         "feed", "stream", "asset", "signal", "domain",
         F.coalesce(F.col("uom"), F.col("unit")).alias("unit"),
         "ts", "raw_value", "numeric_value",
         F.when(F.col("numeric_value").isNull(), F.col("raw_value")).alias("string_value"),
-        "is_questionable", "row_id", "data_type")
+        "is_questionable", "row_id", "data_type", "n_readings")
 
 
 def resolve_signal(h, asset: str, signal: str) -> DataFrame:

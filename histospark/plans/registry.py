@@ -60,7 +60,8 @@ def q_detect_anomalies(h: Historian) -> DataFrame:
 @query("rolling_stats")
 def q_rolling_stats(h: Historian) -> DataFrame:
     r = R.unified_readings(h, numeric_only=True).where(F.col("data_type").isin(A.NUMERIC_TYPES))
-    rolled = A.rolling_stats(r.select("asset", "signal", "ts", "row_id", "numeric_value"), ["asset", "signal"])
+    rolled = A.rolling_stats(r.select("asset", "signal", "ts", "row_id", "numeric_value", "n_readings"),
+                             ["asset", "signal"], h=h)
     return rolled.select("asset", "signal", "ts", "row_id",
                          round6("rolling_avg").alias("rolling_avg"),
                          round6("rolling_std").alias("rolling_std"))
@@ -87,7 +88,7 @@ def q_series_profile(h: Historian) -> DataFrame:
 
 @query("reading_gaps")
 def q_reading_gaps(h: Historian) -> DataFrame:
-    return G.reading_gaps(G.numeric_readings(h)).select("asset", "signal", "ts", "row_id", "gap_minutes")
+    return G.reading_gaps(G.numeric_readings(h), h).select("asset", "signal", "ts", "row_id", "gap_minutes")
 
 
 @query("last_n_readings")

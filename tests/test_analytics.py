@@ -137,3 +137,28 @@ def test_time_helpers_ignore_session_zone(spark):
         assert r["t"] == dt.datetime(2024, 3, 10, 2, 0, 0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+class _Hist:
+    """Stand-in for the size decision of a Historian."""
+
+    def __init__(self, hot: bool):
+        self.hot = hot
+
+    def has_hot_streams(self, rows: int) -> bool:
+        return self.hot
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_routed_rolling_equals_plain_window(spark, hot):
+    df = series(spark, {"s1": 300, "s2": 40, "s3": 1}, ties=True, nulls=True)
+    df = df.withColumn("n_readings", F.when(F.col("signal") == "s1", F.lit(300)).otherwise(F.lit(40)).cast("bigint"))
+    got = {r["row_id"]: (r["rolling_avg"], r["rolling_std"], r["rn"], r["n_rows"]) for r in
+           A.rolling_stats(df, ["asset", "signal"], chunk_rows=64, h=_Hist(hot)).collect()}
+    exp = {r["row_id"]: (r["a"], r["s"]) for r in plain_rolling(df).collect()}
+    assert got.keys() == exp.keys()
+    for k, (a, s) in exp.items():
+        ga, gs, _, _ = got[k]
+        assert (a is None and ga is None) or ga == pytest.approx(a, rel=1e-9, abs=1e-9)
+        assert (s is None and gs is None) or gs == pytest.approx(s, rel=1e-9, abs=1e-9)
+    assert {v[3] for k, v in got.items()} == {300, 40, 1}
