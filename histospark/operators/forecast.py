@@ -139,9 +139,9 @@ def forecast(h, horizon=None, meta: DataFrame | None = None) -> DataFrame:  # no
     ts = last + interval·h minutes."""
     hz = horizon_days(horizon)
     r = numeric_readings(h, meta)
-    counts = r.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"),
-                                  F.stddev_samp("numeric_value").alias("all_std"),
-                                  F.max("domain").alias("domain"))
+    # domain depends on the signal only: grouping by it keeps a hash aggregate
+    counts = r.groupBy(*KEYS, "domain").agg(F.count(F.lit(1)).alias("n"),
+                                            F.stddev_samp("numeric_value").alias("all_std"))
     fit = holt_fit(r)
     base = (counts.where(F.col("n") >= MIN_READINGS)
             .join(fit.where(F.col("train_rows") >= MIN_TRAIN), KEYS)
