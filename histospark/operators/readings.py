@@ -80,27 +80,26 @@ def feed_readings(feed: Feed, since: _dt.datetime | None = None, streams: list[s
             (F.col("IsQuestionable").cast("boolean") if "IsQuestionable" in cols
              else F.lit(None).cast("boolean")).alias("is_questionable"),
             _row_id(feed).alias("row_id"))
-    # WIDE: unpivot only the wanted signal columns
+    # WIDE: unpivot only the wanted signal columns, numeric and text ones in
+    # one pass: every column becomes struct<n double, t string> (one of the
+    # two set), so one scan and one Expand serve both kinds.
     sig = [(c, t) for _, c, t in feed.signal_columns() if streams is None or c in streams]
-    ids = [F.col(TS_COL).alias("ts"), _row_id(feed).alias("row_id")]
-    parts = []
     num = [c for c, t in sig if type_class(t) == "NUMERIC"]
     txt = [] if numeric_only else [c for c, t in sig if type_class(t) == "STRING"]
-    if num:
-        base = df.select(*ids, *[_q(c).cast("double").alias(c) for c in num])
-        u = base.unpivot(["ts", "row_id"], [_q(c) for c in num], "stream", "numeric_value").where(F.col("numeric_value").isNotNull())
-        parts.append(u.select("ts", "row_id", "stream", F.col("numeric_value").cast("string").alias("raw_value"),
-                              F.when(~F.isnan("numeric_value"), F.col("numeric_value")).alias("numeric_value")))
-    if txt:
-        base = df.select(*ids, *[_q(c).cast("string").alias(c) for c in txt])
-        u = base.unpivot(["ts", "row_id"], [_q(c) for c in txt], "stream", "raw_value").where(F.col("raw_value").isNotNull())
-        parts.append(u.select("ts", "row_id", "stream", "raw_value", N.numeric_of(F.col("raw_value")).alias("numeric_value")))
-    if not parts:
+    if not num and not txt:
         return None
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    return out.select(name.alias("feed"), "stream", "ts", "raw_value", "numeric_value",
-                      F.lit(None).cast("string").alias("uom"), F.lit(None).cast("boolean").alias("is_questionable"),
-                      "row_id")
+    none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
+    vals = ([F.struct(_q(c).cast("double").alias("n"), none_s.alias("t")).alias(c) for c in num]
+            + [F.struct(none_d.alias("n"), _q(c).cast("string").alias("t")).alias(c) for c in txt])
+    base = df.select(F.col(TS_COL).alias("ts"), _row_id(feed).alias("row_id"), *vals)
+    u = base.unpivot(["ts", "row_id"], [_q(c) for c in num + txt], "stream", "v")
+    n, t = F.col("v.n"), F.col("v.t")
+    u = u.where(n.isNotNull() | t.isNotNull())
+    return u.select(name.alias("feed"), "stream", "ts",
+                    F.coalesce(t, n.cast("string")).alias("raw_value"),
+                    F.when(t.isNull(), F.when(~F.isnan(n), n)).otherwise(N.numeric_of(t)).alias("numeric_value"),
+                    F.lit(None).cast("string").alias("uom"), F.lit(None).cast("boolean").alias("is_questionable"),
+                    "row_id")
 
 
 def unified_readings(h, days: int | None = None, as_of: dict | _dt.datetime | None = None,

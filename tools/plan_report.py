@@ -21,15 +21,14 @@ WRITES = {"export_csv", "result_store_replace", "append_log", "reset_keys", "sha
 
 
 def summarise(text: str) -> dict:
-    initial = text.split("== Initial Plan ==")[-1] if "== Initial Plan ==" in text else text
-    tree = initial.split("\n\n")[0]
-    shuffles = len(re.findall(r"\bExchange\b", tree)) - len(re.findall(r"BroadcastExchange", tree))
+    def nodes(name: str) -> int:
+        return len(re.findall(r"^\(\d+\) " + re.escape(name) + r"\s*$", text, re.M))
     return {
-        "scans": len(re.findall(r"Scan parquet", tree)),
-        "shuffles": shuffles,
-        "broadcasts": len(re.findall(r"BroadcastExchange", tree)),
-        "partial_limits": len(re.findall(r"WindowGroupLimit", tree)) // 2,
-        "windows": len(re.findall(r"\bWindow\b", tree)),
+        "scans": nodes("Scan parquet"),
+        "shuffles": nodes("Exchange"),
+        "broadcasts": nodes("BroadcastExchange"),
+        "partial_limits": nodes("WindowGroupLimit") // 2,
+        "windows": nodes("Window"),
         "ts_pushdown": "yes" if re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\((ts|o_orderdate)", text) else "",
     }
 
