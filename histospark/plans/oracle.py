@@ -21,7 +21,8 @@ oracle("string_readings", sql(select="""
 SELECT feed, asset, signal, ts, string_value, row_id FROM readings WHERE string_value IS NOT NULL"""))
 
 _ROLL = """
-  avg(numeric_value) OVER w AS rolling_avg,
+  CASE WHEN count(numeric_value) OVER w > 0
+       THEN list_sum(list(numeric_value) OVER w) / count(numeric_value) OVER w END AS rolling_avg,
   stddev_samp(numeric_value) OVER w AS rolling_std,
   count(*) OVER (PARTITION BY asset, signal) AS n_rows"""
 _WIN = "WINDOW w AS (PARTITION BY asset, signal ORDER BY ts, row_id ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"
@@ -43,7 +44,9 @@ oracle("detect_anomalies", sql(ANOM, select="SELECT * FROM anom"))
 
 oracle("rolling_stats", sql(select=f"""
 SELECT asset, signal, ts, row_id,
-       (floor((avg(numeric_value) OVER w) * 1e6 + 0.5) / 1e6) AS rolling_avg,
+       (floor((CASE WHEN count(numeric_value) OVER w > 0
+                    THEN list_sum(list(numeric_value) OVER w) / count(numeric_value) OVER w END) * 1e6 + 0.5) / 1e6)
+         AS rolling_avg,
        (floor((stddev_samp(numeric_value) OVER w) * 1e6 + 0.5) / 1e6) AS rolling_std
 FROM readings WHERE data_type IN ('FLOAT', 'NUMBER', 'DOUBLE', 'NUMERIC') {_WIN}"""))
 

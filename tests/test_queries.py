@@ -9,8 +9,7 @@ from tests.conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
-# Exact-half rounding ties of windowed averages differ between engines here.
-KNOWN_FLOAT_TIES = {"rolling_stats"}
+KNOWN_FLOAT_TIES: set[str] = set()  # queries allowed to differ in float ties (none)
 
 
 @pytest.fixture(scope="module")
