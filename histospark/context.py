@@ -20,7 +20,7 @@ from histospark.session import workspace_dir
 from histospark.sources.feeds import Feed, register_feeds
 
 # Joins against the metadata broadcast it only up to this many streams.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_ROWS = 250_000  # ~50 MB for the joined metadata columns
 
 _MEMO: dict[tuple, "Historian"] = {}
 

@@ -89,3 +89,16 @@ def test_single_signal_reads_one_column(spark, hist):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GE01.Active Power" not in plan  # only the resolved column is projected
     assert df.count() == 500
+
+
+def test_metadata_join_without_broadcast_is_identical(spark):
+    from histospark.context import Historian
+    from histospark.operators.anomaly import detect_anomalies
+    from histospark.sources.fixtures import fixture_feeds
+    from tools.check_oracle import table_hash
+    small = Historian.for_fixtures(spark, SF_SMALL)
+    big = Historian(spark, fixture_feeds(spark, SF_SMALL), broadcast_rows=0, sf_dir=SF_SMALL)
+    a, b = detect_anomalies(small, lookback=30), detect_anomalies(big, lookback=30)
+    plan = b._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan or "ResolvedHint" not in plan
+    assert table_hash(a.columns, [tuple(r) for r in a.collect()])[0] == table_hash(b.columns, [tuple(r) for r in b.collect()])[0]
