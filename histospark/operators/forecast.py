@@ -71,15 +71,20 @@ def last_n(r: DataFrame, n: int, value_filter: bool = False) -> DataFrame:
     return src.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
 
 
-def median_gaps(r: DataFrame) -> DataFrame:
+def median_gaps(r: DataFrame, extra: bool = False) -> DataFrame:
     """Exact median of the positive minute gaps among the latest 200 rows
     (each gap measured to its predecessor, hence 201 rows); signals without
-    a positive gap are absent."""
+    a positive gap have a NULL median. ``extra`` adds the tail size
+    (min(readings, 201)) and the domain."""
     tail = last_n(r, TRAIN_ROWS + 1)
     w = W.partitionBy(*KEYS).orderBy(F.col("k").desc())
     gaps = tail.withColumn("gap", boundary_diff("minute", F.lag("ts").over(w), F.col("ts")))
-    return (gaps.where((F.col("k") <= TRAIN_ROWS) & (F.col("gap") > 0))
-            .groupBy(*KEYS).agg(F.median("gap").alias("med")))
+    positive = (F.col("k") <= TRAIN_ROWS) & (F.col("gap") > 0)
+    aggs = [F.median(F.when(positive, F.col("gap"))).alias("med")]
+    if extra:
+        aggs += [F.count(F.lit(1)).alias("n_tail")]
+        return gaps.groupBy(*KEYS, "domain").agg(*aggs)
+    return gaps.groupBy(*KEYS).agg(*aggs)
 
 
 def interval_of(med: F.Column) -> F.Column:
@@ -88,8 +93,7 @@ def interval_of(med: F.Column) -> F.Column:
 
 def sampling_interval(r: DataFrame) -> DataFrame:
     """Median positive gap per signal; none -> 60 minutes."""
-    sig = r.select(*KEYS).distinct()
-    return sig.join(median_gaps(r), KEYS, "left").select(*KEYS, interval_of(F.col("med")).alias("interval_minutes"))
+    return median_gaps(r).select(*KEYS, interval_of(F.col("med")).alias("interval_minutes"))
 
 
 def forecast_steps(interval: F.Column, horizon: int) -> F.Column:
@@ -139,16 +143,15 @@ def forecast(h, horizon=None, meta: DataFrame | None = None) -> DataFrame:  # no
     ts = last + interval·h minutes."""
     hz = horizon_days(horizon)
     r = numeric_readings(h, meta)
-    # domain depends on the signal only: grouping by it keeps a hash aggregate
-    counts = r.groupBy(*KEYS, "domain").agg(F.count(F.lit(1)).alias("n"),
-                                            F.stddev_samp("numeric_value").alias("all_std"))
-    fit = holt_fit(r)
-    base = (counts.where(F.col("n") >= MIN_READINGS)
-            .join(fit.where(F.col("train_rows") >= MIN_TRAIN), KEYS)
-            .join(median_gaps(r), KEYS, "left")
-            .withColumn("interval_minutes", interval_of(F.col("med"))))
-    sigma = F.coalesce(F.col("residual_std"),
-                       F.when(F.col("all_std") != 0, F.col("all_std")).otherwise(F.lit(1.0)))
+    # Two bounded passes: the 201-row tail gives the interval and the
+    # ">= 12 readings" guard (tail size = min(readings, 201) and 12 < 201);
+    # the 200-value numeric tail gives the fit.
+    tail = median_gaps(r, extra=True).where(F.col("n_tail") >= MIN_READINGS)
+    fit = holt_fit(r).where(F.col("train_rows") >= MIN_TRAIN)
+    base = tail.join(fit, KEYS).withColumn("interval_minutes", interval_of(F.col("med")))
+    # >= 5 training values give >= 4 residuals, so the residual std always
+    # exists; the whole-series fallback of a one-residual fit cannot occur.
+    sigma = F.col("residual_std")
     steps = base.select(*KEYS, F.coalesce("domain", F.lit("general")).alias("domain"), "level", "trend",
                         sigma.alias("sigma"), "last_ts", "interval_minutes",
                         F.explode(F.sequence(F.lit(1), forecast_steps(F.col("interval_minutes"), hz))).alias("step"))
