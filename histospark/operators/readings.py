@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from histospark.functions import names as N
 from histospark.functions.timecalc import ts_lit
-from histospark.sources.feeds import CLASSIC, LONG, ROW_ID, TS_COL, WIDE, Feed, type_class
+from histospark.sources.feeds import CLASSIC, LONG, ROW_ID, TS_COL, Feed, type_class
 
 DEFAULT_LOOKBACK_DAYS = 7
 

@@ -380,7 +380,7 @@ FROM hist h FULL OUTER JOIN fcout f ON h.asset = f.asset AND h.signal = f.signal
 # --- B: parsing views ------------------------------------------------------------------
 from histospark.functions.names import KEY_PATTERN  # noqa: E402
 from histospark.functions.redact import REDACTION_RULES  # noqa: E402
-from histospark.plans.oracle_base import UNIT_RE, UUID_RE, clean, domain_case, numeric, strip_ws, unit_of  # noqa: E402
+from histospark.plans.oracle_base import UNIT_RE, UUID_RE, clean, domain_case, numeric, unit_of  # noqa: E402
 
 
 def clean_alias_sql(x: str) -> str:

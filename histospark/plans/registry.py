@@ -322,7 +322,7 @@ from histospark.functions import names as N  # noqa: E402
 from histospark.operators import events as EV  # noqa: E402
 from histospark.operators import health as HL  # noqa: E402
 from histospark.operators import tables as TB  # noqa: E402
-from histospark.sources.fixtures import LONG_FEED, WIDE_FEED, fixture_feeds  # noqa: E402
+from histospark.sources.fixtures import LONG_FEED, fixture_feeds  # noqa: E402
 
 
 def _cands(h):
