@@ -76,11 +76,13 @@ def domain_top_assets(meta: DataFrame, top: int = TOP_ASSETS) -> DataFrame:
     """Per domain the first ``top`` assets (by name) with their signal
     counts, and the domain's stream count."""
     g = meta.groupBy("domain", "asset").agg(F.count(F.lit(1)).alias("signals"))
-    w = W.partitionBy("domain")
-    ranked = (g.withColumn("asset_rank", F.row_number().over(w.orderBy("asset")).cast("bigint"))
-              .withColumn("domain_streams", F.sum("signals").over(w)))
-    return ranked.where(F.col("asset_rank") <= top).select(
-        "domain", "domain_streams", "asset", "signals", "asset_rank")
+    # rank filter alone -> partial (map-side) WindowGroupLimit per domain
+    ranked = g.withColumn("k", F.row_number().over(W.partitionBy("domain").orderBy("asset")))
+    top_assets = ranked.where(F.col("k") <= top)
+    # one row per domain; domains come from a fixed keyword list (bounded)
+    totals = meta.groupBy("domain").agg(F.count(F.lit(1)).alias("domain_streams"))
+    return top_assets.join(F.broadcast(totals), "domain").select(
+        "domain", "domain_streams", "asset", "signals", F.col("k").cast("bigint").alias("asset_rank"))
 
 
 def hourly_trend(h, hours: int = TREND_HOURS) -> DataFrame:
