@@ -224,11 +224,11 @@ FROM t GROUP BY asset, signal"""))
 
 _TOPA = "topa AS (SELECT * FROM anom ORDER BY ts DESC, asset, signal LIMIT 5000)"
 oracle("anomaly_kpis", sql(ANOM, _TOPA, select="""
-SELECT count(*) AS rows_analyzed, count_if(is_anomaly) AS anomalies,
+SELECT count(*) AS rows_analyzed, count(*) FILTER (WHERE is_anomaly) AS anomalies,
        count(DISTINCT (asset, signal)) AS signals_analyzed FROM topa"""))
 
 oracle("anomaly_counts", sql(ANOM, select="""
-SELECT asset, signal, count(*) AS scored_rows, count_if(is_anomaly) AS anomalies FROM anom GROUP BY asset, signal"""))
+SELECT asset, signal, count(*) AS scored_rows, count(*) FILTER (WHERE is_anomaly) AS anomalies FROM anom GROUP BY asset, signal"""))
 
 oracle("recent_anomalies", sql(ANOM, _TOPA, select="SELECT * FROM topa"))
 
@@ -260,7 +260,7 @@ bs AS (SELECT m.feed, m.stream, coalesce(per.n_num, 0) > 0 AS bundled
 SELECT feed,
        coalesce(array_to_string(list_sort(list(stream) FILTER (WHERE bundled)), ','), '') AS bundled_streams,
        coalesce(array_to_string(list_sort(list(stream) FILTER (WHERE NOT bundled)), ','), '') AS not_bundled_streams,
-       count_if(bundled) AS bundled_count, count_if(NOT bundled) AS not_bundled_count
+       count(*) FILTER (WHERE bundled) AS bundled_count, count(*) FILTER (WHERE NOT bundled) AS not_bundled_count
 FROM bs GROUP BY feed"""))
 
 _STEPS_SQL = """
@@ -276,8 +276,8 @@ stepst AS (SELECT g.user_id, g.step,
 oracle("step_status", "WITH " + _STEPS_SQL + "\nSELECT * FROM stepst")
 
 oracle("step_rollup", "WITH " + _STEPS_SQL + """,
-ro AS (SELECT user_id, count_if(status = 'COMPLETE') AS done_steps, count_if(status = 'ERROR') AS failed_steps,
-              count_if(status = 'RUNNING') AS running_steps FROM stepst GROUP BY user_id)
+ro AS (SELECT user_id, count(*) FILTER (WHERE status = 'COMPLETE') AS done_steps, count(*) FILTER (WHERE status = 'ERROR') AS failed_steps,
+              count(*) FILTER (WHERE status = 'RUNNING') AS running_steps FROM stepst GROUP BY user_id)
 SELECT user_id, done_steps, failed_steps,
        CASE WHEN failed_steps > 0 THEN 'ERROR' WHEN running_steps > 0 THEN 'RUNNING'
             WHEN done_steps = 4 THEN 'COMPLETE' WHEN done_steps > 0 THEN 'PARTIAL' ELSE 'NOT_STARTED' END AS status

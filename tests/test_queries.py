@@ -35,8 +35,9 @@ def test_every_query_has_oracle():
 @pytest.mark.parametrize("name", _names())
 def test_query_matches_oracle(spark, duck, name):
     import __spark_entry__ as E
-    from tools.check_oracle import table_hash
+    from tools.check_oracle import table_hash, type_diff
     sdf = E.queries()[name](spark, SF_SMALL)
+    assert type_diff(sdf, duck, E.oracle_sql()[name]) == {}
     srows = [tuple(r) for r in sdf.collect()]
     res = duck.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
