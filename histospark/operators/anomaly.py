@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from histospark.functions.names import round6
 
 from histospark.functions.timecalc import trunc_ntz
-from histospark.operators.readings import lookback_days, unified_readings
+from histospark.operators.readings import lookback_days, streams_of, unified_readings
 
 FRAME_ROWS = 24          # previous rows in the rolling frame
 MIN_READINGS = 12        # detection guard (rows inside the lookback)
@@ -147,7 +147,9 @@ def detect_anomalies(h, lookback=None, asset: str | None = None, signal: str | N
         meta = meta.where(F.col("asset") == asset)
     if signal is not None:
         meta = meta.where(F.col("signal") == signal)
-    r = unified_readings(h, days=days, as_of=as_of, meta=meta, numeric_only=signal is None)
+    targeted = streams_of(meta) if (asset is not None or signal is not None) else None
+    r = unified_readings(h, days=days, as_of=as_of, meta=meta, numeric_only=signal is None,
+                         streams_by_feed=targeted)
     rolled = rolling_stats(r.select("asset", "signal", "domain", "ts", "row_id", "numeric_value", "n_readings"),
                            ["asset", "signal"], frame=frame, chunk_rows=chunk_rows, h=h)
     scored = score(rolled.where(F.col("n_rows") >= min_readings))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from histospark.functions.names import round6
 from histospark.functions.timecalc import add_minutes, boundary_diff
 from histospark.operators.anomaly import MIN_READINGS, NUMERIC_TYPES, signal_window
-from histospark.operators.readings import unified_readings
+from histospark.operators.readings import streams_of, unified_readings
 
 # Fixed model parameters (must equal the reference's).
 ALPHA, BETA, PHI = 0.3, 0.1, 0.98
@@ -38,7 +38,8 @@ def horizon_days(n) -> int:
 def numeric_readings(h, meta: DataFrame | None = None) -> DataFrame:
     """All-history readings of numeric signals (non-null raw values)."""
     m = meta if meta is not None else h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES))
-    return unified_readings(h, meta=m, numeric_only=True).select(
+    targeted = streams_of(meta) if meta is not None else None  # read only the chosen streams
+    return unified_readings(h, meta=m, numeric_only=True, streams_by_feed=targeted).select(
         "asset", "signal", "domain", "ts", "row_id", "numeric_value", "n_readings")
 
 

@@ -146,6 +146,22 @@ def unified_readings(h, days: int | None = None, as_of: dict | _dt.datetime | No
         "is_questionable", "row_id", "data_type", "n_readings")
 
 
+RESOLVE_LIMIT = 10_000  # streams resolved on the driver for targeted reads
+
+
+def streams_of(meta: DataFrame, limit: int = RESOLVE_LIMIT) -> dict[str, list[str]] | None:
+    """{feed: [stream, ...]} of a filtered metadata frame, so that only those
+    Field values / wide columns are read; None when more than ``limit``
+    streams match (then the feeds are read whole and joined)."""
+    rows = meta.select("feed", "stream").limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        out.setdefault(r["feed"], []).append(r["stream"])
+    return out
+
+
 def resolve_signal(h, asset: str, signal: str) -> DataFrame:
     """Metadata row(s) of one (asset, signal); at most one after dedupe."""
     return h.metadata.where((F.col("asset") == asset) & (F.col("signal") == signal))
@@ -155,12 +171,8 @@ def signal_readings(h, asset: str, signal: str, limit: int | None = 500) -> Data
     """One signal, newest first, ``limit`` rows (None = all). The signal
     is resolved in the metadata first (one tiny collect of feed and stream
     names) so only that feed, that Field value or that one column is read."""
-    hits = resolve_signal(h, asset, signal).select("feed", "stream").collect()
-    by_feed: dict[str, list[str]] = {}
-    for r in hits:
-        by_feed.setdefault(r["feed"], []).append(r["stream"])
-    r = unified_readings(h, streams_by_feed=by_feed,
-                         meta=resolve_signal(h, asset, signal))
+    meta = resolve_signal(h, asset, signal)
+    r = unified_readings(h, streams_by_feed=streams_of(meta), meta=meta)
     out = r.select("asset", "signal", "ts", "numeric_value", "row_id")
     if limit is not None:
         out = out.orderBy(F.col("ts").desc(), F.col("row_id").desc()).limit(limit)

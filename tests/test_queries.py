@@ -117,3 +117,31 @@ def test_hot_signal_route_is_identical(spark, hist):
     b = [tuple(r) for r in routed.collect()]
     assert len(a) == len(b) > 1000
     assert table_hash(plain.columns, a)[0] == table_hash(routed.columns, b)[0]
+
+
+@pytest.mark.parametrize("asset,signal", [("GE01", "Expected Power"),
+                                          ("Rotating Machinery - PS3", "Flow Rate Value"),
+                                          ("process_flow_single", "VALUE")])
+def test_single_signal_detection_is_targeted(spark, hist, asset, signal):
+    from pyspark.sql import functions as F
+
+    from histospark.operators.anomaly import detect_anomalies
+    from tools.check_oracle import table_hash
+    one = detect_anomalies(hist, lookback=30, asset=asset, signal=signal)
+    ref = detect_anomalies(hist, lookback=30).where((F.col("asset") == asset) & (F.col("signal") == signal))
+    a, b = [tuple(r) for r in one.collect()], [tuple(r) for r in ref.collect()]
+    assert len(a) == len(b) > 0
+    assert table_hash(one.columns, a)[0] == table_hash(ref.columns, b)[0]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    if asset == "GE01":
+        assert "Revenue - Monthly" not in plan and "GE02_STATE" not in plan
+
+
+def test_auto_forecast_reads_one_signal(spark, hist):
+    from histospark.operators.forecast import auto_forecast, forecast
+    a = auto_forecast(hist, horizon=7)
+    picked = {(r["asset"], r["signal"]) for r in a.select("asset", "signal").distinct().collect()}
+    assert len(picked) == 1
+    allf = forecast(hist, horizon=7)
+    (asset, signal), = picked
+    assert a.count() == allf.where((allf.asset == asset) & (allf.signal == signal)).count()
