@@ -182,10 +182,15 @@ def anomaly_candidates(h, lookback=None, asset: str | None = None, scan_first: i
     meta = h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES))
     if asset is not None:
         meta = meta.where(F.col("asset") == asset)
+    targeted = None
     if scan_first is not None:
-        # top-k: every partition keeps its first k, one task merges k x partitions
+        # top-k: every partition keeps its first k, one task merges k x partitions;
+        # then only those streams are read
         meta = meta.orderBy("asset", "signal").limit(scan_first)
-    r = unified_readings(h, days=days, as_of=as_of, meta=meta, numeric_only=True)
+        targeted = streams_of(meta)
+    elif asset is not None:
+        targeted = streams_of(meta)
+    r = unified_readings(h, days=days, as_of=as_of, meta=meta, numeric_only=True, streams_by_feed=targeted)
     stats = r.groupBy("asset", "signal").agg(
         F.count(F.lit(1)).alias("readings"),
         F.stddev_samp("numeric_value").alias("_std"),
