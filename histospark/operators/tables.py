@@ -39,19 +39,16 @@ def as_results(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-WRITE_SALT = 16  # writer tasks one partition value may be spread over
-
-
 def write_partitions(df: DataFrame, path: str, keys: list[str], mode: str = "overwrite") -> None:
     """Write ``df`` partitioned by ``keys``; in overwrite mode only the
-    partitions present in ``df`` are replaced (dynamic overwrite). Rows are
-    clustered by the keys plus a deterministic hash salt: a partition value
-    is written by at most ``WRITE_SALT`` tasks (few files), and a hot value
-    (one signal with a third of the rows) is still split over several tasks.
-    The salt depends on row content only, so a retried task rewrites exactly
-    the same rows."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(WRITE_SALT))
-    (df.repartition(*[F.col(k) for k in keys], salt).write.mode(mode)
+    partitions present in ``df`` are replaced (dynamic overwrite).
+
+    The ``rebalance`` hint hash-partitions rows by the keys and lets AQE
+    coalesce small partitions (few files) and split skewed ones by size (a
+    hot signal, or the single consumer of a share-back, is written by several
+    tasks). Partitioning depends on row content only, so a retried task
+    rewrites exactly the same rows."""
+    (df.hint("rebalance", *keys).write.mode(mode)
      .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
@@ -61,6 +58,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path).select(*[f.name for f in schema.fields])
 
 
+def store_results(spark: SparkSession, results: DataFrame, path: str | None = None) -> DataFrame:
+    """Write anomaly/forecast rows into a (new) result store and return the
+    stored table: later copies and deletes read this table instead of
+    recomputing the models."""
+    path = path or workspace_dir(spark, "results")
+    write_partitions(as_results(results), path, RESULT_KEYS, "overwrite")
+    return read_table(spark, path, RESULT_SCHEMA)
+
+
 def result_store_replace(spark: SparkSession, initial: DataFrame, replacement: DataFrame,
                          path: str | None = None) -> DataFrame:
     """Store ``initial`` results, then replace the rows of every

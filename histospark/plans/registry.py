@@ -494,7 +494,8 @@ def q_append_log(h):
 
 @query("reset_keys")
 def q_reset_keys(h):
-    return TB.reset_keys(h.spark, _results(h), F.col("asset") != REPLACED_ASSET, TB.RESULT_SCHEMA, TB.RESULT_KEYS)
+    stored = TB.store_results(h.spark, _results(h))
+    return TB.reset_keys(h.spark, stored, F.col("asset") != REPLACED_ASSET, TB.RESULT_SCHEMA, TB.RESULT_KEYS)
 
 
 CONSUMER = "CONSUMER_ACCOUNT_1"
@@ -502,12 +503,14 @@ CONSUMER = "CONSUMER_ACCOUNT_1"
 
 @query("share_back")
 def q_share_back(h):
-    return TB.share_back(h.spark, _results(h), CONSUMER, runs=2)
+    stored = TB.store_results(h.spark, _results(h))
+    return TB.share_back(h.spark, stored, CONSUMER, runs=2)  # a second run leaves the same rows
 
 
 @query("share_back_counts")
 def q_share_back_counts(h):
-    return TB.share_back_counts(TB.share_back(h.spark, _results(h), CONSUMER, runs=1))
+    stored = TB.store_results(h.spark, _results(h))
+    return TB.share_back_counts(TB.share_back(h.spark, stored, CONSUMER, runs=1))
 
 
 # --- C1, C2, C4, L ------------------------------------------------------------------
