@@ -71,3 +71,20 @@ def test_duplicate_aliases_are_numbered(spark, edge_hist):
     assert al["X (kW)"] == "X"
     assert len(set(al.values())) == len(al)                        # all unique within the table
     assert al["GE02.X"] != "X"
+
+
+def test_semantic_select_long_table_filters_field(spark, hist):
+    from histospark.operators.readings import unified_readings
+    model = M.semantic_model(spark, hist.feeds, hist.metadata)
+    field = "Rotating Machinery - PS0.Flow Rate Value"
+    got = M.semantic_select(hist, model, "ROTATINGMACHINE_FIXED_26Q1", ["SENSOR_VALUE"], ["NAME"], field=field).collect()
+    assert [r["NAME"] for r in got] == ["PS0"]
+    exp = (unified_readings(hist).where(F.col("stream") == field)
+           .agg(F.avg("numeric_value").alias("a")).first()["a"])
+    assert got[0]["SENSOR_VALUE"] == pytest.approx(exp, abs=1e-6)
+
+
+def test_metadata_filter_by_asset(hist):
+    from histospark.operators.catalog import metadata_filter
+    rows = metadata_filter(hist.metadata, "All", "GE01").collect()
+    assert {r["asset"] for r in rows} == {"GE01"} and len(rows) == 3
