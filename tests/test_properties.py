@@ -58,3 +58,26 @@ def test_replace_twice_is_idempotent(spark, hist):
     n1 = once.count()
     twice = TB.result_store_replace(spark, initial, repl, path)
     assert twice.count() == n1
+
+
+def test_incremental_ingest_picks_up_only_new_files(spark, hist):
+    from pyspark.sql import functions as F
+
+    from histospark.operators.readings import unified_readings
+    from histospark.session import workspace_dir
+    from histospark.sources.fixtures import LONG_FEED, long_feed_of, table
+    from histospark.streaming.ingest import incremental_ingest, read_ingested
+    from tests.conftest import SF_SMALL
+    events = table(spark, SF_SMALL, "events")
+    src = workspace_dir(spark, "ingest-src")
+    cut = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    events.where(F.col("event_id") <= cut).write.parquet(src)
+    path, ckpt = incremental_ingest(hist, src, long_feed_of, LONG_FEED)
+    first = read_ingested(spark, path).count()
+    # new files arrive in the same folder; the same checkpoint adds only them
+    events.where(F.col("event_id") > cut).write.mode("append").parquet(src)
+    incremental_ingest(hist, src, long_feed_of, LONG_FEED, table_path=path, checkpoint=ckpt)
+    incremental_ingest(hist, src, long_feed_of, LONG_FEED, table_path=path, checkpoint=ckpt)  # nothing new
+    total = read_ingested(spark, path).count()
+    expected = unified_readings(hist).where(F.col("feed") == LONG_FEED).count()
+    assert 0 < first < total == expected
