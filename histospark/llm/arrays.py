@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

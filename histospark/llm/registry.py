@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from histospark.llm import exact_dedup, mixing
+from histospark.llm import exact_dedup, mixing, pii, quality_rules
 
-_MODULES = (mixing, exact_dedup)
+_MODULES = (mixing, pii, exact_dedup, quality_rules)
 
 
 def queries() -> dict:
