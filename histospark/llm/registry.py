@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from histospark.llm import exact_dedup, mixing, ngram_join, pii, quality_rules
+from histospark.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality_rules
 
-_MODULES = (mixing, pii, exact_dedup, ngram_join, quality_rules)
+_MODULES = (mixing, bpe, pii, exact_dedup, ngram_join, quality_rules)
 
 
 def queries() -> dict:
