@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from histospark.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality_rules
+from histospark.llm import (bpe, exact_dedup, language_id, lm_scoring, mixing, ngram_join, pii, quality_classifier,
+                            quality_rules, token_rollup)
 
-_MODULES = (mixing, bpe, pii, exact_dedup, ngram_join, quality_rules)
+_MODULES = (mixing, language_id, lm_scoring, bpe, pii, quality_classifier, exact_dedup, ngram_join, token_rollup,
+            quality_rules)
 
 
 def queries() -> dict:
