@@ -11,8 +11,8 @@ a set's number of subsets exceeds the expected length of the inverted lists it
 would scan, estimated from list lengths seen in the data. Keys with two or
 more sets are inverted lists.
 
-Lists are scanned with a lossless filter: 512-bit parity sketches, whose
-distance never exceeds the symmetric difference. Groups of near copies would
+Lists are scanned with a lossless filter: parity sketches (two bits or more a
+shingle, 512 at least), whose distance never exceeds the symmetric difference. Groups of near copies would
 give all pairs, so lists are scanned twice: first each list is covered by
 stars (a hub and every set that passes the filter with it), candidates are
 counted exactly, and components formed; then only pairs of different
@@ -45,6 +45,7 @@ U = np.uint64
 FREQUENT, COPIES = 1 << 16, 1 << 12
 #: Shingles counted, or postings gathered, in a task before they are sent.
 FLUSH = 1 << 20
+#: Least bits of a sketch; sketches double with the size.
 SKETCH_BITS = 512
 #: Postings per bucket (about), least number of buckets, and most Bloom filter bits.
 BUCKET, BUCKETS, BLOOM_BITS = 1 << 17, 256, 1 << 29
@@ -53,9 +54,11 @@ NO_ID = 1 << 62
 
 
 class Rule:
-    """Link when den * |both| >= num * |either|."""
+    """Link when den * |both| >= num * |either|, above one half."""
 
     def __init__(self, num: int, den: int):
+        if not den < 2 * num <= 2 * den:
+            raise ValueError("the similarity must be over 0.5 and at most 1")
         self.num, self.den = num, den
         self.least = -(-num // (den - num)) if num < den else 1 << 60  # sizes below link with equal sets only
 
@@ -71,6 +74,39 @@ def _sets(batches, n: int):
         yield b.column(0).to_pylist(), A.shingle_sets(b.column(1), n, lower=True)
 
 
+def sketch_class(sizes: np.ndarray) -> np.ndarray:
+    """How often SKETCH_BITS is doubled to have two bits a shingle."""
+    return np.ceil(np.log2(np.maximum(2 * sizes / SKETCH_BITS, 1))).astype(np.int64)
+
+
+class Sketches:
+    """Sketches of many sets, by class, and folded to the class below."""
+
+    def __init__(self, packed: list[bytes]):
+        length = np.array([len(x) for x in packed])
+        self.cls = np.log2(length * 8 // SKETCH_BITS).astype(np.int64)
+        self.place = np.zeros(len(packed), np.int64)
+        self.own, self.folded = {}, {}
+        for k in np.unique(self.cls):
+            at = np.flatnonzero(self.cls == k)
+            m = np.frombuffer(b"".join(packed[i] for i in at), U).reshape(len(at), -1)
+            self.place[at], self.own[k] = np.arange(len(at)), m
+            self.folded[k] = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Distance of the sketches of x and y, sets of which x is the smaller;
+        0, which filters nothing, where the classes are too far apart."""
+        out = np.zeros(len(x), np.int64)
+        step = self.cls[y] - self.cls[x]
+        for k in np.unique(self.cls[x]):
+            for d, other in ((0, self.own), (1, self.folded)):
+                at = np.flatnonzero((self.cls[x] == k) & (step == d))
+                if len(at):
+                    a, b = self.own[k][self.place[x[at]]], other[k + d][self.place[y[at]]]
+                    out[at] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+        return out
+
+
 def profile(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
     """One pass over the texts: kind 0, a row per document (id, size, sig,
     sketch); kind 1, shingles frequent in a task and their counts; kind 2, sums
@@ -95,8 +131,11 @@ def profile(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
             sizes = np.array([len(s) for s in sets])
             doc = np.repeat(np.arange(len(sets)), sizes)
             every = np.concatenate(sets) if len(sets) else np.zeros(0, U)
-            bits = np.bincount(doc * SKETCH_BITS + (every & U(SKETCH_BITS - 1)).astype(np.int64), minlength=len(sets) * SKETCH_BITS)
-            sketch = np.packbits((bits & 1).astype(np.uint8).reshape(len(sets), SKETCH_BITS), axis=1)
+            bits = SKETCH_BITS << sketch_class(sizes)
+            base = np.cumsum(bits) - bits
+            at = base[doc] + (every & (bits[doc] - 1).astype(U)).astype(np.int64)
+            packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8))
+            sketch = [packed[x : x + y] for x, y in zip(base // 8, bits // 8, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(sets), np.int32)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary())],
@@ -221,23 +260,21 @@ def candidates(rows: DataFrame, rule: Rule, n_buckets: int) -> DataFrame:
     ``label``, all pairs of different labels."""
     stars = "label" not in rows.columns
 
-    def passing(size, sketch, i, others):
-        a, b = size[i], size[others]
-        apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1)
-        return others[apart <= a + b - 2 * rule.overlap(a, b)]
+    def passing(size, sketches, x, y):
+        return sketches.apart(x, y) <= size[x] + size[y] - 2 * rule.overlap(size[x], size[y])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["list", "size", "id"], ignore_index=True)
         ids, size = pdf["id"].to_numpy(), pdf["size"].to_numpy()
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), U).reshape(len(pdf), SKETCH_BITS // 64)
+        sketches = Sketches(pdf["sketch"].tolist())
         label = None if stars else pdf["label"].to_numpy()
         name = pdf["list"].to_numpy()
         cut = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
         end = np.concatenate((cut[1:], [len(name)]))
         a, b = [], []
         two = cut[end - cut == 2] if stars else cut[:0]  # the common case at once
-        x, y = size[two], size[two + 1]
-        ok = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]).sum(1) <= x + y - 2 * rule.overlap(x, y)]
+        two = two[rule.den * size[two] >= rule.num * size[two + 1]]
+        ok = two[passing(size, sketches, two, two + 1)]
         a.append(ids[ok])
         b.append(ids[ok + 1])
         for lo, hi in zip(cut, end, strict=True):
@@ -248,7 +285,7 @@ def candidates(rows: DataFrame, rule: Rule, n_buckets: int) -> DataFrame:
                 hub, left = left[0], left[1:]
                 near = left if stars else left[label[left] != label[hub]]
                 near = near[: np.searchsorted(size[near], size[hub] * rule.den // rule.num, "right")]
-                near = passing(size, sketch, hub, near)
+                near = near[passing(size, sketches, np.full(len(near), hub), near)]
                 a.append(np.full(len(near), ids[hub]))
                 b.append(ids[near])
                 if stars:
