@@ -142,7 +142,8 @@ def joined(spans: Column) -> Column:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["no"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    number = lambda no: F.size(F.filter("base", lambda s: s["no"] == no)).cast("long")
+    counts = [number(no).alias(f"n_{k}") for no, k in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
