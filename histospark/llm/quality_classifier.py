@@ -37,6 +37,8 @@ LABELLED, POOL, ROUNDS = 20_000, 5_000, 3
 #: Share of a pool that a view may label in a round, and how sure it must be.
 EXCHANGE, SURE = 0.2, 0.98
 WORD_BITS, META = 18, 4096
+#: L1 penalty times the number of labelled rows.
+PENALTY = 2.0
 #: Bounds of the bins of the content shares, and their number.
 EDGES = np.array([0.002, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95])
 SHARES = 9
@@ -87,7 +89,7 @@ class Linear:
         sums = np.concatenate(([0.0], np.cumsum(self.w[idx])))
         return self.b + sums[cut[1:]] - sums[cut[:-1]]
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 12, rate: float = 0.3, batch: int = 200):
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 12, rate: float = 1.0, batch: int = 200):
         self.w[:], self.b = 0.0, 0.0
         g2, gb = np.full(len(self.w), 1e-8), 1e-8
         order = np.random.default_rng(7)
@@ -130,7 +132,7 @@ class Model:
         held = np.arange(len(y)) % 5 == 0
         fit = np.flatnonzero(~held)
         sets = {0: ([content[i] for i in fit], [y[fit]], [np.ones(len(fit))]), 1: ([meta[i] for i in fit], [y[fit]], [np.ones(len(fit))])}
-        self.views = [Linear(CONTENT, 2e-4), Linear(META, 2e-4)]
+        self.views = [Linear(CONTENT, PENALTY / len(fit)), Linear(META, 5 * PENALTY / len(fit))]
         for r in range(len(pools) + 1):
             for v, (rows, ys, ws) in sets.items():
                 self.views[v].fit(rows, np.concatenate(ys), np.concatenate(ws))
