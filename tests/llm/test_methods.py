@@ -146,7 +146,7 @@ def test_estimated_votes_beat_the_majority():
     seen, counts = np.unique(code, return_counts=True)
     good = quality_rules.estimate(seen, counts.astype(float), 5)[np.searchsorted(seen, code)] >= 0.5
     majority = (votes == 2).sum(1) >= (votes == 0).sum(1)
-    assert (good == truth).mean() > max(0.9, (majority == truth).mean())
+    assert (good == truth).mean() > (majority == truth).mean() + 0.01
 
 
 def test_language_held_out(spark):
