@@ -20,7 +20,8 @@ from histospark.session import workspace_dir
 from histospark.sources.feeds import Feed, register_feeds
 
 # Joins against the metadata broadcast it only up to this many streams.
-DEFAULT_BROADCAST_ROWS = 250_000  # ~50 MB for the joined metadata columns
+DEFAULT_BROADCAST_ROWS = 250_000
+BROADCAST_BYTES = 64 << 20
 
 _MEMO: dict[tuple, "Historian"] = {}
 
@@ -32,10 +33,12 @@ class Historian:
         self.sf_dir = sf_dir
         self.feeds: list[Feed] = register_feeds(spark, sources)
         self.broadcast_rows = broadcast_rows
+        self._sources = dict(sources)
         self._meta: DataFrame | None = None
         self._meta_rows: int | None = None
         self._max_ts: dict[str, _dt.datetime | None] | None = None
         self._hot: dict[int, bool] = {}
+        self.readings_path: str | None = None
 
     # -- construction -----------------------------------------------------
     @classmethod
@@ -57,24 +60,55 @@ class Historian:
     def live_feeds(self) -> list[Feed]:
         return [f for f in self.feeds if f.reachable]
 
+    def refresh(self) -> "Historian":
+        """Open the sources again and forget what was derived from them:
+        new feeds, streams, columns and times are seen from the next call on."""
+        self.feeds = register_feeds(self.spark, self._sources)
+        self._meta = self._meta_rows = self._max_ts = self.readings_path = None
+        self._hot = {}
+        return self
+
+    # -- readings table -----------------------------------------------------
+    def materialise(self, path: str | None = None, unit: str = "day") -> str:
+        """Write the normalised readings of all feeds once, by feed and day
+        (``unit``: "month" or "year" folders for sparse feeds); from then on (until ``refresh``) every query reads that table instead
+        of the raw feeds, and lookbacks prune its folders."""
+        from histospark.operators.readings import all_feed_readings
+        path = path or workspace_dir(self.spark, "readings")
+        rows = all_feed_readings(self).withColumn("day", F.to_date("ts") if unit == "day" else F.trunc(F.to_date("ts"), unit))
+        rows.hint("rebalance", "feed", "day").write.mode("overwrite").partitionBy("feed", "day").parquet(path)
+        return self.use_readings(path)
+
+    def use_readings(self, path: str) -> str:
+        """Let queries read an existing readings table (one of ``materialise``
+        or of the incremental ingest)."""
+        self.readings_path = path
+        return path
+
     # -- metadata ---------------------------------------------------------
     @property
-    def metadata(self) -> DataFrame:
-        """Deduped stream metadata, written once to the shared folder."""
+    def streams(self) -> DataFrame:
+        """Every stream (see ``stream_map``), written once to the shared folder."""
         if self._meta is None:
             # One job writes the table; reading it back cuts the lineage (a
             # lost executor never recomputes discovery) and the count comes
             # from the small written table.
             path = workspace_dir(self.spark, "stream-metadata")
-            M.stream_metadata(self.spark, self.feeds).write.parquet(path)
+            M.stream_map(self.spark, self.feeds).write.parquet(path)
             meta = self.spark.read.parquet(path)
-            self._meta_rows = meta.count()
+            size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("feed", "stream", "asset", "signal", "domain", "unit")), F.lit(64))
+            self._meta_rows, self._meta_bytes = meta.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
             self._meta = meta
         return self._meta
 
+    @property
+    def metadata(self) -> DataFrame:
+        """The catalog: the first stream of every (asset, signal)."""
+        return self.streams.where("is_primary").drop("is_primary")
+
     @property
     def metadata_rows(self) -> int:
-        _ = self.metadata
+        _ = self.streams
         return int(self._meta_rows or 0)
 
     def has_hot_streams(self, rows: int) -> bool:
@@ -82,23 +116,29 @@ class Historian:
         the small metadata table; one boolean reaches the driver)."""
         key = int(rows)
         if key not in self._hot:
-            self._hot[key] = self.metadata.where(F.col("n_readings") > key).limit(1).count() > 0
+            self._hot[key] = self.streams.where(F.col("n_readings") > key).limit(1).count() > 0
         return self._hot[key]
 
     def small(self, df: DataFrame, rows: int) -> DataFrame:
-        """Broadcast hint only when ``rows`` (a measured count) is within the
-        bound; otherwise the planner shuffles (sort-merge join)."""
-        return F.broadcast(df) if rows <= self.broadcast_rows else df
+        """Broadcast hint only when the measured rows and bytes of the stream
+        table are within the bounds; otherwise the planner shuffles."""
+        _ = self.streams
+        fits = rows <= self.broadcast_rows and self._meta_bytes <= BROADCAST_BYTES
+        return F.broadcast(df) if fits else df
 
     def meta_side(self, *cols: str) -> DataFrame:
-        m = self.metadata.select(*cols) if cols else self.metadata
+        m = self.streams.select(*cols) if cols else self.streams
         return self.small(m, self.metadata_rows)
 
     # -- as-of ------------------------------------------------------------
+    def as_of(self) -> _dt.datetime | None:
+        """One instant for the fleet, the latest Timestamp of any feed: the
+        default end of lookback windows, so that a silent feed ages out."""
+        return max((t for t in self.feed_max_ts().values() if t is not None), default=None)
+
     def feed_max_ts(self) -> dict[str, _dt.datetime | None]:
-        """Latest Timestamp per feed (one small job; rows = number of feeds).
-        Used as the default ``as_of`` so lookback filters are literals that
-        reach the parquet scan."""
+        """Latest Timestamp per feed (one small job; rows = number of feeds),
+        a literal, so that lookback filters reach the parquet scan."""
         if self._max_ts is None:
             parts = [f.df.select(F.lit(f.name).alias("feed"), F.max("Timestamp").alias("max_ts"))
                      for f in self.live_feeds]

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 # Historian tag suffix: ".<uuid>" in lower-case hex 8-4-4-4-12.
 UUID_SUFFIX = r"\.[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 # Trailing unit annotation "( ... )", empty parentheses included.
-UNIT_SUFFIX = r"\s*\([^)]*\)\s*$"
+UNIT_SUFFIX = r"(?U)\s*\([^)]*\)\s*$"
 # Unit text inside the trailing parentheses.
-UNIT_CAPTURE = r"\(([^)]+)\)\s*$"
+UNIT_CAPTURE = r"(?U)\(([^)]+)\)\s*$"
 # Domain keyword groups, checked in this order; first group with a keyword
 # contained in the lower-cased asset or signal wins; otherwise "general".
 DOMAIN_KEYWORDS: list[tuple[str, list[str]]] = [
@@ -39,8 +39,9 @@ KEY_MAX_LEN = 100
 
 
 def py_strip(c: Column) -> Column:
-    """Strip leading/trailing whitespace of any kind (not only spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace of any kind, Unicode blanks such as
+    the no-break space included."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def strip_uuid(c: Column) -> Column:
@@ -120,10 +121,14 @@ def domain_of(asset: Column, signal: Column, groups=None) -> Column:
     return expr.otherwise(F.lit(DEFAULT_DOMAIN)) if expr is not None else F.lit(DEFAULT_DOMAIN)
 
 
+def finite(v: Column) -> Column:
+    """NaN and infinities are no readings: NULL."""
+    return F.when(F.abs(v) < F.lit(float("inf")), v)
+
+
 def numeric_of(raw: Column) -> Column:
-    """Text -> double with failure -> NULL; NaN is treated as missing."""
-    v = raw.try_cast("double")
-    return F.when(~F.isnan(v), v)
+    """Text -> double; failure, NaN and infinities -> NULL."""
+    return finite(raw.try_cast("double"))
 
 
 def validate_key_reason(c: Column) -> Column:
@@ -147,6 +152,8 @@ def normalise_code(raw: Column, hint: Column | None = None) -> Column:
 
 def round6(c: Column | str) -> Column:
     """Round half up to 6 decimals with plain IEEE steps (x*1e6+0.5, floor,
-    /1e6) so that any engine doing the same steps gets the same double."""
+    /1e6) so that any engine doing the same steps gets the same double. Values
+    beyond 9e12, whose scaled floor has no BIGINT, and non-finite ones stay as
+    they are. Only for comparing results; the operators return full doubles."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    return F.when(F.abs(c) < F.lit(9e12), F.floor(c * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).otherwise(c)

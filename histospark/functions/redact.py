@@ -11,11 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed patterns and tags, applied in this order (each on the output of the
-# previous one). Written with ASCII classes only, so Java and RE2 agree.
+# previous one). Numbers are matched whole: never a part of a longer number.
+# Phones: international with +, or ten digits with or without a country
+# prefix, brackets and separators.
 REDACTION_RULES: list[tuple[str, str, str]] = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
-    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "[SSN]"),
-    ("phone", r"\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}", "[PHONE]"),
+    ("ssn", r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", "[SSN]"),
+    ("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?(?:\(?[0-9]{1,4}\)?[ .-]?){2,4}[0-9]{2,4}"
+              r"|(?:[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4})(?![0-9])", "[PHONE]"),
 ]
 # A literal every match of the rule contains: texts without it skip the
 # regex (same result, and the e-mail pattern backtracks at every position).

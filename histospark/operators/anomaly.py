@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from histospark.functions.names import round6
 
 from histospark.functions.timecalc import trunc_ntz
 from histospark.operators.readings import lookback_days, streams_of, unified_readings
+from histospark.session import workspace_dir
 
 FRAME_ROWS = 24          # previous rows in the rolling frame
 MIN_READINGS = 12        # detection guard (rows inside the lookback)
@@ -40,10 +40,12 @@ NUMERIC_TYPES = ["FLOAT", "NUMBER", "DOUBLE", "NUMERIC"]
 def numbered(df: DataFrame, keys: list[str], bucket_unit: str = "minute") -> DataFrame:
     """Adds ``rn`` (1-based, ordered by ts, row_id) and ``n_rows`` per key
     without sorting a whole key in one task (steps 1–3 above)."""
-    # One exchange on (key, bucket) feeds the counts, the offset join and
-    # the bucket-local row numbers (the plan reuses it; the source is read
-    # once). A hot key is spread over its buckets.
-    b = df.withColumn("_tb", trunc_ntz(bucket_unit, F.col("ts"))).repartition(*keys, "_tb")
+    # The rows are written once to the shared folder: counts and rows come
+    # from that table, so the source is read once. A hot key is spread over
+    # its buckets.
+    path = workspace_dir(df.sparkSession, "hot-rows")
+    df.withColumn("_tb", trunc_ntz(bucket_unit, F.col("ts"))).write.parquet(path)
+    b = df.sparkSession.read.parquet(path)
     counts = b.groupBy(*keys, "_tb").agg(F.count(F.lit(1)).alias("_n"))
     wk = W.partitionBy(*keys)
     offs = counts.select(
@@ -129,10 +131,6 @@ RESULT_COLUMNS = ["asset", "signal", "domain", "ts", "numeric_value", "is_anomal
                   "forecast_value", "lower_bound", "upper_bound", "model_type"]
 
 
-def _round6(c: str):
-    return round6(F.col(c)).alias(c)
-
-
 def detect_anomalies(h, lookback=None, asset: str | None = None, signal: str | None = None,
                      as_of=None, min_readings: int = MIN_READINGS, frame: int = FRAME_ROWS,
                      chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -142,7 +140,7 @@ def detect_anomalies(h, lookback=None, asset: str | None = None, signal: str | N
     counts towards the guard and stays, unscored). Signals with fewer than
     ``min_readings`` rows in the window are skipped."""
     days = lookback_days(lookback)
-    meta = h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES)) if signal is None else h.metadata
+    meta = h.streams.where(F.col("data_type").isin(NUMERIC_TYPES)) if signal is None else h.streams
     if asset is not None:
         meta = meta.where(F.col("asset") == asset)
     if signal is not None:
@@ -155,8 +153,8 @@ def detect_anomalies(h, lookback=None, asset: str | None = None, signal: str | N
     scored = score(rolled.where(F.col("n_rows") >= min_readings))
     out = scored.select(
         "asset", "signal", "domain", "ts",
-        _round6("numeric_value"), "is_anomaly", _round6("anomaly_score"),
-        round6("rolling_avg").alias("forecast_value"), _round6("lower_bound"), _round6("upper_bound"),
+        "numeric_value", "is_anomaly", "anomaly_score",
+        F.col("rolling_avg").alias("forecast_value"), "lower_bound", "upper_bound",
         F.lit("ANOMALY").alias("model_type"))
     return out
 
@@ -165,28 +163,29 @@ def signal_window_stats(h, lookback=None, as_of=None) -> DataFrame:
     """Per numeric signal inside the lookback: readings, sample stddev and
     mean of the numeric values (NULL -> 0), one grouped aggregation."""
     days = lookback_days(lookback)
-    meta = h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES))
+    meta = h.streams.where(F.col("data_type").isin(NUMERIC_TYPES))
     r = unified_readings(h, days=days, as_of=as_of, meta=meta, numeric_only=True)
     return r.groupBy("asset", "signal").agg(
         F.count(F.lit(1)).alias("readings"),
-        round6(F.coalesce(F.stddev_samp("numeric_value"), F.lit(0.0))).alias("stddev"),
-        round6(F.coalesce(F.avg("numeric_value"), F.lit(0.0))).alias("avg_value"))
+        F.coalesce(F.stddev_samp("numeric_value"), F.lit(0.0)).alias("stddev"),
+        F.coalesce(F.avg("numeric_value"), F.lit(0.0)).alias("avg_value"))
 
 
-def anomaly_candidates(h, lookback=None, asset: str | None = None, scan_first: int | None = 20,
-                       keep_first: int | None = 10, as_of=None) -> DataFrame:
-    """numeric signals in (asset, signal) order; the first ``scan_first``
-    are examined, those with >= 50 readings and std > 0 kept, the first
-    ``keep_first`` of them returned by std descending. ``None`` lifts a cap."""
+def anomaly_candidates(h, lookback=None, asset: str | None = None, scan_first: int | None = None,
+                       keep_first: int | None = None, as_of=None) -> DataFrame:
+    """numeric signals with >= 50 readings and std > 0 in the lookback, by
+    std descending. ``scan_first`` examines only the first signals in (asset,
+    signal) order, ``keep_first`` keeps the first of those found."""
     days = lookback_days(lookback)
-    meta = h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES))
+    meta = h.streams.where(F.col("data_type").isin(NUMERIC_TYPES))
     if asset is not None:
         meta = meta.where(F.col("asset") == asset)
     targeted = None
     if scan_first is not None:
         # top-k: every partition keeps its first k, one task merges k x partitions;
         # then only those streams are read
-        meta = meta.orderBy("asset", "signal").limit(scan_first)
+        first = meta.select("asset", "signal").distinct().orderBy("asset", "signal").limit(scan_first)
+        meta = meta.join(first, ["asset", "signal"])
         targeted = streams_of(meta)
     elif asset is not None:
         targeted = streams_of(meta)
@@ -198,5 +197,5 @@ def anomaly_candidates(h, lookback=None, asset: str | None = None, scan_first: i
     ok = stats.where((F.col("readings") >= CANDIDATE_MIN_ROWS) & (F.coalesce(F.col("_std"), F.lit(0.0)) > 0))
     if keep_first is not None:
         ok = ok.orderBy("asset", "signal").limit(keep_first)
-    return ok.select("asset", "signal", "readings", round6("_std").alias("stddev"),
-                     round6(F.coalesce("_avg", F.lit(0.0))).alias("avg_value"))
+    return ok.select("asset", "signal", "readings", F.col("_std").alias("stddev"),
+                     F.coalesce("_avg", F.lit(0.0)).alias("avg_value")).orderBy(F.desc("stddev"), "asset", "signal")

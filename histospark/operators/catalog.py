@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histospark.functions.names import round6
 from histospark.operators.anomaly import NUMERIC_TYPES
 from histospark.operators.metadata import PUBLIC_COLUMNS, stream_candidates
 from histospark.operators.readings import unified_readings
@@ -41,10 +40,12 @@ def numeric_signals(meta: DataFrame) -> DataFrame:
 def entitled_feeds(h, accounts: DataFrame, pattern_col: str = "view_pattern") -> DataFrame:
     """Which feeds each account may see (feed name LIKE its pattern).
 
-    The feed list has one row per registered feed (a bound known on the
-    driver), so the theta join broadcasts it; accounts are never shuffled."""
-    feeds = h.spark.createDataFrame([(f.name,) for f in h.feeds], "feed string")
-    return accounts.join(F.broadcast(feeds), F.expr(f"feed LIKE {pattern_col}"), "inner")
+    Patterns are matched once per distinct pattern against the array of
+    registered feed names (one literal, known on the driver); accounts join
+    their pattern's feeds by equality."""
+    names = F.array(*[F.lit(f.name) for f in h.feeds]).cast("array<string>")
+    patterns = accounts.select(pattern_col).distinct().withColumn("feed", F.explode(names)).where(F.expr(f"feed LIKE {pattern_col}"))
+    return accounts.join(patterns, pattern_col)
 
 
 def resolve_signal_join(h) -> DataFrame:
@@ -59,7 +60,7 @@ def domain_lookup(h) -> DataFrame:
     (feed, stream) in the deduped metadata: NULL when missing, and the
     forecast-style fallback 'general'."""
     cand = stream_candidates(h.spark, h.feeds).select("feed", "stream", "asset", "signal")
-    m = h.meta_side("feed", "stream", "domain")
+    m = h.small(h.metadata.select("feed", "stream", "domain"), h.metadata_rows)
     j = cand.join(m, ["feed", "stream"], "left")
     return j.select("feed", "stream", "asset", "signal", "domain",
                     F.coalesce("domain", F.lit("general")).alias("domain_or_general"))
@@ -79,9 +80,9 @@ def queryable_feeds(h) -> DataFrame:
     return feeds.join(h.metadata.select("feed"), "feed", "left_semi")
 
 
-def missing_keys(h, lookback_days: int = 7) -> DataFrame:
-    """Signals in the catalog without any reading in the lookback
-    window (anti join)."""
+def silent_signals(h, lookback_days: int = 7) -> DataFrame:
+    """Signals in the catalog without any reading in the lookback window
+    that ends at the fleet's latest reading (anti join)."""
     recent = unified_readings(h, days=lookback_days).select("asset", "signal")
     return h.metadata.select(*PUBLIC_COLUMNS).join(recent, ["asset", "signal"], "left_anti")
 
@@ -91,5 +92,4 @@ def history_forecast_align(history: DataFrame, fc: DataFrame) -> DataFrame:
     hst = history.select("asset", "signal", "ts", F.col("numeric_value").alias("historical"))
     f = fc.select("asset", "signal", "ts", F.col("forecast_value").alias("forecast"), "lower_bound", "upper_bound")
     j = hst.join(f, ["asset", "signal", "ts"], "full_outer")
-    return j.select("asset", "signal", "ts", round6("historical").alias("historical"), "forecast",
-                    "lower_bound", "upper_bound")
+    return j.select("asset", "signal", "ts", "historical", "forecast", "lower_bound", "upper_bound").orderBy("asset", "signal", "ts")

@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histospark.functions.names import round6
 from histospark.functions.redact import MAX_QUERY_CHARS, redact, redaction_stages
-from histospark.operators.readings import unified_readings
+from histospark.operators.readings import streams_of, unified_readings
 
 
 def event_payload(events: DataFrame, key: str = "k", json_col: str = "props") -> DataFrame:
-    """Parse the semi-structured payload (VARIANT) and read one field."""
+    """Parse the semi-structured payload (VARIANT) and read one field;
+    malformed payloads give NULL (:func:`rejected_payloads` counts them)."""
     return events.select("event_id", "event_type",
-                         F.expr(f"try_variant_get(parse_json({json_col}), '$.{key}', 'int')").alias(key))
+                         F.expr(f"try_variant_get(try_parse_json({json_col}), '$.{key}', 'int')").alias(key))
+
+
+def rejected_payloads(events: DataFrame, json_col: str = "props") -> DataFrame:
+    """Payloads per event type that are no JSON."""
+    bad = F.col(json_col).isNotNull() & F.expr(f"try_parse_json({json_col}) IS NULL")
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("payloads"), F.count_if(bad).alias("rejected"))
 
 
 def log_events(conversations: DataFrame) -> DataFrame:
     """L1: every conversation turn becomes a logged query event: type, JSON
-    data and the redacted question truncated to 1000 characters (empty or
-    missing -> NULL). Fail closed: nothing un-redacted is stored."""
-    text = F.substring(F.col("text"), 1, MAX_QUERY_CHARS)
-    redacted = F.when(F.length(F.coalesce(F.col("text"), F.lit(""))) > 0, redact(text))
+    data and the redacted question (empty or missing -> NULL). The whole text
+    is redacted before it is cut to the log column's 1000 characters, so that
+    a match across the cut is never stored in part."""
+    redacted = F.when(F.length(F.coalesce(F.col("text"), F.lit(""))) > 0, F.substring(redact(F.col("text")), 1, MAX_QUERY_CHARS))
     data = F.to_json(F.struct("conv_id", "turn", F.length("text").alias("chars")))
     return conversations.select(
         "conv_id", "turn", F.concat(F.lit("QUERY_"), F.upper("role")).alias("event_type"),
@@ -42,32 +48,46 @@ def redaction_counts(docs: DataFrame) -> DataFrame:
                                          F.count(F.lit(1)).alias("documents"))
 
 
-STANDARD_FIELDS = [("Timestamp", "Measurement timestamp"), ("Value", "Sensor reading"),
-                   ("Field", "Signal/tag field name"), ("Name", "Asset or sensor name"),
-                   ("Uom", "Unit of measurement")]
+STANDARD_FIELDS = [("Timestamp", "When the value was recorded"), ("Value", "The recorded value"),
+                   ("Field", "Historian tag the value belongs to"), ("Name", "Short name of the asset"),
+                   ("Uom", "Physical unit of the value")]
 
 
-def data_dictionary(h) -> DataFrame:
+def data_dictionary(h, search: str | None = None) -> DataFrame:
     """L4: one entry per signal (category Signal) with type, unit, feed, the
     first reading as example and min/max, plus the standard columns
-    (category Metadata). Deterministic stand-in for generated prose."""
-    r = unified_readings(h)
+    (category Metadata). Deterministic stand-in for generated prose. With
+    ``search`` (C4) only entries whose name or description contains it, in any
+    case: names are searched in the catalog, and only the streams of the
+    signals found are read."""
+    m = h.metadata.select("feed", "asset", "signal", "domain", "data_type", "unit").withColumn(
+        "description", F.concat_ws(" ", F.col("signal"), F.lit("of"), F.col("asset"), F.lit("("), F.col("domain"), F.lit(")")))
+    needle = F.lower(F.lit(search or ""))
+    if search:
+        m = m.where(F.lower("signal").contains(needle) | F.lower("description").contains(needle))
+        found = h.streams.join(m.select("asset", "signal"), ["asset", "signal"], "left_semi")
+        r = unified_readings(h, meta=found, streams_by_feed=streams_of(found))
+    else:
+        r = unified_readings(h)
     st = r.groupBy("asset", "signal").agg(
-        F.min_by("numeric_value", F.struct("ts", "row_id")).alias("example_value"),
-        F.min("numeric_value").alias("min_value"), F.max("numeric_value").alias("max_value"),
+        F.min("ts").alias("_first"), F.min("numeric_value").alias("min_value"), F.max("numeric_value").alias("max_value"),
         F.count(F.lit(1)).alias("readings"))
-    m = h.metadata.select("feed", "asset", "signal", "domain", "data_type", "unit")
+    # hash aggregates on primitives only: the example is among the few readings
+    # at the first time, the one with the smallest row id
+    at = r.join(st.select("asset", "signal", "_first"), ["asset", "signal"]).where(F.col("ts") == F.col("_first"))
+    ex = at.groupBy("asset", "signal").agg(F.min_by("numeric_value", "row_id").alias("example_value"))
+    st = st.drop("_first").join(ex, ["asset", "signal"])
     sig = m.join(st, ["asset", "signal"], "left").select(
-        F.col("signal").alias("field"), F.lit("Signal").alias("category"),
-        F.concat_ws(" ", F.col("signal"), F.lit("of"), F.col("asset"), F.lit("("), F.col("domain"), F.lit(")"))
-        .alias("description"),
+        F.col("signal").alias("field"), F.lit("Signal").alias("category"), "description",
         "unit", "data_type", "feed", "asset",
-        round6("example_value").alias("example_value"), round6("min_value").alias("min_value"),
-        round6("max_value").alias("max_value"), F.coalesce("readings", F.lit(0)).alias("readings"))
+        F.col("example_value").alias("example_value"), F.col("min_value").alias("min_value"),
+        F.col("max_value").alias("max_value"), F.coalesce("readings", F.lit(0)).alias("readings"))
     std = h.spark.createDataFrame(STANDARD_FIELDS, "field string, description string").select(
         "field", F.lit("Metadata").alias("category"), "description",
         F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("data_type"),
         F.lit(None).cast("string").alias("feed"), F.lit(None).cast("string").alias("asset"),
         F.lit(None).cast("double").alias("example_value"), F.lit(None).cast("double").alias("min_value"),
         F.lit(None).cast("double").alias("max_value"), F.lit(0).cast("bigint").alias("readings"))
+    if search:
+        std = std.where(F.lower("field").contains(needle) | F.lower("description").contains(needle))
     return sig.unionByName(std)

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from histospark.functions.names import round6
 from histospark.functions.timecalc import add_minutes, boundary_diff
 from histospark.operators.anomaly import MIN_READINGS, NUMERIC_TYPES, signal_window
 from histospark.operators.readings import streams_of, unified_readings
@@ -22,11 +21,11 @@ from histospark.operators.readings import streams_of, unified_readings
 # Fixed model parameters (must equal the reference's).
 ALPHA, BETA, PHI = 0.3, 0.1, 0.98
 TRAIN_ROWS = 200
-MAX_STEPS = 5000
 MIN_TRAIN = 5
 DEFAULT_GAP_MINUTES = 60.0
 BAND_Z = 1.96
 DEFAULT_HORIZON_DAYS = 7
+TAIL_PARTS = 32
 
 KEYS = ["asset", "signal"]
 
@@ -37,7 +36,7 @@ def horizon_days(n) -> int:
 
 def numeric_readings(h, meta: DataFrame | None = None) -> DataFrame:
     """All-history readings of numeric signals (non-null raw values)."""
-    m = meta if meta is not None else h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES))
+    m = meta if meta is not None else h.streams.where(F.col("data_type").isin(NUMERIC_TYPES))
     targeted = streams_of(meta) if meta is not None else None  # read only the chosen streams
     return unified_readings(h, meta=m, numeric_only=True, streams_by_feed=targeted).select(
         "asset", "signal", "domain", "ts", "row_id", "numeric_value", "n_readings")
@@ -48,8 +47,8 @@ def series_profile(r: DataFrame) -> DataFrame:
     return r.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("readings"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        round6(F.avg("numeric_value")).alias("avg_value"),
-        round6(F.stddev_samp("numeric_value")).alias("stddev"))
+        F.avg("numeric_value").alias("avg_value"),
+        F.stddev_samp("numeric_value").alias("stddev"))
 
 
 def reading_gaps(r: DataFrame, h=None) -> DataFrame:
@@ -66,10 +65,15 @@ def reading_gaps(r: DataFrame, h=None) -> DataFrame:
 
 def last_n(r: DataFrame, n: int, value_filter: bool = False) -> DataFrame:
     """latest ``n`` rows per signal (by ts, row_id), with ``k`` = 1 for
-    the newest. Spark plans row_number <= n as a partial WindowGroupLimit."""
+    the newest, in two levels: every scan task sends at most n rows per signal
+    (a partial WindowGroupLimit), those meet in TAIL_PARTS parts per signal,
+    and only TAIL_PARTS * n rows of a signal in its last task, however many
+    scan tasks there are. The parts don't influence the result."""
     src = r.where(F.col("numeric_value").isNotNull()) if value_filter else r
-    w = W.partitionBy(*KEYS).orderBy(F.col("ts").desc(), F.col("row_id").desc())
-    return src.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+    order = [F.col("ts").desc(), F.col("row_id").desc()]
+    src = src.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(TAIL_PARTS)))
+    some = src.withColumn("k", F.row_number().over(W.partitionBy(*KEYS, "_part").orderBy(*order))).where(F.col("k") <= n).drop("k", "_part")
+    return some.withColumn("k", F.row_number().over(W.partitionBy(*KEYS).orderBy(*order))).where(F.col("k") <= n)
 
 
 def median_gaps(r: DataFrame, extra: bool = False) -> DataFrame:
@@ -97,28 +101,28 @@ def sampling_interval(r: DataFrame) -> DataFrame:
     return median_gaps(r).select(*KEYS, interval_of(F.col("med")).alias("interval_minutes"))
 
 
-def forecast_steps(interval: F.Column, horizon: int) -> F.Column:
-    """min(max(int(1440 / interval), 1) * horizon, 5000)."""
-    per_day = F.greatest(F.floor(F.lit(1440.0) / interval), F.lit(1))
-    return F.least(per_day * F.lit(horizon), F.lit(MAX_STEPS)).cast("int")
+def forecast_steps(interval: F.Column, horizon: int, max_steps: int | None = None) -> F.Column:
+    """max(int(1440 / interval), 1) * horizon, so that the whole horizon is
+    covered; ``max_steps`` limits it where the caller asks for that."""
+    steps = F.greatest(F.floor(F.lit(1440.0) / interval), F.lit(1)) * F.lit(horizon)
+    return (steps if max_steps is None else F.least(steps, F.lit(max_steps))).cast("int")
 
 
+_ERR = f"(x - (a.l + {PHI}D * a.t))"
 _HOLT = f"""
 aggregate(slice(v, 2, size(v) - 1),
   named_struct('l', v[0], 't', CASE WHEN size(v) > 1 THEN (v[size(v) - 1] - v[0]) / (size(v) - 1) ELSE 0D END,
-               'r', cast(array() as array<double>)),
+               'n', 0, 'm', 0D, 'q', 0D),
   (a, x) -> named_struct(
      'l', {ALPHA}D * x + (1D - {ALPHA}D) * (a.l + {PHI}D * a.t),
      't', {BETA}D * (({ALPHA}D * x + (1D - {ALPHA}D) * (a.l + {PHI}D * a.t)) - a.l) + (1D - {BETA}D) * {PHI}D * a.t,
-     'r', concat(a.r, array(x - (a.l + {PHI}D * a.t)))))
+     'n', a.n + 1,
+     'm', a.m + ({_ERR} - a.m) / (a.n + 1),
+     'q', a.q + ({_ERR} - a.m) * ({_ERR} - (a.m + ({_ERR} - a.m) / (a.n + 1)))))
 """
 
-_RSTD = """
-CASE WHEN size(fit.r) > 1 THEN sqrt(
-  aggregate(fit.r, 0D, (s, x) -> s + (x - aggregate(fit.r, 0D, (u, y) -> u + y) / size(fit.r))
-                                    * (x - aggregate(fit.r, 0D, (u, y) -> u + y) / size(fit.r)))
-  / (size(fit.r) - 1)) END
-"""
+# Residuals: count, mean and sum of squared deviations are carried along.
+_RSTD = "CASE WHEN fit.n > 1 THEN sqrt(fit.q / (fit.n - 1)) END"
 
 
 def holt_fit(r: DataFrame) -> DataFrame:
@@ -163,29 +167,31 @@ def forecast(h, horizon=None, meta: DataFrame | None = None) -> DataFrame:
     return steps.select(
         *KEYS, "domain", "step",
         add_minutes(F.col("last_ts"), F.col("interval_minutes") * F.col("step")).alias("ts"),
-        round6(fc).alias("forecast_value"), round6(fc - band).alias("lower_bound"),
-        round6(fc + band).alias("upper_bound"), F.lit("FORECAST").alias("model_type"))
+        fc.alias("forecast_value"), (fc - band).alias("lower_bound"),
+        (fc + band).alias("upper_bound"), F.lit("FORECAST").alias("model_type"))
 
 
 def auto_forecast(h, horizon=None) -> DataFrame:
     """No signal given -> the first numeric signal by name (asset breaks
     ties); the pick is a top-1 over the metadata."""
     pick = (h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES))
-            .orderBy("signal", "asset").limit(1))
-    return forecast(h, horizon, meta=pick)
+            .orderBy("signal", "asset").limit(1).select("asset", "signal"))
+    return forecast(h, horizon, meta=h.streams.join(pick, ["asset", "signal"]))
 
 
-def data_sufficiency(h, lookback: int = 7) -> DataFrame:
+def data_sufficiency(h, lookback: int = 7, as_of=None) -> DataFrame:
     """Per numeric signal, counts against the guards of detection (12 in
     the lookback), candidates (50 in the lookback and std > 0) and forecasts
     (12 overall, 5 numeric training values)."""
     from histospark.operators.readings import lookback_days
-    r = numeric_readings(h)
-    mx = h.feed_max_ts()
+    end = h.as_of() if as_of is None else as_of
     days = lookback_days(lookback)
-    start = F.coalesce(*[F.when(F.col("feed") == f, F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz"))
-                         for f, t in mx.items() if t is not None])
-    m = h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES))
+    at = lambda t: F.lit(t.isoformat(sep=" ") if t is not None else None).cast("timestamp_ntz")
+    if isinstance(end, dict):  # one end per feed
+        start = F.element_at(F.create_map(*[x for f, t in end.items() for x in (F.lit(f), at(t))]), F.col("feed"))
+    else:
+        start = at(end)
+    m = h.streams.where(F.col("data_type").isin(NUMERIC_TYPES))
     rr = unified_readings(h, meta=m, numeric_only=True).select(*KEYS, "ts", "numeric_value", "feed")
     in_win = F.col("ts") >= start - F.make_dt_interval(days=F.lit(days))
     g = rr.groupBy(*KEYS).agg(
@@ -193,7 +199,6 @@ def data_sufficiency(h, lookback: int = 7) -> DataFrame:
         F.count("numeric_value").alias("numeric_readings"),
         F.count_if(in_win).alias("window_readings"),
         F.stddev_samp(F.when(in_win, F.col("numeric_value"))).alias("_wstd"))
-    del r
     train = F.least(F.col("numeric_readings"), F.lit(TRAIN_ROWS))
     status = (F.when((F.col("window_readings") >= 50) & (F.coalesce("_wstd", F.lit(0.0)) > 0), "CANDIDATE")
               .when(F.col("window_readings") >= MIN_READINGS, "DETECTABLE")

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histospark.operators.metadata import domain_distribution_json
-from histospark.sources.feeds import Feed, model_class, register_feeds, type_class
+from histospark.sources.feeds import WIDE, Feed, model_class, register_feeds, type_class
 
+# State keys and check statuses that must equal the reference's.
 STATE_KEYS = ["VIEWS_INITIALIZED", "VIEW_COUNT", "METADATA_DISCOVERED", "STREAM_COUNT",
               "DOMAIN_DISTRIBUTION", "SEMANTIC_VIEW_CREATED"]
 OK_STATUSES = ["OK", "SKIPPED", "STALE"]
@@ -61,18 +62,45 @@ def feed_bundle_status(spark: SparkSession, sources: dict) -> DataFrame:
     """A3: open and probe every source with a one-row read; BUNDLED or
     NOT_BUNDLED with the error text. Broken sources are reported, not fatal."""
     feeds = register_feeds(spark, sources, create_views=False)
-    rows = []
-    for f in feeds:
-        err = f.error
-        if err is None:
-            try:
-                f.df.limit(1).count()
-            except Exception as exc:  # unreadable data behind a valid schema
-                err = str(exc).splitlines()[0][:300]
-        rows.append((f.name, f.ordinal, "BUNDLED" if err is None else "NOT_BUNDLED", err))
+    errors = probe(feeds)
+    rows = [(f.name, f.ordinal, "NOT_BUNDLED" if f.name in errors else "BUNDLED", errors.get(f.name)) for f in feeds]
     return spark.createDataFrame(rows, "feed string, feed_ord int, status string, error string")
 
 
+def probe(feeds: list[Feed]) -> dict[str, str]:
+    """{feed: error} of the feeds that can't be read. All feeds are probed in
+    one job; only when that fails, each on its own to find the broken ones."""
+    errors = {f.name: f.error for f in feeds if f.error is not None}
+    live = [f for f in feeds if f.error is None]
+
+    def one(f: Feed) -> DataFrame:
+        return f.df.limit(1).select(F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("n"))
+
+    try:
+        if live:
+            reduce(lambda a, b: a.unionAll(b), [one(f) for f in live]).collect()
+    except Exception:  # some feed has unreadable data behind a valid schema
+        for f in live:
+            try:
+                one(f).collect()
+            except Exception as exc:
+                errors[f.name] = str(exc).splitlines()[0][:300]
+    return errors
+
+
+def missing_state_keys(state: DataFrame) -> DataFrame:
+    """Required state keys that the stored state lacks, by name."""
+    spark = state.sparkSession
+    needed = spark.createDataFrame([(k,) for k in STATE_KEYS], "key string")
+    return needed.join(state.select("key"), "key", "left_anti")
+
+
+def unsupported_columns(h) -> DataFrame:
+    """Columns of wide feeds that no reading can come from, with their type."""
+    rows = [(f.name, c, t) for f in h.live_feeds if f.format == WIDE for c, t in f.unsupported_columns()]
+    return h.spark.createDataFrame(rows, "feed string, column_name string, type string")
+
+
 def feed_preview(f: Feed, n: int = 100) -> DataFrame:
     """The first ``n`` rows of a feed in (Timestamp, row_id) order."""
     order = ["Timestamp"] + (["row_id"] if "row_id" in f.column_names else [])
@@ -107,10 +135,12 @@ def _row(name: str, status: F.Column, value: F.Column, total: F.Column) -> list:
 
 def health_check(h, state: DataFrame, semantic: DataFrame, freshness: DataFrame) -> DataFrame:
     """Six checks, one row each, plus the overall verdict (HEALTHY iff
-    every check is OK, SKIPPED or STALE)."""
+    every check is OK, SKIPPED or STALE). ``state`` is the stored key/value
+    state, written when the feeds were last set up; it is compared with what
+    is there now. Feeds are judged by a one-row read."""
     spark = h.spark
     n_feeds = len(h.feeds)
-    n_live = len(h.live_feeds)
+    n_live = n_feeds - len(probe(h.feeds))
     stored = state.where(F.col("key") == "VIEW_COUNT").agg(F.max(F.col("value").try_cast("bigint")).alias("s"))
     c1 = stored.select(*_row("shared_content_sync",
                              F.when(F.lit(n_feeds) == F.coalesce("s", F.lit(0)), "OK").otherwise("DRIFT"),
@@ -124,7 +154,9 @@ def health_check(h, state: DataFrame, semantic: DataFrame, freshness: DataFrame)
     pv = "OK" if n_feeds and n_live == n_feeds else ("DEGRADED" if n_live else ("ERROR" if n_feeds else "EMPTY"))
     c4 = spark.range(1).select(*_row("proxy_views", F.lit(pv), F.lit(n_live), F.lit(n_feeds)))
     facts = semantic.agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("role") == "FACT").alias("f"))
-    c5 = facts.select(*_row("semantic_view", F.when(F.col("c") > 0, "OK").otherwise("SKIPPED"), F.col("f"), F.col("c")))
+    made = state.where("key = 'SEMANTIC_VIEW_CREATED'").agg(F.coalesce(F.max(F.col("value") == "TRUE"), F.lit(False)).alias("made"))
+    c5 = facts.join(made, F.lit(True)).select(*_row(
+        "semantic_view", F.when(F.col("c") > 0, "OK").when(F.col("made"), "ERROR").otherwise("SKIPPED"), F.col("f"), F.col("c")))
     fr = freshness.agg(F.count_if("is_stale").alias("st"), F.count(F.lit(1)).alias("t"))
     c6 = fr.select(*_row("data_freshness", F.when(F.col("st") == 0, "OK").otherwise("STALE"), F.col("st"), F.col("t")))
     checks = reduce(lambda a, b: a.unionByName(b), [c1, c2, c3, c4, c5, c6])

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from histospark.functions import names as N
 from histospark.functions.timecalc import ts_lit
-from histospark.sources.feeds import CLASSIC, LONG, ROW_ID, TS_COL, Feed, type_class
+from histospark.sources.feeds import CLASSIC, LONG, ROW_ID, TS_COL, Feed, is_signal_type, type_class
 
 DEFAULT_LOOKBACK_DAYS = 7
 
@@ -38,10 +38,25 @@ def since_of(as_of: _dt.datetime | None, days: int | None) -> _dt.datetime | Non
     return as_of - _dt.timedelta(days=days)
 
 
-def _row_id(feed: Feed) -> Column:
+def _row_id(feed: Feed, *parts: Column) -> Column:
+    """The feed's ``row_id``, or a hash of what makes up the reading (time,
+    stream, value): other columns are not read for it."""
     if ROW_ID in feed.column_names:
         return F.col(ROW_ID).cast("bigint")
-    return F.xxhash64(*[F.col(f"`{c}`") for c in feed.column_names])
+    return F.xxhash64(*parts)
+
+
+def _questionable(columns: dict) -> Column:
+    """A reading is questionable when a flag says so: IsQuestionable set, or
+    IsGood not set; NULL in feeds without such flags."""
+    parts = []
+    if "IsQuestionable" in columns:
+        parts.append(F.col("IsQuestionable").cast("boolean"))
+    if "IsGood" in columns:
+        parts.append(~F.col("IsGood").cast("boolean"))
+    if not parts:
+        return F.lit(None).cast("boolean")
+    return parts[0] if len(parts) == 1 else F.coalesce(parts[0], F.lit(False)) | F.coalesce(parts[1], F.lit(False))
 
 
 def _q(c: str) -> Column:
@@ -65,25 +80,23 @@ def feed_readings(feed: Feed, since: _dt.datetime | None = None, streams: list[s
         return df.where(F.col("Value").isNotNull()).select(
             name.alias("feed"), F.col("Field").alias("stream"), F.col(TS_COL).alias("ts"),
             raw.alias("raw_value"),
-            (F.col("Value").cast("double") if type_class(cols["Value"]) == "NUMERIC" else N.numeric_of(raw)).alias("numeric_value"),
+            (N.finite(F.col("Value").cast("double")) if type_class(cols["Value"]) == "NUMERIC" else N.numeric_of(raw)).alias("numeric_value"),
             (F.col("Uom").cast("string") if "Uom" in cols else F.lit(None).cast("string")).alias("uom"),
-            F.lit(None).cast("boolean").alias("is_questionable"),
-            _row_id(feed).alias("row_id"))
+            _questionable(cols).alias("is_questionable"),
+            _row_id(feed, F.col(TS_COL), F.col("Field"), raw).alias("row_id"))
     if fmt == CLASSIC:
         numeric = type_class(cols["Value"]) == "NUMERIC"
         raw = F.col("Value").cast("string")
         return df.where(F.col("Value").isNotNull()).select(
             name.alias("feed"), name.alias("stream"), F.col(TS_COL).alias("ts"), raw.alias("raw_value"),
-            (F.when(~F.isnan(F.col("Value").cast("double")), F.col("Value").cast("double")) if numeric
-             else N.numeric_of(raw)).alias("numeric_value"),
+            (N.finite(F.col("Value").cast("double")) if numeric else N.numeric_of(raw)).alias("numeric_value"),
             (F.col("Uom").cast("string") if "Uom" in cols else F.lit(None).cast("string")).alias("uom"),
-            (F.col("IsQuestionable").cast("boolean") if "IsQuestionable" in cols
-             else F.lit(None).cast("boolean")).alias("is_questionable"),
-            _row_id(feed).alias("row_id"))
+            _questionable(cols).alias("is_questionable"),
+            _row_id(feed, F.col(TS_COL), name, raw).alias("row_id"))
     # WIDE: unpivot only the wanted signal columns, numeric and text ones in
     # one pass: every column becomes struct<n double, t string> (one of the
     # two set), so one scan and one Expand serve both kinds.
-    sig = [(c, t) for _, c, t in feed.signal_columns() if streams is None or c in streams]
+    sig = [(c, t) for _, c, t in feed.signal_columns() if (streams is None or c in streams) and is_signal_type(t)]
     num = [c for c, t in sig if type_class(t) == "NUMERIC"]
     txt = [] if numeric_only else [c for c, t in sig if type_class(t) == "STRING"]
     if not num and not txt:
@@ -91,15 +104,40 @@ def feed_readings(feed: Feed, since: _dt.datetime | None = None, streams: list[s
     none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
     vals = ([F.struct(_q(c).cast("double").alias("n"), none_s.alias("t")).alias(c) for c in num]
             + [F.struct(none_d.alias("n"), _q(c).cast("string").alias("t")).alias(c) for c in txt])
-    base = df.select(F.col(TS_COL).alias("ts"), _row_id(feed).alias("row_id"), *vals)
-    u = base.unpivot(["ts", "row_id"], [_q(c) for c in num + txt], "stream", "v")
+    own = ROW_ID in feed.column_names
+    base = df.select(F.col(TS_COL).alias("ts"), _questionable(cols).alias("is_questionable"),
+                     (F.col(ROW_ID).cast("bigint") if own else F.lit(None).cast("bigint")).alias("row_id"), *vals)
+    u = base.unpivot(["ts", "is_questionable", "row_id"], [_q(c) for c in num + txt], "stream", "v")
     n, t = F.col("v.n"), F.col("v.t")
     u = u.where(n.isNotNull() | t.isNotNull())
+    if not own:
+        u = u.withColumn("row_id", F.xxhash64("ts", "stream", "v"))
     return u.select(name.alias("feed"), "stream", "ts",
                     F.coalesce(t, n.cast("string")).alias("raw_value"),
-                    F.when(t.isNull(), F.when(~F.isnan(n), n)).otherwise(N.numeric_of(t)).alias("numeric_value"),
-                    F.lit(None).cast("string").alias("uom"), F.lit(None).cast("boolean").alias("is_questionable"),
-                    "row_id")
+                    F.when(t.isNull(), N.finite(n)).otherwise(N.numeric_of(t)).alias("numeric_value"),
+                    F.lit(None).cast("string").alias("uom"), "is_questionable", "row_id")
+
+
+def all_feed_readings(h) -> DataFrame:
+    """The normalised readings of all feeds, without names."""
+    parts = [r for r in (feed_readings(f) for f in h.live_feeds) if r is not None]
+    if not parts:
+        return h.spark.createDataFrame([], "feed string, stream string, ts timestamp_ntz, raw_value string, numeric_value double, "
+                                           "uom string, is_questionable boolean, row_id bigint")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def stored_readings(h, feed: str, since: _dt.datetime | None, streams: list[str] | None) -> DataFrame:
+    """The same columns as ``feed_readings``, from the readings table: feed and
+    day are folders; a lookback skips those before the year it begins in, so that
+    any folder unit up to a year is read right."""
+    t = h.spark.read.parquet(h.readings_path).where(F.col("feed") == feed)
+    if since is not None:
+        t = t.where((F.col("day") >= F.lit(since.date().replace(month=1, day=1))) & (F.col("ts") >= ts_lit(since)))
+    if streams is not None:
+        t = t.where(F.col("stream").isin(streams))
+    uom = "uom" if "uom" in t.columns else "unit"
+    return t.select("feed", "stream", "ts", "raw_value", "numeric_value", F.col(uom).alias("uom"), "is_questionable", "row_id")
 
 
 def unified_readings(h, days: int | None = None, as_of: dict | _dt.datetime | None = None,
@@ -108,13 +146,14 @@ def unified_readings(h, days: int | None = None, as_of: dict | _dt.datetime | No
     """All feeds in the canonical readings schema.
 
     ``days`` = lookback window (None: whole history); ``as_of`` = one instant
-    or {feed: instant}, default the latest Timestamp of each feed.
-    ``meta`` = an already filtered metadata frame (e.g. one signal) and
-    ``streams_by_feed`` the matching stream names, so that only those
+    or {feed: instant}, default the latest Timestamp of all feeds.
+    ``meta`` = an already filtered stream map (e.g. one signal; of ``h.streams``,
+    so that every stream of a signal is read) and ``streams_by_feed`` the
+    matching stream names, so that only those
     streams/columns are read (C1). ``numeric_only`` = only numeric signals
     are wanted, so text columns are not even read."""
     if days is not None and as_of is None:
-        as_of = h.feed_max_ts()
+        as_of = h.as_of()
     parts = []
     for f in h.live_feeds:
         if streams_by_feed is not None and f.name not in streams_by_feed:
@@ -122,8 +161,11 @@ def unified_readings(h, days: int | None = None, as_of: dict | _dt.datetime | No
         a = as_of.get(f.name) if isinstance(as_of, dict) else as_of
         if days is not None and a is None:
             continue  # empty feed: nothing inside any window
-        r = feed_readings(f, since_of(a, days), streams_by_feed.get(f.name) if streams_by_feed else None,
-                          numeric_only)
+        wanted = streams_by_feed.get(f.name) if streams_by_feed else None
+        if h.readings_path is not None:
+            r = stored_readings(h, f.name, since_of(a, days), wanted)
+        else:
+            r = feed_readings(f, since_of(a, days), wanted, numeric_only)
         if r is not None:
             parts.append(r)
     if not parts:
@@ -163,8 +205,8 @@ def streams_of(meta: DataFrame, limit: int = RESOLVE_LIMIT) -> dict[str, list[st
 
 
 def resolve_signal(h, asset: str, signal: str) -> DataFrame:
-    """Metadata row(s) of one (asset, signal); at most one after dedupe."""
-    return h.metadata.where((F.col("asset") == asset) & (F.col("signal") == signal))
+    """The streams of one (asset, signal)."""
+    return h.streams.where((F.col("asset") == asset) & (F.col("signal") == signal))
 
 
 def signal_readings(h, asset: str, signal: str, limit: int | None = 500) -> DataFrame:

@@ -16,23 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from histospark.functions.names import round6
 from histospark.functions.timecalc import boundary_diff, trunc_ntz, ts_lit
 from histospark.operators.anomaly import NUMERIC_TYPES
-from histospark.operators.readings import unified_readings
+from histospark.operators.metadata import AGGREGATES
+from histospark.operators.readings import feed_readings, resolve_signal, streams_of, unified_readings
 
 STALE_HOURS = 48
-FRESHNESS_AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0)
 TREND_HOURS = 48
 TREND_ROWS = 500
-ASSET_ROWS = 200
 TOP_ASSETS = 4
-RECENT_ANOMALIES = 5000
+RECENT_ANOMALIES = 5000  # rows of the newest-first list, where the list is the result
 RECENT_EVENTS = 20
 
 
 def numeric_only(h) -> DataFrame:
-    return h.metadata.where(F.col("data_type").isin(NUMERIC_TYPES))
+    return h.streams.where(F.col("data_type").isin(NUMERIC_TYPES))
 
 
 def feed_timestamps(h) -> DataFrame:
@@ -60,10 +58,11 @@ def domain_stats(meta: DataFrame) -> DataFrame:
                                       F.count_distinct("asset").alias("assets"))
 
 
-def asset_stats(meta: DataFrame, top: int = ASSET_ROWS) -> DataFrame:
-    """E5: signals per (asset, domain), largest first, the first ``top``."""
+def asset_stats(meta: DataFrame, top: int | None = None) -> DataFrame:
+    """E5: signals per (asset, domain), largest first; ``top`` = only the first."""
     g = meta.groupBy("asset", "domain").agg(F.count(F.lit(1)).alias("signals"))
-    return g.orderBy(F.col("signals").desc(), "asset", "domain").limit(top)
+    g = g.orderBy(F.col("signals").desc(), "asset", "domain")
+    return g if top is None else g.limit(top)
 
 
 def kpi_summary(meta: DataFrame) -> DataFrame:
@@ -74,7 +73,7 @@ def kpi_summary(meta: DataFrame) -> DataFrame:
 
 def domain_top_assets(meta: DataFrame, top: int = TOP_ASSETS) -> DataFrame:
     """Per domain the first ``top`` assets (by name) with their signal
-    counts, and the domain's stream count."""
+    counts, and the domain's stream count; largest domains first."""
     g = meta.groupBy("domain", "asset").agg(F.count(F.lit(1)).alias("signals"))
     # rank filter alone -> partial (map-side) WindowGroupLimit per domain
     ranked = g.withColumn("k", F.row_number().over(W.partitionBy("domain").orderBy("asset")))
@@ -82,28 +81,31 @@ def domain_top_assets(meta: DataFrame, top: int = TOP_ASSETS) -> DataFrame:
     # one row per domain; domains come from a fixed keyword list (bounded)
     totals = meta.groupBy("domain").agg(F.count(F.lit(1)).alias("domain_streams"))
     return top_assets.join(F.broadcast(totals), "domain").select(
-        "domain", "domain_streams", "asset", "signals", F.col("k").cast("bigint").alias("asset_rank"))
+        "domain", "domain_streams", "asset", "signals", F.col("k").cast("bigint").alias("asset_rank")).orderBy(
+        F.desc("domain_streams"), "domain", "asset_rank")
 
 
 def hourly_trend(h, hours: int = TREND_HOURS) -> DataFrame:
-    """Hourly mean per numeric signal, the first ``hours`` hours."""
-    r = unified_readings(h, meta=numeric_only(h), numeric_only=True)
-    g = r.groupBy("asset", "signal", trunc_ntz("hour", F.col("ts")).alias("hour")).agg(
-        F.avg("numeric_value").alias("avg_value"))
+    """Hourly mean per numeric signal, its first ``hours`` hours with
+    readings. Only the earliest hours are counted per signal first (a distinct
+    with a map-side limit); readings after them never reach the averages."""
+    r = unified_readings(h, meta=numeric_only(h), numeric_only=True).withColumn("hour", trunc_ntz("hour", F.col("ts")))
     w = W.partitionBy("asset", "signal").orderBy("hour")
-    return (g.withColumn("k", F.row_number().over(w)).where(F.col("k") <= hours)
-            .select("asset", "signal", "hour", round6("avg_value").alias("avg_value")))
+    seen = r.select("asset", "signal", "hour").distinct()
+    last = (seen.withColumn("k", F.row_number().over(w)).where(F.col("k") <= hours)
+            .groupBy("asset", "signal").agg(F.max("hour").alias("last_hour")))
+    r = r.join(last, ["asset", "signal"]).where(F.col("hour") <= F.col("last_hour"))
+    return r.groupBy("asset", "signal", "hour").agg(F.avg("numeric_value").alias("avg_value"))
 
 
 def trend_summary(h, rows: int = TREND_ROWS) -> DataFrame:
     """Min / max / mean / sample std of the latest ``rows`` readings."""
-    r = unified_readings(h, meta=numeric_only(h), numeric_only=True)
-    w = W.partitionBy("asset", "signal").orderBy(F.col("ts").desc(), F.col("row_id").desc())
-    t = r.withColumn("k", F.row_number().over(w)).where(F.col("k") <= rows)
+    from histospark.operators.forecast import last_n
+    t = last_n(unified_readings(h, meta=numeric_only(h), numeric_only=True), rows)
     return t.groupBy("asset", "signal").agg(
         F.count(F.lit(1)).alias("readings"),
-        round6(F.min("numeric_value")).alias("min_value"), round6(F.max("numeric_value")).alias("max_value"),
-        round6(F.avg("numeric_value")).alias("mean_value"), round6(F.stddev_samp("numeric_value")).alias("std_value"))
+        F.min("numeric_value").alias("min_value"), F.max("numeric_value").alias("max_value"),
+        F.avg("numeric_value").alias("mean_value"), F.stddev_samp("numeric_value").alias("std_value"))
 
 
 def recent(df: DataFrame, n: int, *order) -> DataFrame:
@@ -116,9 +118,10 @@ def recent_anomalies(anoms: DataFrame, n: int = RECENT_ANOMALIES) -> DataFrame:
     return recent(anoms, n, F.col("ts").desc(), "asset", "signal")
 
 
-def anomaly_kpis(anoms: DataFrame, n: int = RECENT_ANOMALIES) -> DataFrame:
-    """Rows analysed, anomalies and distinct signals among the newest n."""
-    top = recent_anomalies(anoms, n)
+def anomaly_kpis(anoms: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows analysed, anomalies and distinct signals, of all rows or of
+    the newest ``n``."""
+    top = anoms if n is None else recent_anomalies(anoms, n)
     return top.agg(F.count(F.lit(1)).alias("rows_analyzed"), F.count_if("is_anomaly").alias("anomalies"),
                    F.count_distinct("asset", "signal").alias("signals_analyzed"))
 
@@ -138,7 +141,8 @@ def forecast_summary(fc: DataFrame) -> DataFrame:
 def event_usage(events: DataFrame) -> DataFrame:
     """Per event type: count, first and last event."""
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("event_count"),
-                                            F.min("ts").alias("first_event"), F.max("ts").alias("last_event"))
+                                            F.min("ts").alias("first_event"), F.max("ts").alias("last_event")).orderBy(
+        F.desc("event_count"), "event_type")
 
 
 def schema_inventory(meta: DataFrame) -> DataFrame:
@@ -151,17 +155,19 @@ def schema_inventory(meta: DataFrame) -> DataFrame:
     s = meta.select("signal").distinct().select(
         F.lit("signal").alias("section"), F.col("signal").alias("name"), F.lit(None).cast("string").alias("domain"),
         F.lit(None).cast("bigint").alias("streams"))
-    return d.unionByName(a).unionByName(s)
+    return d.unionByName(a).unionByName(s).orderBy(
+        F.array_position(F.array(F.lit("domain"), F.lit("asset"), F.lit("signal")), F.col("section")), F.desc_nulls_last("streams"), "name", "domain")
 
 
-def feed_freshness(h, as_of: _dt.datetime = FRESHNESS_AS_OF, stale_hours: int = STALE_HOURS) -> DataFrame:
+def feed_freshness(h, as_of: _dt.datetime, stale_hours: int = STALE_HOURS) -> DataFrame:
     """Per feed with metadata: latest ts, hours stale (hour boundaries
-    crossed up to ``as_of``), stale flag; no data -> -1. Fleet maxima are a
-    window over this per-feed table (one row per feed)."""
+    crossed up to ``as_of``), stale flag; no data -> -1, never stale; data
+    after ``as_of`` -> 0. Fleet maxima are a window over this per-feed table
+    (one row per feed)."""
     latest = feed_timestamps(h).groupBy("feed").agg(F.max("ts").alias("latest"))
     feeds = h.metadata.select("feed").distinct()
     j = feeds.join(latest, "feed", "left")
-    hours = F.coalesce(boundary_diff("hour", F.col("latest"), ts_lit(as_of)), F.lit(-1).cast("bigint"))
+    hours = F.coalesce(F.greatest(boundary_diff("hour", F.col("latest"), ts_lit(as_of)), F.lit(0).cast("bigint")), F.lit(-1).cast("bigint"))
     j = j.select("feed", "latest", hours.alias("hours_stale"))
     w = W.partitionBy(F.lit(1))  # one row per feed
     return j.select("feed", "latest", "hours_stale", (F.col("hours_stale") > stale_hours).alias("is_stale"),
@@ -170,18 +176,25 @@ def feed_freshness(h, as_of: _dt.datetime = FRESHNESS_AS_OF, stale_hours: int =
 
 
 def bundle_lists(h) -> DataFrame:
-    """Per feed, sorted comma lists of streams that carry numeric
-    readings (bundled) and that do not, with their counts."""
-    r = unified_readings(h)
-    per = r.groupBy("feed", "stream").agg(F.count("numeric_value").alias("n_num"))
-    meta = h.metadata.select("feed", "stream")
-    s = meta.join(per, ["feed", "stream"], "left").select(
-        "feed", "stream", (F.coalesce("n_num", F.lit(0)) > 0).alias("bundled"))
-    g = s.groupBy("feed").agg(
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("bundled"), F.col("stream")))), ",").alias("bundled_streams"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("bundled"), F.col("stream")))), ",").alias("not_bundled_streams"),
-        F.count_if("bundled").alias("bundled_count"), F.count_if(~F.col("bundled")).alias("not_bundled_count"))
-    return g
+    """Every stream of every feed and whether it carries numeric
+    readings (bundled): one row per stream, whatever their number. One boolean
+    per stream is aggregated; the readings are not joined."""
+    parts = [p for p in (feed_readings(f) for f in h.live_feeds) if p is not None]
+    streams = h.streams.select("feed", "stream")
+    if not parts:
+        return streams.withColumn("bundled", F.lit(False))
+    r = reduce(lambda a, b: a.unionByName(b), parts)
+    per = r.groupBy("feed", "stream").agg(F.max(F.col("numeric_value").isNotNull()).alias("bundled"))
+    return streams.join(per, ["feed", "stream"], "left").select("feed", "stream", F.coalesce("bundled", F.lit(False)).alias("bundled"))
+
+
+def signal_query(h, asset: str, signal: str, agg: str = "AVG", days: int | None = None) -> DataFrame:
+    """One aggregate (AVG, SUM, MIN, MAX, COUNT, STDDEV) of one signal, over
+    all history or the last ``days``; only that signal's streams are read."""
+    meta = resolve_signal(h, asset, signal)
+    r = unified_readings(h, days=days, meta=meta, streams_by_feed=streams_of(meta))
+    return r.agg(AGGREGATES[agg.upper()]("numeric_value").cast("double").alias("value"), F.count(F.lit(1)).alias("readings")).select(
+        F.lit(asset).alias("asset"), F.lit(signal).alias("signal"), F.lit(agg.upper()).alias("agg"), "value", "readings")
 
 
 # --- step logs over the event table ------------------------------------------
@@ -220,9 +233,18 @@ def step_rollup(events: DataFrame, steps: list[str] = STEP_TYPES) -> DataFrame:
 
 def latest_step_log(events: DataFrame) -> DataFrame:
     """The latest row per (entity, step), ties broken by event id."""
-    g = events.groupBy("user_id", "event_type").agg(
-        F.max_by(F.struct("event_id", "ts", "value"), F.struct("ts", "event_id")).alias("last"))
-    return g.select("user_id", "event_type", "last.event_id", "last.ts", "last.value")
+    keys = ["user_id", "event_type"]
+    last = at_extreme(events, keys, "ts", F.max)  # hash aggregates on primitives
+    last = at_extreme(last, keys, "event_id", F.max)
+    return last.select(*keys, "event_id", "ts", "value")
+
+
+def at_extreme(df: DataFrame, keys: list[str], col: str, agg) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is the ``agg`` (max, min) of their key: a
+    map-side combined hash aggregate joined back, so that no task sorts its
+    readings. Rows with a NULL there drop out."""
+    best = df.groupBy(*keys).agg(agg(col).alias("_best"))
+    return df.join(best, keys).where(F.col(col) == F.col("_best")).drop("_best")
 
 
 def recent_events(events: DataFrame, n: int = RECENT_EVENTS) -> DataFrame:
@@ -235,22 +257,24 @@ def recent_events(events: DataFrame, n: int = RECENT_EVENTS) -> DataFrame:
 def avg_signal_by_asset(h) -> DataFrame:
     """Q1: average of each signal by asset."""
     r = unified_readings(h, meta=numeric_only(h), numeric_only=True)
-    return r.groupBy("signal", "asset").agg(round6(F.avg("numeric_value")).alias("avg_value"))
+    return r.groupBy("signal", "asset").agg(F.avg("numeric_value").alias("avg_value"))
 
 
 def top_asset_for_signal(h) -> DataFrame:
     """Q2: per signal name, the asset holding the highest reading."""
     r = unified_readings(h, meta=numeric_only(h), numeric_only=True).where(F.col("numeric_value").isNotNull())
-    g = r.groupBy("signal").agg(F.max_by(F.struct("asset", "numeric_value", "ts"),
-                                         F.struct("numeric_value", "asset", "ts", "row_id")).alias("top"))
-    return g.select("signal", "top.asset", round6(F.col("top.numeric_value")).alias("max_value"), "top.ts")
+    top = at_extreme(r.select("signal", "asset", "numeric_value", "ts"), ["signal"], "numeric_value", F.max)
+    # ties: the last asset, then the latest time
+    return top.groupBy("signal", "asset", "numeric_value").agg(F.max("ts").alias("ts")).withColumn(
+        "k", F.row_number().over(W.partitionBy("signal").orderBy(F.desc("asset")))).where("k = 1").select(
+        "signal", "asset", F.col("numeric_value").alias("max_value"), "ts")
 
 
 def total_over_time(h, unit: str = "day") -> DataFrame:
     """Q3: total of each signal per day (or hour)."""
     r = unified_readings(h, meta=numeric_only(h), numeric_only=True)
     return r.groupBy("asset", "signal", trunc_ntz(unit, F.col("ts")).alias("period")).agg(
-        round6(F.sum("numeric_value")).alias("total_value"), F.count(F.lit(1)).alias("readings"))
+        F.sum("numeric_value").alias("total_value"), F.count(F.lit(1)).alias("readings"))
 
 
 def quality_issue_count(h) -> DataFrame:
@@ -260,20 +284,27 @@ def quality_issue_count(h) -> DataFrame:
         F.count_if(F.col("is_questionable")).alias("questionable"), F.count(F.lit(1)).alias("readings"))
 
 
+def compare_assets(h, domain: str, unit: str = "hour") -> DataFrame:
+    """Q5, long form for any number of assets: mean per (signal, period, asset)."""
+    meta = numeric_only(h).where(F.col("domain") == domain)
+    r = unified_readings(h, meta=meta, numeric_only=True)
+    return r.groupBy("signal", trunc_ntz(unit, F.col("ts")).alias("period"), "asset").agg(F.avg("numeric_value").alias("avg_value"))
+
+
 def compare_across_assets(h, domain: str, assets: list[str], unit: str = "hour") -> DataFrame:
-    """Q5: each signal of ``domain`` side by side for its assets (one column
-    per asset; explicit pivot values, so no extra job)."""
+    """Q5: each signal of ``domain`` side by side for the given assets (one
+    column per asset; explicit pivot values, so no extra job)."""
     meta = numeric_only(h).where(F.col("domain") == domain)
     r = unified_readings(h, meta=meta, numeric_only=True)
     p = r.groupBy("signal", trunc_ntz(unit, F.col("ts")).alias("period")).pivot("asset", assets).agg(
         F.avg("numeric_value"))
-    return p.select("signal", "period", *[round6(F.col(f"`{a}`")).alias(a) for a in assets])
+    return p.select("signal", "period", *[F.col(f"`{a}`").alias(a) for a in assets])
 
 
 def latest_reading(h) -> DataFrame:
     """Q6: latest reading of every signal (ties by row id)."""
-    r = unified_readings(h)
-    g = r.groupBy("asset", "signal").agg(
-        F.max_by(F.struct("ts", "numeric_value", "string_value"), F.struct("ts", "row_id")).alias("last"))
-    return g.select("asset", "signal", "last.ts", round6(F.col("last.numeric_value")).alias("numeric_value"),
-                    "last.string_value")
+    r = unified_readings(h).select("asset", "signal", "ts", "row_id", "numeric_value", "string_value")
+    keys = ["asset", "signal"]
+    last = at_extreme(r, keys, "ts", F.max).withColumn(
+        "k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("row_id")))).where("k = 1")
+    return last.select(*keys, "ts", "numeric_value", "string_value")

@@ -1,11 +1,12 @@
 """Result store, share-back, key/value state, logs and exports
 (A8–A13, L6, L7).
 
-Tables are parquet folders under the shared checkpoint location. Replacing
-the rows of some keys is a *dynamic partition overwrite*: only partitions
-present in the new data are rewritten, the rest stay untouched, and task
-retries are handled by Spark's commit protocol. A plan never reads and
-overwrites the same path: deletes write a new version to a fresh folder.
+Tables are parquet folders under the shared checkpoint location, partitioned
+by a fixed number of hash buckets of their keys, however many keys there are.
+Replacing or deleting the rows of some keys rewrites the touched buckets only
+(a *dynamic partition overwrite* of rows staged elsewhere before, so a plan
+never reads and overwrites the same path); task retries are handled by Spark's
+commit protocol.
 """
 
 from __future__ import annotations
@@ -39,6 +40,60 @@ def as_results(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+class KeyedStore:
+    """A table in ``path`` whose rows are replaced and deleted by ``keys``."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], buckets: int = 64):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def _stored(self) -> DataFrame:
+        fs, p = self._fs(self.path)
+        schema = T.StructType(self.schema.fields + [T.StructField("bucket", T.IntegerType())])
+        if not fs.exists(p):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self._stored().select(*self.schema.fieldNames())
+
+    def replace(self, rows: DataFrame, keys: DataFrame | None = None) -> None:
+        """Clear the rows of ``keys`` (a table of key columns; default: the
+        keys in ``rows``) and add ``rows``. Keys without new rows end up empty,
+        all other keys stay as they are."""
+        names = self.schema.fieldNames()
+        rows = rows.select(*names)
+        given = rows.select(*self.keys) if keys is None else keys.select(*self.keys).unionByName(rows.select(*self.keys))
+        gone = workspace_dir(self.spark, "store-keys")
+        self._bucketed(given.distinct()).write.parquet(gone)
+        gone = self.spark.read.parquet(gone)
+        touched = [r["bucket"] for r in gone.select("bucket").distinct().collect()]  # at most the number of buckets
+        if not touched:
+            return
+        match = [F.col(f"o.{k}").eqNullSafe(F.col(f"g.{k}")) for k in self.keys]
+        old = self._stored().where(F.col("bucket").isin(touched)).alias("o").join(gone.drop("bucket").alias("g"), match, "left_anti")
+        staged = workspace_dir(self.spark, "store-staged")
+        merged = old.select(*names, "bucket").unionByName(self._bucketed(rows))
+        write_partitions(merged, staged, ["bucket"])
+        fs, p = self._fs(staged)
+        full = {int(s.getPath().getName().removeprefix("bucket=")) for s in fs.listStatus(p) if "=" in s.getPath().getName()}
+        if full:
+            schema = T.StructType(self.schema.fields + [T.StructField("bucket", T.IntegerType())])
+            write_partitions(self.spark.read.schema(schema).parquet(staged), self.path, ["bucket"])
+        for b in set(touched) - full:
+            fs, p = self._fs(f"{self.path}/bucket={b}")
+            fs.delete(p, True)
+
+    def delete(self, keys: DataFrame) -> None:
+        self.replace(self.spark.createDataFrame([], self.schema), keys)
+
+
 def write_partitions(df: DataFrame, path: str, keys: list[str], mode: str = "overwrite") -> None:
     """Write ``df`` partitioned by ``keys``; in overwrite mode only the
     partitions present in ``df`` are replaced (dynamic overwrite).
@@ -58,45 +113,50 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path).select(*[f.name for f in schema.fields])
 
 
+def result_store(spark: SparkSession, path: str | None = None) -> KeyedStore:
+    """The result store in ``path`` (default: a new one), by (model_type, asset, signal)."""
+    return KeyedStore(spark, path or workspace_dir(spark, "results"), RESULT_SCHEMA, RESULT_KEYS)
+
+
 def store_results(spark: SparkSession, results: DataFrame, path: str | None = None) -> DataFrame:
     """Write anomaly/forecast rows into a (new) result store and return the
     stored table: later copies and deletes read this table instead of
     recomputing the models."""
     path = path or workspace_dir(spark, "results")
-    write_partitions(as_results(results), path, RESULT_KEYS, "overwrite")
+    write_partitions(KeyedStore(spark, path, RESULT_SCHEMA, RESULT_KEYS)._bucketed(as_results(results)), path, ["bucket"])
     return read_table(spark, path, RESULT_SCHEMA)
 
 
 def result_store_replace(spark: SparkSession, initial: DataFrame, replacement: DataFrame,
-                         path: str | None = None) -> DataFrame:
-    """Store ``initial`` results, then replace the rows of every
-    (model_type, asset, signal) present in ``replacement``; other keys are
-    untouched. Returns the stored table."""
+                         path: str | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Store ``initial`` results, then replace the rows of ``keys``
+    (default: every (model_type, asset, signal) in ``replacement``); a key
+    without new rows is cleared, other keys are untouched. Returns the store."""
     path = path or workspace_dir(spark, "results")
-    write_partitions(as_results(initial), path, RESULT_KEYS, "overwrite")
-    write_partitions(as_results(replacement), path, RESULT_KEYS, "overwrite")
-    return read_table(spark, path, RESULT_SCHEMA)
+    store_results(spark, initial, path)
+    store = result_store(spark, path)
+    store.replace(as_results(replacement), keys)
+    return store.read()
 
 
-def reset_keys(spark: SparkSession, table: DataFrame, keep: F.Column, schema: T.StructType,
-               keys: list[str]) -> DataFrame:
-    """Delete rows by predicate — the kept rows are written as a new
-    version in a fresh folder (never read and overwrite one path)."""
-    path = workspace_dir(spark, "reset")
-    write_partitions(table.where(keep), path, keys, "overwrite")
-    return read_table(spark, path, schema)
+def reset_keys(store: KeyedStore, gone) -> DataFrame:
+    """Delete the rows of every key that has a row with ``gone`` true,
+    in the store itself."""
+    store.delete(store.read().where(gone).select(*store.keys).distinct())
+    return store.read()
 
 
 def share_back(spark: SparkSession, results: DataFrame, consumer: str, path: str | None = None,
                runs: int = 1) -> DataFrame:
     """Copy all results tagged with the consumer account, replacing that
-    consumer's previous copy (partition per consumer). Running it again
-    leaves the same rows."""
-    path = path or workspace_dir(spark, "share")
+    consumer's previous copy, also by an empty one. Running it again leaves
+    the same rows."""
+    store = KeyedStore(spark, path or workspace_dir(spark, "share"), SHARE_SCHEMA, ["consumer_account"])
     tagged = as_results(results).withColumn("consumer_account", F.lit(consumer))
+    own = spark.createDataFrame([(consumer,)], "consumer_account string")
     for _ in range(max(1, runs)):
-        write_partitions(tagged, path, ["consumer_account"], "overwrite")
-    return read_table(spark, path, SHARE_SCHEMA)
+        store.replace(tagged, own)
+    return store.read()
 
 
 def share_back_counts(shared: DataFrame) -> DataFrame:
@@ -106,14 +166,18 @@ def share_back_counts(shared: DataFrame) -> DataFrame:
         F.count_if(F.coalesce(F.col("is_anomaly"), F.lit(False))).alias("anomaly_count"))
 
 
-def state_upsert(current: DataFrame, updates: DataFrame, key: str = "key") -> DataFrame:
-    """A10: upsert by key, last write wins (``seq`` orders the writes);
-    ``updated_at`` is refreshed for written keys."""
-    cur = current.withColumn("_seq", F.lit(0))
-    upd = updates.withColumn("_seq", F.lit(1)).withColumn("updated_at", F.current_timestamp())
+def state_upsert(current: DataFrame, updates: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
+    """A10: upsert by key; of several updates of a key the one with the
+    greatest ``seq`` (a column that ``updates`` must have) wins, and any update
+    wins over the current row; ``updated_at`` is refreshed for written keys."""
+    if seq not in updates.columns:
+        raise ValueError(f"updates need a column {seq} that orders the writes")
+    cur = current.withColumn("_new", F.lit(0)).withColumn("_seq", F.lit(0).cast("long"))
+    upd = (updates.withColumn("_new", F.lit(1)).withColumn("_seq", F.col(seq).cast("long"))
+           .drop(*({seq} - set(current.columns))).withColumn("updated_at", F.current_timestamp()))
     both = cur.unionByName(upd, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(F.col("_seq").desc())
-    return both.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1).drop("_k", "_seq")
+    w = W.partitionBy(key).orderBy(F.desc("_new"), F.desc_nulls_last("_seq"), *[F.desc(c) for c in sorted(set(current.columns) - {key, "updated_at"})])
+    return both.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1).drop("_k", "_seq", "_new")
 
 
 def seed_if_absent(current: DataFrame, defaults: DataFrame, key: str = "key") -> DataFrame:

@@ -17,6 +17,8 @@ oracle("unified_readings", sql(select="""
 SELECT feed, stream, asset, signal, domain, unit, ts, numeric_value, string_value, is_questionable, row_id
 FROM readings"""))
 
+oracle("readings_table", ORACLE["unified_readings"])
+
 oracle("string_readings", sql(select="""
 SELECT feed, asset, signal, ts, string_value, row_id FROM readings WHERE string_value IS NOT NULL"""))
 
@@ -57,11 +59,10 @@ SELECT asset, signal, count(*) AS readings,
 FROM {windowed(7)} GROUP BY asset, signal"""))
 
 oracle("anomaly_candidates", sql(f"""
-scan AS (SELECT asset, signal FROM num_meta ORDER BY asset, signal LIMIT 20),
 st AS (SELECT r.asset, r.signal, count(*) AS readings, stddev_samp(numeric_value) AS sd, avg(numeric_value) AS av
-  FROM {windowed(7)} r JOIN scan USING (asset, signal) GROUP BY r.asset, r.signal)""", select="""
+  FROM {windowed(7)} r GROUP BY r.asset, r.signal)""", select="""
 SELECT asset, signal, readings, (floor((sd) * 1e6 + 0.5) / 1e6) AS stddev, (floor((coalesce(av, 0)) * 1e6 + 0.5) / 1e6) AS avg_value
-FROM st WHERE readings >= 50 AND coalesce(sd, 0) > 0 ORDER BY asset, signal LIMIT 10"""))
+FROM st WHERE readings >= 50 AND coalesce(sd, 0) > 0 ORDER BY sd DESC, asset, signal"""))
 
 # --- E2, E15, F3, F4, G -----------------------------------------------------
 from histospark.plans.oracle_base import r6  # noqa: E402
@@ -94,7 +95,7 @@ ivl AS (SELECT s.asset, s.signal, coalesce(CAST(med.med AS DOUBLE), 60.0) AS int
 
 oracle("sampling_interval", sql(_INTERVAL, select="SELECT asset, signal, interval_minutes FROM ivl"))
 
-_STEPS = "CAST(least(greatest(floor(1440.0 / interval_minutes), 1) * {h}, 5000) AS INTEGER)"
+_STEPS = "CAST(greatest(floor(1440.0 / interval_minutes), 1) * {h} AS INTEGER)"
 
 oracle("forecast_steps", sql(_INTERVAL, select=f"""
 SELECT asset, signal, interval_minutes, {_STEPS.format(h=7)} AS steps FROM ivl"""))
@@ -197,7 +198,7 @@ oracle("domain_stats", sql(select="SELECT domain, count(*) AS streams, count(DIS
 
 oracle("asset_stats", sql(select="""
 SELECT asset, domain, count(*) AS signals FROM meta GROUP BY asset, domain
-ORDER BY signals DESC, asset, domain LIMIT 200"""))
+ORDER BY signals DESC, asset, domain"""))
 
 oracle("kpi_summary", sql(select="""
 SELECT count(*) AS total_streams, count(DISTINCT asset) AS assets, count(DISTINCT domain) AS domains,
@@ -223,9 +224,9 @@ SELECT asset, signal, count(*) AS readings, {r6('min(numeric_value)')} AS min_va
 FROM t GROUP BY asset, signal"""))
 
 _TOPA = "topa AS (SELECT * FROM anom ORDER BY ts DESC, asset, signal LIMIT 5000)"
-oracle("anomaly_kpis", sql(ANOM, _TOPA, select="""
+oracle("anomaly_kpis", sql(ANOM, select="""
 SELECT count(*) AS rows_analyzed, count(*) FILTER (WHERE is_anomaly) AS anomalies,
-       count(DISTINCT (asset, signal)) AS signals_analyzed FROM topa"""))
+       count(DISTINCT (asset, signal)) AS signals_analyzed FROM anom"""))
 
 oracle("anomaly_counts", sql(ANOM, select="""
 SELECT asset, signal, count(*) AS scored_rows, count(*) FILTER (WHERE is_anomaly) AS anomalies FROM anom GROUP BY asset, signal"""))
@@ -248,20 +249,15 @@ UNION ALL SELECT DISTINCT 'signal', signal, CAST(NULL AS VARCHAR), CAST(NULL AS
 oracle("feed_freshness", sql(FT, """
 lt AS (SELECT feed, max(ts) AS latest FROM ft GROUP BY feed),
 fj AS (SELECT m.feed, lt.latest,
-              coalesce(date_diff('hour', lt.latest, TIMESTAMP '2024-01-31 00:00:00'), -1) AS hours_stale
+              coalesce(greatest(date_diff('hour', lt.latest, TIMESTAMP '2024-01-31 00:00:00'), 0), -1) AS hours_stale
        FROM (SELECT DISTINCT feed FROM meta) m LEFT JOIN lt ON lt.feed = m.feed)""", select="""
 SELECT feed, latest, hours_stale, hours_stale > 48 AS is_stale, max(hours_stale) OVER () AS fleet_max_hours,
        CAST(floor(max(hours_stale) OVER () / 24) AS BIGINT) AS fleet_max_days FROM fj"""))
 
-oracle("bundle_lists", sql("""
-per AS (SELECT feed, stream, count(numeric_value) AS n_num FROM readings GROUP BY feed, stream),
-bs AS (SELECT m.feed, m.stream, coalesce(per.n_num, 0) > 0 AS bundled
-       FROM meta m LEFT JOIN per ON per.feed = m.feed AND per.stream = m.stream)""", select="""
-SELECT feed,
-       coalesce(array_to_string(list_sort(list(stream) FILTER (WHERE bundled)), ','), '') AS bundled_streams,
-       coalesce(array_to_string(list_sort(list(stream) FILTER (WHERE NOT bundled)), ','), '') AS not_bundled_streams,
-       count(*) FILTER (WHERE bundled) AS bundled_count, count(*) FILTER (WHERE NOT bundled) AS not_bundled_count
-FROM bs GROUP BY feed"""))
+oracle("bundle_lists", sql(select="""
+SELECT m.feed, m.stream, coalesce(b.bundled, false) AS bundled FROM smap m
+LEFT JOIN (SELECT feed, stream, bool_or(numeric_value IS NOT NULL) AS bundled FROM r_all GROUP BY feed, stream) b
+  ON b.feed = m.feed AND b.stream = m.stream"""))
 
 _STEPS_SQL = """
 done AS (SELECT user_id, event_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts
@@ -294,7 +290,10 @@ SELECT event_id, ts, event_type, user_id, props FROM events ORDER BY ts DESC, ev
 oracle("ordered_metadata", sql(select="""
 SELECT feed, stream, asset_path, asset, signal, domain, data_type FROM meta ORDER BY domain, asset, signal"""))
 
-oracle("distinct_streams", sql(select='SELECT DISTINCT "Field" AS stream FROM f_long'))
+oracle("distinct_streams", sql(select="""
+SELECT 'stream' AS kind, feed, stream AS name, CAST(NULL AS VARCHAR) AS domain FROM smap
+UNION ALL SELECT DISTINCT 'asset', NULL, asset, domain FROM meta
+UNION ALL SELECT DISTINCT 'signal', NULL, signal, NULL FROM meta"""))
 
 oracle("avg_signal_by_asset", sql(select=f"""
 SELECT signal, asset, {r6('avg(numeric_value)')} AS avg_value FROM {_NUM} GROUP BY signal, asset"""))
@@ -366,20 +365,20 @@ SELECT fl.feed, fl.feed_ord, CASE fl.feed_ord WHEN 1 THEN 'LONG' WHEN 2 THEN 'WI
 FROM {FEED_NAMES} WHERE fl.feed IN (SELECT feed FROM meta)"""))
 
 oracle("missing_keys", sql(select="""
-SELECT feed, stream, asset_path, asset, signal, domain, data_type FROM meta m
-WHERE NOT EXISTS (SELECT 1 FROM readings r JOIN feed_max fm ON r.feed = fm.feed
-                  WHERE r.ts >= fm.max_ts - INTERVAL 7 DAY AND r.asset = m.asset AND r.signal = m.signal)"""))
+SELECT 'signal' AS kind, signal AS key, asset FROM meta m
+WHERE NOT EXISTS (SELECT 1 FROM readings r WHERE r.ts >= (SELECT max(max_ts) FROM feed_max) - INTERVAL 7 DAY
+                                             AND r.asset = m.asset AND r.signal = m.signal)
+UNION ALL SELECT 'state', 'SEMANTIC_VIEW_CREATED', NULL"""))
 
 oracle("history_forecast_align", sql(*forecast_ctes(), f"""
-hist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset, signal ORDER BY ts DESC, row_id DESC) AS k
-         FROM {_NUM}) WHERE k <= 2000)""", select=f"""
+hist AS (SELECT * FROM {_NUM})""", select=f"""
 SELECT coalesce(h.asset, f.asset) AS asset, coalesce(h.signal, f.signal) AS signal, coalesce(h.ts, f.ts) AS ts,
        {r6('h.numeric_value')} AS historical, f.forecast_value AS forecast, f.lower_bound, f.upper_bound
 FROM hist h FULL OUTER JOIN fcout f ON h.asset = f.asset AND h.signal = f.signal AND h.ts = f.ts"""))
 
 # --- B: parsing views ------------------------------------------------------------------
-from histospark.functions.names import KEY_PATTERN  # noqa: E402
-from histospark.functions.redact import REDACTION_RULES  # noqa: E402
+
+KEY_PATTERN = "^[A-Za-z0-9_]+$"
 from histospark.plans.oracle_base import UNIT_RE, UUID_RE, clean, domain_case, numeric, unit_of  # noqa: E402
 
 
@@ -394,15 +393,15 @@ def clean_alias_sql(x: str) -> str:
 
 oracle("clean_signal_name", sql(select=f"SELECT feed, stream, {clean('stream')} AS clean_name FROM cand"))
 oracle("parse_long_field", sql(select="SELECT feed, stream, asset, signal FROM cand WHERE format = 'LONG'"))
-oracle("parse_wide_column", sql(select="SELECT feed, stream, asset, signal FROM cand WHERE format = 'WIDE'"))
+oracle("parse_wide_column", sql(select="""
+SELECT feed, stream, asset, signal, (SELECT count(*) FROM f_wide) AS feed_rows FROM cand WHERE format = 'WIDE'"""))
 oracle("extract_unit", sql(select=f"SELECT feed, stream, {unit_of('stream')} AS unit FROM cand"))
 oracle("clean_alias", sql(select=f"SELECT feed, stream, {clean_alias_sql('stream')} AS alias FROM cand"))
 oracle("domain_classify", sql(select=f"SELECT feed, stream, asset, signal, {domain_case('asset', 'signal')} AS domain FROM cand"))
 oracle("dedupe_signals", sql(select="SELECT feed, stream, asset, signal, data_type FROM meta"))
 oracle("domain_distribution", sql(select="SELECT domain, count(*) AS streams FROM meta GROUP BY domain"))
-oracle("numeric_coercion", sql(select=f"""
-SELECT row_id, {numeric('"Value"')} AS numeric_value, {numeric('"Value"')} IS NOT NULL AS is_numeric
-FROM f_long WHERE "Value" IS NOT NULL"""))
+oracle("numeric_coercion", sql(select="""
+SELECT feed, stream, row_id, numeric_value, numeric_value IS NOT NULL AS is_numeric FROM readings"""))
 
 _COLS = [  # feed, feed_ord, col_ord, column, model class (NULL = not modelled)
     (LONG_FEED, 1, 1, "Timestamp", None), (LONG_FEED, 1, 2, "Field", "DIMENSION"),
@@ -438,12 +437,12 @@ sem0 AS (SELECT feed, feed_ord, col_ord, column_name,
          FROM mcols),
 sem AS (SELECT feed, table_alias, column_name,
                CASE WHEN k = 1 THEN base_alias ELSE base_alias || '_' || CAST(k AS VARCHAR) END AS alias, role, unit,
-               CASE WHEN column_name = 'Timestamp' THEN 'Measurement timestamp'
-                    WHEN column_name = 'Field' THEN 'Signal/tag field name'
-                    WHEN column_name = 'Name' THEN 'Asset or sensor name'
-                    WHEN column_name = 'Uom' THEN 'Unit of measurement'
-                    WHEN column_name = 'Value' THEN CASE WHEN model_class = 'FACT' THEN 'Numeric sensor reading'
-                                                         ELSE 'Sensor reading (string)' END
+               CASE WHEN column_name = 'Timestamp' THEN 'When the value was recorded'
+                    WHEN column_name = 'Field' THEN 'Historian tag the value belongs to'
+                    WHEN column_name = 'Name' THEN 'Short name of the asset'
+                    WHEN column_name = 'Uom' THEN 'Physical unit of the value'
+                    WHEN column_name = 'Value' THEN CASE WHEN model_class = 'FACT' THEN 'The recorded number'
+                                                         ELSE 'The recorded text' END
                     WHEN model_class = 'FACT' THEN replace(regexp_replace(column_name, '{UUID_RE}', '', 'g'), '''', '')
                          || CASE WHEN unit IS NOT NULL THEN ' (' || unit || ')' ELSE '' END
                     ELSE replace(regexp_replace(column_name, '{UUID_RE}', '', 'g'), '''', '') END AS comment
@@ -567,9 +566,9 @@ UNION ALL SELECT * FROM (VALUES ('VIEW_PATTERN', '%'), ('ACCESS_REGION', 'PUBLIC
 WHERE d.key NOT IN (SELECT key FROM state)"""))
 
 oracle("append_log", """
-SELECT user_id AS entity, 'error' AS step, 'ERROR' AS status, ts AS step_ts, event_id FROM events WHERE event_type = 'error'
-UNION ALL
-SELECT user_id, 'error', 'ERROR', ts, event_id FROM events WHERE event_type = 'error'""")
+SELECT user_id AS entity, event_type AS step, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'COMPLETE' END AS status,
+       ts AS step_ts, event_id
+FROM events, (VALUES (1), (2)) t(n)""")
 
 oracle("reset_keys", sql(ANOM, *forecast_ctes(), RESULTS, select=f"SELECT {_RES_COLS} FROM results WHERE asset <> 'GE01'"))
 
@@ -586,6 +585,21 @@ SELECT asset, signal, ts, {r6('numeric_value')} AS numeric_value, row_id FROM (
   SELECT *, row_number() OVER (PARTITION BY asset, signal ORDER BY ts DESC, row_id DESC) AS k FROM readings)
 WHERE k <= 500"""))
 
+oracle("one_signal_readings", sql(select=f"""
+SELECT asset, signal, ts, {r6('numeric_value')} AS numeric_value, row_id FROM readings
+WHERE asset = 'GE01' AND signal = 'Expected Power'"""))
+
+oracle("signal_query", sql(select=f"""
+SELECT 'GE01' AS asset, 'Expected Power' AS signal, 'MAX' AS agg, {r6('max(numeric_value)')} AS value, count(*) AS readings
+FROM readings WHERE asset = 'GE01' AND signal = 'Expected Power'"""))
+
+oracle("semantic_select_long", sql(select=f"""
+SELECT "Field" AS "FIELD", {r6('max(' + numeric('"Value"') + ')')} AS "SENSOR_VALUE" FROM f_long GROUP BY 1"""))
+
+oracle("compare_assets", sql(select=f"""
+SELECT signal, date_trunc('hour', ts) AS period, asset, {r6('avg(numeric_value)')} AS avg_value FROM {_NUM}
+WHERE domain = 'rotating_machinery' GROUP BY ALL"""))
+
 oracle("lookback_filter", sql(select="""
 SELECT r.feed, r.asset, r.signal, r.ts, r.numeric_value, r.row_id
 FROM readings r JOIN feed_max fm ON r.feed = fm.feed WHERE r.ts >= fm.max_ts - INTERVAL 7 DAY"""))
@@ -605,8 +619,8 @@ dict AS (
   UNION ALL
   SELECT field, 'Metadata', description, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
          CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(0 AS BIGINT)
-  FROM (VALUES ('Timestamp', 'Measurement timestamp'), ('Value', 'Sensor reading'), ('Field', 'Signal/tag field name'),
-               ('Name', 'Asset or sensor name'), ('Uom', 'Unit of measurement')) s(field, description))"""
+  FROM (VALUES ('Timestamp', 'When the value was recorded'), ('Value', 'The recorded value'), ('Field', 'Historian tag the value belongs to'),
+               ('Name', 'Short name of the asset'), ('Uom', 'Physical unit of the value')) s(field, description))"""
 
 oracle("data_dictionary", sql(DICT, select="SELECT * FROM dict"))
 oracle("dictionary_search", sql(DICT, select="""
@@ -614,16 +628,34 @@ SELECT * FROM dict WHERE coalesce(contains(lower(field), 'pressure'), false)
                       OR coalesce(contains(lower(description), 'pressure'), false)"""))
 
 
+# Written out for this engine, which has no look-around: the neighbours of a
+# number are captured and put back, and a second pass finds numbers that share
+# one. (kind, pattern, replacement, tag)
+_N, _E = "(^|[^0-9])", "($|[^0-9])"
+REDACTIONS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "[EMAIL]", "[EMAIL]"),
+    ("ssn", _N + "[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E, r"\1[SSN]\2", "[SSN]"),
+    ("phone", _N + r"(?:\+[0-9]{1,3}[ .-]?(?:\(?[0-9]{1,4}\)?[ .-]?){2,4}[0-9]{2,4}"
+     r"|(?:[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4})" + _E, r"\1[PHONE]\2", "[PHONE]"),
+]
+
+
+def _redact_one(x: str, pattern: str, to: str) -> str:
+    for _ in range(1 if to.startswith("[") else 2):
+        x = f"regexp_replace({x}, {_s(pattern)}, {_s(to)}, 'g')"
+    return x
+
+
 def redact_sql(x: str) -> str:
-    for _, pattern, tag in REDACTION_RULES:
-        x = f"regexp_replace({x}, {_s(pattern)}, {_s(tag)}, 'g')"
+    for _, pattern, to, _ in REDACTIONS:
+        x = _redact_one(x, pattern, to)
     return x
 
 
 oracle("log_events", f"""
 SELECT conv_id, turn, 'QUERY_' || upper(role) AS event_type,
        CAST(json_object('conv_id', conv_id, 'turn', turn, 'chars', length(text)) AS VARCHAR) AS event_data,
-       CASE WHEN length(coalesce(text, '')) > 0 THEN {redact_sql('substr(text, 1, 1000)')} END AS redacted_query
+       CASE WHEN length(coalesce(text, '')) > 0 THEN {"substr(" + redact_sql('text') + ", 1, 1000)"} END AS redacted_query
 FROM conversations""")
 
 oracle("redact_text", f"SELECT doc_id, source, {redact_sql('text')} AS redacted_text FROM documents")
@@ -631,18 +663,23 @@ oracle("redact_text", f"SELECT doc_id, source, {redact_sql('text')} AS redacted_
 
 def _stages_sql() -> str:
     cols, x = [], "text"
-    for kind, pattern, tag in REDACTION_RULES:
-        cols.append(f"len(regexp_extract_all({x}, {_s(pattern)})) AS {kind}")
-        x = f"regexp_replace({x}, {_s(pattern)}, {_s(tag)}, 'g')"
+    found = lambda t, tag: f"len(regexp_extract_all({t}, {_s(chr(92) + tag[:-1] + chr(92) + ']')}))"
+    for kind, pattern, to, tag in REDACTIONS:
+        after = _redact_one(x, pattern, to)
+        cols.append(f"{found(after, tag)} - {found(x, tag)} AS {kind}")
+        x = after
     return ", ".join(cols)
 
 
 oracle("redaction_counts", f"""
 WITH per AS (SELECT source, {_stages_sql()} FROM documents)
-SELECT source, {", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}_count" for k, _, _ in REDACTION_RULES)},
+SELECT source, {", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}_count" for k, _, _, _ in REDACTIONS)},
        count(*) AS documents FROM per GROUP BY source""")
 
-oracle("health_check", sql(SEM, STATE, FT, """
+# The state as stored before the third feed and the semantic model existed.
+_STORED = """state AS (SELECT * FROM (VALUES ('VIEWS_INITIALIZED', 'TRUE'), ('VIEW_COUNT', '2'), ('STREAM_COUNT', '40'),
+  ('METADATA_DISCOVERED', 'TRUE'), ('DOMAIN_DISTRIBUTION', '{}')) v(key, value))"""
+oracle("health_check", sql(SEM, _STORED, FT, """
 lt AS (SELECT feed, max(ts) AS latest FROM ft GROUP BY feed),
 fr AS (SELECT m.feed, coalesce(date_diff('hour', lt.latest, TIMESTAMP '2024-01-31 00:00:00'), -1) > 48 AS is_stale
        FROM (SELECT DISTINCT feed FROM meta) m LEFT JOIN lt ON lt.feed = m.feed),

@@ -5,10 +5,18 @@ engine). Every oracle query starts with ``WITH`` + :data:`BASE`.
 
 from __future__ import annotations
 
-from histospark.functions.names import DEFAULT_DOMAIN, DOMAIN_KEYWORDS
 from histospark.sources.fixtures import (CLASSIC_FEED, LONG_FEED, W_ACTIVE, W_BLADE, W_EXPECTED,
                                          W_REVENUE, W_STATE, WIDE_FEED)
 
+# Domain keywords, written out here so that the check does not share the
+# operator's table (fixed values, first matching domain wins).
+DOMAINS = [
+    ("wind_energy", "wind turbine hornsea ge0 ge1 yorkshire wind_speed wind_direction pitch_angle vane_position gearbox "
+                    "hub_temp eaf active~power apparent~power expected~power revenue total~power total~turbines"),
+    ("rotating_machinery", "rotating ps0 ps1 ps2 ps3 ps4 ps5 ps6 bearing suction discharge pump"),
+    ("production_quality", "plant pq. concentration granule dissolv ingredient agitator"),
+    ("packaging", "pack line carb chill warmer running refrigerant"),
+]
 UUID_RE = r"\.[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 UNIT_RE = r"\s*\([^)]*\)\s*$"
 
@@ -36,14 +44,15 @@ def unit_of(x: str) -> str:
 
 def domain_case(a: str, sig: str) -> str:
     parts = []
-    for dom, keys in DOMAIN_KEYWORDS:
-        cond = " OR ".join(f"contains(lower({a}), {s(k)}) OR contains(lower({sig}), {s(k)})" for k in keys)
+    for dom, keys in DOMAINS:
+        words = [k.replace("~", " ") for k in keys.split()]
+        cond = " OR ".join(f"contains(lower({a}), {s(k)}) OR contains(lower({sig}), {s(k)})" for k in words)
         parts.append(f"WHEN {cond} THEN {s(dom)}")
-    return "CASE " + " ".join(parts) + f" ELSE {s(DEFAULT_DOMAIN)} END"
+    return "CASE " + " ".join(parts) + f" ELSE 'general' END"
 
 
 def numeric(x: str) -> str:
-    return f"CASE WHEN isnan(TRY_CAST({x} AS DOUBLE)) THEN NULL ELSE TRY_CAST({x} AS DOUBLE) END"
+    return f"CASE WHEN isfinite(TRY_CAST({x} AS DOUBLE)) THEN TRY_CAST({x} AS DOUBLE) END"
 
 
 _WIDE_COLS = [(2, W_ACTIVE, "NUMERIC"), (3, W_EXPECTED, "NUMERIC"), (4, W_REVENUE, "NUMERIC"),
@@ -107,16 +116,16 @@ cand AS (
   FROM cand_wide
   UNION ALL
   SELECT '{CLASSIC_FEED}', 3, 2, '{CLASSIC_FEED}', 'NUMERIC', 'CLASSIC', '{CLASSIC_FEED}', 'VALUE'),
-meta AS (
+smap AS (
   SELECT feed, stream, asset AS asset_path, asset, signal, {domain_case("asset", "signal")} AS domain,
          data_type, CASE WHEN format <> 'CLASSIC' THEN {unit_of("stream")} END AS unit,
-         feed_ord, col_ord, format
-  FROM (SELECT *, row_number() OVER (PARTITION BY asset, signal ORDER BY feed_ord, col_ord, stream) AS k FROM cand)
-  WHERE k = 1)"""
+         feed_ord, col_ord, format, k
+  FROM (SELECT *, row_number() OVER (PARTITION BY asset, signal ORDER BY feed_ord, col_ord, stream) AS k FROM cand)),
+meta AS (SELECT * EXCLUDE (k) FROM smap WHERE k = 1)"""
 
 _wide_num = "\n  UNION ALL\n  ".join(
     f"SELECT '{WIDE_FEED}' AS feed, {s(c)} AS stream, \"Timestamp\" AS ts, CAST({q(c)} AS VARCHAR) AS raw_value, "
-    f"CASE WHEN isnan({q(c)}) THEN NULL ELSE {q(c)} END AS numeric_value, CAST(NULL AS VARCHAR) AS uom, "
+    f"CASE WHEN isfinite({q(c)}) THEN {q(c)} END AS numeric_value, CAST(NULL AS VARCHAR) AS uom, "
     f"CAST(NULL AS BOOLEAN) AS is_questionable, row_id FROM f_wide WHERE {q(c)} IS NOT NULL"
     for _, c, t in _WIDE_COLS if t == "NUMERIC")
 _wide_txt = "\n  UNION ALL\n  ".join(
@@ -136,13 +145,13 @@ r_all AS (
   {_wide_txt}
   UNION ALL
   SELECT '{CLASSIC_FEED}', '{CLASSIC_FEED}', "Timestamp", CAST("Value" AS VARCHAR),
-         CASE WHEN isnan("Value") THEN NULL ELSE "Value" END, CAST(NULL AS VARCHAR), "IsQuestionable", row_id
+         CASE WHEN isfinite("Value") THEN "Value" END, CAST(NULL AS VARCHAR), "IsQuestionable", row_id
   FROM f_classic WHERE "Value" IS NOT NULL),
 readings AS (
   SELECT r.feed, r.stream, m.asset, m.signal, m.domain, coalesce(r.uom, m.unit) AS unit, r.ts, r.raw_value,
          r.numeric_value, CASE WHEN r.numeric_value IS NULL THEN r.raw_value END AS string_value,
          r.is_questionable, r.row_id, m.data_type
-  FROM r_all r JOIN meta m ON r.feed = m.feed AND r.stream = m.stream),
+  FROM r_all r JOIN smap m ON r.feed = m.feed AND r.stream = m.stream),
 feed_max AS (
   SELECT '{LONG_FEED}' AS feed, max("Timestamp") AS max_ts FROM f_long
   UNION ALL SELECT '{WIDE_FEED}', max("Timestamp") FROM f_wide

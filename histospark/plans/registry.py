@@ -7,14 +7,15 @@ the whole driver tables (no subsets); the SQL twin of every entry lives in
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histospark.functions.names import round6
 
 from histospark.context import Historian
+from histospark.functions.names import round6
 from histospark.operators import anomaly as A
 from histospark.operators import metadata as M
 from histospark.operators import readings as R
@@ -22,9 +23,14 @@ from histospark.operators import readings as R
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to 6 decimals, as the SQL twins do; the operators return full doubles."""
+    return df.select(*[round6(F.col(f"`{c}`")).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
 def query(name: str):
     def deco(fn: Callable[[Historian], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir, _fn=fn: _fn(Historian.for_fixtures(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir, _fn=fn: rounded(_fn(Historian.for_fixtures(spark, sf_dir)))
         return fn
     return deco
 
@@ -45,6 +51,14 @@ def q_unified_readings(h: Historian) -> DataFrame:
     return R.unified_readings(h).select(*_READ_OUT)
 
 
+@query("readings_table")
+def q_readings_table(h: Historian) -> DataFrame:
+    """The unified readings, read from the table by feed and day."""
+    own = Historian(h.spark, h._sources, sf_dir=h.sf_dir)
+    own.materialise(unit="year")
+    return R.unified_readings(own).select(*_READ_OUT)
+
+
 @query("string_readings")
 def q_string_readings(h: Historian) -> DataFrame:
     return (R.unified_readings(h).where(F.col("string_value").isNotNull())
@@ -54,7 +68,7 @@ def q_string_readings(h: Historian) -> DataFrame:
 # --- F: windows / anomalies ---------------------------------------------------
 @query("detect_anomalies")
 def q_detect_anomalies(h: Historian) -> DataFrame:
-    return A.detect_anomalies(h, lookback=7)
+    return _anomalies(h)
 
 
 @query("rolling_stats")
@@ -63,18 +77,18 @@ def q_rolling_stats(h: Historian) -> DataFrame:
     rolled = A.rolling_stats(r.select("asset", "signal", "ts", "row_id", "numeric_value", "n_readings"),
                              ["asset", "signal"], h=h)
     return rolled.select("asset", "signal", "ts", "row_id",
-                         round6("rolling_avg").alias("rolling_avg"),
-                         round6("rolling_std").alias("rolling_std"))
+                         F.col("rolling_avg").alias("rolling_avg"),
+                         F.col("rolling_std").alias("rolling_std"))
 
 
 @query("signal_stats")
 def q_signal_stats(h: Historian) -> DataFrame:
-    return A.signal_window_stats(h, lookback=7)
+    return A.signal_window_stats(h, lookback=7, as_of=h.feed_max_ts())
 
 
 @query("anomaly_candidates")
 def q_anomaly_candidates(h: Historian) -> DataFrame:
-    return A.anomaly_candidates(h, lookback=7)
+    return A.anomaly_candidates(h, lookback=7, as_of=h.feed_max_ts())
 
 
 # --- E2, E15, F3, F4, G: series, gaps, forecasts ----------------------------
@@ -105,8 +119,8 @@ def q_sampling_interval(h: Historian) -> DataFrame:
 @query("holt_fit")
 def q_holt_fit(h: Historian) -> DataFrame:
     f = G.holt_fit(G.numeric_readings(h))
-    return f.select("asset", "signal", "train_rows", "last_ts", round6("level").alias("level"),
-                    round6("trend").alias("trend"), round6("residual_std").alias("residual_std"))
+    return f.select("asset", "signal", "train_rows", "last_ts", F.col("level").alias("level"),
+                    F.col("trend").alias("trend"), F.col("residual_std").alias("residual_std"))
 
 
 @query("forecast_steps")
@@ -128,7 +142,7 @@ def q_auto_forecast_signal(h: Historian) -> DataFrame:
 
 @query("data_sufficiency")
 def q_data_sufficiency(h: Historian) -> DataFrame:
-    return G.data_sufficiency(h, lookback=7)
+    return G.data_sufficiency(h, lookback=7, as_of=h.feed_max_ts())
 
 
 # --- E, H, Q: aggregates, top-k, sample questions -----------------------------
@@ -142,7 +156,8 @@ def _events(h: Historian) -> DataFrame:
 
 
 def _anomalies(h: Historian) -> DataFrame:
-    return A.detect_anomalies(h, lookback=7)
+    """Last week of each feed: the fixture feeds end years apart."""
+    return A.detect_anomalies(h, lookback=7, as_of=h.feed_max_ts())
 
 
 @query("feed_volume")
@@ -193,8 +208,11 @@ def q_event_usage(h): return S.event_usage(_events(h))
 def q_schema_inventory(h): return S.schema_inventory(h.metadata)
 
 
+FRESHNESS_AS_OF = _dt.datetime(2024, 1, 31)
+
+
 @query("feed_freshness")
-def q_feed_freshness(h): return S.feed_freshness(h)
+def q_feed_freshness(h): return S.feed_freshness(h, FRESHNESS_AS_OF)
 
 
 @query("bundle_lists")
@@ -228,7 +246,12 @@ def q_ordered_metadata(h):
 
 @query("distinct_streams")
 def q_distinct_streams(h):
-    return h.feed("rotatingmachine_fixed_26q1").df.select(F.col("Field").alias("stream")).distinct()
+    """Streams of every feed (read from the data), (asset, domain) pairs and signal names."""
+    none = F.lit(None).cast("string")
+    streams = _cands(h).select(F.lit("stream").alias("kind"), "feed", F.col("stream").alias("name"), none.alias("domain"))
+    assets = h.metadata.select(F.lit("asset").alias("kind"), none.alias("feed"), F.col("asset").alias("name"), "domain").distinct()
+    signals = h.metadata.select(F.lit("signal").alias("kind"), none.alias("feed"), F.col("signal").alias("name"), none.alias("domain")).distinct()
+    return streams.unionByName(assets).unionByName(signals)
 
 
 @query("avg_signal_by_asset")
@@ -301,16 +324,16 @@ def q_queryable_feeds(h): return C.queryable_feeds(h)
 
 
 @query("missing_keys")
-def q_missing_keys(h): return C.missing_keys(h, 7)
-
-
-HISTORY_ROWS = 2000
+def q_missing_keys(h):
+    """Required state keys that are missing, and signals that fell silent."""
+    state = HL.missing_state_keys(_stored_state(h)).select(F.lit("state").alias("kind"), "key", F.lit(None).cast("string").alias("asset"))
+    silent = C.silent_signals(h, 7).select(F.lit("signal").alias("kind"), F.col("signal").alias("key"), "asset")
+    return state.unionByName(silent)
 
 
 @query("history_forecast_align")
 def q_history_forecast_align(h):
-    hist = G.last_n(G.numeric_readings(h), HISTORY_ROWS)
-    return C.history_forecast_align(hist, G.forecast(h, horizon=7))
+    return C.history_forecast_align(G.numeric_readings(h), G.forecast(h, horizon=7))
 
 
 @query("asset_hierarchy")
@@ -343,9 +366,9 @@ def q_parse_long_field(h):
 
 @query("parse_wide_column")
 def q_parse_wide_column(h):
-    c = _cands(h).where(F.col("format") == "WIDE")
+    c = M.stream_candidates(h.spark, h.feeds, volumes=True).where(F.col("format") == "WIDE")
     a, s = N.parse_wide_column(F.col("stream"), F.col("feed"))
-    return c.select("feed", "stream", a.alias("asset"), s.alias("signal"))
+    return c.select("feed", "stream", a.alias("asset"), s.alias("signal"), F.col("n_readings").alias("feed_rows"))
 
 
 @query("extract_unit")
@@ -375,9 +398,8 @@ def q_domain_distribution(h): return M.domain_distribution(h.metadata)
 
 @query("numeric_coercion")
 def q_numeric_coercion(h):
-    f = h.feed(LONG_FEED).df.where(F.col("Value").isNotNull())
-    v = N.numeric_of(F.col("Value"))
-    return f.select("row_id", v.alias("numeric_value"), v.isNotNull().alias("is_numeric"))
+    r = R.unified_readings(h)  # every feed shape
+    return r.select("feed", "stream", "row_id", "numeric_value", F.col("numeric_value").isNotNull().alias("is_numeric"))
 
 
 @query("semantic_model")
@@ -447,7 +469,7 @@ def q_feed_preview(h):
 
 
 def _results(h):
-    return TB.as_results(A.detect_anomalies(h, lookback=7)).unionByName(TB.as_results(G.forecast(h, horizon=7)))
+    return TB.as_results(_anomalies(h)).unionByName(TB.as_results(G.forecast(h, horizon=7)))
 
 
 REPLACED_ASSET = "GE01"
@@ -455,7 +477,7 @@ REPLACED_ASSET = "GE01"
 
 @query("result_store_replace")
 def q_result_store_replace(h):
-    meta = h.metadata.where(F.col("asset") == REPLACED_ASSET).where(F.col("data_type").isin(A.NUMERIC_TYPES))
+    meta = h.streams.where(F.col("asset") == REPLACED_ASSET).where(F.col("data_type").isin(A.NUMERIC_TYPES))
     return TB.result_store_replace(h.spark, _results(h), G.forecast(h, horizon=14, meta=meta))
 
 
@@ -468,11 +490,18 @@ def _state(h):
     return HL.app_state(h, M.semantic_model(h.spark, h.feeds, h.metadata))
 
 
+def _stored_state(h):
+    """State as it was stored before the last feed came and before the
+    semantic model was made: the checks see a drift and a missing key."""
+    feeds = fixture_feeds(h.spark, h.sf_dir)
+    return HL.app_state(Historian(h.spark, {k: feeds[k] for k in list(feeds)[:-1]}, sf_dir=h.sf_dir))
+
+
 @query("state_upsert")
 def q_state_upsert(h):
     previous = h.spark.createDataFrame([("STREAM_COUNT", "0"), ("METADATA_DISCOVERED", "FALSE"),
                                         ("LAST_ERROR", "none")], "key string, value string")
-    return TB.state_upsert(previous, _state(h)).select("key", "value")
+    return TB.state_upsert(previous, _state(h).withColumn("seq", F.lit(1))).select("key", "value")
 
 
 CONFIG_DEFAULTS = [("VIEW_PATTERN", "%"), ("ACCESS_REGION", "PUBLIC.AWS_US_WEST_2"), ("STREAM_COUNT", "0")]
@@ -486,16 +515,18 @@ def q_seed_if_absent(h):
 
 @query("append_log")
 def q_append_log(h):
-    rows = _events(h).where(F.col("event_type") == "error").select(
-        F.col("user_id").alias("entity"), F.lit("error").alias("step"), F.lit("ERROR").alias("status"),
+    rows = _events(h).select(
+        F.col("user_id").alias("entity"), F.col("event_type").alias("step"),
+        F.when(F.col("event_type") == "error", "ERROR").otherwise("COMPLETE").alias("status"),
         F.col("ts").alias("step_ts"), "event_id")
     return TB.append_log(h.spark, rows, times=2).select("entity", "step", "status", "step_ts", "event_id")
 
 
 @query("reset_keys")
 def q_reset_keys(h):
-    stored = TB.store_results(h.spark, _results(h))
-    return TB.reset_keys(h.spark, stored, F.col("asset") != REPLACED_ASSET, TB.RESULT_SCHEMA, TB.RESULT_KEYS)
+    store = TB.result_store(h.spark)
+    TB.store_results(h.spark, _results(h), store.path)
+    return TB.reset_keys(store, F.col("asset") == REPLACED_ASSET)
 
 
 CONSUMER = "CONSUMER_ACCOUNT_1"
@@ -521,17 +552,42 @@ SIGNAL_ROWS = 500
 def q_signal_readings(h):
     r = R.unified_readings(h)
     t = G.last_n(r, SIGNAL_ROWS)
-    return t.select("asset", "signal", "ts", round6("numeric_value").alias("numeric_value"), "row_id")
+    return t.select("asset", "signal", "ts", F.col("numeric_value").alias("numeric_value"), "row_id")
+
+
+ONE_SIGNAL = ("GE01", "Expected Power")
+
+
+@query("one_signal_readings")
+def q_one_signal_readings(h):
+    """C1 itself: one resolved signal, all of its readings, newest first."""
+    return R.signal_readings(h, *ONE_SIGNAL, limit=None)
+
+
+@query("signal_query")
+def q_signal_query(h):
+    return S.signal_query(h, *ONE_SIGNAL, agg="MAX")
+
+
+@query("semantic_select_long")
+def q_semantic_select_long(h):
+    """B16 on the long table: largest value per field."""
+    model = M.semantic_model(h.spark, h.feeds, h.metadata)
+    return M.semantic_select(h, model, "ROTATINGMACHINE_FIXED_26Q1", ["SENSOR_VALUE"], ["FIELD"], agg="MAX")
+
+
+@query("compare_assets")
+def q_compare_assets(h): return S.compare_assets(h, COMPARE_DOMAIN)
 
 
 @query("lookback_filter")
 def q_lookback_filter(h):
-    r = R.unified_readings(h, days=R.lookback_days(None))
+    r = R.unified_readings(h, days=R.lookback_days(None), as_of=h.feed_max_ts())
     return r.select("feed", "asset", "signal", "ts", "numeric_value", "row_id")
 
 
 @query("dictionary_search")
-def q_dictionary_search(h): return C.dictionary_search(EV.data_dictionary(h), "pressure")
+def q_dictionary_search(h): return EV.data_dictionary(h, search="pressure")
 
 
 @query("data_dictionary")
@@ -553,7 +609,7 @@ def q_redaction_counts(h): return EV.redaction_counts(table(h.spark, h.sf_dir, "
 @query("health_check")
 def q_health_check(h):
     sem = M.semantic_model(h.spark, h.feeds, h.metadata)
-    return HL.health_check(h, HL.app_state(h, sem), sem, S.feed_freshness(h))
+    return HL.health_check(h, _stored_state(h), sem, S.feed_freshness(h, FRESHNESS_AS_OF))
 
 
 # --- A7: streaming ingest ------------------------------------------------------------

@@ -25,6 +25,12 @@ def type_class(dt: T.DataType) -> str:
     return "STRING" if isinstance(dt, (T.StringType, T.VarcharType, T.CharType)) else "NUMERIC"
 
 
+def is_signal_type(dt: T.DataType) -> bool:
+    """Numbers, booleans and text can be readings; dates, times, binary and
+    nested types can't."""
+    return isinstance(dt, (T.NumericType, T.BooleanType, T.StringType, T.VarcharType, T.CharType))
+
+
 def model_class(dt: T.DataType) -> str | None:
     """Semantic-model class: numbers are facts, text is a dimension, the rest
     (booleans, timestamps) is left out."""
@@ -73,8 +79,14 @@ class Feed:
         return self.column_names.index(col) + 1
 
     def signal_columns(self) -> list[tuple[int, str, T.DataType]]:
-        """WIDE: every column except the control columns, with 1-based ordinal."""
-        return [(i + 1, c, t) for i, (c, t) in enumerate(self.columns) if c not in self.control_columns]
+        """WIDE: every column that can hold a signal, with 1-based ordinal; the
+        control columns and quality flags are none."""
+        skip = self.control_columns + QUALITY_FLAGS
+        return [(i + 1, c, t) for i, (c, t) in enumerate(self.columns) if c not in skip and is_signal_type(t)]
+
+    def unsupported_columns(self) -> list[tuple[str, str]]:
+        """WIDE: (column, type) of columns whose type can't be a reading."""
+        return [(c, t.simpleString()) for c, t in self.columns if c not in self.control_columns and not is_signal_type(t)]
 
 
 def _is_view_name(name: str) -> bool:

@@ -1,8 +1,10 @@
 """Incremental ingest (A7) with Structured Streaming.
 
 New source files are picked up by a file stream, normalised with the same
-feed code as the batch path, joined to the (static, size-checked) stream
-metadata and appended to a readings table partitioned by feed and day. The
+feed code as the batch path, named by the same parsing rules (asset, signal,
+domain and unit come from the stream's name, so a stream that no catalog knows
+yet is ingested like any other) and appended to a readings table partitioned
+by feed and day. The
 ``availableNow`` trigger processes everything present and stops, so the job
 can run on a schedule; the checkpoint makes reruns add only new files, and a
 restarted job after executor loss resumes from the last committed batch.
@@ -13,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histospark.functions import names as N
 from histospark.operators.readings import feed_readings
 from histospark.session import workspace_dir
-from histospark.sources.feeds import Feed
+from histospark.sources.feeds import CLASSIC, LONG, WIDE, Feed
 
 OUT_COLUMNS = ["feed", "stream", "asset", "signal", "domain", "unit", "ts", "raw_value", "numeric_value",
                "string_value", "is_questionable", "row_id"]
@@ -36,8 +39,7 @@ def incremental_ingest(h, source_dir: str, adapter, feed_name: str, table_path:
            .option("pathGlobFilter", file_glob).parquet(source_dir))
     feed = Feed(feed_name, h.feed(feed_name).ordinal, adapter(src))
     rows = feed_readings(feed)
-    meta = h.meta_side("feed", "stream", "asset", "signal", "domain", "unit")
-    out = rows.join(meta, ["feed", "stream"], "inner").select(
+    out = named(rows, feed.format).select(
         "feed", "stream", "asset", "signal", "domain", F.coalesce("uom", "unit").alias("unit"), "ts",
         "raw_value", "numeric_value", F.when(F.col("numeric_value").isNull(), F.col("raw_value")).alias("string_value"),
         "is_questionable", "row_id", F.to_date("ts").alias("day"))
@@ -48,6 +50,20 @@ def incremental_ingest(h, source_dir: str, adapter, feed_name: str, table_path:
     return table_path, checkpoint
 
 
+def named(rows: DataFrame, fmt: str) -> DataFrame:
+    """Readings with asset, signal, domain and unit parsed from the stream name."""
+    feed, stream = F.col("feed"), F.col("stream")
+    if fmt == LONG:
+        asset, signal = N.parse_long_field(stream, feed)
+    elif fmt == WIDE:
+        asset, signal = N.parse_wide_column(stream, feed)
+    else:
+        asset, signal = feed, F.lit("VALUE")
+    unit = N.extract_unit(stream) if fmt != CLASSIC else F.lit(None).cast("string")
+    rows = rows.withColumn("asset", asset).withColumn("signal", signal).withColumn("unit", unit)
+    return rows.withColumn("domain", N.domain_of(F.col("asset"), F.col("signal")))
+
+
 def read_ingested(spark: SparkSession, table_path: str) -> DataFrame:
     """The readings table written by :func:`incremental_ingest` (only files
     committed to the sink's log are read)."""

@@ -95,10 +95,11 @@ def test_holt_matches_python_recursion(spark):
         assert fit[sig]["residual_std"] == pytest.approx(sd, rel=1e-9)
 
 
-@pytest.mark.parametrize("gap,horizon,steps", [(60.0, 7, 168), (1.0, 30, 5000), (3000.0, 2, 2), (82.5, 7, 119)])
+@pytest.mark.parametrize("gap,horizon,steps", [(60.0, 7, 168), (1.0, 30, 43200), (3000.0, 2, 2), (82.5, 7, 119)])
 def test_forecast_steps(spark, gap, horizon, steps):
     df = spark.createDataFrame([(gap,)], "g double")
     assert df.select(G.forecast_steps(F.col("g"), horizon)).first()[0] == steps
+    assert df.select(G.forecast_steps(F.col("g"), horizon, max_steps=100)).first()[0] == min(steps, 100)
 
 
 def test_boundary_diff_counts_crossings(spark):

@@ -24,9 +24,10 @@ def edge_hist(spark):
     long_schema = "Timestamp timestamp_ntz, Field string, Value string, row_id bigint"
     rows = (long_rows("Pump A.Flow", 11, 0) + long_rows("Pump B.Flow", 12, 100)
             + long_rows("Pump C.Flow", 49, 200) + long_rows("Pump D.Flow", 50, 300)
-            + long_rows("Pump E.Flow", 60, 400, value=lambda i: "5.0"))          # constant series
+            + long_rows("Pump E.Flow", 60, 400, value=lambda i: "5.0")           # constant series
+            + long_rows("Pump F.Flow", 11, 500))
     feed1 = spark.createDataFrame(rows, long_schema)
-    # second feed repeats Pump A.Flow: first feed wins the dedupe
+    # second feed repeats Pump A.Flow: the catalog lists the first feed, readings come from both
     feed2 = spark.createDataFrame(long_rows("Pump A.Flow", 5, 1000), long_schema)
     wide = spark.createDataFrame(
         [(T0, 1.0, 2.0, 3.0, 4.0, 5), (T0 + dt.timedelta(hours=1), 1.5, None, 3.5, 4.5, 6)],
@@ -38,20 +39,20 @@ def edge_hist(spark):
 def test_first_feed_wins_dedupe(edge_hist):
     m = {(r["asset"], r["signal"]): r for r in edge_hist.metadata.collect()}
     assert m[("Pump A", "Flow")]["feed"] == "feed_one"
-    assert m[("Pump A", "Flow")]["n_readings"] == 11
+    assert m[("Pump A", "Flow")]["n_readings"] == 16  # of both feeds
     assert ("wide_feed", "odd`name") in {(r["feed"], r["stream"]) for r in edge_hist.metadata.collect()}
 
 
-def test_readings_skip_shadowed_and_empty_feeds(edge_hist):
+def test_readings_of_repeated_streams_and_empty_feeds(edge_hist):
     per = {r["feed"]: r["count"] for r in unified_readings(edge_hist).groupBy("feed").count().collect()}
-    assert "feed_two" not in per and "empty_feed" not in per      # shadowed stream / no rows
-    assert per["feed_one"] == 11 + 12 + 49 + 50 + 60
+    assert per["feed_two"] == 5 and "empty_feed" not in per        # no reading is lost / no rows
+    assert per["feed_one"] == 11 + 12 + 49 + 50 + 60 + 11
     assert per["wide_feed"] == 7                                   # one NULL skipped, back-tick column read
 
 
 def test_detection_guard_eleven_vs_twelve(edge_hist):
     got = {r["asset"] for r in A.detect_anomalies(edge_hist, lookback=30).collect()}
-    assert "Pump A" not in got and "Pump B" in got
+    assert "Pump F" not in got and "Pump B" in got and "Pump A" in got  # 11, 12, 11 + 5 readings
 
 
 def test_constant_series_scores_zero(edge_hist):
