@@ -5,15 +5,22 @@ Global order of shingles: frequent ones last (the FREQUENT most frequent, a
 bounded broadcast), otherwise by hash. Two sets that link share, among the
 first ``size - least overlap + l`` shingles of each in that order, at least
 ``l``. Light (small) sets enumerate all 2-subsets of that part (l = 2) as
-keys; heavy (large) sets post single shingles (l = 1), and so do small sets
-that may link with a large one. The boundary between small and large is where
-a set's number of subsets exceeds the expected length of the inverted lists it
-would scan, estimated from list lengths seen in the data. Keys with two or
-more sets are inverted lists.
-
-Lists are scanned with a lossless filter: parity sketches (two bits or more a
+keys; heavy (large) sets post single shingles (l = SHARED and some by size),
+and so do small sets that may link with a large one. The boundary between small and large is
+where a set's number of subsets exceeds the expected length of the inverted
+lists it would scan, estimated from list lengths seen in the data. Keys with
+two or more sets are inverted lists.
+
+Short lists (up to SHORT sets) are scanned for all their pairs, packed and
+counted: a pair is a candidate when it shares a subset key or SHARED single
+shingles there, which rules out most accidental sharing. A set with so few
+shingles in longer lists that any partner must share SHARED others with it is
+taken out of those lists; what stays are sets made of widely shared shingles.
+So a pair that links is found in the short lists, or both sets stay and meet
+in a long list. Long lists are scanned with the filter that every candidate
+has to pass: parity sketches (two bits or more a
 shingle, 512 at least), whose distance never exceeds the symmetric difference. Groups of near copies would
-give all pairs, so lists are scanned twice: first each list is covered by
+give all pairs, so long lists are scanned twice: first each list is covered by
 stars (a hub and every set that passes the filter with it), candidates are
 counted exactly, and components formed; then only pairs of different
 components are tried. A link is thus verified, or lies within one component
@@ -42,13 +49,15 @@ from histospark.llm.components import components
 
 U = np.uint64
 #: Most frequent shingles that are demoted, and most frequent sets whose copies post once.
-FREQUENT, COPIES = 1 << 16, 1 << 12
+FREQUENT, COPIES = 1 << 18, 1 << 12
 #: Shingles counted, or postings gathered, in a task before they are sent.
 FLUSH = 1 << 20
 #: Least bits of a sketch; sketches double with the size.
 SKETCH_BITS = 512
 #: Postings per bucket (about), least number of buckets, and most Bloom filter bits.
 BUCKET, BUCKETS, BLOOM_BITS = 1 << 17, 256, 1 << 29
+#: Shingles that a pair of short lists has to share, and their longest length.
+SHARED, SHORT = 4, 6
 #: Ids at and above this stand for rows without doc_id.
 NO_ID = 1 << 62
 
@@ -65,6 +74,11 @@ class Rule:
     def prefix(self, size: int, l: int) -> int:
         return min(size, size + (-self.num * size // self.den) + l)  # size - ceil(num * size / den) + l
 
+    def shared(self, size):
+        """Shingles that a set of ``size`` has in common with any partner of at
+        least its size, in the parts that both post."""
+        return SHARED + np.maximum(2, size // 25)
+
     def overlap(self, a, b):
         return -(-self.num * (a + b) // (self.num + self.den))
 
@@ -117,7 +131,7 @@ def profile(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
 
         def flush():
             u, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= max(8, docs_held // 500)
+            often = c >= max(4, docs_held // 1000)
             rest = c[~often].astype(np.int64)
             x = np.concatenate((u[often].view(np.int64), [(rest * rest).sum()]))
             size = np.concatenate((c[often], [rest.sum()]))
@@ -154,18 +168,19 @@ def profile(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
 def boundary(mean_list: float, rule: Rule) -> int:
     """Largest size for which enumerating the 2-subsets costs no more keys than
     scanning lists of ``mean_list`` members."""
-    size = rule.least
+    size = max(rule.least, -(-(SHARED + 2) * rule.den // rule.num))
     while size < 1 << 20 and (rule.prefix(size + 1, 1) + 1) / 2 <= mean_list:
         size += 1
     return size
 
 
 def postings(docs: DataFrame, n: int, rule: Rule, frequent, copies, small: int, bits: int) -> DataFrame:
-    """Rows (bucket, keys, ids): packed postings, by the leading bits of the key."""
+    """Rows (bucket, keys, ids): packed postings, by the leading bits of the
+    key; the buckets of subset keys are numbered from 2^bits up."""
     pairs: dict = {}
     k1, k2 = (int(x) for x in A.stream(2, 71))
 
-    def keys_of(s: np.ndarray, often: np.ndarray) -> list[np.ndarray]:
+    def keys_of(s: np.ndarray, often: np.ndarray) -> list[tuple[int, np.ndarray]]:
         if len(often):
             at = np.minimum(np.searchsorted(often, s), len(often) - 1)
             is_often = often[at] == s
@@ -176,9 +191,9 @@ def postings(docs: DataFrame, n: int, rule: Rule, frequent, copies, small: int,
             if len(part) not in pairs:
                 pairs[len(part)] = np.triu_indices(len(part), 1)
             i, j = pairs[len(part)]
-            out.append(A.mix(part[i] * U(k1) + part[j] * U(k2)))
+            out.append((1, A.mix(part[i] * U(k1) + part[j] * U(k2))))
         if len(s) > small or rule.den * len(s) >= rule.num * (small + 1):
-            out.append(s[: rule.prefix(len(s), 1)])
+            out.append((0, s[: rule.prefix(len(s), int(rule.shared(len(s))))]))
         return out
 
     def run(batches):
@@ -187,8 +202,9 @@ def postings(docs: DataFrame, n: int, rule: Rule, frequent, copies, small: int,
 
         def flush():
             k = np.concatenate(keys)
-            i = np.repeat(np.array([x for x, _ in ids], np.int64), [c for _, c in ids])
-            b = (k >> U(64 - bits)).astype(np.int32)
+            count = [c for _, _, c in ids]
+            i = np.repeat(np.array([x for x, _, _ in ids], np.int64), count)
+            b = (k >> U(64 - bits)).astype(np.int32) + np.repeat(np.array([t << bits for _, t, _ in ids], np.int32), count)
             order = np.argsort(b, kind="stable")
             k, i, b = k[order], i[order], b[order]
             cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
@@ -206,9 +222,9 @@ def postings(docs: DataFrame, n: int, rule: Rule, frequent, copies, small: int,
                     continue  # a copy: its class has posted or will
                 if len(seen) < FLUSH:
                     seen.add(sig)
-                for k in keys_of(s, often):
+                for kind, k in keys_of(s, often):
                     keys.append(k)
-                    ids.append((x, len(k)))
+                    ids.append((x, kind, len(k)))
                     many += len(k)
             if many >= FLUSH:
                 yield flush()
@@ -219,10 +235,15 @@ def postings(docs: DataFrame, n: int, rule: Rule, frequent, copies, small: int,
     return docs.mapInArrow(run, "bucket int, keys binary, ids binary")
 
 
-def inverted_lists(posted: DataFrame) -> DataFrame:
-    """Distinct lists of two or more ids with a common key: (list, m, ids)."""
+def inverted_lists(posted: DataFrame, bits: int) -> DataFrame:
+    """The lists of two or more ids with a common key. Kind 0: the pairs of the
+    short ones, packed by a hash of the pair (key: its leading bits; x, y: ids;
+    w: weight). Kinds 1 and 2: a long list of single shingles and of subsets
+    (key: its name, x: ids, c: how many keys have it)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        subsets = bool(pdf["bucket"].iloc[0] >> bits)
+        weight = SHARED if subsets else 1
         k = np.frombuffer(b"".join(pdf["keys"]), U)
         i = np.frombuffer(b"".join(pdf["ids"]), np.int64)
         order = np.lexsort((i, k))
@@ -231,27 +252,90 @@ def inverted_lists(posted: DataFrame) -> DataFrame:
         k, i = k[new], i[new]
         cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         m = np.diff(np.concatenate((cut, [len(k)])))
-        name = A.mix(np.add.reduceat(A.mix(i.view(U)), cut) + m.astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
-        _, first = np.unique(np.where(m >= 2, name, 0), return_index=True)
-        first = first[m[first] >= 2]
-        return pd.DataFrame({"list": name[first], "m": m[first].astype(np.int64),
-                             "ids": [i[cut[x] : cut[x] + m[x]].tobytes() for x in first]})
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size in range(2, SHORT + 1):
+            at = cut[m == size]
+            for x in range(size):
+                for y in range(x + 1, size):
+                    a.append(i[at + x])
+                    b.append(i[at + y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        to = (A.mix(a.view(U) ^ A.mix(b.view(U))) >> U(64 - bits)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        a, b, to = a[order], b[order], to[order]
+        edge = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
+        ends = np.concatenate((edge[1:], [len(to)])) if len(to) else edge
+        rows = [(0, int(to[x]), a[x:y].tobytes(), b[x:y].tobytes(), np.full(y - x, weight, np.uint8).tobytes(), 0) for x, y in zip(edge, ends, strict=True)]
+        long = np.flatnonzero(m > SHORT)
+        if len(long):
+            name = (A.mix(np.add.reduceat(A.mix(i.view(U)), cut) + m.astype(U) * U(0x9E3779B97F4A7C15))).view(np.int64)
+            _, first, count = np.unique(name[long], return_index=True, return_counts=True)
+            rows += [(2 if subsets else 1, int(name[x]), i[cut[x] : cut[x] + m[x]].tobytes(), None, None, int(c)) for x, c in zip(long[first], count, strict=True)]
+        return pd.DataFrame(rows, columns=["kind", "key", "x", "y", "w", "c"])
+
+    return posted.groupBy("bucket").applyInPandas(run, "kind int, key long, x binary, y binary, w binary, c long")
+
+
+def counted_pairs(packed: DataFrame) -> DataFrame:
+    """(a, b) of the packed pairs that weigh SHARED or more in all."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("x", "y"))
+        w = np.frombuffer(b"".join(pdf["w"]), np.uint8)
+        order = np.lexsort((b, a))
+        a, b, w = a[order], b[order], w[order].astype(np.int64)
+        cut = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        cut = cut[np.add.reduceat(w, cut) >= SHARED]
+        return pd.DataFrame({"a": a[cut], "b": b[cut]})
+
+    return packed.groupBy("key").applyInPandas(run, "a long, b long")
 
-    found = posted.groupBy("bucket").applyInPandas(run, "list long, m long, ids binary")
-    return found.dropDuplicates(["list"])
+
+def near(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that pass the size and sketch filters."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+            n = len(x)
+            sketches = Sketches(batch.column(3).to_pylist() + batch.column(5).to_pylist())
+            rows = np.arange(n)
+            small, large = np.where(x <= y, rows, rows + n), np.where(x <= y, rows + n, rows)
+            lo, hi = np.minimum(x, y), np.maximum(x, y)
+            ok = (rule.den * lo >= rule.num * hi) & (sketches.apart(small, large) <= lo + hi - 2 * rule.overlap(lo, hi))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], names=["a", "b"])
+
+    side = lambda c: facts.select(F.col("id").alias(c), F.col("size").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    j = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "s_a", "n_b", "s_b")
+    return j.mapInArrow(run, "a long, b long")
+
+
+def long_lists(found: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """(list, id) of the members that stay in long lists."""
+    lists = found.where("kind > 0").groupBy("key", "kind").agg(F.first("x").alias("x"), F.sum("c").alias("c"))
+    rows = members(lists)
+    held = rows.where("kind = 1").groupBy("id").agg(F.sum("c").alias("held"))
+    # The smallest partner shares rule.shared(its size) shingles, so SHARED others than these:
+    few = F.expr(f"greatest(2, floor(ceil({rule.num} * size / {rule.den}) / 25))")
+    stay = held.join(sizes, "id").where(F.col("held") > few).select("id", F.lit(1).alias("kind"))
+    single = rows.where("kind = 1").join(stay, ["id", "kind"], "left_semi")
+    return single.unionByName(rows.where("kind = 2")).select("list", "id")
 
 
 def members(lists: DataFrame) -> DataFrame:
-    """(list, id), a row per member."""
+    """(list, kind, c, id), a row per member."""
 
     def run(batches):
         for b in batches:
-            ids = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            ids = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column(0)), [len(x) for x in ids]), pa.int64()),
-                                                  pa.array(np.concatenate(ids), pa.int64())], names=["list", "id"])
+                n = [len(x) for x in ids]
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(np.asarray(b.column(k)), n)) for k in range(3)],
+                                                  pa.array(np.concatenate(ids), pa.int64())], names=["list", "kind", "c", "id"])
 
-    return lists.select("list", "ids").mapInArrow(run, "list long, id long")
+    return lists.select("key", "kind", "c", "x").mapInArrow(run, "list long, kind int, c long, id long")
 
 
 def candidates(rows: DataFrame, rule: Rule, n_buckets: int) -> DataFrame:
@@ -272,15 +356,8 @@ def candidates(rows: DataFrame, rule: Rule, n_buckets: int) -> DataFrame:
         cut = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
         end = np.concatenate((cut[1:], [len(name)]))
         a, b = [], []
-        two = cut[end - cut == 2] if stars else cut[:0]  # the common case at once
-        two = two[rule.den * size[two] >= rule.num * size[two + 1]]
-        ok = two[passing(size, sketches, two, two + 1)]
-        a.append(ids[ok])
-        b.append(ids[ok + 1])
         for lo, hi in zip(cut, end, strict=True):
             left = np.arange(lo, hi)
-            if stars and hi - lo == 2:
-                continue
             while len(left) > 1:
                 hub, left = left[0], left[1:]
                 near = left if stars else left[label[left] != label[hub]]
@@ -366,18 +443,20 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     copies = stored(copies, "ngram-copies")
     top = {bytes(r["sig"]): r["rep"] for r in copies.orderBy(F.desc("c"), "rep").limit(COPIES).collect()}
     sc = spark.sparkContext
-    total = totals[0]["s"] * (1 - num / den)
+    total = totals[0]["s"] * (1 - num / den) + SHARED * totals[0]["c"]
     bits = max(BUCKETS - 1, int(total) // BUCKET).bit_length()
     posted = postings(docs, n, rule, sc.broadcast(np.sort(often["x"].to_numpy(np.int64).view(U))), sc.broadcast(top), small, bits)
-    lists = stored(inverted_lists(posted), "ngram-lists")
+    found = stored(inverted_lists(posted, bits), "ngram-lists")
     facts = sets.select("id", "size", "sketch")
-    pairs = stored(candidates(members(lists).join(facts, "id"), rule, 1 << bits), "ngram-pairs")
+    lists = stored(long_lists(found, sets.select("id", "size"), rule), "ngram-long")
+    pairs = near(counted_pairs(found.where("kind = 0")), facts, rule)
+    pairs = stored(pairs.unionByName(candidates(lists.join(facts, "id"), rule, 1 << bits)).distinct(), "ngram-pairs")
     full = stored(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n), "ngram-full")
     same = sets.join(copies.select("sig", "rep"), "sig").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = stored(links(pairs, full, rule).unionByName(same), "ngram-links")
     label = stored(components(found, "a", "b"), "ngram-labels")
-    # Second scan: pairs of different components in lists of three or more.
-    rows = members(lists.where("m > 2")).join(label.withColumnRenamed("component", "label"), "id", "left")
+    # Second scan: pairs of different components in long lists.
+    rows = lists.join(label.withColumnRenamed("component", "label"), "id", "left")
     rows = rows.withColumn("label", F.coalesce("label", "id"))
     mixed = rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list")
     more = candidates(rows.join(mixed, "list").join(facts, "id"), rule, 1 << bits).join(pairs, ["a", "b"], "left_anti")
