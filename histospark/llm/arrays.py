@@ -64,8 +64,8 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about SLICE_BYTES of text (or one row)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``size`` bytes of text (or one row)."""
     for batch in batches:
         n = batch.num_rows
         if n == 0:
@@ -73,7 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         _, offsets = text_buffer(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < n:
-            to = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1
+            to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
             to = min(n, max(at + 1, to))
             yield batch.slice(at, to - at)
             at = to

@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer
+from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
 from histospark.llm import arrays as A
@@ -33,8 +34,10 @@ from histospark.llm.common import ROW, stored, table
 U = np.uint64
 #: Most words of the map-side dictionary.
 DICTIONARY = 4_000_000
-#: Distinct words counted in a task before they are sent.
-HELD = 500_000
+#: Hashes of words that a task has sent already and remembers.
+HELD = 4_000_000
+#: Bytes of text handled at once.
+SLICE = 1 << 20
 ABSENT = np.uint32(0xFFFFFFFF)
 
 _HIGH = regex.compile("[^\\x00-\\u036f]")
@@ -50,13 +53,14 @@ def _classes() -> np.ndarray:
     """0 blank, 1 letter, 2 number, 3 other for each code point, by the same
     regular expression engine that the pre-tokenizer uses."""
     if "classes" not in _KEPT:
-        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-        every = "".join(map(chr, points))
         out = np.full(0x110000, 3, np.uint8)
-        at = np.array(points)
-        for no, pattern in ((1, "\\p{L}+"), (2, "\\p{N}+"), (0, "\\s+")):
-            for _, (a, b) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
-                out[at[a:b]] = no
+        kinds = [(no, Split(Regex(p), "removed", invert=True)) for no, p in ((1, "\\p{L}+"), (2, "\\p{N}+"), (0, "\\s+"))]
+        for lo in range(0, 0x110000, 0x800):
+            if not 0xD800 <= lo < 0xE000:
+                part = "".join(map(chr, range(lo, lo + 0x800)))
+                for no, kind in kinds:
+                    for _, (x, y) in kind.pre_tokenize_str(part):
+                        out[lo + x : lo + y] = no
         _KEPT["classes"] = out
     return _KEPT["classes"]
 
@@ -65,15 +69,10 @@ class Words:
     """Splits texts into the words of a tokenizer of the supported kind: NFC,
     blanks, lower case; contractions, letter runs, single numbers, other runs."""
 
-    def __init__(self, file_text: str):
-        spec = json.loads(file_text)
-        kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        if kinds != ["NFC", "Replace", "Lowercase"] or pattern != "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+":
-            raise ValueError("this tokenizer splits words in another way")
-        self.normalizer = Tokenizer.from_str(file_text).normalizer
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+    def __init__(self, special: tuple[str, ...]):
+        self.normalizer = Sequence([NFC(), Lowercase()])  # blanks are dropped in any case
+        self.special = special
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
     def normal(self, text: str) -> str:
         if text.isascii() or (not _HIGH.search(text) and unicodedata.is_normalized("NFC", text)):
@@ -144,49 +143,51 @@ def word_hash(word: str) -> np.uint64:
     return _hashes(c, np.zeros(1, np.int64), np.array([len(c)]), {})[0]
 
 
-def _splitter(file_text: str) -> Words:
-    key = hash(file_text)
-    if key not in _KEPT:
-        _KEPT[key] = Words(file_text)
-    return _KEPT[key]
+def special_tokens(file_text: str) -> tuple[str, ...]:
+    """The tokenizer's special tokens; an error if it splits in another way."""
+    spec = json.loads(file_text)
+    kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
+    pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    if kinds != ["NFC", "Replace", "Lowercase"] or pattern != "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+":
+        raise ValueError("this tokenizer splits words in another way")
+    return tuple(t["content"] for t in spec["added_tokens"])
 
 
-def distinct_words(docs: DataFrame, file) -> DataFrame:
-    """(word, n) of the corpus; counted within each task first."""
+def _splitter(special: tuple[str, ...]) -> Words:
+    if special not in _KEPT:
+        _KEPT[special] = Words(special)
+    return _KEPT[special]
 
-    def run(batches):
-        split = _splitter(file.value)
-        held: dict[int, list] = {}
 
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in held.values()], pa.string()),
-                                               pa.array([n for _, n in held.values()], pa.int64())], names=["word", "n"])
+def distinct_words(docs: DataFrame, special: tuple[str, ...]) -> DataFrame:
+    """(word, n) of the corpus: every distinct word, and how many tasks sent
+    it; a task sends a word once."""
 
-        for b in A.slices(batches):
+    def run(batches):
+        split, sent = _splitter(special), np.zeros(0, U)
+        for b in A.slices(batches, size=SLICE):
             codes, at, length, _, found = split.split(b.column(0).to_pylist())
-            u, first, counts = np.unique(_hashes(codes, at, length, found), return_index=True, return_counts=True)
-            for h, i, n in zip(u.tolist(), first.tolist(), counts.tolist(), strict=True):
-                if h in held:
-                    held[h][1] += n
-                else:
-                    word = found[i] if i in found else codes[at[i] : at[i] + length[i]].tobytes().decode("utf-32-le")
-                    held[h] = [word, n]
-            if len(held) > HELD:
-                yield flush()
-                held.clear()
-        if held:
-            yield flush()
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def encoded_words(words: DataFrame, file) -> DataFrame:
+            u, first = np.unique(_hashes(codes, at, length, found), return_index=True)
+            if len(sent):
+                new = sent[np.minimum(np.searchsorted(sent, u), len(sent) - 1)] != u
+                u, first = u[new], first[new]
+            if len(sent) + len(u) > HELD:
+                sent = sent[:0]
+            sent = np.insert(sent, np.searchsorted(sent, u), u)
+            words = [found[i] if i in found else codes[at[i] : at[i] + length[i]].tobytes().decode("utf-32-le") for i in first.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def encoded_words(words: DataFrame, file_text: str) -> DataFrame:
     """(h, n, ids) of each distinct word: its hash, count and ids (unsigned 32-bit, little-endian)."""
+    spec = json.loads(file_text)
+    spec["normalizer"] = None  # the words are normalised already
+    file = words.sparkSession.sparkContext.broadcast(json.dumps(spec))
 
     def run(batches):
-        spec = json.loads(file.value)
-        spec["normalizer"] = None  # the words are normalised already
-        t = Tokenizer.from_str(json.dumps(spec))
+        t = Tokenizer.from_str(file.value)
         for b in batches:
             for lo in range(0, b.num_rows, 5000):
                 part = b.slice(lo, 5000)
@@ -200,9 +201,14 @@ def encoded_words(words: DataFrame, file) -> DataFrame:
     return words.mapInArrow(run, "h long, n long, ids binary")
 
 
+def _vocabulary(file_text: str) -> dict[str, int]:
+    spec = json.loads(file_text)
+    return spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+
+
 def pieces(spark: SparkSession, file_text: str) -> DataFrame:
     """(id, piece) of the whole vocabulary."""
-    return spark.createDataFrame(sorted((i, p) for p, i in Tokenizer.from_str(file_text).get_vocab(True).items()), "id int, piece string")
+    return spark.createDataFrame(sorted((i, p) for p, i in _vocabulary(file_text).items()), "id int, piece string")
 
 
 def decode(rows: DataFrame, file_path: str | None = None, skip: tuple[int, ...] = ()) -> DataFrame:
@@ -220,6 +226,7 @@ def decode(rows: DataFrame, file_path: str | None = None, skip: tuple[int, ...]
 
 def _ragged(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The concatenation of pool[start : start + length]."""
+    start, length = start.astype(np.int64), length.astype(np.int64)
     ends = np.cumsum(length)
     total = int(ends[-1]) if len(ends) else 0
     return pool[np.arange(total) + np.repeat(start - (ends - length), length)]
@@ -229,7 +236,7 @@ class _Pieces:
     """The id-to-piece table as arrays; every piece is followed by a blank."""
 
     def __init__(self, file_text: str):
-        vocab = {i: p.encode() + b" " for p, i in Tokenizer.from_str(file_text).get_vocab(True).items()}
+        vocab = {i: p.encode() + b" " for p, i in _vocabulary(file_text).items()}
         table_ = [vocab.get(i, b"") for i in range(max(vocab) + 1)]
         self.length = np.array([len(p) for p in table_], np.int64)
         self.start = np.cumsum(self.length) - self.length
@@ -247,8 +254,8 @@ class Dictionary:
         data, offsets = A.text_buffer(rows.column("ids").combine_chunks()) if rows.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
         order = np.argsort(h)
         self.h = h[order]
-        self.start = (offsets[:-1] // 4)[order]
-        self.length = (np.diff(offsets) // 4)[order]
+        self.start = (offsets[:-1] // 4)[order].astype(np.uint32)
+        self.length = (np.diff(offsets) // 4)[order].astype(np.uint32)
         self.pool = np.frombuffer(data.tobytes(), "<u4")
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -284,24 +291,25 @@ def encode(docs: DataFrame, file_path: str | None = None, digest: bool = False,
     spark = docs.sparkSession
     sc = spark.sparkContext
     with open(file_path or default_file(), encoding="utf-8") as f:
-        file = sc.broadcast(f.read())
+        text = f.read()
+    special, shared = special_tokens(text), sc.broadcast(_Pieces(text) if digest else None)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = stored(encoded_words(distinct_words(docs, file), file), "bpe-words")
+    words = stored(encoded_words(distinct_words(docs, special), text), "bpe-words")
     many = words.count() > dictionary
     known = words.orderBy(F.desc("n"), "h").limit(dictionary) if many else words
     known = sc.broadcast(Dictionary(known.select("h", "ids").toArrow()))
 
     def places(batches):
-        split, d = _splitter(file.value), known.value
-        for b in A.slices(batches):
+        split, d = _splitter(special), known.value
+        for b in A.slices(batches, size=SLICE):
             codes, at, length, doc, found = split.split(b.column(1).to_pylist())
             h = _hashes(codes, at, length, found)
             yield b, h, d.find(h), A.bounds(doc, b.num_rows)
 
     def all_known(batches):
-        d, table_ = known.value, _Pieces(file.value) if digest else None
+        d, table_ = known.value, shared.value
         for b, _, w, cut in places(batches):
-            tokens = np.concatenate(([0], np.cumsum(d.length[w])))
+            tokens = np.concatenate(([0], np.cumsum(d.length[w], dtype=np.int64)))
             ids = words_ids(d, w)
             yield _columns(b.column(0), [ids[tokens[x] : tokens[y]] for x, y in zip(cut[:-1], cut[1:], strict=True)], digest, table_)
 
@@ -315,7 +323,7 @@ def encode(docs: DataFrame, file_path: str | None = None, digest: bool = False,
                 names=["doc_id", "places", "pos", "h"])
 
     def fill(batches):
-        d, table_ = known.value, _Pieces(file.value) if digest else None
+        d, table_ = known.value, shared.value
         for b in batches:
             out = []
             for p, rest in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
