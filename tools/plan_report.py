@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 # Queries that write tables or run a stream while being built.
 WRITES = {"export_csv", "result_store_replace", "append_log", "reset_keys", "share_back", "share_back_counts",
-          "incremental_ingest", "feed_bundle_status"}
+          "incremental_ingest", "feed_bundle_status", "readings_table"}
 
 
 def summarise(text: str) -> dict:
@@ -35,7 +35,7 @@ def summarise(text: str) -> dict:
 
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    import __spark_entry__ as E
+    from histospark.plans.registry import QUERIES
     from histospark.session import get_session
     spark = get_session()
     print("# Physical plans (initial adaptive plans, sf = %s)\n" % os.path.basename(sf_dir))
@@ -44,7 +44,7 @@ def main():
           "predicate reached the parquet scan. Queries that write tables are listed without a plan.\n")
     print("| query | scans | shuffles | broadcasts | windows | partial_limits | ts_pushdown |")
     print("|---|---|---|---|---|---|---|")
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         if name in WRITES:
             print(f"| {name} | (writes a table) | | | | | |")
             continue
