@@ -176,6 +176,8 @@ def distinct_words(docs: DataFrame, special: tuple[str, ...]) -> DataFrame:
             sent = np.insert(sent, np.searchsorted(sent, u), u)
             words = [found[i] if i in found else codes[at[i] : at[i] + length[i]].tobytes().decode("utf-32-le") for i in first.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+        del sent
+        A.release()
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -189,14 +191,16 @@ def encoded_words(words: DataFrame, file_text: str) -> DataFrame:
     def run(batches):
         t = Tokenizer.from_str(file.value)
         for b in batches:
-            for lo in range(0, b.num_rows, 5000):
-                part = b.slice(lo, 5000)
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
                 words = part.column(0).to_pylist()
                 ids = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(words, add_special_tokens=False)]
                 length = np.array([len(w) for w in words])
                 codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
                 h = _hashes(codes, np.cumsum(length) - length, length, {}).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), part.column(1), pa.array(ids, pa.binary())], names=["h", "n", "ids"])
+        del t
+        A.release()
 
     return words.mapInArrow(run, "h long, n long, ids binary")
 
@@ -305,6 +309,7 @@ def encode(docs: DataFrame, file_path: str | None = None, digest: bool = False,
             codes, at, length, doc, found = split.split(b.column(1).to_pylist())
             h = _hashes(codes, at, length, found)
             yield b, h, d.find(h), A.bounds(doc, b.num_rows)
+        A.release()
 
     def all_known(batches):
         d, table_ = known.value, shared.value
