@@ -250,6 +250,11 @@ class _Pieces:
         return _ragged(self.pool, self.start[ids], self.length[ids])[:-1].tobytes()
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest unsigned type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 class Dictionary:
     """Hashes (sorted), and where each word's ids are in the pool."""
 
@@ -259,8 +264,8 @@ class Dictionary:
         order = np.argsort(h)
         self.h = h[order]
         self.start = (offsets[:-1] // 4)[order].astype(np.uint32)
-        self.length = (np.diff(offsets) // 4)[order].astype(np.uint32)
-        self.pool = np.frombuffer(data.tobytes(), "<u4")
+        self.length = _narrow((np.diff(offsets) // 4)[order])
+        self.pool = _narrow(np.frombuffer(data.tobytes(), "<u4"))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place of each word, ABSENT where the dictionary has none."""
