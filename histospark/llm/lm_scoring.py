@@ -7,7 +7,12 @@ is a product of binary decisions down a fixed tree over the vocabulary
 sum of log P(word | both sides) over all its words.
 
 Vocabulary: word counts over the whole corpus; the most frequent KNOWN words
-have an id, all others share BUCKETS ids by hash. Training: in each round every
+have an id, all others share BUCKETS ids by hash, and the network tells the
+probability of the bucket. A word of a bucket is then charged its share there,
+count of the word / count of the bucket, from the counts of all words: the
+DICTIONARY most frequent of them are looked up inside tasks, the others joined
+by hash with a shuffle. Words that the corpus lacks count as one more word of
+their bucket. Training: in each round every
 task starts from the current network, masks one in MASK positions of all its
 documents and takes numpy gradient steps; the networks of all tasks are
 averaged in Spark by blocks, weighted by their numbers of examples. The whole
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histospark.llm import arrays as A
-from histospark.llm.common import stored, table
+from histospark.llm.common import ROW, stored, table
 
 U = np.uint64
 LEVELS = 12
@@ -39,6 +44,8 @@ MASK, ROUNDS, BATCH, RATE = 16, 2, 512, 0.1
 #: Blocks in which networks are averaged, and tasks averaged at once.
 BLOCKS, TASKS = 32, 64
 SCORED = 1 << 15
+#: Words outside the vocabulary whose shares are looked up inside tasks; the rest takes a shuffle.
+DICTIONARY = 1 << 20
 PAD = 1 << LEVELS  # id of places outside the text
 
 _OFFSETS = np.array([o for o in range(-CONTEXT, CONTEXT + 1) if o])
@@ -80,6 +87,43 @@ class Vocabulary:
         return np.where(self.h[at] == h, self.order[at], other)
 
 
+class Shares:
+    """log(count of the word / count of its bucket) of words in a dictionary."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, totals: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.share = h[order], (np.log(n) - np.log(totals[(h % U(BUCKETS)).astype(np.int64)]))[order]
+        self.absent = -np.log1p(totals)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each word, and whether the dictionary has it; words that it
+        lacks have the share of one more word."""
+        absent = self.absent[(h % U(BUCKETS)).astype(np.int64)]
+        if not len(self.h):
+            return absent, np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        found = self.h[at] == h
+        return np.where(found, self.share[at], absent), found
+
+
+def dictionary_of(rest: DataFrame, most: int) -> tuple[Shares, bool]:
+    """The shares of up to ``most`` words of ``rest`` (h, n), by frequency, and
+    whether these are all."""
+    totals = np.zeros(BUCKETS)
+    bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1))
+    for r in rest.groupBy(bucket.alias("k")).agg(F.sum("n").alias("n")).collect():
+        totals[r["k"]] = r["n"]
+    by_count = rest.groupBy(F.least("n", F.lit(DICTIONARY)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, held = DICTIONARY + 1, 0
+    for r in sorted(by_count, reverse=True):
+        if held + r["words"] > most:
+            break
+        least, held = r["n"], held + r["words"]
+    got = rest.where(F.col("n") >= least).select("h", "n").toArrow()
+    shares = Shares(got["h"].to_numpy().view(U), got["n"].to_numpy(), totals)
+    return shares, held == sum(r["words"] for r in by_count)
+
+
 class Network:
     """Embeddings, gates, and a vector and bias per inner node of the tree."""
 
@@ -190,21 +234,29 @@ def _round(docs: DataFrame, vocabulary, network: np.ndarray, number: int) -> np.
     return np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["block"])])
 
 
-def train(docs: DataFrame) -> tuple[Vocabulary, Network]:
-    top = stored(word_counts(docs), "lm-words").orderBy(F.desc("n"), "h").limit(KNOWN).toPandas()
+def train(docs: DataFrame) -> tuple[Vocabulary, Network, DataFrame]:
+    """The vocabulary, the network, and (h, n): all words outside the
+    vocabulary with their counts."""
+    words = stored(word_counts(docs), "lm-words")
+    top = words.orderBy(F.desc("n"), "h").limit(KNOWN).toPandas()
     vocabulary = Vocabulary(top["h"].to_numpy(np.int64).view(U))
+    rest = words.limit(0)
+    if len(top) == KNOWN:
+        n, h = (F.lit(int(top[c].iloc[-1])) for c in ("n", "h"))
+        rest = words.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("h") > h)))
     shared, flat = docs.sparkSession.sparkContext.broadcast(vocabulary), Network().flat
     for number in range(ROUNDS):
         flat = _round(docs, shared, flat, number)
-    return vocabulary, Network(flat)
+    return vocabulary, Network(flat), rest
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, rest: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, n_tokens, log_prob (sum over all words) and perplexity."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, network.flat))
+    shares, whole = dictionary_of(rest, dictionary)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, network.flat, shares))
 
     def run(batches):
-        words, flat = shared.value
+        words, flat, shares = shared.value
         net = Network(flat)
         for b in A.slices(batches):
             h, doc, n = A.words(b.column(1), lower=True)
@@ -213,13 +265,28 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFram
             for lo in range(0, len(ids), SCORED):
                 at = np.arange(lo, min(lo + SCORED, len(ids)))
                 logs.append(net.log_probability(_examples(ids, doc, at), ids[at]))
+            logs, out = np.concatenate(logs), np.flatnonzero(ids >= KNOWN)
+            share, found = shares.find(h[out])
+            found |= whole
+            logs[out[found]] += share[found]
+            left = out[~found]
             count = np.bincount(doc, minlength=n)
-            total = np.bincount(doc, np.concatenate(logs), minlength=n)
-            perplexity = np.exp(-total / np.maximum(count, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(total, pa.float64()),
-                                              pa.array(perplexity, pa.float64(), mask=count == 0)], names=["doc_id", "n_tokens", "log_prob", "perplexity"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, perplexity double")
+            total = np.bincount(doc, logs, minlength=n)
+            left = pa.ListArray.from_arrays(pa.array(A.bounds(doc[left], n), pa.int32()), pa.array(h[left].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(total, pa.float64()), left],
+                                             names=["doc_id", "n_tokens", "log_prob", "left"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, left array<long>")
+    if not whole:
+        rows = stored(rows.withColumn(ROW, F.monotonically_increasing_id()), "lm-rows")
+        bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+        by_bucket = lambda x: F.array(*[F.lit(float(v)) for v in x])[bucket]
+        words = rows.select(ROW, F.explode("left").alias("h")).join(rest, "h", "left")
+        share = F.coalesce(F.log("n") + by_bucket(-np.log(np.maximum(np.expm1(-shares.absent), 1))), by_bucket(shares.absent))
+        more = words.groupBy(ROW).agg(F.sum(share).alias("more"))
+        rows = rows.join(more, ROW, "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    perplexity = F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens")))
+    return rows.select("doc_id", "n_tokens", "log_prob", perplexity.alias("perplexity"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,37 @@ def test_network_is_normalised_and_learns(spark):
     assert all(abs(np.exp(-r.log_prob / r.n_tokens) - r.perplexity) < 1e-6 for r in got.values())
 
 
+def test_rare_words_are_charged_their_share(spark):
+    """Every word outside the vocabulary costs log(its count / its bucket's), looked up or joined."""
+    import pyarrow as pa
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"c{k}" for k in range(i % 8 * 504, i % 8 * 504 + 504))) for i in range(40)]  # 4,032 words, 5 times each
+    rows += [(100 + i, " ".join(f"r{rng.randrange(900)}" for _ in range(rng.choice([1, 40])))) for i in range(60)]
+    df = stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "lm-rare")
+    other = spark.createDataFrame([(500, "never_seen c1 c2"), (501, None)], "doc_id long, text string")
+    vocabulary, net, rest = lm_scoring.train(df)
+    assert rest.count() + len(vocabulary.h) == len({w for _, x in rows for w in x.split()})
+    hashes = {d: arrays.words(pa.array([x]))[0] for d, x in rows}
+    every, counts = np.unique(np.concatenate(list(hashes.values())), return_counts=True)
+    counts = dict(zip(every.tolist(), counts.tolist(), strict=True))
+    totals = np.zeros(lm_scoring.BUCKETS)
+    for h, n in counts.items():
+        if h not in vocabulary.h:
+            totals[h % lm_scoring.BUCKETS] += n
+    want = {}
+    for d, h in hashes.items():
+        ids = vocabulary.ids(h)
+        around = lm_scoring._examples(ids, np.zeros(len(ids), int), np.arange(len(ids)))
+        want[d] = net.log_probability(around, ids).sum() + sum(np.log(counts[x] / totals[x % lm_scoring.BUCKETS]) for x, i in zip(h.tolist(), ids, strict=True) if i >= lm_scoring.KNOWN)
+    plain = {}
+    for dictionary in (lm_scoring.DICTIONARY, 50, 0):
+        got = {r.doc_id: r for r in lm_scoring.score(df.union(other), vocabulary, net, rest, dictionary).collect()}
+        assert len(got) == len(rows) + 2 and got[501].perplexity is None
+        assert all(abs(got[d].log_prob - x) < 1e-3 for d, x in want.items())
+        plain[dictionary] = got[500].log_prob
+    assert max(plain.values()) - min(plain.values()) < 1e-6
+
+
 def test_classifier_held_out(spark):
     """Half of the labels for fitting, the other half to judge."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
