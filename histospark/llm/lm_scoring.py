@@ -13,11 +13,11 @@ count of the word / count of the bucket, from the counts of all words: the
 DICTIONARY most frequent of them are looked up inside tasks, the others joined
 by hash with a shuffle. Words that the corpus lacks count as one more word of
 their bucket. Training: in each round every
-task starts from the current network, masks one in MASK positions of all its
+task starts from the current network, masks one in ROUNDS positions of all its
 documents and takes numpy gradient steps; the networks of all tasks are
-averaged in Spark by blocks, weighted by their numbers of examples. The whole
-corpus thus takes part, and what is gathered grows with it. Scoring reads
-whole texts without a shuffle.
+averaged in Spark by blocks, weighted by their numbers of examples. Each
+position of the corpus is a target in exactly one round. Scoring reads whole
+texts without a shuffle of them.
 
 Words are in lower case (A-Z). Null text and text without words has no words,
 log probability 0 and null perplexity. Repeated rows get the same score; an
@@ -40,10 +40,11 @@ LEVELS = 12
 BUCKETS = 64
 KNOWN = (1 << LEVELS) - BUCKETS
 CONTEXT, WIDTH = 2, 16
-MASK, ROUNDS, BATCH, RATE = 16, 2, 512, 0.1
+ROUNDS, BATCH, RATE = 2, 512, 0.1
 #: Blocks in which networks are averaged, and tasks averaged at once.
 BLOCKS, TASKS = 32, 64
 SCORED = 1 << 15
+UPPER = 7  # levels of the tree whose gradients are one matrix product
 #: Words outside the vocabulary whose shares are looked up inside tasks; the rest takes a shuffle.
 DICTIONARY = 1 << 20
 PAD = 1 << LEVELS  # id of places outside the text
@@ -159,27 +160,43 @@ class Network:
         """One Adagrad step on a batch of examples."""
         nodes, branch = self.path(ids)
         h = self.hidden(around)
-        v = self.v[nodes]
-        z = np.matmul(v, h[:, :, None])[:, :, 0] + self.b[nodes]
+        # The nodes of the upper levels are few: matrix products instead of sums by node.
+        top = self.v[: (1 << UPPER) - 1]
+        high, low = nodes[:, :UPPER], nodes[:, UPPER:]
+        v = self.v[low]
+        z = np.concatenate((np.take_along_axis(h @ top.T, high, 1), np.matmul(v, h[:, :, None])[:, :, 0]), 1) + self.b[nodes]
         d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - (1 - branch)
-        dh = (np.matmul(d[:, None, :], v)[:, 0] * (1 - h * h)).astype(np.float32)
-        flat = nodes.ravel()
-        gv = _scatter(flat, (d[:, :, None] * h[:, None, :]).reshape(-1, WIDTH), PAD)
-        gb = np.bincount(flat, d.ravel(), minlength=PAD)
-        ge = np.zeros_like(self.e)
-        gg = np.zeros_like(self.g)
-        for k in range(around.shape[1]):
-            ge += _scatter(around[:, k], dh * self.g[k], PAD + 1)
-            gg[k] = (dh * self.e[around[:, k]]).sum(0)
-        for w, g, p in zip((self.e, self.g, self.v, self.b), (ge, gg, gv, gb), power, strict=True):
-            p += g * g
-            w -= (RATE * g / np.sqrt(p + 1e-6)).astype(np.float32)
-
-
-def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by ``at``."""
-    key = at[:, None] * WIDTH + np.arange(WIDTH)
-    return np.bincount(key.ravel(), rows.ravel(), minlength=n * WIDTH).reshape(n, WIDTH).astype(np.float32)
+        upper, lower = np.zeros((len(ids), len(top)), np.float32), d[:, UPPER:]
+        np.put_along_axis(upper, high, d[:, :UPPER], 1)
+        dh = ((upper @ top + np.matmul(lower[:, None, :], v)[:, 0]) * (1 - h * h)).astype(np.float32)
+        flat = low.ravel()
+        self._move(2, np.arange(len(top)), upper.T @ h, power)
+        self._move(3, np.arange(len(top)), upper.sum(0), power)
+        at, gv = _scatter(flat, (lower[:, :, None] * h[:, None, :]).reshape(-1, WIDTH), PAD)
+        self._move(2, at, gv, power)
+        self._move(3, at, np.bincount(flat, lower.ravel(), minlength=PAD)[at], power)
+        gated = dh[:, None, :] * self.g
+        gg = (dh[:, None, :] * self.e[around]).sum(0)
+        at, ge = _scatter(around.ravel(), gated.reshape(-1, WIDTH), PAD + 1)
+        self._move(0, at, ge, power)
+        self._move(1, np.arange(len(gg)), gg, power)
+
+    def _move(self, k: int, at: np.ndarray, g: np.ndarray, power: list[np.ndarray]) -> None:
+        """Adagrad on the rows ``at`` of weights ``k``; rows without a gradient stay as they are."""
+        w, p = (self.e, self.g, self.v, self.b)[k], power[k]
+        g = g.astype(np.float32)
+        p[at] = now = p[at] + g * g
+        w[at] -= RATE * g / np.sqrt(now + 1e-6)
+
+
+def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``rows`` by ``at``: the values of ``at`` that occur, and their sums."""
+    there = np.zeros(n, bool)
+    there[at] = True
+    some = np.flatnonzero(there)
+    place = np.cumsum(there) - 1
+    key = place[at][:, None] * WIDTH + np.arange(WIDTH)
+    return some, np.bincount(key.ravel(), rows.ravel(), minlength=len(some) * WIDTH).reshape(-1, WIDTH)
 
 
 def _examples(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -202,7 +219,7 @@ def _round(docs: DataFrame, vocabulary, network: np.ndarray, number: int) -> np.
             h, doc, _ = A.words(b.column(0), lower=True)
             ids = vocabulary.value.ids(h)
             place = np.arange(len(ids)) - np.searchsorted(doc, doc)
-            masked = np.flatnonzero(A.mix(h ^ place.astype(U)) % U(MASK) == U(number))
+            masked = np.flatnonzero(A.mix(h ^ place.astype(U)) % U(ROUNDS) == U(number))
             tag ^= int(h[:1].sum(dtype=U)) if len(h) else 0
             held.append((_examples(ids, doc, masked), ids[masked]))
             if sum(len(x) for _, x in held) >= BATCH:

@@ -222,6 +222,15 @@ def test_rare_words_are_charged_their_share(spark):
     assert max(plain.values()) - min(plain.values()) < 1e-6
 
 
+def test_every_position_is_a_target(spark):
+    """All words of a template that repeats are trained on: the last node on the way to each has moved."""
+    line = " ".join(f"t{i}" for i in range(1000))
+    df = stored(spark.createDataFrame([(i, line) for i in range(6)], "doc_id long, text string").repartition(2), "lm-template")
+    vocabulary, net, _ = lm_scoring.train(df)
+    assert len(vocabulary.h) == 1000
+    assert (np.abs(net.v[net.path(np.arange(1000))[0][:, -1]]).sum(1) > 0).all()
+
+
 def test_classifier_held_out(spark):
     """Half of the labels for fitting, the other half to judge."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
