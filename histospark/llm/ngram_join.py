@@ -24,13 +24,16 @@ give all pairs, so long lists are scanned twice: first each list is covered by
 stars (a hub and every set that passes the filter with it), candidates are
 counted exactly, and components formed; then only pairs of different
 components are tried. A link is thus verified, or lies within one component
-already. Exact copies of a set are collapsed before (class edges).
+already. Exact copies of a set are collapsed before (class edges). A list of more than BLOCK members is cut into blocks: stars
+cover each block, hubs of all blocks are scanned together, and then pairs of
+blocks that still differ in component are tried, a pair of blocks at a time;
+so no scan holds more than two blocks of a list.
 
 Shingles are 64-bit hashes of the words. Documents without words have no
 shingles and link with nothing. Repeated rows are separate members of one
-class. An empty table gives an empty result; other columns are ignored. One
-inverted list has to fit one task (24 bytes a member, 96 when scanned); the
-most frequent shingles and copy groups, which would make long lists, are kept
+class. An empty table gives an empty result; other columns are ignored. While
+lists are built, the ids of one list have to fit one task (24 bytes a member);
+the most frequent shingles and copy groups, which would make long lists, are kept
 out of them by the broadcasts above.
 """
 
@@ -58,6 +61,8 @@ SKETCH_BITS = 512
 BUCKET, BUCKETS, BLOOM_BITS = 1 << 17, 256, 1 << 29
 #: Shingles that a pair of short lists has to share, and their longest length.
 SHARED, SHORT = 4, 6
+#: Members of a long list that are scanned in one unit, and hubs a component has in a list of several units.
+BLOCK, HUBS = 1 << 18, 32
 #: Ids at and above this stand for rows without doc_id.
 NO_ID = 1 << 62
 
@@ -338,6 +343,33 @@ def members(lists: DataFrame) -> DataFrame:
     return lists.select("key", "kind", "c", "x").mapInArrow(run, "list long, kind int, c long, id long")
 
 
+def blocks_of(lists: DataFrame, block: int) -> DataFrame:
+    """(list, id, blocks, part): how many blocks a list has, and the member's."""
+    long = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks")).where("blocks > 1")
+    out = lists.join(F.broadcast(long), "list", "left")  # at most (members of all lists) / block rows
+    blocks = F.coalesce("blocks", F.lit(1))
+    return out.select("list", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("part"))
+
+
+def single_blocks(lists: DataFrame) -> DataFrame:
+    """(list, id): every block as a list of its own."""
+    name = F.when(F.col("blocks") > 1, F.xxhash64("list", "part")).otherwise(F.col("list"))
+    return lists.select(name.alias("list"), "id")
+
+
+def mixed_blocks(rows: DataFrame) -> DataFrame:
+    """(list, id, label): lists, and pairs of blocks of one list, that hold more than
+    one component, from ``rows`` (list, id, blocks, part, label)."""
+    whole, cut = rows.where("blocks = 1"), rows.where("blocks > 1")
+    mixed = whole.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list")
+    spans = cut.groupBy("list", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    other = spans.select("list", F.col("part").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    both = spans.join(other, "list").where("part <= q AND least(lo, lo2) < greatest(hi, hi2)")
+    both = both.select("list", F.xxhash64("list", "part", "q").alias("unit"), F.explode(F.array_distinct(F.array("part", "q"))).alias("part"))
+    cut = cut.join(F.broadcast(both), ["list", "part"]).select(F.col("unit").alias("list"), "id", "label")
+    return whole.join(mixed, "list").select("list", "id", "label").unionByName(cut)
+
+
 def candidates(rows: DataFrame, rule: Rule, n_buckets: int) -> DataFrame:
     """Pairs (a, b) of each list in ``rows`` (list, id, size, sketch[, label])
     that pass the size and sketch filters: stars that cover the list or, with
@@ -358,16 +390,26 @@ def candidates(rows: DataFrame, rule: Rule, n_buckets: int) -> DataFrame:
         a, b = [], []
         for lo, hi in zip(cut, end, strict=True):
             left = np.arange(lo, hi)
+            if not stars:  # one of a pair is outside the most frequent component
+                seen, which, n = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+                for x in left[which != n.argmax()]:
+                    first, last = np.searchsorted(size[lo:hi] * rule.den, size[x] * rule.num), np.searchsorted(size[lo:hi] * rule.num, size[x] * rule.den, "right")
+                    y = left[first:last]
+                    y = y[label[y] != label[x]]
+                    y = y[passing(size, sketches, np.minimum(x, y), np.maximum(x, y))]
+                    a.append(np.full(len(y), ids[x]))
+                    b.append(ids[y])
+                continue
             while len(left) > 1:
                 hub, left = left[0], left[1:]
-                near = left if stars else left[label[left] != label[hub]]
+                near = left
                 near = near[: np.searchsorted(size[near], size[hub] * rule.den // rule.num, "right")]
                 near = near[passing(size, sketches, np.full(len(near), hub), near)]
                 a.append(np.full(len(near), ids[hub]))
                 b.append(ids[near])
-                if stars:
-                    left = np.setdiff1d(left, near, assume_unique=True)
-        a, b = np.concatenate(a), np.concatenate(b)
+                left = np.setdiff1d(left, near, assume_unique=True)
+        none = [np.zeros(0, np.int64)]
+        a, b = np.concatenate(a + none), np.concatenate(b + none)
         pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -424,7 +466,7 @@ def links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Self-join of ``docs`` (id: distinct non-null long, text). Returns
     (sets: id, size; classes: id, component for every id that links with
     another and is not the smallest of its component)."""
@@ -448,24 +490,39 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[Da
     posted = postings(docs, n, rule, sc.broadcast(np.sort(often["x"].to_numpy(np.int64).view(U))), sc.broadcast(top), small, bits)
     found = stored(inverted_lists(posted, bits), "ngram-lists")
     facts = sets.select("id", "size", "sketch")
-    lists = stored(long_lists(found, sets.select("id", "size"), rule), "ngram-long")
+    lists = stored(blocks_of(long_lists(found, sets.select("id", "size"), rule), block), "ngram-long")
     pairs = near(counted_pairs(found.where("kind = 0")), facts, rule)
-    pairs = stored(pairs.unionByName(candidates(lists.join(facts, "id"), rule, 1 << bits)).distinct(), "ngram-pairs")
+    pairs = stored(pairs.unionByName(candidates(single_blocks(lists).join(facts, "id"), rule, 1 << bits)).distinct(), "ngram-pairs")
     full = stored(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n), "ngram-full")
     same = sets.join(copies.select("sig", "rep"), "sig").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = stored(links(pairs, full, rule).unionByName(same), "ngram-links")
     label = stored(components(found, "a", "b"), "ngram-labels")
-    # Second scan: pairs of different components in long lists.
-    rows = lists.join(label.withColumnRenamed("component", "label"), "id", "left")
-    rows = rows.withColumn("label", F.coalesce("label", "id"))
-    mixed = rows.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list")
-    more = candidates(rows.join(mixed, "list").join(facts, "id"), rule, 1 << bits).join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "ngram-more")
-    if not more.isEmpty():
+
+    def labelled():
+        rows = lists.join(label.withColumnRenamed("component", "label"), "id", "left")
+        return rows.withColumn("label", F.coalesce("label", "id"))
+
+    def extended(more):
+        """The links found so far and those among ``more``, or None without new ones."""
+        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "ngram-more")
+        if more.isEmpty():
+            return None
         full = sets_of(docs, more.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n)
         again = stored(links(more, stored(full, "ngram-full"), rule), "ngram-links")
-        if not again.isEmpty():
-            label = components(found.unionByName(again), "a", "b")
+        return None if again.isEmpty() else found.unionByName(again)
+
+    # Lists of several blocks: hubs of the components of all blocks, scanned together.
+    if not lists.where("blocks > 1").isEmpty():
+        hubs = labelled().where("blocks > 1").groupBy("list", "label", F.pmod(F.xxhash64("id"), F.lit(HUBS))).agg(F.min("id").alias("id"))
+        hubs = stored(blocks_of(hubs.select("list", "id"), block), "ngram-hubs")
+        wider = extended(candidates(single_blocks(hubs).join(facts, "id"), rule, 1 << bits))
+        if wider is not None:
+            found = wider
+            label = stored(components(found, "a", "b"), "ngram-labels")
+    # Last scan: pairs of different components in long lists.
+    wider = extended(candidates(mixed_blocks(labelled()).join(facts, "id"), rule, 1 << bits))
+    if wider is not None:
+        label = components(wider, "a", "b")
     return sets.select("id", "size"), label
 
 
@@ -476,11 +533,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), stand_in).alias("id"), F.col("text").cast("string").alias("text"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by
     links; null where no member has one) of each row of ``docs``. Rows that
     repeat a doc_id are one member, linked by any of their texts."""
-    sets, classes = join(_keyed(docs), n, num, den)
+    sets, classes = join(_keyed(docs), n, num, den, block)
     out = sets.join(classes, "id", "left")
     real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return out.withColumn("component", F.coalesce("component", "id")).select(

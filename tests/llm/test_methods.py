@@ -70,6 +70,32 @@ def test_ngram_join_finds_every_link(spark):
         assert got == brute.components(docs, n, num)
 
 
+def test_long_lists_in_blocks(spark):
+    """Near copies share every list: blocks bound what a scan holds, all pairs of members still meet, and no link is lost."""
+    rows = [(k, i) for k, m in ((1, 5), (2, 40), (3, 300)) for i in range(m)]
+    cut = ngram_join.blocks_of(spark.createDataFrame(rows, "list long, id long"), 16)
+    held = cut.withColumn("label", F.col("id"))
+    for units, limit in ((ngram_join.single_blocks(cut), 32), (ngram_join.mixed_blocks(held), 64)):
+        assert units.groupBy("list").count().agg(F.max("count")).first()[0] <= limit
+    met = {}
+    for r in ngram_join.mixed_blocks(held).collect():
+        met.setdefault(r.list, set()).add(r.id)
+    assert all(any({a, b} <= ids for ids in met.values()) for a in range(0, 300, 7) for b in range(a + 1, 300))
+    assert ngram_join.mixed_blocks(held.withColumn("label", F.lit(0).cast("long"))).count() == 0
+    rng = random.Random(4)
+    vocab, docs = [f"w{i}" for i in range(300)], {}
+    for size, copies, changes in ((60, 70, 2), (60, 40, 4), (200, 60, 4), (30, 50, 1)):
+        base = [rng.choice(vocab) for _ in range(size)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rng.randint(0, changes)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            docs[len(docs)] = " ".join(w)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, 3, 90, 100, block=8).collect()}
+    assert got == brute.components(docs, 3, 90)
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(0)
     for size in (20, 300, 3000):
