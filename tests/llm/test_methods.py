@@ -144,6 +144,15 @@ def test_pii_equals_brute_force(spark, texts):
     assert added[7] == "ssn:4:15,ssn:20:31" and added[8] == ""
 
 
+def test_iban_before_other_capitals(spark):
+    """The country tells where an IBAN ends; a token after it is not part of it."""
+    cases = {"BE68 5390 0754 7034 BIC KREDBEBB": "iban:0:19", "ES91 2100 0418 4502 0005 1332 EUR 50": "iban:0:29", "BE68539007547034 EUR": "iban:0:16",
+             "to BE68 5390 0754 7034, EUR": "iban:3:22", "NO93 8601 1117 947 NOK": "iban:0:18", "BE68 5390 0754 7035 BIC": "", "BE68 5390 0754 7034BIC": ""}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df).select("doc_id", pii.joined(F.col("spans")).alias("spans")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_pii_query_digests(spark, texts):
     got = {r.doc_id: r for r in registry.queries()["op5_pii"](spark, SF).collect()}
     assert len(got) == len(texts)
