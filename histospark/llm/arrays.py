@@ -35,6 +35,19 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def task(run):
+    """``run`` (batches in, batches out) that gives its memory back when its
+    task ends, in whatever way."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> U(30))

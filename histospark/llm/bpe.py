@@ -29,16 +29,18 @@ from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
 from histospark.llm import arrays as A
-from histospark.llm.common import ROW, stored, table
+from histospark.llm.common import ROW, share, stored, table
 
 U = np.uint64
-#: Most words of the map-side dictionary.
-DICTIONARY = 4_000_000
+#: Most words of the map-side dictionary, and most bytes of their ids.
+DICTIONARY, DICTIONARY_BYTES = 4_000_000, 128 << 20
 #: Hashes of words that a task has sent already and remembers.
 HELD = 4_000_000
 #: Bytes of text handled at once.
 SLICE = 1 << 20
 ABSENT = np.uint32(0xFFFFFFFF)
+#: Texts without this are not searched for special tokens.
+SPECIAL = "<|"
 
 _HIGH = regex.compile("[^\\x00-\\u036f]")
 _KEPT: dict = {}
@@ -85,7 +87,7 @@ class Words:
         parts, specials, n = [], [], 0
         for t in texts:
             t = t or ""
-            if self.cut is not None and "<|" in t and (pieces := self.cut.split(t))[1:]:
+            if self.cut is not None and SPECIAL in t and (pieces := self.cut.split(t))[1:]:
                 done = []
                 for i, p in enumerate(pieces):
                     if i % 2:  # a special token: one code point stands for it, between blanks
@@ -150,7 +152,10 @@ def special_tokens(file_text: str) -> tuple[str, ...]:
     pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
     if kinds != ["NFC", "Replace", "Lowercase"] or pattern != "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+":
         raise ValueError("this tokenizer splits words in another way")
-    return tuple(t["content"] for t in spec["added_tokens"])
+    special = tuple(t["content"] for t in spec["added_tokens"])
+    if not all(t.startswith(SPECIAL) for t in special):
+        raise ValueError(f"a special token doesn't begin with {SPECIAL}")
+    return special
 
 
 def _splitter(special: tuple[str, ...]) -> Words:
@@ -177,16 +182,15 @@ def distinct_words(docs: DataFrame, special: tuple[str, ...]) -> DataFrame:
             words = [found[i] if i in found else codes[at[i] : at[i] + length[i]].tobytes().decode("utf-32-le") for i in first.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
         del sent
-        A.release()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(A.task(run), "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def encoded_words(words: DataFrame, file_text: str) -> DataFrame:
     """(h, n, ids) of each distinct word: its hash, count and ids (unsigned 32-bit, little-endian)."""
     spec = json.loads(file_text)
     spec["normalizer"] = None  # the words are normalised already
-    file = words.sparkSession.sparkContext.broadcast(json.dumps(spec))
+    file = share(words.sparkSession, json.dumps(spec))
 
     def run(batches):
         t = Tokenizer.from_str(file.value)
@@ -200,9 +204,8 @@ def encoded_words(words: DataFrame, file_text: str) -> DataFrame:
                 h = _hashes(codes, np.cumsum(length) - length, length, {}).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), part.column(1), pa.array(ids, pa.binary())], names=["h", "n", "ids"])
         del t
-        A.release()
 
-    return words.mapInArrow(run, "h long, n long, ids binary")
+    return words.mapInArrow(A.task(run), "h long, n long, ids binary")
 
 
 def _vocabulary(file_text: str) -> dict[str, int]:
@@ -298,15 +301,22 @@ def encode(docs: DataFrame, file_path: str | None = None, digest: bool = False,
     """Ids of every row of ``docs`` (doc_id, text): doc_id, n_tokens and ids,
     or with ``digest`` the hashes of the ids and of the decoded text."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
     with open(file_path or default_file(), encoding="utf-8") as f:
         text = f.read()
-    special, shared = special_tokens(text), sc.broadcast(_Pieces(text) if digest else None)
+    special, shared = special_tokens(text), share(spark, _Pieces(text) if digest else None)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = stored(encoded_words(distinct_words(docs, special), text), "bpe-words")
-    many = words.count() > dictionary
-    known = words.orderBy(F.desc("n"), "h").limit(dictionary) if many else words
-    known = sc.broadcast(Dictionary(known.select("h", "ids").toArrow()))
+    bins = words.groupBy("n").agg(F.count(F.lit(1)).alias("words"), F.sum(F.length("ids")).alias("bytes"))  # a row a number of tasks
+    bins = bins.groupBy(F.least(F.col("n"), F.lit(1 << 12)).alias("n")).agg(F.sum("words").alias("words"), F.sum("bytes").alias("bytes")).collect()
+    held, size, least = 0, 0, (1 << 12) + 1
+    for r in sorted(bins, reverse=True):  # the most widespread words first, as far as they fit
+        held, size = held + r["words"], size + r["bytes"]
+        if held > dictionary or size > DICTIONARY_BYTES:
+            break
+        least = r["n"]
+    many = least > min((r["n"] for r in bins), default=least)
+    known = words.where(F.col("n") >= least)
+    known = share(spark, Dictionary(known.select("h", "ids").toArrow()))
 
     def places(batches):
         split, d = _splitter(special), known.value
@@ -314,7 +324,6 @@ def encode(docs: DataFrame, file_path: str | None = None, digest: bool = False,
             codes, at, length, doc, found = split.split(b.column(1).to_pylist())
             h = _hashes(codes, at, length, found)
             yield b, h, d.find(h), A.bounds(doc, b.num_rows)
-        A.release()
 
     def all_known(batches):
         d, table_ = known.value, shared.value
@@ -349,12 +358,12 @@ def encode(docs: DataFrame, file_path: str | None = None, digest: bool = False,
 
     kind = DIGEST if digest else OUT
     if not many:
-        return docs.mapInArrow(all_known, kind)
-    rows = docs.mapInArrow(with_gaps, "doc_id long, places binary, pos array<long>, h array<long>")
+        return docs.mapInArrow(A.task(all_known), kind)
+    rows = docs.mapInArrow(A.task(with_gaps), "doc_id long, places binary, pos array<long>, h array<long>")
     rows = stored(rows.withColumn(ROW, F.monotonically_increasing_id()), "bpe-places")
     rest = rows.select(ROW, F.explode(F.arrays_zip("pos", "h")).alias("g")).select(ROW, "g.pos", "g.h")
-    rest = rest.join(words.select("h", "ids"), "h").groupBy(ROW).agg(F.collect_list(F.struct("pos", "ids")).alias("rest"))
-    return rows.join(rest, ROW, "left").select("doc_id", "places", "rest").mapInArrow(fill, kind)
+    rest = rest.join(words.where(F.col("n") < least).select("h", "ids"), "h").groupBy(ROW).agg(F.collect_list(F.struct("pos", "ids")).alias("rest"))
+    return rows.join(rest, ROW, "left").select("doc_id", "places", "rest").mapInArrow(A.task(fill), kind)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

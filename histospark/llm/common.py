@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histospark.llm.arrays import release
 from histospark.session import workspace_dir
 
 #: Words are runs of anything but the six ASCII blanks.
@@ -27,6 +30,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHARED: list = []
+
+
+def share(spark: SparkSession, value):
+    """Broadcast ``value``; :func:`settle` takes it from the executors again."""
+    _SHARED.append(spark.sparkContext.broadcast(value))
+    return _SHARED[-1]
+
+
+def settle() -> None:
+    """After a step whose result is written: broadcasts leave the executors
+    (one that is still in use is sent again), and the driver's Python gives its
+    free memory back."""
+    while _SHARED:
+        with contextlib.suppress(Exception):  # its session has ended
+            _SHARED.pop().unpersist()
+    release()
+
+
 def with_row_id(df: DataFrame, name: str = "rows") -> DataFrame:
     """``df`` with a unique long per row, stored so that the ids cannot change
     when a task runs again."""

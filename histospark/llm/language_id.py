@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from histospark.llm import arrays as A
 from histospark.llm.bpe import _classes
-from histospark.llm.common import stored, table
+from histospark.llm.common import share, stored, table
 
 U = np.uint64
 TRAIN_DOCS, TRAIN_WORDS = 2_000, 200_000
@@ -232,7 +232,7 @@ def train(docs: DataFrame, usable: Column, path: str | None = None) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in lang[first]], pa.string()), pa.array(words, pa.string()), pa.array(n, pa.int64())],
                                              names=["lang", "word", "n"])
 
-    counted = sample.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(A.task(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     most = max(1, TRAIN_WORDS // max(1, per.count()))
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= most)
     counts: dict[str, list[tuple[str, int]]] = {}
@@ -244,7 +244,7 @@ def train(docs: DataFrame, usable: Column, path: str | None = None) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of each row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches):
         for b in A.slices(batches):
@@ -252,7 +252,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return slim.mapInArrow(A.task(run), "doc_id long, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,10 @@ their bucket. Training: in each round every
 task starts from the current network, masks one in ROUNDS positions of all its
 documents and takes numpy gradient steps; the networks of all tasks are
 averaged in Spark by blocks, weighted by their numbers of examples. Each
-position of the corpus is a target in exactly one round. Scoring reads whole
-texts without a shuffle of them.
+position of the corpus is a target in exactly one round. Texts are cut into
+words twice, for the counts and for a table of word ids (two bytes a word, with
+the shares of the words outside the vocabulary); the rounds and the scoring
+read that table, without a shuffle of it.
 
 Words are in lower case (A-Z). Null text and text without words has no words,
 log probability 0 and null perplexity. Repeated rows get the same score; an
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histospark.llm import arrays as A
-from histospark.llm.common import ROW, stored, table
+from histospark.llm.common import ROW, share, stored, table
 
 U = np.uint64
 LEVELS = 12
@@ -43,7 +45,7 @@ CONTEXT, WIDTH = 2, 16
 ROUNDS, BATCH, RATE = 2, 512, 0.1
 #: Blocks in which networks are averaged, and tasks averaged at once.
 BLOCKS, TASKS = 32, 64
-SCORED = 1 << 15
+SCORED = 1 << 12
 UPPER = 7  # levels of the tree whose gradients are one matrix product
 #: Words outside the vocabulary whose shares are looked up inside tasks; the rest takes a shuffle.
 DICTIONARY = 1 << 20
@@ -51,6 +53,10 @@ PAD = 1 << LEVELS  # id of places outside the text
 
 _OFFSETS = np.array([o for o in range(-CONTEXT, CONTEXT + 1) if o])
 _DEPTH = np.arange(LEVELS)
+_IDS = np.arange(1 << LEVELS)[:, None]
+#: Inner nodes on the way to each id, and the branches taken.
+_NODES = ((1 << _DEPTH) - 1 + (_IDS >> (LEVELS - _DEPTH))).astype(np.int32)
+_BRANCHES = ((_IDS >> (LEVELS - 1 - _DEPTH)) & 1).astype(np.float32)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -70,7 +76,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for lo in range(0, len(held), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(held[lo : lo + 100_000].view(np.int64)), pa.array(counts[lo : lo + 100_000])], names=["h", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(A.task(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -138,90 +144,96 @@ class Network:
         e, g, v, b = np.split(self.flat, np.cumsum(self.SIZES)[:-1])  # views
         self.e, self.g, self.v, self.b = e.reshape(-1, WIDTH), g.reshape(-1, WIDTH), v.reshape(-1, WIDTH), b
 
-    @staticmethod
-    def path(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Inner nodes on the way to each id, and the branches taken."""
-        nodes = (1 << _DEPTH) - 1 + (ids[:, None] >> (LEVELS - _DEPTH))
-        return nodes, ((ids[:, None] >> (LEVELS - 1 - _DEPTH)) & 1).astype(np.float32)
+    def hidden(self, e: np.ndarray) -> np.ndarray:
+        """Of the embeddings of the words around (rows x places x WIDTH)."""
+        return np.tanh(np.einsum("nkw,kw->nw", e, self.g))
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        s = np.zeros((len(around), WIDTH), np.float32)
-        for k in range(around.shape[1]):
-            s += self.e[around[:, k]] * self.g[k]
-        return np.tanh(s)
+    def logits(self, nodes: np.ndarray, v: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Of each row's nodes, ``v`` the vectors of those below the upper
+        levels. The upper levels have few nodes: one matrix product."""
+        top = (1 << UPPER) - 1
+        upper = (h @ self.v[:top].T).ravel()[nodes[:, :UPPER] + np.arange(0, len(h) * top, top)[:, None]]
+        return np.concatenate((upper, np.matmul(v, h[:, :, None])[:, :, 0]), 1) + self.b[nodes]
 
     def log_probability(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        nodes, branch = self.path(ids)
-        z = np.matmul(self.v[nodes], self.hidden(around)[:, :, None])[:, :, 0] + self.b[nodes]
-        z *= 1 - 2 * branch  # branch 1 has probability sigmoid(-z)
+        nodes = _NODES[ids]
+        z = self.logits(nodes, self.v[nodes[:, UPPER:]], self.hidden(self.e[around]))
+        z *= 1 - 2 * _BRANCHES[ids]  # branch 1 has probability sigmoid(-z)
         return -np.logaddexp(0, -z).sum(1, dtype=np.float64)
 
     def step(self, around: np.ndarray, ids: np.ndarray, power: list[np.ndarray]) -> None:
         """One Adagrad step on a batch of examples."""
-        nodes, branch = self.path(ids)
-        h = self.hidden(around)
-        # The nodes of the upper levels are few: matrix products instead of sums by node.
-        top = self.v[: (1 << UPPER) - 1]
-        high, low = nodes[:, :UPPER], nodes[:, UPPER:]
+        e, nodes = self.e[around], _NODES[ids]
+        h, top, low = self.hidden(e), self.v[: (1 << UPPER) - 1], nodes[:, UPPER:]
         v = self.v[low]
-        z = np.concatenate((np.take_along_axis(h @ top.T, high, 1), np.matmul(v, h[:, :, None])[:, :, 0]), 1) + self.b[nodes]
-        d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - (1 - branch)
+        z = self.logits(nodes, v, h)
+        d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - (1 - _BRANCHES[ids])
         upper, lower = np.zeros((len(ids), len(top)), np.float32), d[:, UPPER:]
-        np.put_along_axis(upper, high, d[:, :UPPER], 1)
+        upper.ravel()[nodes[:, :UPPER] + np.arange(0, upper.size, len(top))[:, None]] = d[:, :UPPER]
         dh = ((upper @ top + np.matmul(lower[:, None, :], v)[:, 0]) * (1 - h * h)).astype(np.float32)
-        flat = low.ravel()
-        self._move(2, np.arange(len(top)), upper.T @ h, power)
-        self._move(3, np.arange(len(top)), upper.sum(0), power)
-        at, gv = _scatter(flat, (lower[:, :, None] * h[:, None, :]).reshape(-1, WIDTH), PAD)
-        self._move(2, at, gv, power)
-        self._move(3, at, np.bincount(flat, lower.ravel(), minlength=PAD)[at], power)
-        gated = dh[:, None, :] * self.g
-        gg = (dh[:, None, :] * self.e[around]).sum(0)
-        at, ge = _scatter(around.ravel(), gated.reshape(-1, WIDTH), PAD + 1)
+        self._move(2, slice(len(top)), upper.T @ h, power)
+        self._move(3, slice(len(top)), upper.sum(0), power)
+        rows = np.empty((*low.shape, WIDTH + 1), np.float32)  # the vector's and the bias's gradient
+        np.multiply(lower[:, :, None], h[:, None, :], out=rows[:, :, :WIDTH])
+        rows[:, :, WIDTH] = lower
+        at, gv = _scatter(low.ravel(), rows.reshape(-1, WIDTH + 1))
+        self._move(2, at, gv[:, :WIDTH], power)
+        self._move(3, at, gv[:, WIDTH], power)
+        gg = np.einsum("nw,nkw->kw", dh, e)
+        at, ge = _scatter(around.ravel(), (dh[:, None, :] * self.g).reshape(-1, WIDTH))
         self._move(0, at, ge, power)
-        self._move(1, np.arange(len(gg)), gg, power)
+        self._move(1, slice(len(gg)), gg, power)
 
-    def _move(self, k: int, at: np.ndarray, g: np.ndarray, power: list[np.ndarray]) -> None:
+    def _move(self, k: int, at, g: np.ndarray, power: list[np.ndarray]) -> None:
         """Adagrad on the rows ``at`` of weights ``k``; rows without a gradient stay as they are."""
         w, p = (self.e, self.g, self.v, self.b)[k], power[k]
-        g = g.astype(np.float32)
         p[at] = now = p[at] + g * g
-        w[at] -= RATE * g / np.sqrt(now + 1e-6)
+        w[at] -= RATE * g / np.sqrt(now + np.float32(1e-6))
 
 
-def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _scatter(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of ``rows`` by ``at``: the values of ``at`` that occur, and their sums."""
-    there = np.zeros(n, bool)
-    there[at] = True
-    some = np.flatnonzero(there)
-    place = np.cumsum(there) - 1
-    key = place[at][:, None] * WIDTH + np.arange(WIDTH)
-    return some, np.bincount(key.ravel(), rows.ravel(), minlength=len(some) * WIDTH).reshape(-1, WIDTH)
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # PAD has 13 bits
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
-def _examples(ids: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ids of the words around the places ``at``, PAD outside the text."""
-    to = at[:, None] + _OFFSETS
-    inside = (to >= 0) & (to < len(ids))
-    to = np.clip(to, 0, max(len(ids) - 1, 0))
-    return np.where(inside & (doc[to] == doc[at][:, None]), ids[to], PAD)
+class Line:
+    """The ids of some texts in one line, with PAD between them."""
 
+    def __init__(self, ids: np.ndarray, doc: np.ndarray, n: int):
+        self.place = np.arange(len(ids)) + CONTEXT * (doc + 1)
+        self.line = np.full(len(ids) + CONTEXT * (n + 1), PAD, np.int32)
+        self.line[self.place] = ids
 
-def _round(docs: DataFrame, vocabulary, network: np.ndarray, number: int) -> np.ndarray:
+    def around(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the words around the words ``at``, PAD outside the text."""
+        return self.line[self.place[at][:, None] + _OFFSETS]
+
+
+def _texts(batches):
+    """(ids, index of the text, batch) of rows with ``ids``, 32,768 words or one row at a time."""
+    for b in batches:
+        for part in A.slices(iter([b]), "ids", 1 << 16):
+            data, offsets = A.text_buffer(part.column(part.schema.get_field_index("ids")))
+            ids = np.frombuffer(data.tobytes(), "<u2").astype(np.int64)
+            yield ids, np.repeat(np.arange(part.num_rows), np.diff(offsets) // 2), part
+
+
+def _round(rows: DataFrame, network: np.ndarray, number: int) -> np.ndarray:
     """The average of the networks that all tasks reach from ``network``."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    shared = share(rows.sparkSession, network)
     size = -(-len(network) // BLOCKS)
 
     def run(batches):
         net, held, examples, tag = Network(shared.value.copy()), [], 0, 0
         power = [np.zeros_like(w, np.float32) for w in (net.e, net.g, net.v, net.b)]
-        for b in A.slices(batches):
-            h, doc, _ = A.words(b.column(0), lower=True)
-            ids = vocabulary.value.ids(h)
+        for ids, doc, part in _texts(batches):
             place = np.arange(len(ids)) - np.searchsorted(doc, doc)
-            masked = np.flatnonzero(A.mix(h ^ place.astype(U)) % U(ROUNDS) == U(number))
-            tag ^= int(h[:1].sum(dtype=U)) if len(h) else 0
-            held.append((_examples(ids, doc, masked), ids[masked]))
+            masked = np.flatnonzero(A.mix(ids.astype(U) * U(0x9E3779B97F4A7C15) ^ place.astype(U)) % U(ROUNDS) == U(number))
+            tag ^= int(ids[:1].sum()) * 31 + len(ids)
+            held.append((Line(ids, doc, part.num_rows).around(masked), ids[masked]))
             if sum(len(x) for _, x in held) >= BATCH:
                 around, target = (np.concatenate(x) for x in zip(*held, strict=True))
                 full = len(target) // BATCH * BATCH
@@ -244,71 +256,104 @@ def _round(docs: DataFrame, vocabulary, network: np.ndarray, number: int) -> np.
         return pd.DataFrame({"block": pdf["block"][:1], "part": [0], "n": [int(n.sum())], "w": [w.astype(np.float32).tobytes()]})
 
     kind = "block int, part int, n long, w binary"
-    parts = docs.select("text").mapInArrow(run, kind).groupBy("block", "part").applyInPandas(average, kind)
+    parts = rows.select("ids").mapInArrow(A.task(run), kind).groupBy("block", "part").applyInPandas(average, kind)
     got = parts.groupBy("block").applyInPandas(average, kind).collect()  # BLOCKS rows
     if not got:
         return network
     return np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["block"])])
 
 
-def train(docs: DataFrame) -> tuple[Vocabulary, Network, DataFrame]:
-    """The vocabulary, the network, and (h, n): all words outside the
-    vocabulary with their counts."""
+def learn_words(docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary, and (h, n): all words outside it with their counts."""
     words = stored(word_counts(docs), "lm-words")
     top = words.orderBy(F.desc("n"), "h").limit(KNOWN).toPandas()
-    vocabulary = Vocabulary(top["h"].to_numpy(np.int64).view(U))
     rest = words.limit(0)
     if len(top) == KNOWN:
         n, h = (F.lit(int(top[c].iloc[-1])) for c in ("n", "h"))
         rest = words.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("h") > h)))
-    shared, flat = docs.sparkSession.sparkContext.broadcast(vocabulary), Network().flat
-    for number in range(ROUNDS):
-        flat = _round(docs, shared, flat, number)
-    return vocabulary, Network(flat), rest
+    return Vocabulary(top["h"].to_numpy(np.int64).view(U)), rest
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, rest: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
-    """doc_id, n_tokens, log_prob (sum over all words) and perplexity."""
+def word_ids(docs: DataFrame, vocabulary: Vocabulary, rest: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
+    """A stored row per row of ``docs``: doc_id, ids (two bytes a word), n_tokens
+    and ``shares``, the sum of the shares of its words outside the vocabulary."""
     shares, whole = dictionary_of(rest, dictionary)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, network.flat, shares))
+    shared = share(docs.sparkSession, (vocabulary, shares))
 
     def run(batches):
-        words, flat, shares = shared.value
-        net = Network(flat)
+        words, shares = shared.value
         for b in A.slices(batches):
             h, doc, n = A.words(b.column(1), lower=True)
             ids = words.ids(h)
+            out = np.flatnonzero(ids >= KNOWN)
+            value, found = shares.find(h[out])
+            found |= whole
+            left = out[~found]
+            cut = A.bounds(doc, n)
+            packed = ids.astype("<u2").tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([packed[2 * x : 2 * y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                 pa.array(np.diff(cut).astype(np.int64)), pa.array(np.bincount(doc[out[found]], value[found], minlength=n).astype(float)),
+                 pa.ListArray.from_arrays(pa.array(A.bounds(doc[left], n), pa.int32()), pa.array(h[left].view(np.int64)))],
+                names=["doc_id", "ids", "n_tokens", "shares", "left"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(A.task(run), "doc_id long, ids binary, n_tokens long, shares double, left array<long>")
+    if whole:
+        return stored(rows.drop("left"), "lm-ids")
+    rows = stored(rows.withColumn(ROW, F.monotonically_increasing_id()), "lm-ids")
+    bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    by_bucket = lambda x: F.array(*[F.lit(float(v)) for v in x])[bucket]
+    words = rows.select(ROW, F.explode("left").alias("h")).join(rest, "h", "left")
+    value = F.coalesce(F.log("n") + by_bucket(-np.log(np.maximum(np.expm1(-shares.absent), 1))), by_bucket(shares.absent))
+    more = words.groupBy(ROW).agg(F.sum(value).alias("more"))
+    rows = rows.join(more, ROW, "left").withColumn("shares", F.col("shares") + F.coalesce("more", F.lit(0.0)))
+    return stored(rows.drop(ROW, "left", "more"), "lm-ids")
+
+
+def fit(rows: DataFrame) -> Network:
+    """The network trained on all positions of ``rows`` (ids)."""
+    flat = Network().flat
+    for number in range(ROUNDS):
+        flat = _round(rows, flat, number)
+    return Network(flat)
+
+
+def train(docs: DataFrame) -> tuple[Vocabulary, Network, DataFrame]:
+    """The vocabulary, the network, and (h, n): all words outside the
+    vocabulary with their counts."""
+    vocabulary, rest = learn_words(docs)
+    return vocabulary, fit(word_ids(docs, vocabulary, rest)), rest
+
+
+def score_ids(rows: DataFrame, network: Network) -> DataFrame:
+    """doc_id, n_tokens, log_prob (sum over all words) and perplexity of rows of :func:`word_ids`."""
+    shared = share(rows.sparkSession, network.flat)
+
+    def run(batches):
+        net = Network(shared.value)
+        for ids, doc, part in _texts(batches):
+            line, n = Line(ids, doc, part.num_rows), part.num_rows
             logs = [np.zeros(0)]
             for lo in range(0, len(ids), SCORED):
                 at = np.arange(lo, min(lo + SCORED, len(ids)))
-                logs.append(net.log_probability(_examples(ids, doc, at), ids[at]))
-            logs, out = np.concatenate(logs), np.flatnonzero(ids >= KNOWN)
-            share, found = shares.find(h[out])
-            found |= whole
-            logs[out[found]] += share[found]
-            left = out[~found]
-            count = np.bincount(doc, minlength=n)
-            total = np.bincount(doc, logs, minlength=n)
-            left = pa.ListArray.from_arrays(pa.array(A.bounds(doc[left], n), pa.int32()), pa.array(h[left].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(total, pa.float64()), left],
-                                             names=["doc_id", "n_tokens", "log_prob", "left"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, left array<long>")
-    if not whole:
-        rows = stored(rows.withColumn(ROW, F.monotonically_increasing_id()), "lm-rows")
-        bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-        by_bucket = lambda x: F.array(*[F.lit(float(v)) for v in x])[bucket]
-        words = rows.select(ROW, F.explode("left").alias("h")).join(rest, "h", "left")
-        share = F.coalesce(F.log("n") + by_bucket(-np.log(np.maximum(np.expm1(-shares.absent), 1))), by_bucket(shares.absent))
-        more = words.groupBy(ROW).agg(F.sum(share).alias("more"))
-        rows = rows.join(more, ROW, "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+                logs.append(net.log_probability(line.around(at), ids[at]))
+            total = np.bincount(doc, np.concatenate(logs), minlength=n) + part.column(3).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total, pa.float64())], names=["doc_id", "n_tokens", "log_prob"])
+
+    out = rows.select("doc_id", "n_tokens", "ids", "shares").mapInArrow(A.task(run), "doc_id long, n_tokens long, log_prob double")
     perplexity = F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens")))
-    return rows.select("doc_id", "n_tokens", "log_prob", perplexity.alias("perplexity"))
+    return out.withColumn("perplexity", perplexity)
+
+
+def score(docs: DataFrame, vocabulary: Vocabulary, network: Network, rest: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
+    """doc_id, n_tokens, log_prob and perplexity of each row of ``docs``."""
+    return score_ids(word_ids(docs, vocabulary, rest, dictionary), network)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return score(docs, *train(docs))
+    rows = word_ids(docs, *learn_words(docs))
+    return score_ids(rows, fit(rows))
 
 
 QUERIES = {"op3_lm_scoring": op3_lm_scoring}

@@ -126,12 +126,13 @@ def positions(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 def mix(rows: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """What the mix takes of each row of ``rows`` (doc_id, source, size, and
     whatever else identifies the row; a stored table): all columns of rows plus
-    source_size, target, start, taken, and taken_1 and taken_2, the words taken
-    in the first and in the second round (leading words of the document)."""
+    source_size, target, start, taken, taken_1 and taken_2, the words taken in
+    the first and in the second round (leading words of the document), and
+    slot_1 and slot_2, the first slot of the sequence that takes some of them."""
     names = rows.columns
     sources = stored(targets(rows, weights, share, cap), "mix-sources")
     placed = stored(positions(rows, sources), "mix-positions")
-    slots = schedule(sources, block).select(F.col("source").alias("s1"), F.col("block").alias("b1"), "epoch", "use")
+    slots = schedule(sources, block).select(F.col("source").alias("s1"), F.col("block").alias("b1"), "epoch", "use", "slot")
     pieces = placed.where("size > 0").select(
         "source", "start", "size",
         F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
@@ -141,30 +142,35 @@ def mix(rows: DataFrame, block: int = BLOCK_WORDS, weights=WEIGHTS, share: float
     used = used.withColumn("n", F.greatest(hi - lo, F.lit(0)))
     used = used.groupBy(F.col("source").alias("s1"), F.col("start").alias("w1")).agg(
         F.sum(F.when(F.col("epoch") == 0, F.col("n")).otherwise(0)).alias("taken_1"),
-        F.sum(F.when(F.col("epoch") > 0, F.col("n")).otherwise(0)).alias("taken_2"))
+        F.sum(F.when(F.col("epoch") > 0, F.col("n")).otherwise(0)).alias("taken_2"),
+        F.min(F.when((F.col("epoch") == 0) & (F.col("n") > 0), F.col("slot"))).alias("slot_1"),
+        F.min(F.when((F.col("epoch") > 0) & (F.col("n") > 0), F.col("slot"))).alias("slot_2"))
     # A document with words is alone at its (source, start).
     out = placed.join(used, placed["source"].eqNullSafe(used["s1"]) & (placed["start"] == used["w1"]) & (placed["size"] > 0), "left")
     zero = F.lit(0).cast("long")
     return out.select(*[placed[c] for c in names], "source_size", "target", "start",
                       F.coalesce("taken_1", zero).alias("taken_1"), F.coalesce("taken_2", zero).alias("taken_2"),
-                      (F.coalesce("taken_1", zero) + F.coalesce("taken_2", zero)).alias("taken"))
+                      (F.coalesce("taken_1", zero) + F.coalesce("taken_2", zero)).alias("taken"), "slot_1", "slot_2")
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """The mixed corpus, with the columns of ``docs`` (doc_id, text, source,
     n_chars among them): a document once per round in which words of it are
-    taken, cut to those words where a target ends inside it."""
+    taken, cut to those words where a target ends inside it, in the order of the
+    sequence's slots (files and rows of the written table follow it)."""
     names = docs.columns
     rows = with_row_id(docs, "mix-input")
     plan = mix(stored(rows.select(ROW, "doc_id", "source", n_words().alias("size")), "mix-sizes"), block)
-    plan = plan.where("taken > 0").select(F.col(ROW).alias("__hs_at"), F.col("size").alias("__hs_size"), "taken_1", "taken_2")
-    plan = plan.withColumn("__hs_take", F.explode(F.filter(F.array("taken_1", "taken_2"), lambda x: x > 0))).drop("taken_1", "taken_2")
+    rounds = F.array(*[F.struct(F.col(f"taken_{k}").alias("take"), F.col(f"slot_{k}").alias("slot")) for k in (1, 2)])
+    plan = plan.where("taken > 0").select(F.col(ROW).alias("__hs_at"), F.col("size").alias("__hs_size"), F.explode(F.filter(rounds, lambda x: x["take"] > 0)).alias("__hs"))
+    plan = plan.select("__hs_at", "__hs_size", F.col("__hs.take").alias("__hs_take"), F.col("__hs.slot").alias("__hs_slot"))
     out = rows.join(plan, rows[ROW] == plan["__hs_at"])
     leading = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[{BLANKS}]*{WORD}"), F.lit(0)), F.lit(1), F.col("__hs_take").cast("int")), "")
     text = F.when(F.col("__hs_take") < F.col("__hs_size"), leading).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
+    out = out.repartitionByRange("__hs_slot", ROW).sortWithinPartitions("__hs_slot", ROW)
     return out.select(*[f"`{c}`" for c in names])
 
 

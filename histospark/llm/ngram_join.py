@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histospark.llm import arrays as A
-from histospark.llm.common import ROW, stored, table, with_row_id
+from histospark.llm.common import ROW, share, stored, table, with_row_id
 from histospark.llm.components import components
 
 U = np.uint64
@@ -63,6 +63,8 @@ BUCKET, BUCKETS, BLOOM_BITS = 1 << 17, 256, 1 << 29
 SHARED, SHORT = 4, 6
 #: Members of a long list that are scanned in one unit, and hubs a component has in a list of several units.
 BLOCK, HUBS = 1 << 18, 32
+#: Scans that try one pair for each two components, before the scan of all pairs.
+NEAREST = 2
 #: Ids at and above this stand for rows without doc_id.
 NO_ID = 1 << 62
 
@@ -167,7 +169,7 @@ def profile(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
         if many:
             yield flush()
 
-    return docs.mapInArrow(run, "kind int, x long, size long, sig binary, sketch binary")
+    return docs.mapInArrow(A.task(run), "kind int, x long, size long, sig binary, sketch binary")
 
 
 def boundary(mean_list: float, rule: Rule) -> int:
@@ -237,7 +239,7 @@ def postings(docs: DataFrame, n: int, rule: Rule, frequent, copies, small: int,
         if many:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, keys binary, ids binary")
+    return docs.mapInArrow(A.task(run), "bucket int, keys binary, ids binary")
 
 
 def inverted_lists(posted: DataFrame, bits: int) -> DataFrame:
@@ -314,7 +316,7 @@ def near(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
 
     side = lambda c: facts.select(F.col("id").alias(c), F.col("size").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     j = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "s_a", "n_b", "s_b")
-    return j.mapInArrow(run, "a long, b long")
+    return j.mapInArrow(A.task(run), "a long, b long")
 
 
 def long_lists(found: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
@@ -340,7 +342,7 @@ def members(lists: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(np.asarray(b.column(k)), n)) for k in range(3)],
                                                   pa.array(np.concatenate(ids), pa.int64())], names=["list", "kind", "c", "id"])
 
-    return lists.select("key", "kind", "c", "x").mapInArrow(run, "list long, kind int, c long, id long")
+    return lists.select("key", "kind", "c", "x").mapInArrow(A.task(run), "list long, kind int, c long, id long")
 
 
 def blocks_of(lists: DataFrame, block: int) -> DataFrame:
@@ -370,15 +372,24 @@ def mixed_blocks(rows: DataFrame) -> DataFrame:
     return whole.join(mixed, "list").select("list", "id", "label").unionByName(cut)
 
 
-def candidates(rows: DataFrame, rule: Rule, n_buckets: int) -> DataFrame:
+def candidates(rows: DataFrame, rule: Rule, n_buckets: int, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) of each list in ``rows`` (list, id, size, sketch[, label])
     that pass the size and sketch filters: stars that cover the list or, with
-    ``label``, all pairs of different labels."""
+    ``label``, all pairs of different labels; ``nearest``: of these the one with
+    the nearest sketches for each two labels of a list."""
     stars = "label" not in rows.columns
 
     def passing(size, sketches, x, y):
         return sketches.apart(x, y) <= size[x] + size[y] - 2 * rule.overlap(size[x], size[y])
 
+    def nearest_of(sketches, label, x, y):
+        """One of the pairs for each two labels."""
+        apart = sketches.apart(np.minimum(x, y), np.maximum(x, y))
+        one, two = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        order = np.lexsort((y, x, apart, two, one))
+        first = order[np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))] if len(order) else order
+        return x[first], y[first]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["list", "size", "id"], ignore_index=True)
         ids, size = pdf["id"].to_numpy(), pdf["size"].to_numpy()
@@ -392,13 +403,20 @@ def candidates(rows: DataFrame, rule: Rule, n_buckets: int) -> DataFrame:
             left = np.arange(lo, hi)
             if not stars:  # one of a pair is outside the most frequent component
                 seen, which, n = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+                one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for x in left[which != n.argmax()]:
                     first, last = np.searchsorted(size[lo:hi] * rule.den, size[x] * rule.num), np.searchsorted(size[lo:hi] * rule.num, size[x] * rule.den, "right")
                     y = left[first:last]
                     y = y[label[y] != label[x]]
                     y = y[passing(size, sketches, np.minimum(x, y), np.maximum(x, y))]
-                    a.append(np.full(len(y), ids[x]))
-                    b.append(ids[y])
+                    x = np.full(len(y), x)
+                    x, y = nearest_of(sketches, label, x, y) if nearest else (x, y)
+                    one.append(x)
+                    two.append(y)
+                x, y = np.concatenate(one), np.concatenate(two)
+                x, y = nearest_of(sketches, label, x, y) if nearest else (x, y)
+                a.append(ids[x])
+                b.append(ids[y])
                 continue
             while len(left) > 1:
                 hub, left = left[0], left[1:]
@@ -427,7 +445,7 @@ def bloom(ids: DataFrame):
     words = words.groupBy("w").agg(F.bit_or("x").alias("x")).toPandas()
     filled = np.zeros(bits // 64, np.int64)
     filled[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
-    return ids.sparkSession.sparkContext.broadcast(filled.view(U)), bits
+    return share(ids.sparkSession, filled.view(U)), bits
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -444,7 +462,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             for x, sets in _sets(iter([part]), n):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
-    return docs.select("id", "text", at.alias("at")).mapInArrow(run, "id long, shingles binary")
+    return docs.select("id", "text", at.alias("at")).mapInArrow(A.task(run), "id long, shingles binary")
 
 
 def links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -463,7 +481,7 @@ def links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     j = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     j = j.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return j.select("a", "b", "x", "y").mapInArrow(A.task(run), "a long, b long").distinct()
 
 
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -484,10 +502,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
     copies = sets.where("size > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")).where("c > 1")
     copies = stored(copies, "ngram-copies")
     top = {bytes(r["sig"]): r["rep"] for r in copies.orderBy(F.desc("c"), "rep").limit(COPIES).collect()}
-    sc = spark.sparkContext
     total = totals[0]["s"] * (1 - num / den) + SHARED * totals[0]["c"]
     bits = max(BUCKETS - 1, int(total) // BUCKET).bit_length()
-    posted = postings(docs, n, rule, sc.broadcast(np.sort(often["x"].to_numpy(np.int64).view(U))), sc.broadcast(top), small, bits)
+    posted = postings(docs, n, rule, share(spark, np.sort(often["x"].to_numpy(np.int64).view(U))), share(spark, top), small, bits)
     found = stored(inverted_lists(posted, bits), "ngram-lists")
     facts = sets.select("id", "size", "sketch")
     lists = stored(blocks_of(long_lists(found, sets.select("id", "size"), rule), block), "ngram-long")
@@ -519,7 +536,14 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
         if wider is not None:
             found = wider
             label = stored(components(found, "a", "b"), "ngram-labels")
-    # Last scan: pairs of different components in long lists.
+    # One pair for each two components of a list first: most of what links there
+    # needs no further pair. Then all pairs of components that are still apart.
+    for _ in range(NEAREST):
+        wider = extended(candidates(mixed_blocks(labelled()).join(facts, "id"), rule, 1 << bits, nearest=True))
+        if wider is None:
+            break
+        found = wider
+        label = stored(components(found, "a", "b"), "ngram-labels")
     wider = extended(candidates(mixed_blocks(labelled()).join(facts, "id"), rule, 1 << bits))
     if wider is not None:
         label = components(wider, "a", "b")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from histospark.llm import arrays as A
 from histospark.llm import quality_rules as R
-from histospark.llm.common import stored, table
+from histospark.llm.common import share, stored, table
 
 U = np.uint64
 LABELLED, POOL, ROUNDS = 20_000, 5_000, 3
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                  pa.array([m.astype(np.int32).tobytes() for m in meta], pa.binary())], names=["doc_id", "y", "content", "meta"])
 
     rows = _columns(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", *INPUT, "y")
-    got = rows.mapInArrow(run, "doc_id long, y double, content binary, meta binary").toArrow()
+    got = rows.mapInArrow(A.task(run), "doc_id long, y double, content binary, meta binary").toArrow()
     order = np.argsort(np.asarray(got.column("doc_id").to_numpy()), kind="stable")
     order = order[np.argsort(_spread(got.column("doc_id").to_numpy()[order]), kind="stable")]
     y = got.column("y").to_numpy()[order]
@@ -218,7 +218,7 @@ def _spread(ids: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (probability of good), p_content, p_meta and kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches):
         for b in A.slices(batches):
@@ -226,18 +226,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(s[:, i]) for i in range(3)], pa.array(s[:, 0] >= 0.5)],
                                              names=["doc_id", "score", "p_content", "p_meta", "kept"])
 
-    return _columns(docs).mapInArrow(run, "doc_id long, score double, p_content double, p_meta double, kept boolean")
+    return _columns(docs).mapInArrow(A.task(run), "doc_id long, score double, p_content double, p_meta double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, all columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches):
         for b in A.slices(batches):
             yield b.filter(pa.array(shared.value.score(b)[:, 0] >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(A.task(run), docs.schema)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(s[k], pa.int64()) for k in STATS], names=["doc_id", *STATS])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in STATS))
+    return slim.mapInArrow(A.task(run), "doc_id long, " + ", ".join(f"{k} long" for k in STATS))
 
 
 def _vote(good: Column, bad: Column) -> Column:

@@ -107,9 +107,8 @@ def fingerprints(docs: DataFrame, n: int = 5) -> DataFrame:
                     doc.append(np.full(len(part), i))
             h, doc = (np.concatenate(h), np.concatenate(doc)) if h else (np.zeros(0, U), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(majority(h, doc, b.num_rows).view(np.int64))], names=["doc_id", "fingerprint"])
-        A.release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(A.task(run), "doc_id long, fingerprint long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histospark.llm import arrays as A
-from histospark.llm.common import stored, table
+from histospark.llm.common import share, stored, table
 
 BUCKETS = 10_000
 #: Between two words.
@@ -80,9 +80,8 @@ def bucket_counts(docs: DataFrame, n: int = 2) -> DataFrame:
             total += np.bincount(features(b.column(0), n)[0], minlength=BUCKETS)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["bucket", "n"])
-        A.release()
 
-    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "bucket int, n long")
+    sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(A.task(run), "bucket int, n long")
     return sent.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
@@ -97,7 +96,7 @@ def gains(docs: DataFrame, target: DataFrame, n: int = 2) -> np.ndarray:
 
 def weights(docs: DataFrame, gain: np.ndarray, n: int = 2) -> DataFrame:
     """(doc_id, n_words, n_features, weight) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(gain)  # BUCKETS numbers
+    shared = share(docs.sparkSession, gain)  # BUCKETS numbers
 
     def run(batches):
         gain = shared.value
@@ -113,10 +112,9 @@ def weights(docs: DataFrame, gain: np.ndarray, n: int = 2) -> DataFrame:
             weight = np.floor_divide(total, np.maximum(n_features, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words.astype(np.int64)), pa.array(n_features.astype(np.int64)), pa.array(weight)],
                                              names=["doc_id", "n_words", "n_features", "weight"])
-        A.release()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    return docs.mapInArrow(A.task(run), "doc_id long, n_words long, n_features long, weight long")
 
 
 def noise(doc_id, seed: int):

@@ -38,7 +38,7 @@ from tokenizers import Tokenizer
 
 from histospark.llm import arrays as A
 from histospark.llm.bpe import _ragged as ragged
-from histospark.llm.common import ROW, stored, table
+from histospark.llm.common import ROW, share, stored, table
 
 #: Most id pairs looked up in place.
 PAIRS = 1 << 21
@@ -205,7 +205,7 @@ def _aligner(shared) -> Aligner:
 def _broadcast(spark: SparkSession, files: tuple[str, str] | None):
     byte_file, piece_file = files or default_files()
     with open(byte_file, encoding="utf-8") as f, open(piece_file, "rb") as g:
-        return _Shared(spark.sparkContext.broadcast((f.read(), g.read())))
+        return _Shared(share(spark, (f.read(), g.read())))
 
 
 class _Shared:
@@ -236,9 +236,8 @@ def overlapping_tokens(docs: DataFrame, files: tuple[str, str] | None = None) ->
                     x["b_start"][j] - base[doc], x["b_end"][j] - base[doc]]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), *map(pa.array, cols), pa.array(x["a_end"][i] == x["b_end"][j])],
                                              names=["doc_id", "group", "a_id", "b_id", "a_start", "a_end", "b_start", "b_end", "end_together"])
-        A.release()
 
-    return _texts(docs).mapInArrow(run, "doc_id long, group long, a_id long, b_id long, a_start long, a_end long, b_start long, b_end long, end_together boolean")
+    return _texts(docs).mapInArrow(A.task(run), "doc_id long, group long, a_id long, b_id long, a_start long, a_end long, b_start long, b_end long, end_together boolean")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -273,9 +272,8 @@ def aligned(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
                 [b.column(0), pa.array(x["a_n"]), pa.array(x["b_n"]), pa.array(groups), pa.array(np.bincount(doc, minlength=b.num_rows).astype(np.int64)),
                  pa.array(aligner.digests(x), pa.string()), _lists(pair[first], cut), _lists(n.astype(np.int32), cut)],
                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
-        A.release()
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>")
+    return _texts(docs).mapInArrow(A.task(run), "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>")
 
 
 def _merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,9 +296,8 @@ def pair_counts(rows: DataFrame) -> DataFrame:
                     yield send(keys, n)
                     keys, n = keys[:0], n[:0]
         yield send(keys, n)
-        A.release()
 
-    counts = rows.select("pairs", "times").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = rows.select("pairs", "times").mapInArrow(A.task(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = stored(counts.withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF)), "alignment-pairs")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))  # a row a B id: no more than its vocabulary
     return counts.join(F.broadcast(most), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -319,7 +316,7 @@ def scored(rows: DataFrame, pairs: int = PAIRS) -> DataFrame:
     complete = held == sum(k for _, k in sizes)
     known = counts.where(F.length(F.bin("n")) >= least).toArrow()
     order = np.argsort(known.column("pair").to_numpy())
-    shared = spark.sparkContext.broadcast(tuple(known.column(c).to_numpy()[order] for c in ("pair", "n", "best")))
+    shared = share(spark, tuple(known.column(c).to_numpy()[order] for c in ("pair", "n", "best")))
 
     def run(batches):
         known, n, best = shared.value
@@ -340,12 +337,11 @@ def scored(rows: DataFrame, pairs: int = PAIRS) -> DataFrame:
                 cut = np.searchsorted(row[~found], np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(7)], pa.array(n_best), pa.array(total), _lists(pair[~found], cut), _lists(times[~found], cut)],
                                                  names=[*part.schema.names[:7], "n_best", "count_sum", "rare", "rare_times"])
-        A.release()
 
     plain = [ROW, "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     kinds = {ROW: "long", "doc_id": "long", "groups_sha256": "string"}
     columns = ", ".join(f"{c} {kinds.get(c, 'long')}" for c in plain)
-    out = rows.select(*plain, "pairs", "times").mapInArrow(run, f"{columns}, n_best long, count_sum long, rare array<long>, rare_times array<long>")
+    out = rows.select(*plain, "pairs", "times").mapInArrow(A.task(run), f"{columns}, n_best long, count_sum long, rare array<long>, rare_times array<long>")
     if complete:
         return out.drop(ROW, "rare", "rare_times")
     out = stored(out, "alignment-found")

@@ -246,7 +246,7 @@ def test_rare_words_are_charged_their_share(spark):
     want = {}
     for d, h in hashes.items():
         ids = vocabulary.ids(h)
-        around = lm_scoring._examples(ids, np.zeros(len(ids), int), np.arange(len(ids)))
+        around = lm_scoring.Line(ids, np.zeros(len(ids), int), 1).around(np.arange(len(ids)))
         want[d] = net.log_probability(around, ids).sum() + sum(np.log(counts[x] / totals[x % lm_scoring.BUCKETS]) for x, i in zip(h.tolist(), ids, strict=True) if i >= lm_scoring.KNOWN)
     plain = {}
     for dictionary in (lm_scoring.DICTIONARY, 50, 0):
@@ -263,7 +263,7 @@ def test_every_position_is_a_target(spark):
     df = stored(spark.createDataFrame([(i, line) for i in range(6)], "doc_id long, text string").repartition(2), "lm-template")
     vocabulary, net, _ = lm_scoring.train(df)
     assert len(vocabulary.h) == 1000
-    assert (np.abs(net.v[net.path(np.arange(1000))[0][:, -1]]).sum(1) > 0).all()
+    assert (np.abs(net.v[lm_scoring._NODES[:1000, -1]]).sum(1) > 0).all()
 
 
 def test_classifier_held_out(spark):

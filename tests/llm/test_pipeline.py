@@ -54,4 +54,35 @@ def test_run_is_registered():
     import __spark_entry__ as E
     assert E.queries()["pipeline"] is P.run
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
+
+
+def test_mix_follows_the_schedule(spark):
+    """The written mix is in the order of the slots: every part of it holds its sources' shares."""
+    from histospark.llm import mixing
+    rows = [(i, "w " * 40, "abc"[min(i % 8, 2)], 80) for i in range(1200)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"), "mix-order")
+    out = mixing.mixed_documents(docs, block=40).collect()
+    share = {s: sum(r.source == s for r in out) / len(out) for s in "abc"}
+    for lo in range(0, len(out) - 300, 100):
+        part = out[lo : lo + 300]
+        assert all(abs(sum(r.source == s for r in part) / 300 - share[s]) < 0.05 for s in "abc")
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeats, clashing columns; and an empty table."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_edges import ROWS, SCHEMA
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(ROWS, SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
+    for clash in ("size", "id", "h", "n", "target", "kept", "taken_1", "slot", "score"):
+        docs = docs.withColumn(clash, F.lit("clash"))
+    for name, df in (("odd", docs), ("none", docs.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = P.run(spark, f"{tmp_path}/odd").collect()
+    assert P.run(spark, f"{tmp_path}/none").collect() == []
+    assert all(r.n_tokens == len(r.ids) for r in got)
+    # of equal texts the largest doc_id: 1 is left of 1 and null, 6 of 5 and 6, 9 of 8, 8 and 9
+    assert {r.doc_id for r in got} <= {1, 6, 7, 9, 10, 11} and {1, 6, 9} & {r.doc_id for r in got}
