@@ -15,9 +15,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from histospark.functions.timecalc import ts_lit
 from histospark.operators import metadata as M
 from histospark.session import workspace_dir
 from histospark.sources.feeds import Feed, register_feeds
+from histospark.sources.readings_store import ReadingsStore
 
 # Joins against the metadata broadcast it only up to this many streams.
 DEFAULT_BROADCAST_ROWS = 250_000
@@ -27,10 +29,15 @@ _MEMO: dict[tuple, "Historian"] = {}
 
 
 class Historian:
+    """Registered feeds and what is known of them. ``not_after`` bounds the
+    times that are believed: later readings (a broken clock) are left out of
+    every query and of the default as-of, and :meth:`late_feeds` reports them."""
+
     def __init__(self, spark: SparkSession, sources: dict[str, DataFrame | str],
-                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS, sf_dir: str | None = None):
+                 broadcast_rows: int = DEFAULT_BROADCAST_ROWS, sf_dir: str | None = None, not_after: _dt.datetime | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.not_after = not_after
         self.feeds: list[Feed] = register_feeds(spark, sources)
         self.broadcast_rows = broadcast_rows
         self._sources = dict(sources)
@@ -38,7 +45,7 @@ class Historian:
         self._meta_rows: int | None = None
         self._max_ts: dict[str, _dt.datetime | None] | None = None
         self._hot: dict[int, bool] = {}
-        self.readings_path: str | None = None
+        self.store: ReadingsStore | None = None
 
     # -- construction -----------------------------------------------------
     @classmethod
@@ -53,6 +60,14 @@ class Historian:
             _MEMO[key] = h
         return h
 
+    @classmethod
+    def from_store(cls, spark: SparkSession, store: ReadingsStore | str, **options) -> "Historian":
+        """Historian over a readings store alone: feeds, streams and readings
+        all come from it; the sources it was filled from may be gone."""
+        h = cls(spark, {}, **options)
+        h.use_readings(store)
+        return h
+
     def feed(self, name: str) -> Feed:
         return next(f for f in self.feeds if f.name == name)
 
@@ -64,26 +79,43 @@ class Historian:
         """Open the sources again and forget what was derived from them:
         new feeds, streams, columns and times are seen from the next call on."""
         self.feeds = register_feeds(self.spark, self._sources)
-        self._meta = self._meta_rows = self._max_ts = self.readings_path = None
+        self._meta = self._meta_rows = self._max_ts = self.store = None
         self._hot = {}
         return self
 
     # -- readings table -----------------------------------------------------
+    @property
+    def readings_path(self) -> str | None:
+        return self.store.path if self.store is not None else None
+
     def materialise(self, path: str | None = None, unit: str = "day") -> str:
-        """Write the normalised readings of all feeds once, by feed and day
-        (``unit``: "month" or "year" folders for sparse feeds); from then on (until ``refresh``) every query reads that table instead
-        of the raw feeds, and lookbacks prune its folders."""
-        from histospark.operators.readings import all_feed_readings
-        path = path or workspace_dir(self.spark, "readings")
-        rows = all_feed_readings(self).withColumn("day", F.to_date("ts") if unit == "day" else F.trunc(F.to_date("ts"), unit))
-        rows.hint("rebalance", "feed", "day").write.mode("overwrite").partitionBy("feed", "day").parquet(path)
-        return self.use_readings(path)
-
-    def use_readings(self, path: str) -> str:
-        """Let queries read an existing readings table (one of ``materialise``
-        or of the incremental ingest)."""
-        self.readings_path = path
-        return path
+        """Write the normalised readings of all feeds into a readings store, by
+        feed and day (``unit``: "month" or "year" folders for sparse feeds);
+        from then on (until ``refresh``) every query reads that store instead
+        of the raw feeds. Feeds that the store holds already are not added
+        again: later rows come in by the incremental ingest."""
+        store = ReadingsStore(self.spark, path or workspace_dir(self.spark, "readings"), unit)
+        for f in self.live_feeds:
+            store.append(f)
+        return self.use_readings(store)
+
+    def use_readings(self, store: ReadingsStore | str) -> str:
+        """Let queries read a readings store: its feeds, its catalog of streams
+        and its readings, as of now (``use_readings`` again to see later batches)."""
+        self.store = ReadingsStore(self.spark, store) if isinstance(store, str) else store
+        known = {f.name: f for f in self.feeds}
+        self.feeds = []
+        for name, facts in self.store.feeds().items():
+            if name in known and known[name].reachable:
+                self.feeds.append(known[name])
+            else:
+                rows = self.store.readings(name).select(
+                    F.col("ts").alias("Timestamp"), F.col("stream").alias("Field"), F.col("raw_value").alias("Value"),
+                    F.col("uom").alias("Uom"), F.col("is_questionable").alias("IsQuestionable"), "row_id")
+                self.feeds.append(Feed(name, facts["ordinal"], rows))
+        self._meta = self._meta_rows = self._max_ts = None
+        self._hot = {}
+        return self.store.path
 
     # -- metadata ---------------------------------------------------------
     @property
@@ -94,7 +126,8 @@ class Historian:
             # lost executor never recomputes discovery) and the count comes
             # from the small written table.
             path = workspace_dir(self.spark, "stream-metadata")
-            M.stream_map(self.spark, self.feeds).write.parquet(path)
+            found = M.stream_map(self.spark, self.feeds) if self.store is None else M.named_streams(M.with_names(self.store.streams()))
+            found.write.parquet(path)
             meta = self.spark.read.parquet(path)
             size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("feed", "stream", "asset", "signal", "domain", "unit")), F.lit(64))
             self._meta_rows, self._meta_bytes = meta.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
@@ -132,16 +165,37 @@ class Historian:
 
     # -- as-of ------------------------------------------------------------
     def as_of(self) -> _dt.datetime | None:
-        """One instant for the fleet, the latest Timestamp of any feed: the
-        default end of lookback windows, so that a silent feed ages out."""
+        """One instant for the fleet, the latest Timestamp of any feed (not
+        after ``not_after``): the default end of lookback windows, so that a
+        silent feed ages out."""
         return max((t for t in self.feed_max_ts().values() if t is not None), default=None)
 
     def feed_max_ts(self) -> dict[str, _dt.datetime | None]:
-        """Latest Timestamp per feed (one small job; rows = number of feeds),
-        a literal, so that lookback filters reach the parquet scan."""
+        """Latest Timestamp per feed, not after ``not_after`` (one small job;
+        rows = number of feeds), a literal, so that lookback filters reach the
+        parquet scan. A store knows it without a job."""
         if self._max_ts is None:
-            parts = [f.df.select(F.lit(f.name).alias("feed"), F.max("Timestamp").alias("max_ts"))
-                     for f in self.live_feeds]
-            rows = reduce(lambda a, b: a.unionByName(b), parts).collect()
-            self._max_ts = {r["feed"]: r["max_ts"] for r in rows}
+            known = self.store.feeds() if self.store is not None else {}
+            done, parts = {}, []
+            for f in self.live_feeds:
+                last = _dt.datetime.fromisoformat(known[f.name]["last"]) if known.get(f.name, {}).get("last") else None
+                if f.name in known and (self.not_after is None or last is None or last <= self.not_after):
+                    done[f.name] = last
+                else:
+                    bounds = f.between(until=self.not_after)
+                    df = f.df if bounds is None else f.df.where(bounds)
+                    parts.append(df.select(F.lit(f.name).alias("feed"), f.time.alias("ts")).agg(F.first("feed").alias("feed"), F.max("ts").alias("max_ts")))
+            rows = reduce(lambda a, b: a.unionByName(b), parts).where("feed IS NOT NULL").collect() if parts else []
+            found = done | {r["feed"]: r["max_ts"] for r in rows}
+            self._max_ts = {f.name: found.get(f.name) for f in self.live_feeds}
         return self._max_ts
+
+    def late_feeds(self) -> DataFrame:
+        """Feeds with readings after ``not_after``: how many, and the latest."""
+        schema = "feed string, late_rows bigint, latest timestamp_ntz"
+        if self.not_after is None or not self.live_feeds:
+            return self.spark.createDataFrame([], schema)
+        late = lambda f: f.time > ts_lit(self.not_after)
+        parts = [f.df.where(late(f)).agg(F.count(F.lit(1)).alias("late_rows"), F.max(f.time).alias("latest")).select(F.lit(f.name).alias("feed"), "late_rows", "latest")
+                 for f in self.live_feeds]
+        return reduce(lambda a, b: a.unionByName(b), parts).where("late_rows > 0")

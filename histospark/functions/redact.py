@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 # Fixed patterns and tags, applied in this order (each on the output of the
 # previous one). Numbers are matched whole: never a part of a longer number.
 # Phones: international with +, or ten digits with or without a country
-# prefix, brackets and separators.
+# prefix, brackets and separators. An address begins where a run of its
+# characters does or where the match before ended (\G), and the run is taken
+# whole: the same matches as without, in a time that is linear in the text.
 REDACTION_RULES: list[tuple[str, str, str]] = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
+    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
     ("ssn", r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])", "[SSN]"),
     ("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?(?:\(?[0-9]{1,4}\)?[ .-]?){2,4}[0-9]{2,4}"
               r"|(?:[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4})(?![0-9])", "[PHONE]"),
 ]
-# A literal every match of the rule contains: texts without it skip the
-# regex (same result, and the e-mail pattern backtracks at every position).
-REQUIRED_LITERAL = {"email": "@", "ssn": "-"}
+# What every match of the rule contains: texts without it skip the regex.
+REQUIRED = {"email": lambda t: t.contains("@"), "ssn": lambda t: t.rlike("[0-9]-[0-9]"), "phone": lambda t: t.rlike("[0-9][0-9]")}
 MAX_QUERY_CHARS = 1000
 
 
@@ -34,8 +35,7 @@ def redact(c: Column) -> Column:
 
 
 def _guard(kind: str, text: Column, hit: Column, miss: Column) -> Column:
-    lit = REQUIRED_LITERAL.get(kind)
-    return hit if lit is None else F.when(text.contains(lit), hit).otherwise(miss)
+    return F.when(REQUIRED[kind](text), hit).otherwise(miss)
 
 
 def redaction_stages(c: Column) -> list[tuple[str, Column]]:

@@ -7,12 +7,11 @@ Skew: a plain ``Window.partitionBy(signal)`` sends a whole signal to one task,
 so one hot signal (a third of all rows, say) would serialise the job. Instead
 rows get an exact per-signal row number without a per-signal sort:
 
-1. count rows per (signal, minute bucket) after one exchange on
-   (signal, bucket); a signal spans at most 525,600 buckets a year, so the
-   offset table per signal stays small even for a hot signal;
-2. running offsets over those counts (a window over the *count* table);
-3. row number = offset + ``row_number()`` inside (signal, bucket), so the
-   sort is bucket-parallel (the join and this window share one exchange);
+1. one range exchange on (asset, signal, ts, row_id) deals the rows out in
+   order; parts begin anywhere, also within one instant;
+2. running offsets over the rows of each signal in each part (a window over
+   a table of one row per signal and part);
+3. row number = offset + place in the part;
 4. chunk = (rn - 1) div C; the last 24 rows of every chunk are copied into
    the next chunk as a halo; the frame is evaluated per (signal, chunk) and
    halo copies are dropped. Every task holds at most C + 24 rows of a signal.
@@ -25,7 +24,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-from histospark.functions.timecalc import trunc_ntz
 from histospark.operators.readings import lookback_days, streams_of, unified_readings
 from histospark.session import workspace_dir
 
@@ -37,34 +35,38 @@ CHUNK_ROWS = 1 << 20       # rows per window task for one signal (~50 MB)
 NUMERIC_TYPES = ["FLOAT", "NUMBER", "DOUBLE", "NUMERIC"]
 
 
-def numbered(df: DataFrame, keys: list[str], bucket_unit: str = "minute") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``rn`` (1-based, ordered by ts, row_id) and ``n_rows`` per key
-    without sorting a whole key in one task (steps 1–3 above)."""
-    # The rows are written once to the shared folder: counts and rows come
-    # from that table, so the source is read once. A hot key is spread over
-    # its buckets.
+    without a task that holds a whole key, or all rows of one instant.
+
+    One range exchange on (keys, ts, row_id) deals the rows out in order, in
+    parts of like size wherever a key or an instant begins; each part is sorted
+    and numbered where it lies and written once to the shared folder (range
+    bounds come from a sample, so that the parts must not be made twice). What
+    a part holds of a key, a row per key and part, gives the number at which
+    the part begins."""
     path = workspace_dir(df.sparkSession, "hot-rows")
-    df.withColumn("_tb", trunc_ntz(bucket_unit, F.col("ts"))).write.parquet(path)
+    parts = df.repartitionByRange(*keys, "ts", "row_id").sortWithinPartitions(*keys, "ts", "row_id")
+    place = F.monotonically_increasing_id()  # the part's number, and the place in it
+    parts.withColumn("_at", place).withColumn("_part", F.shiftright("_at", 33)).write.parquet(path)
     b = df.sparkSession.read.parquet(path)
-    counts = b.groupBy(*keys, "_tb").agg(F.count(F.lit(1)).alias("_n"))
+    counts = b.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"))
     wk = W.partitionBy(*keys)
-    offs = counts.select(
-        *keys, "_tb",
-        F.coalesce(F.sum("_n").over(wk.orderBy("_tb").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_n").over(wk).alias("n_rows"))
-    j = b.join(offs, [*keys, "_tb"], "inner")
-    wb = W.partitionBy(*keys, "_tb").orderBy("ts", "row_id")
-    return j.withColumn("rn", F.col("_off") + F.row_number().over(wb)).drop("_tb", "_off")
+    before = F.coalesce(F.sum("_n").over(wk.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offs = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), (before - F.col("_lo") + 1).alias("_off"), F.sum("_n").over(wk).alias("n_rows"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    j = b.join(offs, [F.col("_part") == F.col("_p"), *same])
+    return j.withColumn("rn", F.col("_at") + F.col("_off")).drop("_at", "_part", "_p", "_off", *[f"_{k}" for k in keys])
 
 
 def chunked_window(df: DataFrame, keys: list[str], frame: int, columns,
-                   chunk_rows: int = CHUNK_ROWS, bucket_unit: str = "minute") -> DataFrame:
+                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Evaluate window columns that look back at most ``frame`` rows per key,
     exactly, with every task holding at most ``chunk_rows + frame`` rows of
     one key. ``columns(w)`` returns the columns to add for window spec ``w``
     (partitioned by key + chunk, ordered by the row number ``rn``)."""
     assert chunk_rows >= frame
-    n = numbered(df, keys, bucket_unit)
+    n = numbered(df, keys)
     chunk = F.floor((F.col("rn") - 1) / chunk_rows)
     in_tail = ((F.col("rn") - 1) % chunk_rows) >= (chunk_rows - frame)
     copies = n.withColumn("_own", chunk).withColumn(
@@ -83,18 +85,18 @@ def plain_window(df: DataFrame, keys: list[str], columns) -> DataFrame:
 
 
 def signal_window(h, df: DataFrame, keys: list[str], frame: int, columns,
-                  chunk_rows: int = CHUNK_ROWS, bucket_unit: str = "minute") -> DataFrame:
+                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Route by stream size (``n_readings`` from the metadata, an upper
     bound for any time window): signals within one chunk take the plain
     window, larger ("hot") ones the chunk + halo path. When the metadata
     holds no hot stream the plan has the plain branch only."""
     if h is None:
-        return chunked_window(df, keys, frame, columns, chunk_rows, bucket_unit)
+        return chunked_window(df, keys, frame, columns, chunk_rows)
     if not h.has_hot_streams(chunk_rows):
         return plain_window(df, keys, columns)
     hot = F.coalesce(F.col("n_readings") > chunk_rows, F.lit(True))
     small = plain_window(df.where(~hot), keys, columns)
-    big = chunked_window(df.where(hot), keys, frame, columns, chunk_rows, bucket_unit)
+    big = chunked_window(df.where(hot), keys, frame, columns, chunk_rows)
     return small.unionByName(big)
 
 
@@ -106,13 +108,12 @@ def _rolling_columns(value: str, frame: int):
 
 
 def rolling_stats(df: DataFrame, keys: list[str], value: str = "numeric_value",
-                  frame: int = FRAME_ROWS, chunk_rows: int = CHUNK_ROWS,
-                  bucket_unit: str = "minute", h=None) -> DataFrame:
+                  frame: int = FRAME_ROWS, chunk_rows: int = CHUNK_ROWS, h=None) -> DataFrame:
     """mean and sample stddev of the previous ``frame`` rows per key
     (current row excluded); adds ``rolling_avg``, ``rolling_std``, ``rn`` and
     ``n_rows``. Exact for any key size: without a Historian ``h`` every key
     takes the chunk + halo path; with one, keys are routed by size."""
-    return signal_window(h, df, keys, frame, _rolling_columns(value, frame), chunk_rows, bucket_unit)
+    return signal_window(h, df, keys, frame, _rolling_columns(value, frame), chunk_rows)
 
 
 def score(rolled: DataFrame, threshold: float = Z_THRESHOLD) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from histospark.functions.redact import MAX_QUERY_CHARS, redact, redaction_stages
 from histospark.operators.readings import streams_of, unified_readings
+from histospark.operators.stats import best_row
 
 
 def event_payload(events: DataFrame, key: str = "k", json_col: str = "props") -> DataFrame:
@@ -48,6 +49,12 @@ def redaction_counts(docs: DataFrame) -> DataFrame:
                                          F.count(F.lit(1)).alias("documents"))
 
 
+def described(h) -> DataFrame:
+    """The catalog with a description of each signal."""
+    return h.metadata.select("feed", "asset", "signal", "domain", "data_type", "unit").withColumn(
+        "description", F.concat_ws(" ", F.col("signal"), F.lit("of"), F.col("asset"), F.lit("("), F.col("domain"), F.lit(")")))
+
+
 STANDARD_FIELDS = [("Timestamp", "When the value was recorded"), ("Value", "The recorded value"),
                    ("Field", "Historian tag the value belongs to"), ("Name", "Short name of the asset"),
                    ("Uom", "Physical unit of the value")]
@@ -60,8 +67,7 @@ def data_dictionary(h, search: str | None = None) -> DataFrame:
     ``search`` (C4) only entries whose name or description contains it, in any
     case: names are searched in the catalog, and only the streams of the
     signals found are read."""
-    m = h.metadata.select("feed", "asset", "signal", "domain", "data_type", "unit").withColumn(
-        "description", F.concat_ws(" ", F.col("signal"), F.lit("of"), F.col("asset"), F.lit("("), F.col("domain"), F.lit(")")))
+    m = described(h)
     needle = F.lower(F.lit(search or ""))
     if search:
         m = m.where(F.lower("signal").contains(needle) | F.lower("description").contains(needle))
@@ -70,13 +76,16 @@ def data_dictionary(h, search: str | None = None) -> DataFrame:
     else:
         r = unified_readings(h)
     st = r.groupBy("asset", "signal").agg(
-        F.min("ts").alias("_first"), F.min("numeric_value").alias("min_value"), F.max("numeric_value").alias("max_value"),
-        F.count(F.lit(1)).alias("readings"))
-    # hash aggregates on primitives only: the example is among the few readings
-    # at the first time, the one with the smallest row id
-    at = r.join(st.select("asset", "signal", "_first"), ["asset", "signal"]).where(F.col("ts") == F.col("_first"))
-    ex = at.groupBy("asset", "signal").agg(F.min_by("numeric_value", "row_id").alias("example_value"))
-    st = st.drop("_first").join(ex, ["asset", "signal"])
+        F.min("numeric_value").alias("min_value"), F.max("numeric_value").alias("max_value"), F.count(F.lit(1)).alias("readings"))
+    # the example is the first reading; a scan task sends one a signal
+    first = best_row(r.select("asset", "signal", "ts", "row_id", "numeric_value"), ["asset", "signal"], F.asc("ts"), F.asc("row_id"))
+    st = st.join(first.select("asset", "signal", F.col("numeric_value").alias("example_value")), ["asset", "signal"])
+    return dictionary_of(h, m, st, needle if search else None)
+
+
+def dictionary_of(h, m: DataFrame, st: DataFrame, needle=None) -> DataFrame:
+    """The dictionary from the catalog ``m`` (with descriptions) and a row of
+    facts per signal: min_value, max_value, readings, example_value."""
     sig = m.join(st, ["asset", "signal"], "left").select(
         F.col("signal").alias("field"), F.lit("Signal").alias("category"), "description",
         "unit", "data_type", "feed", "asset",
@@ -88,6 +97,6 @@ def data_dictionary(h, search: str | None = None) -> DataFrame:
         F.lit(None).cast("string").alias("feed"), F.lit(None).cast("string").alias("asset"),
         F.lit(None).cast("double").alias("example_value"), F.lit(None).cast("double").alias("min_value"),
         F.lit(None).cast("double").alias("max_value"), F.lit(0).cast("bigint").alias("readings"))
-    if search:
+    if needle is not None:
         std = std.where(F.lower("field").contains(needle) | F.lower("description").contains(needle))
     return sig.unionByName(std)

@@ -92,6 +92,44 @@ def median_gaps(r: DataFrame, extra: bool = False) -> DataFrame:
     return gaps.groupBy(*KEYS).agg(*aggs)
 
 
+def both_tails(r: DataFrame) -> DataFrame:
+    """One row per signal: ``times`` of its latest 201 rows and ``pts`` (ts,
+    row_id, numeric_value) of its latest 200 numeric ones, in order, and the
+    domain. Both tails come from one reading of the source: a numeric row
+    counts once for either, and each is cut in two levels like :func:`last_n`."""
+    all_rows, numeric = F.lit("all"), F.lit("numeric")
+    src = r.select(*KEYS, "domain", "ts", "row_id", "numeric_value",
+                   F.explode(F.when(F.col("numeric_value").isNotNull(), F.array(all_rows, numeric)).otherwise(F.array(all_rows))).alias("_kind"))
+    order = [F.col("ts").desc(), F.col("row_id").desc()]
+    src = src.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(TAIL_PARTS)))
+    for keys in ([*KEYS, "_kind", "_part"], [*KEYS, "_kind"]):
+        src = src.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= TRAIN_ROWS + 1)
+    return gathered(src.where((F.col("_kind") == "all") | (F.col("_k") <= TRAIN_ROWS)))
+
+
+def gathered(src: DataFrame) -> DataFrame:
+    """The arrays of :func:`both_tails` from the rows of both (``_kind``)."""
+    point = F.struct("ts", "row_id", "numeric_value")
+    rows = lambda kind: F.array_sort(F.collect_list(F.when(F.col("_kind") == kind, point)))
+    g = src.groupBy(*KEYS).agg(F.max("domain").alias("domain"), rows("all").alias("times"), rows("numeric").alias("pts"))
+    return g.withColumn("times", F.transform("times", lambda p: p["ts"]))
+
+
+def positive_gaps(times: F.Column) -> F.Column:
+    """The positive minute gaps between neighbours of an ordered array of times, in order of size."""
+    n = F.size(times)
+    gap = lambda i: F.when(i <= n, boundary_diff("minute", F.element_at(times, i - 1), F.element_at(times, i)))
+    gaps = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), gap)
+    return F.array_sort(F.filter(gaps, lambda g: g > 0))
+
+
+def middle(gaps: F.Column) -> F.Column:
+    """Median of an ordered array; NULL of an empty one."""
+    m = F.size(gaps)
+    at = lambda i: F.element_at(gaps, F.floor(i).cast("int"))
+    return F.when(m > 0, (at((m + 1) / 2) + at(m / 2 + 1)) / F.lit(2.0))
+
+
 def interval_of(med: F.Column) -> F.Column:
     return F.coalesce(med.cast("double"), F.lit(DEFAULT_GAP_MINUTES))
 
@@ -130,12 +168,15 @@ def holt_fit(r: DataFrame) -> DataFrame:
     values (non-numeric rows dropped first): final level, trend, residual
     sample stddev, training size and the last training timestamp."""
     tail = last_n(r, TRAIN_ROWS, value_filter=True)
-    g = tail.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("ts", "row_id", "numeric_value"))).alias("pts"))
-    g = g.select(*KEYS, F.expr("transform(pts, p -> p.numeric_value)").alias("v"),
+    return fitted(tail.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ts", "row_id", "numeric_value"))).alias("pts")))
+
+
+def fitted(g: DataFrame, *more: str) -> DataFrame:
+    """The fit of each row's ``pts`` (in order); columns ``more`` are kept."""
+    g = g.select(*KEYS, *more, F.expr("transform(pts, p -> p.numeric_value)").alias("v"),
                  F.element_at("pts", -1).getField("ts").alias("last_ts"))
     fit = g.withColumn("fit", F.expr(_HOLT))
-    return fit.select(*KEYS, F.size("v").alias("train_rows"), "last_ts",
+    return fit.select(*KEYS, *more, F.size("v").alias("train_rows"), "last_ts",
                       F.col("fit.l").alias("level"), F.col("fit.t").alias("trend"),
                       F.expr(_RSTD).alias("residual_std"))
 
@@ -146,14 +187,17 @@ def forecast(h, horizon=None, meta: DataFrame | None = None) -> DataFrame:
     Guards: >= 12 readings over all history and >= 5 training values. For
     h = 1..steps: value = level + trend·φ(1-φ^h)/(1-φ), band ±1.96·σ·√h,
     ts = last + interval·h minutes."""
+    return forecast_of(both_tails(numeric_readings(h, meta)), horizon)
+
+
+def forecast_of(tails: DataFrame, horizon=None) -> DataFrame:
+    """The forecast from each signal's two tails (:func:`both_tails`)."""
     hz = horizon_days(horizon)
-    r = numeric_readings(h, meta)
-    # Two bounded passes: the 201-row tail gives the interval and the
-    # ">= 12 readings" guard (tail size = min(readings, 201) and 12 < 201);
-    # the 200-value numeric tail gives the fit.
-    tail = median_gaps(r, extra=True).where(F.col("n_tail") >= MIN_READINGS)
-    fit = holt_fit(r).where(F.col("train_rows") >= MIN_TRAIN)
-    base = tail.join(fit, KEYS).withColumn("interval_minutes", interval_of(F.col("med")))
+    # The 201-row tail gives the interval and the ">= 12 readings" guard (tail
+    # size = min(readings, 201) and 12 < 201), the numeric tail the fit.
+    tails = tails.where((F.size("times") >= MIN_READINGS) & (F.size("pts") >= MIN_TRAIN))
+    tails = tails.withColumn("gaps", positive_gaps(F.col("times"))).withColumn("med", middle(F.col("gaps")))
+    base = fitted(tails, "domain", "med").withColumn("interval_minutes", interval_of(F.col("med")))
     # >= 5 training values give >= 4 residuals, so the residual std always
     # exists; the whole-series fallback of a one-residual fit cannot occur.
     sigma = F.col("residual_std")

@@ -55,7 +55,10 @@ def _profile_one(f: Feed) -> DataFrame:
 def feed_column_profile(h) -> DataFrame:
     """A2 (+B8): per (feed, ordinal, column): metadata class, model class,
     non-null count and numeric-castable count — one aggregation per feed."""
-    return reduce(lambda a, b: a.unionByName(b), [_profile_one(f) for f in h.live_feeds])
+    parts = [_profile_one(f) for f in h.live_feeds]
+    if not parts:
+        return h.spark.createDataFrame([], "feed string, ordinal int, column_name string, metadata_class string, model_class string, non_null bigint, numeric_castable bigint")
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def feed_bundle_status(spark: SparkSession, sources: dict) -> DataFrame:

@@ -38,22 +38,29 @@ def since_of(as_of: _dt.datetime | None, days: int | None) -> _dt.datetime | Non
     return as_of - _dt.timedelta(days=days)
 
 
+def _own_row_id(feed: Feed) -> Column:
+    """The feed's ``row_id``; one that is no whole number is hashed."""
+    if isinstance(dict(feed.columns)[ROW_ID], T.IntegralType):
+        return F.col(ROW_ID).cast("bigint")
+    text = F.col(ROW_ID).cast("string")
+    return F.when(text.isNotNull(), F.coalesce(text.try_cast("bigint"), F.xxhash64(text)))
+
+
 def _row_id(feed: Feed, *parts: Column) -> Column:
     """The feed's ``row_id``, or a hash of what makes up the reading (time,
     stream, value): other columns are not read for it."""
-    if ROW_ID in feed.column_names:
-        return F.col(ROW_ID).cast("bigint")
-    return F.xxhash64(*parts)
+    return _own_row_id(feed) if ROW_ID in feed.column_names else F.xxhash64(*parts)
 
 
 def _questionable(columns: dict) -> Column:
     """A reading is questionable when a flag says so: IsQuestionable set, or
-    IsGood not set; NULL in feeds without such flags."""
+    IsGood not set; NULL in feeds without such flags, and where a flag is a
+    text that is neither true nor false."""
     parts = []
-    if "IsQuestionable" in columns:
-        parts.append(F.col("IsQuestionable").cast("boolean"))
-    if "IsGood" in columns:
-        parts.append(~F.col("IsGood").cast("boolean"))
+    for name, negative in (("IsQuestionable", False), ("IsGood", True)):
+        if name in columns:
+            flag = F.col(name).try_cast("boolean") if isinstance(columns[name], (T.StringType, T.BooleanType, T.NumericType)) else F.lit(None).cast("boolean")
+            parts.append(~flag if negative else flag)
     if not parts:
         return F.lit(None).cast("boolean")
     return parts[0] if len(parts) == 1 else F.coalesce(parts[0], F.lit(False)) | F.coalesce(parts[1], F.lit(False))
@@ -64,12 +71,14 @@ def _q(c: str) -> Column:
 
 
 def feed_readings(feed: Feed, since: _dt.datetime | None = None, streams: list[str] | None = None,
-                  numeric_only: bool = False) -> DataFrame:
+                  numeric_only: bool = False, until: _dt.datetime | None = None) -> DataFrame:
     """Normalise one feed; non-null readings only. ``numeric_only`` skips
-    the text columns of a WIDE feed (their streams are typed STRING)."""
-    df = feed.df
-    if since is not None:
-        df = df.where(F.col(TS_COL) >= ts_lit(since))
+    the text columns of a WIDE feed (their streams are typed STRING). Times
+    are TIMESTAMP_NTZ whatever the feed's type."""
+    df, ts = feed.df, feed.time
+    bounds = feed.between(since, until)
+    if bounds is not None:
+        df = df.where(bounds)
     name = F.lit(feed.name)
     fmt = feed.format
     cols = dict(feed.columns)
@@ -78,21 +87,21 @@ def feed_readings(feed: Feed, since: _dt.datetime | None = None, streams: list[s
             df = df.where(F.col("Field").isin(streams))
         raw = F.col("Value").cast("string")
         return df.where(F.col("Value").isNotNull()).select(
-            name.alias("feed"), F.col("Field").alias("stream"), F.col(TS_COL).alias("ts"),
+            name.alias("feed"), F.col("Field").alias("stream"), ts.alias("ts"),
             raw.alias("raw_value"),
             (N.finite(F.col("Value").cast("double")) if type_class(cols["Value"]) == "NUMERIC" else N.numeric_of(raw)).alias("numeric_value"),
             (F.col("Uom").cast("string") if "Uom" in cols else F.lit(None).cast("string")).alias("uom"),
             _questionable(cols).alias("is_questionable"),
-            _row_id(feed, F.col(TS_COL), F.col("Field"), raw).alias("row_id"))
+            _row_id(feed, ts, F.col("Field"), raw).alias("row_id"))
     if fmt == CLASSIC:
         numeric = type_class(cols["Value"]) == "NUMERIC"
         raw = F.col("Value").cast("string")
         return df.where(F.col("Value").isNotNull()).select(
-            name.alias("feed"), name.alias("stream"), F.col(TS_COL).alias("ts"), raw.alias("raw_value"),
+            name.alias("feed"), name.alias("stream"), ts.alias("ts"), raw.alias("raw_value"),
             (N.finite(F.col("Value").cast("double")) if numeric else N.numeric_of(raw)).alias("numeric_value"),
             (F.col("Uom").cast("string") if "Uom" in cols else F.lit(None).cast("string")).alias("uom"),
             _questionable(cols).alias("is_questionable"),
-            _row_id(feed, F.col(TS_COL), name, raw).alias("row_id"))
+            _row_id(feed, ts, name, raw).alias("row_id"))
     # WIDE: unpivot only the wanted signal columns, numeric and text ones in
     # one pass: every column becomes struct<n double, t string> (one of the
     # two set), so one scan and one Expand serve both kinds.
@@ -105,8 +114,8 @@ def feed_readings(feed: Feed, since: _dt.datetime | None = None, streams: list[s
     vals = ([F.struct(_q(c).cast("double").alias("n"), none_s.alias("t")).alias(c) for c in num]
             + [F.struct(none_d.alias("n"), _q(c).cast("string").alias("t")).alias(c) for c in txt])
     own = ROW_ID in feed.column_names
-    base = df.select(F.col(TS_COL).alias("ts"), _questionable(cols).alias("is_questionable"),
-                     (F.col(ROW_ID).cast("bigint") if own else F.lit(None).cast("bigint")).alias("row_id"), *vals)
+    base = df.select(ts.alias("ts"), _questionable(cols).alias("is_questionable"),
+                     (_own_row_id(feed) if own else F.lit(None).cast("bigint")).alias("row_id"), *vals)
     u = base.unpivot(["ts", "is_questionable", "row_id"], [_q(c) for c in num + txt], "stream", "v")
     n, t = F.col("v.n"), F.col("v.t")
     u = u.where(n.isNotNull() | t.isNotNull())
@@ -118,26 +127,24 @@ def feed_readings(feed: Feed, since: _dt.datetime | None = None, streams: list[s
                     F.lit(None).cast("string").alias("uom"), "is_questionable", "row_id")
 
 
-def all_feed_readings(h) -> DataFrame:
-    """The normalised readings of all feeds, without names."""
-    parts = [r for r in (feed_readings(f) for f in h.live_feeds) if r is not None]
-    if not parts:
-        return h.spark.createDataFrame([], "feed string, stream string, ts timestamp_ntz, raw_value string, numeric_value double, "
-                                           "uom string, is_questionable boolean, row_id bigint")
-    return reduce(lambda a, b: a.unionByName(b), parts)
+EMPTY = ("feed string, stream string, asset string, signal string, domain string, unit string, ts timestamp_ntz, raw_value string, "
+         "numeric_value double, string_value string, is_questionable boolean, row_id bigint, data_type string, n_readings bigint")
 
 
-def stored_readings(h, feed: str, since: _dt.datetime | None, streams: list[str] | None) -> DataFrame:
-    """The same columns as ``feed_readings``, from the readings table: feed and
-    day are folders; a lookback skips those before the year it begins in, so that
-    any folder unit up to a year is read right."""
-    t = h.spark.read.parquet(h.readings_path).where(F.col("feed") == feed)
-    if since is not None:
-        t = t.where((F.col("day") >= F.lit(since.date().replace(month=1, day=1))) & (F.col("ts") >= ts_lit(since)))
-    if streams is not None:
-        t = t.where(F.col("stream").isin(streams))
-    uom = "uom" if "uom" in t.columns else "unit"
-    return t.select("feed", "stream", "ts", "raw_value", "numeric_value", F.col(uom).alias("uom"), "is_questionable", "row_id")
+def rejected_values(h) -> DataFrame:
+    """Per feed and control column the values that can't be read: times, flags
+    and row ids of another type, with their number (none is left out)."""
+    parts = []
+    for f in h.live_feeds:
+        kinds = dict(f.columns)
+        checks = [(c, F.col(c).isNotNull() & good.isNull()) for c, good in (
+            [(TS_COL, f.time)] + [(c, F.col(c).try_cast("boolean")) for c in ("IsQuestionable", "IsGood") if c in kinds]
+            + ([(ROW_ID, F.col(ROW_ID).cast("string").try_cast("bigint"))] if ROW_ID in kinds else [])) if isinstance(kinds[c], T.StringType)]
+        if checks:
+            one = f.df.agg(*[F.count_if(bad).alias(f"n{i}") for i, (_, bad) in enumerate(checks)])
+            entries = F.array(*[F.struct(F.lit(f.name).alias("feed"), F.lit(c).alias("column_name"), F.col(f"n{i}").alias("rejected")) for i, (c, _) in enumerate(checks)])
+            parts.append(one.select(F.explode(entries).alias("e")).select("e.*"))
+    return reduce(DataFrame.unionByName, parts) if parts else h.spark.createDataFrame([], "feed string, column_name string, rejected bigint")
 
 
 def unified_readings(h, days: int | None = None, as_of: dict | _dt.datetime | None = None,
@@ -162,20 +169,15 @@ def unified_readings(h, days: int | None = None, as_of: dict | _dt.datetime | No
         if days is not None and a is None:
             continue  # empty feed: nothing inside any window
         wanted = streams_by_feed.get(f.name) if streams_by_feed else None
-        if h.readings_path is not None:
-            r = stored_readings(h, f.name, since_of(a, days), wanted)
+        if h.store is not None:
+            r = h.store.readings(f.name, since_of(a, days), wanted)
+            r = r if h.not_after is None else r.where(F.col("ts") <= ts_lit(h.not_after))
         else:
-            r = feed_readings(f, since_of(a, days), wanted, numeric_only)
+            r = feed_readings(f, since_of(a, days), wanted, numeric_only, h.not_after)
         if r is not None:
             parts.append(r)
     if not parts:
-        return h.spark.createDataFrame([], T.StructType([
-            T.StructField(c, t) for c, t in [("feed", T.StringType()), ("stream", T.StringType()), ("asset", T.StringType()),
-                                             ("signal", T.StringType()), ("domain", T.StringType()), ("unit", T.StringType()),
-                                             ("ts", T.TimestampNTZType()), ("raw_value", T.StringType()),
-                                             ("numeric_value", T.DoubleType()), ("string_value", T.StringType()),
-                                             ("is_questionable", T.BooleanType()), ("row_id", T.LongType()),
-                                             ("data_type", T.StringType()), ("n_readings", T.LongType())]]))
+        return h.spark.createDataFrame([], EMPTY)
     allr = reduce(lambda a, b: a.unionByName(b), parts)
     mcols = ["feed", "stream", "asset", "signal", "domain", "unit", "data_type", "n_readings"]
     m = h.meta_side(*mcols) if meta is None else h.small(meta.select(*mcols), h.metadata_rows)
@@ -194,7 +196,7 @@ RESOLVE_LIMIT = 10_000  # streams resolved on the driver for targeted reads
 def streams_of(meta: DataFrame, limit: int = RESOLVE_LIMIT) -> dict[str, list[str]] | None:
     """{feed: [stream, ...]} of a filtered metadata frame, so that only those
     Field values / wide columns are read; None when more than ``limit``
-    streams match (then the feeds are read whole and joined)."""
+    streams match (then the feeds are read whole and joined: the same rows)."""
     rows = meta.select("feed", "stream").limit(limit + 1).collect()
     if len(rows) > limit:
         return None

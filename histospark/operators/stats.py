@@ -25,6 +25,7 @@ STALE_HOURS = 48
 TREND_HOURS = 48
 TREND_ROWS = 500
 TOP_ASSETS = 4
+BUNDLE_PAGE = 1000  # names in one list
 RECENT_ANOMALIES = 5000  # rows of the newest-first list, where the list is the result
 RECENT_EVENTS = 20
 
@@ -36,8 +37,8 @@ def numeric_only(h) -> DataFrame:
 def feed_timestamps(h) -> DataFrame:
     """(feed, ts) of every row of every reachable feed; only ``Timestamp``
     is read from each source."""
-    parts = [f.df.select(F.lit(f.name).alias("feed"), F.col("Timestamp").alias("ts")) for f in h.live_feeds]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    parts = [f.df.select(F.lit(f.name).alias("feed"), f.time.alias("ts")) for f in h.live_feeds]
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else h.spark.createDataFrame([], "feed string, ts timestamp_ntz")
 
 
 def feed_volume(h) -> DataFrame:
@@ -87,21 +88,26 @@ def domain_top_assets(meta: DataFrame, top: int = TOP_ASSETS) -> DataFrame:
 
 def hourly_trend(h, hours: int = TREND_HOURS) -> DataFrame:
     """Hourly mean per numeric signal, its first ``hours`` hours with
-    readings. Only the earliest hours are counted per signal first (a distinct
-    with a map-side limit); readings after them never reach the averages."""
-    r = unified_readings(h, meta=numeric_only(h), numeric_only=True).withColumn("hour", trunc_ntz("hour", F.col("ts")))
+    readings. The readings are read once and combined to hours before anything
+    is shuffled; only hours are ranked."""
+    r = unified_readings(h, meta=numeric_only(h), numeric_only=True)
+    g = r.groupBy("asset", "signal", trunc_ntz("hour", F.col("ts")).alias("hour")).agg(F.avg("numeric_value").alias("avg_value"))
+    return first_hours(g, hours)
+
+
+def first_hours(g: DataFrame, hours: int = TREND_HOURS) -> DataFrame:
+    """The first ``hours`` rows of each (asset, signal) of an hourly table."""
     w = W.partitionBy("asset", "signal").orderBy("hour")
-    seen = r.select("asset", "signal", "hour").distinct()
-    last = (seen.withColumn("k", F.row_number().over(w)).where(F.col("k") <= hours)
-            .groupBy("asset", "signal").agg(F.max("hour").alias("last_hour")))
-    r = r.join(last, ["asset", "signal"]).where(F.col("hour") <= F.col("last_hour"))
-    return r.groupBy("asset", "signal", "hour").agg(F.avg("numeric_value").alias("avg_value"))
+    return g.withColumn("k", F.row_number().over(w)).where(F.col("k") <= hours).drop("k")
 
 
 def trend_summary(h, rows: int = TREND_ROWS) -> DataFrame:
     """Min / max / mean / sample std of the latest ``rows`` readings."""
     from histospark.operators.forecast import last_n
-    t = last_n(unified_readings(h, meta=numeric_only(h), numeric_only=True), rows)
+    return tail_summary(last_n(unified_readings(h, meta=numeric_only(h), numeric_only=True), rows))
+
+
+def tail_summary(t: DataFrame) -> DataFrame:
     return t.groupBy("asset", "signal").agg(
         F.count(F.lit(1)).alias("readings"),
         F.min("numeric_value").alias("min_value"), F.max("numeric_value").alias("max_value"),
@@ -178,7 +184,10 @@ def feed_freshness(h, as_of: _dt.datetime, stale_hours: int = STALE_HOURS) -> Da
 def bundle_lists(h) -> DataFrame:
     """Every stream of every feed and whether it carries numeric
     readings (bundled): one row per stream, whatever their number. One boolean
-    per stream is aggregated; the readings are not joined."""
+    per stream is aggregated; the readings are not joined, and not read at all
+    where a readings store keeps the counts."""
+    if h.store is not None:
+        return h.store.streams().select("feed", "stream", (F.col("n_numeric") > 0).alias("bundled"))
     parts = [p for p in (feed_readings(f) for f in h.live_feeds) if p is not None]
     streams = h.streams.select("feed", "stream")
     if not parts:
@@ -188,6 +197,16 @@ def bundle_lists(h) -> DataFrame:
     return streams.join(per, ["feed", "stream"], "left").select("feed", "stream", F.coalesce("bundled", F.lit(False)).alias("bundled"))
 
 
+def bundle_summary(h, page: int = BUNDLE_PAGE) -> DataFrame:
+    """Per feed and kind (bundled or not) the number of streams and their
+    names as comma lists, in name order, ``page`` names a list: one row per
+    list, so that no list grows with the feed."""
+    rows = bundle_lists(h)
+    w = W.partitionBy("feed", "bundled")
+    rows = rows.withColumn("page", F.floor((F.row_number().over(w.orderBy("stream")) - 1) / page)).withColumn("streams", F.count(F.lit(1)).over(w))
+    return rows.groupBy("feed", "bundled", "streams", "page").agg(F.array_join(F.array_sort(F.collect_list("stream")), ",").alias("names"))
+
+
 def signal_query(h, asset: str, signal: str, agg: str = "AVG", days: int | None = None) -> DataFrame:
     """One aggregate (AVG, SUM, MIN, MAX, COUNT, STDDEV) of one signal, over
     all history or the last ``days``; only that signal's streams are read."""
@@ -234,17 +253,15 @@ def step_rollup(events: DataFrame, steps: list[str] = STEP_TYPES) -> DataFrame:
 def latest_step_log(events: DataFrame) -> DataFrame:
     """The latest row per (entity, step), ties broken by event id."""
     keys = ["user_id", "event_type"]
-    last = at_extreme(events, keys, "ts", F.max)  # hash aggregates on primitives
-    last = at_extreme(last, keys, "event_id", F.max)
-    return last.select(*keys, "event_id", "ts", "value")
+    rows = events.select(*keys, "event_id", "ts", "value").where("ts IS NOT NULL AND event_id IS NOT NULL")
+    return best_row(rows, keys, F.desc("ts"), F.desc("event_id"))
 
 
-def at_extreme(df: DataFrame, keys: list[str], col: str, agg) -> DataFrame:
-    """Rows of ``df`` whose ``col`` is the ``agg`` (max, min) of their key: a
-    map-side combined hash aggregate joined back, so that no task sorts its
-    readings. Rows with a NULL there drop out."""
-    best = df.groupBy(*keys).agg(agg(col).alias("_best"))
-    return df.join(best, keys).where(F.col(col) == F.col("_best")).drop("_best")
+def best_row(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """The first row of each key in ``order``: ``row_number() = 1`` is limited
+    before the shuffle, so that a task sends one row a key, the source is read
+    once, and nothing is joined back."""
+    return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_k") == 1).drop("_k")
 
 
 def recent_events(events: DataFrame, n: int = RECENT_EVENTS) -> DataFrame:
@@ -263,11 +280,9 @@ def avg_signal_by_asset(h) -> DataFrame:
 def top_asset_for_signal(h) -> DataFrame:
     """Q2: per signal name, the asset holding the highest reading."""
     r = unified_readings(h, meta=numeric_only(h), numeric_only=True).where(F.col("numeric_value").isNotNull())
-    top = at_extreme(r.select("signal", "asset", "numeric_value", "ts"), ["signal"], "numeric_value", F.max)
     # ties: the last asset, then the latest time
-    return top.groupBy("signal", "asset", "numeric_value").agg(F.max("ts").alias("ts")).withColumn(
-        "k", F.row_number().over(W.partitionBy("signal").orderBy(F.desc("asset")))).where("k = 1").select(
-        "signal", "asset", F.col("numeric_value").alias("max_value"), "ts")
+    top = best_row(r.select("signal", "asset", "numeric_value", "ts"), ["signal"], F.desc("numeric_value"), F.desc("asset"), F.desc("ts"))
+    return top.select("signal", "asset", F.col("numeric_value").alias("max_value"), "ts")
 
 
 def total_over_time(h, unit: str = "day") -> DataFrame:
@@ -305,6 +320,5 @@ def latest_reading(h) -> DataFrame:
     """Q6: latest reading of every signal (ties by row id)."""
     r = unified_readings(h).select("asset", "signal", "ts", "row_id", "numeric_value", "string_value")
     keys = ["asset", "signal"]
-    last = at_extreme(r, keys, "ts", F.max).withColumn(
-        "k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("row_id")))).where("k = 1")
+    last = best_row(r.where("ts IS NOT NULL"), keys, F.desc("ts"), F.desc("row_id"))
     return last.select(*keys, "ts", "numeric_value", "string_value")

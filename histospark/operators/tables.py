@@ -1,22 +1,25 @@
 """Result store, share-back, key/value state, logs and exports
 (A8–A13, L6, L7).
 
-Tables are parquet folders under the shared checkpoint location, partitioned
-by a fixed number of hash buckets of their keys, however many keys there are.
-Replacing or deleting the rows of some keys rewrites the touched buckets only
-(a *dynamic partition overwrite* of rows staged elsewhere before, so a plan
-never reads and overwrites the same path); task retries are handled by Spark's
-commit protocol.
+The result store and the share-back copies are keyed tables of immutable
+parquet folders under numbered manifests (:mod:`histospark.sources.manifest`):
+a replacement writes the touched hash buckets anew, once, and becomes visible
+as a whole; readers keep the version they opened, a crash in between leaves the
+old one. Task retries are handled by Spark's commit protocol.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from histospark.session import workspace_dir
+from histospark.sources.manifest import Conflict, Manifests
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("asset", T.StringType()), T.StructField("signal", T.StringType()),
@@ -41,58 +44,94 @@ def as_results(df: DataFrame) -> DataFrame:
 
 
 class KeyedStore:
-    """A table in ``path`` whose rows are replaced and deleted by ``keys``."""
+    """A table in ``path`` whose rows are replaced and deleted by ``keys``.
+
+    Rows lie in hash buckets of their keys. The number of buckets, the schema
+    and the keys are those the table was made with, whatever it is opened with;
+    a schema of other columns is refused."""
+
+    RETRIES = 20
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], buckets: int = 64):
         self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+        self.manifests = Manifests(spark, path)
+        self._adopt(self.manifests.load())
+
+    def _adopt(self, manifest: dict) -> dict:
+        """Layout of the stored table; of a new one its own."""
+        if manifest["version"]:
+            schema = T.StructType.fromJson(manifest["schema"])
+            if schema.fieldNames() != self.schema.fieldNames() or manifest["keys"] != self.keys:
+                raise ValueError(f"{self.path} holds another table: {schema.simpleString()} by {manifest['keys']}")
+            self.schema, self.buckets = schema, manifest["buckets"]
+        return manifest
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
-    def _stored(self) -> DataFrame:
-        fs, p = self._fs(self.path)
-        schema = T.StructType(self.schema.fields + [T.StructField("bucket", T.IntegerType())])
-        if not fs.exists(p):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
+    def _files(self, manifest: dict, buckets: list[int] | None = None) -> DataFrame:
+        folders = [f"{self.path}/{f}" for b, f in sorted(manifest.get("files", {}).items()) if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version (default: the latest). Its folders never
+        change, so the frame stays the same whatever is written later."""
+        return self._files(self.manifests.load(version))
+
+    def _write(self, rows: DataFrame) -> dict[str, str]:
+        """Write ``rows`` into a new folder: {bucket: folder below the table}."""
+        folder = self.manifests.folder()
+        write_partitions(self._bucketed(rows), folder, ["bucket"])
+        below = folder.removeprefix(f"{self.manifests.root}/")
+        return {n.removeprefix("bucket="): f"{below}/{n}" for n in self.manifests.children(folder) if n.startswith("bucket=")}
 
-    def read(self) -> DataFrame:
-        return self._stored().select(*self.schema.fieldNames())
+    def _publish(self, version: int, files: dict[str, str]) -> None:
+        self.manifests.publish({"version": version, "schema": json.loads(self.schema.json()), "keys": self.keys, "buckets": self.buckets, "files": files})
 
     def replace(self, rows: DataFrame, keys: DataFrame | None = None) -> None:
         """Clear the rows of ``keys`` (a table of key columns; default: the
         keys in ``rows``) and add ``rows``. Keys without new rows end up empty,
-        all other keys stay as they are."""
-        names = self.schema.fieldNames()
+        all other keys stay as they are. If another writer comes first, the
+        replacement is made on top of what it published; buckets that it left
+        alone are not written again."""
+        names, base = self.schema.fieldNames(), self._adopt(self.manifests.load())
         rows = rows.select(*names)
+        if not base["version"] and keys is None:  # nothing to clear
+            with contextlib.suppress(Conflict):
+                return self._publish(1, self._write(rows))
         given = rows.select(*self.keys) if keys is None else keys.select(*self.keys).unionByName(rows.select(*self.keys))
-        gone = workspace_dir(self.spark, "store-keys")
-        self._bucketed(given.distinct()).write.parquet(gone)
-        gone = self.spark.read.parquet(gone)
-        touched = [r["bucket"] for r in gone.select("bucket").distinct().collect()]  # at most the number of buckets
-        if not touched:
-            return
-        match = [F.col(f"o.{k}").eqNullSafe(F.col(f"g.{k}")) for k in self.keys]
-        old = self._stored().where(F.col("bucket").isin(touched)).alias("o").join(gone.drop("bucket").alias("g"), match, "left_anti")
-        staged = workspace_dir(self.spark, "store-staged")
-        merged = old.select(*names, "bucket").unionByName(self._bucketed(rows))
-        write_partitions(merged, staged, ["bucket"])
-        fs, p = self._fs(staged)
-        full = {int(s.getPath().getName().removeprefix("bucket=")) for s in fs.listStatus(p) if "=" in s.getPath().getName()}
-        if full:
-            schema = T.StructType(self.schema.fields + [T.StructField("bucket", T.IntegerType())])
-            write_partitions(self.spark.read.schema(schema).parquet(staged), self.path, ["bucket"])
-        for b in set(touched) - full:
-            fs, p = self._fs(f"{self.path}/bucket={b}")
-            fs.delete(p, True)
+        path = workspace_dir(self.spark, "store-keys")
+        given.distinct().write.parquet(path)
+        gone, made, merged = self.spark.read.schema(given.schema).parquet(path), None, {}
+        for _ in range(self.RETRIES):
+            touched = [r["bucket"] for r in self._bucketed(gone).select("bucket").distinct().collect()]  # at most the number of buckets
+            if not touched:
+                return
+            before = {str(b): base.get("files", {}).get(str(b)) for b in touched}
+            if made != (self.buckets, before):
+                match = [F.col(f"o.{k}").eqNullSafe(F.col(f"g.{k}")) for k in self.keys]
+                old = self._files(base, touched).alias("o").join(gone.alias("g"), match, "left_anti")
+                merged, made = self._write(old.select(*names).unionByName(rows)), (self.buckets, before)
+            files = {b: f for b, f in base.get("files", {}).items() if b not in before} | merged
+            try:
+                return self._publish(base["version"] + 1, files)
+            except Conflict:
+                base = self._adopt(self.manifests.load())
+        raise Conflict(f"{self.path}: {self.RETRIES} other writers came first")
 
     def delete(self, keys: DataFrame) -> None:
         self.replace(self.spark.createDataFrame([], self.schema), keys)
 
+    def rebucket(self, buckets: int) -> None:
+        """Deal the rows to another number of buckets."""
+        base = self._adopt(self.manifests.load())
+        rows, self.buckets = self._files(base), buckets
+        try:
+            self._publish(base["version"] + 1, self._write(rows))
+        except Conflict:
+            self._adopt(self.manifests.load())
+            raise
+
 
 def write_partitions(df: DataFrame, path: str, keys: list[str], mode: str = "overwrite") -> None:
     """Write ``df`` partitioned by ``keys``; in overwrite mode only the
@@ -107,24 +146,18 @@ def write_partitions(df: DataFrame, path: str, keys: list[str], mode: str = "ove
      .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path))
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read a partitioned table back with its declared schema (partition
-    values stay strings, whatever they look like)."""
-    return spark.read.schema(schema).parquet(path).select(*[f.name for f in schema.fields])
-
-
 def result_store(spark: SparkSession, path: str | None = None) -> KeyedStore:
     """The result store in ``path`` (default: a new one), by (model_type, asset, signal)."""
     return KeyedStore(spark, path or workspace_dir(spark, "results"), RESULT_SCHEMA, RESULT_KEYS)
 
 
 def store_results(spark: SparkSession, results: DataFrame, path: str | None = None) -> DataFrame:
-    """Write anomaly/forecast rows into a (new) result store and return the
-    stored table: later copies and deletes read this table instead of
-    recomputing the models."""
-    path = path or workspace_dir(spark, "results")
-    write_partitions(KeyedStore(spark, path, RESULT_SCHEMA, RESULT_KEYS)._bucketed(as_results(results)), path, ["bucket"])
-    return read_table(spark, path, RESULT_SCHEMA)
+    """Write anomaly/forecast rows into a result store and return the stored
+    table: later copies and deletes read this table instead of recomputing the
+    models."""
+    store = result_store(spark, path)
+    store.replace(as_results(results))
+    return store.read()
 
 
 def result_store_replace(spark: SparkSession, initial: DataFrame, replacement: DataFrame,
@@ -132,9 +165,8 @@ def result_store_replace(spark: SparkSession, initial: DataFrame, replacement: D
     """Store ``initial`` results, then replace the rows of ``keys``
     (default: every (model_type, asset, signal) in ``replacement``); a key
     without new rows is cleared, other keys are untouched. Returns the store."""
-    path = path or workspace_dir(spark, "results")
-    store_results(spark, initial, path)
     store = result_store(spark, path)
+    store.replace(as_results(initial))
     store.replace(as_results(replacement), keys)
     return store.read()
 
@@ -150,7 +182,8 @@ def share_back(spark: SparkSession, results: DataFrame, consumer: str, path: str
                runs: int = 1) -> DataFrame:
     """Copy all results tagged with the consumer account, replacing that
     consumer's previous copy, also by an empty one. Running it again leaves
-    the same rows."""
+    the same rows. The copy is written once a run; a consumer's bucket is cut
+    into files by size, so several tasks write it."""
     store = KeyedStore(spark, path or workspace_dir(spark, "share"), SHARE_SCHEMA, ["consumer_account"])
     tagged = as_results(results).withColumn("consumer_account", F.lit(consumer))
     own = spark.createDataFrame([(consumer,)], "consumer_account string")

@@ -378,7 +378,7 @@ FROM hist h FULL OUTER JOIN fcout f ON h.asset = f.asset AND h.signal = f.signal
 
 # --- B: parsing views ------------------------------------------------------------------
 
-KEY_PATTERN = "^[A-Za-z0-9_]+$"
+KEY_PATTERN = "^[A-Za-z0-9_]+$"  # fixed value: characters of a valid key
 from histospark.plans.oracle_base import UNIT_RE, UUID_RE, clean, domain_case, numeric, unit_of  # noqa: E402
 
 
@@ -710,3 +710,56 @@ SELECT 'overall', CASE WHEN count(*) FILTER (WHERE status NOT IN ('OK', 'SKIPPED
 
 oracle("incremental_ingest", sql(select=f"""
 SELECT feed, asset, signal, ts, numeric_value, string_value, row_id FROM readings WHERE feed = '{LONG_FEED}'"""))
+
+# --- readings store, summaries, streams, name search -------------------------------
+for _name, _same in (("store_readings", "unified_readings"), ("store_metadata", "stream_metadata"), ("store_one_signal", "one_signal_readings"),
+                     ("summary_series_profile", "series_profile"), ("summary_feed_volume", "feed_volume"), ("summary_hourly_trend", "hourly_trend"),
+                     ("summary_avg_by_asset", "avg_signal_by_asset"), ("summary_total_over_time", "total_over_time"), ("summary_dictionary", "data_dictionary"),
+                     ("summary_latest_reading", "latest_reading"), ("summary_trend", "trend_summary"), ("summary_forecast", "forecast_signal")):
+    oracle(_name, ORACLE[_same])
+
+oracle("readings_table_names", sql(select=f"""
+SELECT '01' AS feed, count(*) AS readings, {r6('sum("Value")')} AS total_value FROM f_classic WHERE "Value" IS NOT NULL
+UNION ALL
+SELECT '1', count(*), {r6('sum("Value")')} FROM f_classic WHERE "Value" IS NOT NULL AND row_id % 2 = 0"""))
+
+oracle("lookback_default", sql(select=f"""
+SELECT feed, asset, signal, ts, {r6('numeric_value')} AS numeric_value, row_id FROM readings
+WHERE ts >= (SELECT max(max_ts) FROM feed_max) - INTERVAL 7 DAY"""))
+
+_LATE = "TIMESTAMP '1998-01-01'"
+_STAMPS = f"""
+stamps AS (SELECT '{LONG_FEED}' AS feed, "Timestamp" AS ts FROM f_long UNION ALL SELECT '{WIDE_FEED}', "Timestamp" FROM f_wide
+           UNION ALL SELECT '{CLASSIC_FEED}', "Timestamp" FROM f_classic)"""
+oracle("lookback_not_after", sql(_STAMPS, select=f"""
+SELECT feed, asset, signal, ts, {r6('numeric_value')} AS numeric_value, row_id FROM readings
+WHERE ts <= {_LATE} AND ts >= (SELECT max(ts) FROM stamps WHERE ts <= {_LATE}) - INTERVAL 30 DAY"""))
+
+oracle("late_feeds", sql(_STAMPS, select=f"""
+SELECT feed, count(*) AS late_rows, max(ts) AS latest FROM stamps WHERE ts > {_LATE} GROUP BY feed"""))
+
+oracle("bundle_summary", sql("""
+b AS (SELECT m.feed, m.stream, coalesce(x.bundled, false) AS bundled FROM smap m
+      LEFT JOIN (SELECT feed, stream, bool_or(numeric_value IS NOT NULL) AS bundled FROM r_all GROUP BY feed, stream) x
+        ON x.feed = m.feed AND x.stream = m.stream),
+p AS (SELECT *, CAST((row_number() OVER (PARTITION BY feed, bundled ORDER BY stream) - 1) // 10 AS BIGINT) AS page,
+             count(*) OVER (PARTITION BY feed, bundled) AS streams FROM b)""", select="""
+SELECT feed, bundled, streams, page, string_agg(stream, ',' ORDER BY stream) AS names FROM p GROUP BY feed, bundled, streams, page"""))
+
+_LONG_ROWS = f"(SELECT * FROM readings WHERE feed = '{LONG_FEED}')"
+oracle("stream_hourly_trend", sql(select=f"""
+SELECT asset, signal, date_trunc('hour', ts) AS hour, {r6('avg(numeric_value)')} AS avg_value, count(*) AS readings
+FROM {_LONG_ROWS} GROUP BY asset, signal, date_trunc('hour', ts)
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM {_LONG_ROWS}) - INTERVAL 1 HOUR"""))
+
+oracle("stream_anomalies", sql(f"""
+sb AS (SELECT asset, signal, ts, row_id, numeric_value, {_ROLL} FROM {_LONG_ROWS} {_WIN}),
+sc AS (SELECT *, CASE WHEN rolling_std > 0 THEN abs((numeric_value - rolling_avg) / rolling_std) ELSE 0 END AS z
+       FROM sb WHERE n_rows >= 12 AND rolling_avg IS NOT NULL)""", select=f"""
+SELECT asset, signal, ts, row_id, {r6('numeric_value')} AS numeric_value, {r6('rolling_avg')} AS rolling_avg, {r6('rolling_std')} AS rolling_std,
+       {r6('z')} AS anomaly_score, coalesce(z > 3, false) AS is_anomaly FROM sc"""))
+
+oracle("name_search", sql(select="""
+SELECT DISTINCT asset || '.' || signal AS name FROM meta WHERE contains(lower(asset || '.' || signal), 'pressure value')"""))
+
+oracle("customer_search", "SELECT DISTINCT c_name AS name FROM customer WHERE contains(lower(c_name), '00012')")

@@ -534,14 +534,15 @@ CONSUMER = "CONSUMER_ACCOUNT_1"
 
 @query("share_back")
 def q_share_back(h):
+    """A second run leaves the same rows."""
     stored = TB.store_results(h.spark, _results(h))
-    return TB.share_back(h.spark, stored, CONSUMER, runs=2)  # a second run leaves the same rows
+    return TB.share_back(h.spark, stored, CONSUMER, runs=2)
 
 
 @query("share_back_counts")
 def q_share_back_counts(h):
-    stored = TB.store_results(h.spark, _results(h))
-    return TB.share_back_counts(TB.share_back(h.spark, stored, CONSUMER, runs=1))
+    """Counted in the consumer's copy, the one place where the results are written."""
+    return TB.share_back_counts(TB.share_back(h.spark, _results(h), CONSUMER))
 
 
 # --- C1, C2, C4, L ------------------------------------------------------------------
@@ -612,13 +613,146 @@ def q_health_check(h):
     return HL.health_check(h, _stored_state(h), sem, S.feed_freshness(h, FRESHNESS_AS_OF))
 
 
-# --- A7: streaming ingest ------------------------------------------------------------
+# --- A7: streaming ingest, the readings store and its summaries -------------------------
+from histospark.operators import summaries as SM  # noqa: E402
+from histospark.session import workspace_dir  # noqa: E402
+from histospark.sources.fixtures import CLASSIC_FEED, WIDE_FEED, classic_feed_of, long_feed_of, wide_feed_of  # noqa: E402
+from histospark.sources.readings_store import ReadingsStore  # noqa: E402
+from histospark.streaming.ingest import incremental_ingest, read_ingested  # noqa: E402
+
+
 @query("incremental_ingest")
 def q_incremental_ingest(h):
-    from histospark.sources.fixtures import long_feed_of
-    from histospark.streaming.ingest import incremental_ingest, read_ingested
     path, ckpt = incremental_ingest(h, h.sf_dir, long_feed_of, LONG_FEED, file_glob="events.parquet")
     incremental_ingest(h, h.sf_dir, long_feed_of, LONG_FEED, table_path=path, checkpoint=ckpt,
                        file_glob="events.parquet")  # a rerun adds nothing
     return read_ingested(h.spark, path).select("feed", "asset", "signal", "ts", "numeric_value", "string_value",
                                                "row_id")
+
+
+_STORES: dict[tuple, Historian] = {}
+
+
+def _from_store(h: Historian) -> Historian:
+    """A Historian over a readings store alone, filled by the ingest with all
+    three feed shapes; one per application and folder."""
+    key = (h.spark.sparkContext.applicationId, h.sf_dir)
+    if key not in _STORES:
+        path = workspace_dir(h.spark, "readings")
+        for feed, adapter, file in ((LONG_FEED, long_feed_of, "events"), (WIDE_FEED, wide_feed_of, "orders"), (CLASSIC_FEED, classic_feed_of, "events")):
+            incremental_ingest(h, h.sf_dir, adapter, feed, table_path=path, file_glob=f"{file}.parquet", unit="year")
+        _STORES[key] = Historian.from_store(h.spark, path, sf_dir=h.sf_dir)
+    return _STORES[key]
+
+
+@query("store_readings")
+def q_store_readings(h): return R.unified_readings(_from_store(h)).select(*_READ_OUT)
+
+
+@query("store_metadata")
+def q_store_metadata(h): return _from_store(h).metadata.select(*M.PUBLIC_COLUMNS)
+
+
+@query("store_one_signal")
+def q_store_one_signal(h): return R.signal_readings(_from_store(h), *ONE_SIGNAL, limit=None)
+
+
+@query("summary_series_profile")
+def q_summary_series_profile(h): return SM.series_profile(_from_store(h))
+
+
+@query("summary_feed_volume")
+def q_summary_feed_volume(h): return SM.feed_volume(_from_store(h))
+
+
+@query("summary_hourly_trend")
+def q_summary_hourly_trend(h): return SM.hourly_trend(_from_store(h))
+
+
+@query("summary_avg_by_asset")
+def q_summary_avg_by_asset(h): return SM.avg_signal_by_asset(_from_store(h))
+
+
+@query("summary_total_over_time")
+def q_summary_total_over_time(h): return SM.total_over_time(_from_store(h), "day")
+
+
+@query("summary_dictionary")
+def q_summary_dictionary(h): return SM.data_dictionary(_from_store(h))
+
+
+@query("summary_latest_reading")
+def q_summary_latest_reading(h): return SM.latest_reading(_from_store(h))
+
+
+@query("summary_trend")
+def q_summary_trend(h): return SM.trend_summary(_from_store(h))
+
+
+@query("summary_forecast")
+def q_summary_forecast(h): return SM.forecast(_from_store(h), horizon=7)
+
+
+@query("readings_table_names")
+def q_readings_table_names(h):
+    """Feeds whose names differ as text only: readings per feed, from the table."""
+    feeds = {"01": classic_feed_of(_events(h)), "1": classic_feed_of(_events(h).where("event_id % 2 = 0"))}
+    own = Historian(h.spark, feeds, sf_dir=h.sf_dir)
+    own.materialise(unit="year")
+    return R.unified_readings(own).groupBy("feed").agg(F.count(F.lit(1)).alias("readings"), F.sum("numeric_value").alias("total_value"))
+
+
+@query("lookback_default")
+def q_lookback_default(h):
+    """The default window: seven days to the latest reading of any feed."""
+    return R.unified_readings(h, days=R.lookback_days(None)).select("feed", "asset", "signal", "ts", "numeric_value", "row_id")
+
+
+NOT_AFTER = _dt.datetime(1998, 1, 1)
+
+
+@query("lookback_not_after")
+def q_lookback_not_after(h):
+    """The same with later times left out of the as-of and of the readings."""
+    own = Historian(h.spark, h._sources, sf_dir=h.sf_dir, not_after=NOT_AFTER)
+    return R.unified_readings(own, days=30).select("feed", "asset", "signal", "ts", "numeric_value", "row_id")
+
+
+@query("late_feeds")
+def q_late_feeds(h): return Historian(h.spark, h._sources, sf_dir=h.sf_dir, not_after=NOT_AFTER).late_feeds()
+
+
+@query("bundle_summary")
+def q_bundle_summary(h): return S.bundle_summary(h, page=10)
+
+
+@query("stream_hourly_trend")
+def q_stream_hourly_trend(h):
+    from histospark.streaming.trend import read_hourly, stream_hourly_trend
+    path, _, _ = stream_hourly_trend(h.spark, h.sf_dir, long_feed_of, LONG_FEED, file_glob="events.parquet")
+    return read_hourly(h.spark, path)
+
+
+@query("stream_anomalies")
+def q_stream_anomalies(h):
+    from histospark.streaming.anomalies import read_scored, stream_anomalies
+    path, _ = stream_anomalies(h.spark, h.sf_dir, long_feed_of, LONG_FEED, file_glob="events.parquet")
+    return read_scored(h.spark, path)
+
+
+NEEDLE = "pressure value"
+
+
+@query("name_search")
+def q_name_search(h):
+    """C4 through the trigram index: the signals whose asset.signal name contains the needle."""
+    from histospark.operators.name_search import NameIndex
+    names = h.metadata.select(F.concat_ws(".", "asset", "signal").alias("name"))
+    return NameIndex.build(names, "name").search(NEEDLE)
+
+
+@query("customer_search")
+def q_customer_search(h):
+    """The index over the customers' names."""
+    from histospark.operators.name_search import NameIndex
+    return NameIndex.build(table(h.spark, h.sf_dir, "customer"), "c_name").search("00012")

@@ -10,8 +10,11 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from histospark.functions.timecalc import ts_lit
+
 LONG, WIDE, CLASSIC = "LONG", "WIDE", "CLASSIC"
 TS_COL = "Timestamp"
 ROW_ID = "row_id"
@@ -64,6 +67,23 @@ class Feed:
     def column_names(self) -> list[str]:
         return [c for c, _ in self.columns]
 
+    @property
+    def time(self):
+        """The Timestamp column as TIMESTAMP_NTZ, whatever its type: a zoned one
+        in the session's zone; a text that is no time counts as missing."""
+        kind = dict(self.columns)[TS_COL]
+        if isinstance(kind, T.TimestampNTZType):
+            return F.col(TS_COL)
+        return F.col(TS_COL).try_cast("timestamp_ntz") if isinstance(kind, T.StringType) else F.col(TS_COL).cast("timestamp_ntz")
+
+    def between(self, since=None, until=None):
+        """Condition on the Timestamp column, of its own type so that it
+        reaches the scan; None without bounds."""
+        zoned = isinstance(dict(self.columns)[TS_COL], T.TimestampType)
+        ts, lit = (F.col(TS_COL), lambda t: ts_lit(t).cast("timestamp")) if zoned else (self.time, ts_lit)
+        parts = ([ts >= lit(since)] if since is not None else []) + ([ts <= lit(until)] if until is not None else [])
+        return parts[0] & parts[-1] if parts else None
+
     @property
     def format(self) -> str:
         """A4: LONG when ``Field`` exists, CLASSIC when ``Value`` exists

@@ -57,7 +57,11 @@ def long_feed_of(e: DataFrame) -> DataFrame:
 
 
 def wide_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    return wide_feed_of(table(spark, sf_dir, "orders"))
+
+
+def wide_feed_of(o: DataFrame) -> DataFrame:
+    """WIDE adapter over an orders frame."""
     ts = F.col("o_orderdate") + F.make_dt_interval(secs=(F.col("o_orderkey") % 86400).cast("decimal(18,6)"))
     return o.select(
         ts.alias("Timestamp"),
@@ -71,7 +75,11 @@ def wide_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classic_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return classic_feed_of(table(spark, sf_dir, "events"))
+
+
+def classic_feed_of(e: DataFrame) -> DataFrame:
+    """Single-signal adapter over an events frame."""
     return e.filter(F.col("event_type") == "error").select(
         F.col("ts").alias("Timestamp"),
         F.col("value").alias("Value"),
