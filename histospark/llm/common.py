@@ -39,14 +39,17 @@ def share(spark: SparkSession, value):
     return _SHARED[-1]
 
 
-def settle() -> None:
+def settle(spark: SparkSession) -> None:
     """After a step whose result is written: broadcasts leave the executors
-    (one that is still in use is sent again), and the driver's Python gives its
-    free memory back."""
+    (one that is still in use is sent again), the driver's Python gives its
+    free memory back, and the driver's JVM collects its garbage, upon which
+    Spark deletes the shuffle files of finished steps (else they stay until it
+    happens to)."""
     while _SHARED:
         with contextlib.suppress(Exception):  # its session has ended
             _SHARED.pop().unpersist()
     release()
+    spark.sparkContext._jvm.System.gc()
 
 
 def with_row_id(df: DataFrame, name: str = "rows") -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from histospark.llm import arrays as A
-from histospark.llm.common import ROW, share, stored, table, with_row_id
+from histospark.llm.common import ROW, settle, share, stored, table, with_row_id
 from histospark.llm.components import components
 
 U = np.uint64
@@ -64,7 +64,7 @@ SHARED, SHORT = 4, 6
 #: Members of a long list that are scanned in one unit, and hubs a component has in a list of several units.
 BLOCK, HUBS = 1 << 18, 32
 #: Scans that try one pair for each two components, before the scan of all pairs.
-NEAREST = 2
+NEAREST = 1
 #: Ids at and above this stand for rows without doc_id.
 NO_ID = 1 << 62
 
@@ -319,8 +319,22 @@ def near(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     return j.mapInArrow(A.task(run), "a long, b long")
 
 
+def size_classes(rule: Rule):
+    """Class of a ``size``: sizes of two sets that may link are in one class or
+    in neighbouring ones."""
+    if rule.num == rule.den:
+        return F.col("size").cast("long")
+    return F.floor(F.log(F.col("size").cast("double")) / F.lit(1.0001 * np.log(rule.den / rule.num)))
+
+
+def beside(classes: DataFrame) -> DataFrame:
+    """Rows (list, cls, ...) once for their own class and for either neighbour."""
+    return classes.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+
+
 def long_lists(found: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """(list, id) of the members that stay in long lists."""
+    """(list, id, cls) of the members that stay in long lists: those that have
+    another member of about their size there."""
     lists = found.where("kind > 0").groupBy("key", "kind").agg(F.first("x").alias("x"), F.sum("c").alias("c"))
     rows = members(lists)
     held = rows.where("kind = 1").groupBy("id").agg(F.sum("c").alias("held"))
@@ -328,7 +342,11 @@ def long_lists(found: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     few = F.expr(f"greatest(2, floor(ceil({rule.num} * size / {rule.den}) / 25))")
     stay = held.join(sizes, "id").where(F.col("held") > few).select("id", F.lit(1).alias("kind"))
     single = rows.where("kind = 1").join(stay, ["id", "kind"], "left_semi")
-    return single.unionByName(rows.where("kind = 2")).select("list", "id")
+    rows = single.unionByName(rows.where("kind = 2")).select("list", "id").join(sizes, "id")
+    rows = rows.select("list", "id", size_classes(rule).alias("cls"))
+    classes = rows.groupBy("list", "cls").agg(F.count(F.lit(1)).alias("n"))
+    matched = beside(classes).groupBy("list", "cls").agg(F.sum("n").alias("n")).where("n > 1").select("list", "cls")
+    return rows.join(matched, ["list", "cls"], "left_semi")
 
 
 def members(lists: DataFrame) -> DataFrame:
@@ -346,11 +364,11 @@ def members(lists: DataFrame) -> DataFrame:
 
 
 def blocks_of(lists: DataFrame, block: int) -> DataFrame:
-    """(list, id, blocks, part): how many blocks a list has, and the member's."""
+    """``lists`` with blocks, part: how many blocks a list has, and the member's."""
     long = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks")).where("blocks > 1")
-    out = lists.join(F.broadcast(long), "list", "left")  # at most (members of all lists) / block rows
+    out = lists.join(long, "list", "left")  # at most (members of all lists) / block rows: Spark broadcasts them where they are few
     blocks = F.coalesce("blocks", F.lit(1))
-    return out.select("list", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("part"))
+    return out.select(*lists.columns, blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("part"))
 
 
 def single_blocks(lists: DataFrame) -> DataFrame:
@@ -360,16 +378,20 @@ def single_blocks(lists: DataFrame) -> DataFrame:
 
 
 def mixed_blocks(rows: DataFrame) -> DataFrame:
-    """(list, id, label): lists, and pairs of blocks of one list, that hold more than
-    one component, from ``rows`` (list, id, blocks, part, label)."""
+    """(list, id, label) from ``rows`` (list, id, blocks, part, label, cls where
+    known): the members of lists that have one of another component and about
+    their size there, and pairs of blocks of one list that hold more than one
+    component."""
+    rows = rows if "cls" in rows.columns else rows.withColumn("cls", F.lit(0))
     whole, cut = rows.where("blocks = 1"), rows.where("blocks > 1")
-    mixed = whole.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("list")
+    mixed = beside(whole.groupBy("list", "cls").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
+    mixed = mixed.groupBy("list", "cls").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("list", "cls")
     spans = cut.groupBy("list", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     other = spans.select("list", F.col("part").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     both = spans.join(other, "list").where("part <= q AND least(lo, lo2) < greatest(hi, hi2)")
     both = both.select("list", F.xxhash64("list", "part", "q").alias("unit"), F.explode(F.array_distinct(F.array("part", "q"))).alias("part"))
-    cut = cut.join(F.broadcast(both), ["list", "part"]).select(F.col("unit").alias("list"), "id", "label")
-    return whole.join(mixed, "list").select("list", "id", "label").unionByName(cut)
+    cut = cut.join(both, ["list", "part"]).select(F.col("unit").alias("list"), "id", "label")
+    return whole.join(mixed, ["list", "cls"], "left_semi").select("list", "id", "label").unionByName(cut)
 
 
 def candidates(rows: DataFrame, rule: Rule, n_buckets: int, nearest: bool = False) -> DataFrame:
@@ -506,14 +528,17 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
     bits = max(BUCKETS - 1, int(total) // BUCKET).bit_length()
     posted = postings(docs, n, rule, share(spark, np.sort(often["x"].to_numpy(np.int64).view(U))), share(spark, top), small, bits)
     found = stored(inverted_lists(posted, bits), "ngram-lists")
+    settle(spark)
     facts = sets.select("id", "size", "sketch")
     lists = stored(blocks_of(long_lists(found, sets.select("id", "size"), rule), block), "ngram-long")
     pairs = near(counted_pairs(found.where("kind = 0")), facts, rule)
     pairs = stored(pairs.unionByName(candidates(single_blocks(lists).join(facts, "id"), rule, 1 << bits)).distinct(), "ngram-pairs")
+    settle(spark)
     full = stored(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n), "ngram-full")
     same = sets.join(copies.select("sig", "rep"), "sig").where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     found = stored(links(pairs, full, rule).unionByName(same), "ngram-links")
     label = stored(components(found, "a", "b"), "ngram-labels")
+    settle(spark)
 
     def labelled():
         rows = lists.join(label.withColumnRenamed("component", "label"), "id", "left")
