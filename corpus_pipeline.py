@@ -22,32 +22,32 @@ from histospark.llm.common import settle, stored, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it is fitted on ``labels``."""
-    settle()
+    settle(spark)
     return quality_classifier.keep_good(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts (the largest doc_id)."""
-    settle()
+    settle(spark)
     return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (the smallest doc_id)."""
-    settle()
+    settle(spark)
     return ngram_join.keep_one(docs, n=5, num=80, den=100)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: a document once per round in which it is taken, cut
     where its source's target ends inside it, in the order of the schedule."""
-    settle()
+    settle(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each document of the mix."""
-    settle()
+    settle(spark)
     return bpe.encode(docs)
 
 
