@@ -53,6 +53,11 @@ def names_of(ddl: str) -> list[str]:
     return [c.split()[0] for c in ddl.split(", ")]
 
 
+def escaped(name: str) -> str:
+    """A feed's name as a folder value: Spark reads %XX back as the character."""
+    return "".join(c if c.isalnum() or c in "._-" else "".join(f"%{b:02X}" for b in c.encode()) if c.isascii() else c for c in name)
+
+
 def latest(rows: DataFrame, n: int, ascending: bool = False) -> DataFrame:
     """The ``n`` latest (or first) rows of each stream; every task sends n of them at most."""
     order = [F.col(c).asc() if ascending else F.col(c).desc() for c in ("ts", "row_id")]
@@ -85,7 +90,7 @@ class ReadingsStore:
         rows = feed_readings(feed)
         if rows is not None:
             day = F.to_date("ts") if unit == "day" else F.trunc(F.to_date("ts"), unit)
-            added["readings"] = self._write_readings(rows.withColumn("day", day))
+            added["readings"] = self._write_readings({feed.name: rows.withColumn("day", day)})
             own = self._read_readings([f"{self.path}/{added['readings']}"])
             catalog = stream_candidates(self.spark, [feed], volumes=True).drop("asset", "signal")
             for name, df in (("streams", self._streams_of(own, catalog)), ("hours", self._hours_of(own)), ("tails", self._tails_of(own))):
@@ -110,12 +115,13 @@ class ReadingsStore:
                 if base.get("batches", {}).get(source, -1) >= batch:
                     return False
 
-    def _write_readings(self, rows: DataFrame) -> str:
-        """Write ``rows`` into a new folder; its place below the store."""
+    def _write_readings(self, by_feed: dict[str, DataFrame]) -> str:
+        """Write each feed's rows into a new folder; its place below the store."""
         folder = f"readings/batch={uuid.uuid4().hex}"
-        out = rows.select(*names_of(READINGS)).hint("rebalance", "feed", "day").sortWithinPartitions("feed", "day", "stream", "ts")
-        (out.write.partitionBy("feed", "day").option("parquet.bloom.filter.enabled#stream", "true")
-         .option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{folder}"))
+        for feed, rows in by_feed.items():
+            out = rows.select(*[c for c in names_of(READINGS) if c != "feed"]).hint("rebalance", "day").sortWithinPartitions("day", "stream", "ts")
+            (out.write.partitionBy("day").option("parquet.bloom.filter.enabled#stream", "true")
+             .option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{folder}/feed={escaped(feed)}"))
         return folder
 
     def _merge_folders(self, base: dict, folder: str, below: str) -> dict[str, list[str]]:
@@ -133,7 +139,8 @@ class ReadingsStore:
         base = self.manifests.load()
         if len(base.get("readings", [])) < 2:
             return
-        to, done = self._write_readings(self._read_readings(self._folders("readings", base))), set(base["readings"])
+        rows = self._read_readings(self._folders("readings", base))
+        to, done = self._write_readings({f: rows.where(F.col("feed") == f) for f in base["feeds"]}), set(base["readings"])
         while True:
             now = self.manifests.load()
             try:

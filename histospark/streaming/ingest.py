@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def frames(spark: SparkSession, files: list[str]) -> list[DataFrame]:
     disagree, a frame for each schema (footers only are read here)."""
     try:
         return [spark.read.option("mergeSchema", True).parquet(*files)]
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         alike: dict[str, list[str]] = {}
         for f in files:
             alike.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
