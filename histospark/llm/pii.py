@@ -23,6 +23,8 @@ CONTEXT = 40
 THRESHOLD = 0.6
 #: Array elements summed at a time, so that running sums stay linear.
 CHUNK = 256
+#: Characters in a piece of a long text.
+PIECE = 4096
 
 _PART = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
@@ -67,19 +69,50 @@ SCORES = {
 }
 
 
-def running_sums(steps: Column) -> Column:
-    """Inclusive running sums of an array of longs, in chunks."""
-    zero = F.lit(0).cast("long")
-    grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+def running(steps: Column, add=lambda a, b: a + b, start: int = 0) -> Column:
+    """Inclusive running sums of an array of longs (or another associative
+    ``add`` with its neutral ``start``), in chunks."""
+    zero = F.lit(start).cast("long")
+    grow = lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))
     sums = lambda xs: F.aggregate(xs, F.array(zero), grow)
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")),
                          lambda i: F.slice(steps, i * CHUNK + 1, F.lit(CHUNK)))
-    totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: a + x))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, zero, add))
     parts = F.zip_with(chunks, sums(totals),
-                       lambda c, base: F.when(c.isNotNull(), F.transform(F.slice(sums(c), F.lit(2), F.lit(CHUNK)), lambda x: x + base)))
+                       lambda c, base: F.when(c.isNotNull(), F.transform(F.slice(sums(c), F.lit(2), F.lit(CHUNK)), lambda x: add(x, base))))
     return F.flatten(F.filter(parts, lambda p: p.isNotNull()))
 
 
+def free_spans(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``free``: the ``added`` spans that overlap no ``base``
+    span, in one pass over all spans by start: the furthest end of a base span
+    up to each place, and the nearest start of one after it."""
+    mark = lambda spans, is_base: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(is_base).alias("base"), s["end"].alias("end"), s.alias("span")))
+    far = F.lit(1 << 62).cast("long")
+    # Each array is a column of its own, so that it is made once and not in every step that looks into it.
+    out = rows.withColumn("every", F.when(F.size("added") > 0, F.array_sort(F.concat(mark(F.col("base"), True), mark(F.col("added"), False)))).otherwise(F.array().cast(MARKED)))
+    out = out.withColumns({"ends": F.transform("every", lambda s: F.when(s["base"], s["end"]).otherwise(F.lit(0).cast("long"))),
+                           "starts": F.reverse(F.transform("every", lambda s: F.when(s["base"], s["start"]).otherwise(far)))})
+    out = out.withColumns({"ends": running(F.col("ends"), lambda a, b: F.greatest(a, b)), "starts": F.reverse(running(F.col("starts"), lambda a, b: F.least(a, b), 1 << 62))})
+    kept = F.filter(F.arrays_zip(F.col("every").alias("s"), F.col("ends").alias("before"), F.col("starts").alias("after")),
+                    lambda r: ~r["s"]["base"] & (r["before"] <= r["s"]["start"]) & (r["after"] >= r["s"]["end"]))
+    return out.withColumn("free", F.transform(kept, lambda r: r["s"]["span"])).drop("every", "ends", "starts")
+
+
+def pieces_of(text: Column) -> Column:
+    """A long text in pieces of PIECE characters, so that a place is found
+    without counting the characters before it; a short text is one piece."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.length(text) > PIECE, cut).otherwise(F.array(text))
+
+
+def context(cut: Column, start: Column, length: Column) -> Column:
+    """``length`` characters from ``start`` (from 0) of a text in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    n = F.floor((start + length) / PIECE).cast("int") - first + 1
+    return F.substr(F.array_join(F.slice(cut, first + 1, n), ""), (start - first * PIECE + 1).cast("int"), length.cast("int"))
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -115,22 +148,29 @@ def _valid(kind: str, m: Column) -> Column:
 SPAN = "array<struct<start:bigint,no:int,end:bigint,score:double,match:string>>"
 
 
-def spans_of(kind: str, text: Column, matches: Column, pieces: Column) -> Column:
-    """Valid spans of one kind. The pieces between the matches and the matches
-    themselves make up the text, so their lengths give the offsets."""
+MARKED = "array<struct<start:bigint,base:boolean,end:bigint,span:struct<start:bigint,no:int,end:bigint,score:double,match:string>>>"
+
+
+def steps_of(matches: Column, pieces: Column) -> Column:
+    """From each match's start to the next one's. The pieces between the matches
+    and the matches themselves make up the text, so their lengths tell."""
     lengths = F.transform(matches, lambda m: F.length(m).cast("long"))
-    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)),
-                       F.concat(F.array(F.lit(0).cast("long")), F.slice(lengths, F.lit(1), F.size(matches) - 1)),
-                       lambda p, m: F.length(p).cast("long") + m)
+    return F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)),
+                      F.concat(F.array(F.lit(0).cast("long")), F.slice(lengths, F.lit(1), F.size(matches) - 1)),
+                      lambda p, m: F.length(p).cast("long") + m)
+
+
+def spans_of(kind: str, cut: Column, matches: Column, starts: Column) -> Column:
+    """Valid spans of one kind, ``cut`` the text in pieces."""
     plain, told, words = SCORES[kind]
     no = list(PATTERNS).index(kind)
 
     def span(m: Column, start: Column) -> Column:
-        near = F.lower(F.substr(text, F.greatest(start - CONTEXT + 1, F.lit(1)).cast("int"), F.length(m) + 2 * CONTEXT))
+        near = F.lower(context(cut, F.greatest(start - CONTEXT, F.lit(0)), F.length(m) + 2 * CONTEXT))
         score = F.when(near.rlike(words), told).otherwise(plain)
         return F.struct(start.alias("start"), F.lit(no).alias("no"), (start + F.length(m)).alias("end"), score.alias("score"), m.alias("match"))
 
-    all_spans = F.zip_with(matches, running_sums(steps), span)
+    all_spans = F.zip_with(matches, starts, span)
     kept = F.filter(all_spans, lambda s: _valid(kind, s["match"]) & (s["score"] >= THRESHOLD))
     return F.when(F.size(matches) > 0, kept).otherwise(F.array().cast(SPAN))
 
@@ -145,11 +185,17 @@ def find(docs: DataFrame) -> DataFrame:
                            for k, (_, p) in PATTERNS.items()})
     out = out.withColumns({f"p_{k}": F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).otherwise(none)
                            for k, (_, p) in PATTERNS.items()})
-    out = out.withColumns({f"s_{k}": spans_of(k, F.col("text"), F.col(f"m_{k}"), F.col(f"p_{k}")) for k in PATTERNS})
-    out = out.withColumn("base", F.array_sort(F.concat(*[F.col(f"s_{k}") for k in BASE])))
-    added = F.concat(*[F.col(f"s_{k}") for k in PATTERNS if k not in BASE])
-    free = F.filter(added, lambda a: ~F.exists(F.col("base"), lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])))
-    return out.select("doc_id", "base", F.array_sort(F.concat("base", free)).alias("spans"))
+    found = F.lit(False)
+    for k in PATTERNS:
+        found = found | (F.size(f"m_{k}") > 0)
+    out = out.withColumn("cut", F.when(found, pieces_of(F.col("text"))).otherwise(none))
+    longs = F.array().cast("array<bigint>")
+    out = out.withColumns({f"t_{k}": F.when(F.size(f"m_{k}") > 0, steps_of(F.col(f"m_{k}"), F.col(f"p_{k}"))).otherwise(longs) for k in PATTERNS})
+    out = out.withColumns({f"t_{k}": F.when(F.size(f"t_{k}") > 0, running(F.col(f"t_{k}"))).otherwise(longs) for k in PATTERNS})
+    out = out.withColumns({f"s_{k}": spans_of(k, F.col("cut"), F.col(f"m_{k}"), F.col(f"t_{k}")) for k in PATTERNS})
+    out = out.select("doc_id", F.array_sort(F.concat(*[F.col(f"s_{k}") for k in BASE])).alias("base"),
+                     F.concat(*[F.col(f"s_{k}") for k in PATTERNS if k not in BASE]).alias("added"))
+    return free_spans(out).select("doc_id", "base", F.array_sort(F.concat("base", "free")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

@@ -276,3 +276,27 @@ def test_classifier_held_out(spark):
     right = [r.kept == (r.quality == 1 and r.toxic == 0) for r in rows]
     clean = [r.kept for r in rows if r.quality == 1 and r.toxic == 0]
     assert len(rows) > 1500 and np.mean(right) > 0.95 and np.mean(clean) > 0.97
+
+
+def test_pii_many_spans_in_one_text(spark):
+    """100,000 spans: no step looks at every pair of spans, or counts a text's characters for each."""
+    import time
+    text = " ".join(f"a{i}@ex.org SSN 212-45-{1000 + i % 9000} é" for i in range(50_000))  # 1.6 million characters
+    df = spark.createDataFrame([(1, text), (2, "call tel 212 555 1234 or x@y.zz")], "doc_id long, text string")
+    t = time.time()
+    got = {r.doc_id: r for r in pii.find(df).select("doc_id", F.size("base").alias("b"), F.size("spans").alias("s"), F.element_at("spans", -1).alias("last")).collect()}
+    assert time.time() - t < 60
+    assert (got[1].b, got[1].s) == (50_000, 100_000) and (got[2].b, got[2].s) == (1, 2)
+    assert text[got[1]["last"].start : got[1]["last"].end] == f"212-45-{1000 + 49_999 % 9000}"
+
+
+def test_pii_added_spans_beside_base_spans(spark):
+    """An added span stays only where no base span overlaps it, whatever stands before or after."""
+    from pyspark.sql import Row
+    rng = random.Random(2)
+    span = lambda no: (lambda a: Row(start=a, no=no, end=a + rng.randrange(1, 12), score=1.0, match="x"))(rng.randrange(3000))
+    for n in (0, 1, 5, 700):
+        base, added = [span(0) for _ in range(n)], [span(5) for _ in range(n)]
+        df = spark.createDataFrame([(base, added)], f"base {pii.SPAN}, added {pii.SPAN}")
+        got = {(r.start, r.end) for r in pii.free_spans(df).first()["free"]}
+        assert got == {(a.start, a.end) for a in added if not any(b.start < a.end and a.start < b.end for b in base)}
