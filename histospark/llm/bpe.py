@@ -2,7 +2,9 @@
 
 Documents are split into words as the tokenizer's pre-tokenizer does, every
 distinct word of the corpus is encoded once, and its ids are joined back by
-position; decoding joins ids to their pieces. The word table is joined
+position; decoding joins ids to their pieces: a lookup in the broadcast
+id-to-piece table by position for the digests, a DataFrame join in
+:func:`decode`. The word table is joined
 map-side as far as DICTIONARY words, the most frequent ones (a bounded
 broadcast); rows with rarer words, where there are any, get their ids by a
 shuffle join on the word's hash.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 
 import numpy as np
@@ -29,7 +32,7 @@ from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
 from histospark.llm import arrays as A
-from histospark.llm.common import ROW, share, stored, table
+from histospark.llm.common import ROW, settle, share, stored, table
 
 U = np.uint64
 #: Most words of the map-side dictionary, and most bytes of their ids.
@@ -37,7 +40,7 @@ DICTIONARY, DICTIONARY_BYTES = 4_000_000, 128 << 20
 #: Hashes of words that a task has sent already and remembers.
 HELD = 4_000_000
 #: Bytes of text handled at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 ABSENT = np.uint32(0xFFFFFFFF)
 #: Texts without this are not searched for special tokens.
 SPECIAL = "<|"
@@ -193,6 +196,7 @@ def encoded_words(words: DataFrame, file_text: str) -> DataFrame:
     file = share(words.sparkSession, json.dumps(spec))
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core; threads would each keep memory
         t = Tokenizer.from_str(file.value)
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
@@ -301,6 +305,7 @@ def encode(docs: DataFrame, file_path: str | None = None, digest: bool = False,
     """Ids of every row of ``docs`` (doc_id, text): doc_id, n_tokens and ids,
     or with ``digest`` the hashes of the ids and of the decoded text."""
     spark = docs.sparkSession
+    settle(spark)  # the dictionary of an encoding before
     with open(file_path or default_file(), encoding="utf-8") as f:
         text = f.read()
     special, shared = special_tokens(text), share(spark, _Pieces(text) if digest else None)
