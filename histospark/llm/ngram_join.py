@@ -43,7 +43,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histospark.llm import arrays as A
@@ -327,9 +327,9 @@ def size_classes(rule: Rule):
     return F.floor(F.log(F.col("size").cast("double")) / F.lit(1.0001 * np.log(rule.den / rule.num)))
 
 
-def beside(classes: DataFrame) -> DataFrame:
-    """Rows (list, cls, ...) once for their own class and for either neighbour."""
-    return classes.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+def beside():
+    """A size class of a list and its neighbours; a list has no more classes than sizes have (some hundred)."""
+    return Window.partitionBy("list").orderBy("cls").rangeBetween(-1, 1)
 
 
 def long_lists(found: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
@@ -345,7 +345,7 @@ def long_lists(found: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     rows = single.unionByName(rows.where("kind = 2")).select("list", "id").join(sizes, "id")
     rows = rows.select("list", "id", size_classes(rule).alias("cls"))
     classes = rows.groupBy("list", "cls").agg(F.count(F.lit(1)).alias("n"))
-    matched = beside(classes).groupBy("list", "cls").agg(F.sum("n").alias("n")).where("n > 1").select("list", "cls")
+    matched = classes.withColumn("near", F.sum("n").over(beside())).where("near > 1").select("list", "cls")
     return rows.join(matched, ["list", "cls"], "left_semi")
 
 
@@ -384,8 +384,8 @@ def mixed_blocks(rows: DataFrame) -> DataFrame:
     component."""
     rows = rows if "cls" in rows.columns else rows.withColumn("cls", F.lit(0))
     whole, cut = rows.where("blocks = 1"), rows.where("blocks > 1")
-    mixed = beside(whole.groupBy("list", "cls").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
-    mixed = mixed.groupBy("list", "cls").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("list", "cls")
+    mixed = whole.groupBy("list", "cls").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    mixed = mixed.select("list", "cls", F.min("lo").over(beside()).alias("lo"), F.max("hi").over(beside()).alias("hi")).where("lo < hi").select("list", "cls")
     spans = cut.groupBy("list", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     other = spans.select("list", F.col("part").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     both = spans.join(other, "list").where("part <= q AND least(lo, lo2) < greatest(hi, hi2)")
