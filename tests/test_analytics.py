@@ -51,7 +51,7 @@ def test_chunked_rolling_equals_plain_window(spark, chunk):
 
 def test_numbered_is_dense_and_ordered(spark):
     df = series(spark, {"s1": 500}, ties=True)
-    rows = A.numbered(df, ["asset", "signal"], "minute").orderBy("ts", "row_id").collect()
+    rows = A.numbered(df, ["asset", "signal"]).orderBy("ts", "row_id").collect()
     assert [r["rn"] for r in rows] == list(range(1, 501))
     assert {r["n_rows"] for r in rows} == {500}
 
