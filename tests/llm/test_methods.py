@@ -194,7 +194,7 @@ def test_language_held_out(spark):
 
 
 def test_forward_sums_all_segmentations():
-    pieces = language_id.letter_pieces()[:6000]
+    pieces = language_id.letter_pieces()[::3]
     table_, place = language_id.Pieces(pieces), {p: i for i, p in enumerate(pieces)}
     p = np.vstack([np.random.default_rng(0).random((table_.n, 2)) * 1e-3, np.zeros((1, 2))])
 
@@ -202,12 +202,49 @@ def test_forward_sums_all_segmentations():
         if not s:
             return np.ones(2)
         first = lambda l: p[place[s[:l]]] if s[:l] in place else np.full(2, language_id.UNKNOWN if l == 1 else 0.0)
-        return sum(first(l) * slow(s[l:]) for l in range(1, min(language_id.PIECE_CHARS, len(s)) + 1))
+        return sum(first(l) * slow(s[l:]) for l in range(1, len(s) + 1))
 
-    for w in ("action", "zz", "ableö", "a"):
+    longest = max((x[1:] for x in pieces if x[0] == chr(language_id.MARK)), key=len)
+    for w in ("action", "zz", "ableö", "a", longest):
         marked = chr(language_id.MARK) + w
         found = table_.find(np.array([[ord(c) for c in marked]], np.uint32))
         assert np.allclose(language_id.forward(found, p)[0, -1], slow(marked), rtol=1e-9)
+        codes = np.array([ord(c) for c in marked], np.uint32)
+        assert np.allclose(language_id.long_forward(table_.ending(codes, p), table_.longest, 2), np.log(slow(marked)), rtol=1e-9)
+
+
+def test_long_words_are_whole(monkeypatch):
+    pieces = language_id.letter_pieces()
+    table_ = language_id.Pieces(pieces)
+    assert table_.n == len(pieces) and table_.longest == max(map(len, pieces)) > 12
+    p = np.vstack([np.random.default_rng(1).random((table_.n, 2)) * 1e-3, np.zeros((1, 2))])
+    word = "international" * 3 + "ö"  # as long as both ways reach
+    codes = np.array([language_id.MARK, *map(ord, word)], np.uint32)
+    whole = np.log(language_id.forward(table_.find(codes[None]), p)[0, -1])
+    monkeypatch.setattr(language_id, "PLACES", 7)  # places of different parts share pieces
+    assert np.allclose(language_id.long_forward(table_.ending(codes, p), table_.longest, 2), whole, rtol=1e-12)
+    short = language_id._expected(table_.find(codes[None]), p[:, :1], np.array([3.0]))
+    assert np.allclose(language_id._expected_long(table_, codes, p[:, :1], 3.0), short, rtol=1e-9, atol=1e-12)
+    # A run of 100,000 letters decides by all of them, not by its beginning.
+    rows = [("a" * 100 + "b" * 200, 1), ("b" * 300, 0)]
+    model = language_id.Model(["x", "y"], language_id.Pieces(["a", "b"]), np.array([[0.9, 0.1], [0.1, 0.9], [0.0, 0.0]]))
+    assert model.texts(["a" * 40_000 + "b" * 60_000, "a" * 60_000 + "b" * 40_000, *(r for r, _ in rows)])[0] == ["y", "x", "y", "y"]
+    assert model.texts(["ab"])[0] == ["x"]  # a tie goes to the first
+
+
+def test_estimation_over_tasks(spark):
+    rows = [("en", "the", 50), ("en", "then", 7), ("en", "q" * 60, 1), ("fr", "les", 40), ("fr", "lesquels", 3)]
+    counts = spark.createDataFrame(rows, "lang string, word string, n long")
+    pieces = language_id.letter_pieces()
+    got = language_id.fit(counts.repartition(4), pieces)
+    table_ = got.pieces
+    for j, lang in enumerate(got.languages):
+        q = np.vstack([np.full((table_.n, 1), 1 / table_.n), [[0.0]]])
+        words = [(w, n) for x, w, n in rows if x == lang]
+        for _ in range(language_id.ITERATIONS):
+            e = language_id.expected_counts(table_, [w for w, _ in words], np.array([float(n) for _, n in words]), q)[:-1]
+            q[:-1, 0] = (e + language_id.SMOOTH) / (e.sum() + language_id.SMOOTH * table_.n)
+        assert np.allclose(got.p[:, j], q[:, 0], rtol=1e-5)
 
 
 def test_network_is_normalised_and_learns(spark):
