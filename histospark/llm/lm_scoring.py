@@ -57,6 +57,7 @@ _IDS = np.arange(1 << LEVELS)[:, None]
 #: Inner nodes on the way to each id, and the branches taken.
 _NODES = ((1 << _DEPTH) - 1 + (_IDS >> (LEVELS - _DEPTH))).astype(np.int32)
 _BRANCHES = ((_IDS >> (LEVELS - 1 - _DEPTH)) & 1).astype(np.float32)
+_SIGNS = 1 - 2 * _BRANCHES
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -153,35 +154,42 @@ class Network:
         levels. The upper levels have few nodes: one matrix product."""
         top = (1 << UPPER) - 1
         upper = (h @ self.v[:top].T).ravel()[nodes[:, :UPPER] + np.arange(0, len(h) * top, top)[:, None]]
-        return np.concatenate((upper, np.matmul(v, h[:, :, None])[:, :, 0]), 1) + self.b[nodes]
+        return np.concatenate((upper, np.einsum("nlw,nw->nl", v, h)), 1) + self.b[nodes]
 
     def log_probability(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        nodes = _NODES[ids]
-        z = self.logits(nodes, self.v[nodes[:, UPPER:]], self.hidden(self.e[around]))
-        z *= 1 - 2 * _BRANCHES[ids]  # branch 1 has probability sigmoid(-z)
-        return -np.logaddexp(0, -z).sum(1, dtype=np.float64)
+        nodes = _NODES.take(ids, axis=0)
+        z = self.logits(nodes, self.v.take(nodes[:, UPPER:], axis=0), self.hidden(self.e.take(around, axis=0)))
+        z *= _SIGNS.take(ids, axis=0)  # branch 1 has probability sigmoid(-z)
+        # The product of LEVELS factors of at most 1 + e^50 is a number; beyond that log(1 + e^x) is x.
+        far = np.maximum(-z - 50, 0).sum(1, dtype=np.float64)
+        return -np.log((1 + np.exp(np.minimum(-z, 50))).prod(1, dtype=np.float64)) - far
 
     def step(self, around: np.ndarray, ids: np.ndarray, power: list[np.ndarray]) -> None:
         """One Adagrad step on a batch of examples."""
-        e, nodes = self.e[around], _NODES[ids]
+        order = np.argsort(ids.astype(np.uint16), kind="stable")  # then the nodes of every level are in order, too
+        around, ids = around.take(order, axis=0), ids.take(order)
+        e, nodes = self.e.take(around, axis=0), _NODES.take(ids, axis=0)
         h, top, low = self.hidden(e), self.v[: (1 << UPPER) - 1], nodes[:, UPPER:]
-        v = self.v[low]
+        v = self.v.take(low, axis=0)
         z = self.logits(nodes, v, h)
-        d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - (1 - _BRANCHES[ids])
+        d = 1 / (1 + np.exp(np.minimum(-z, 80))) - (1 - _BRANCHES.take(ids, axis=0))
         upper, lower = np.zeros((len(ids), len(top)), np.float32), d[:, UPPER:]
         upper.ravel()[nodes[:, :UPPER] + np.arange(0, upper.size, len(top))[:, None]] = d[:, :UPPER]
-        dh = ((upper @ top + np.matmul(lower[:, None, :], v)[:, 0]) * (1 - h * h)).astype(np.float32)
+        dh = ((upper @ top + np.einsum("nl,nlw->nw", lower, v)) * (1 - h * h)).astype(np.float32)
         self._move(2, slice(len(top)), upper.T @ h, power)
         self._move(3, slice(len(top)), upper.sum(0), power)
-        rows = np.empty((*low.shape, WIDTH + 1), np.float32)  # the vector's and the bias's gradient
-        np.multiply(lower[:, :, None], h[:, None, :], out=rows[:, :, :WIDTH])
-        rows[:, :, WIDTH] = lower
-        at, gv = _scatter(low.ravel(), rows.reshape(-1, WIDTH + 1))
-        self._move(2, at, gv[:, :WIDTH], power)
-        self._move(3, at, gv[:, WIDTH], power)
+        at, lower = low.T.ravel(), np.ascontiguousarray(lower.T)  # level by level
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        at = at.take(first)
+        self._move(2, at, np.add.reduceat((lower[:, :, None] * h).reshape(-1, WIDTH), first, axis=0), power)
+        self._move(3, at, np.add.reduceat(lower.ravel(), first), power)
         gg = np.einsum("nw,nkw->kw", dh, e)
-        at, ge = _scatter(around.ravel(), (dh[:, None, :] * self.g).reshape(-1, WIDTH))
-        self._move(0, at, ge, power)
+        at = around.ravel()
+        order = np.argsort(at.astype(np.uint16), kind="stable")  # PAD has 13 bits
+        at = at.take(order)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        ge = (dh[:, None, :] * self.g).reshape(-1, WIDTH).take(order, axis=0)
+        self._move(0, at.take(first), np.add.reduceat(ge, first, axis=0), power)
         self._move(1, slice(len(gg)), gg, power)
 
     def _move(self, k: int, at, g: np.ndarray, power: list[np.ndarray]) -> None:
@@ -191,14 +199,6 @@ class Network:
         w[at] -= RATE * g / np.sqrt(now + np.float32(1e-6))
 
 
-def _scatter(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of ``rows`` by ``at``: the values of ``at`` that occur, and their sums."""
-    order = np.argsort(at.astype(np.uint16), kind="stable")  # PAD has 13 bits
-    at = at[order]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[first], np.add.reduceat(rows[order], first, axis=0)
-
-
 class Line:
     """The ids of some texts in one line, with PAD between them."""
 
