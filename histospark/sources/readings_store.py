@@ -45,6 +45,10 @@ TAIL, NUMERIC_TAIL = 500, 200
 FOLDERS = 16
 #: Bytes of a row group: the unit that one-stream reads skip.
 ROW_GROUP = 16 << 20
+#: Readings that a task sorts and writes (about), and how few of them a task gets where cores are idle.
+TASK_ROWS, LEAST_ROWS = 1 << 20, 1 << 16
+#: Streams whose bounds are broadcast when tails are taken.
+BROADCAST_STREAMS = 250_000
 UNITS = ("day", "month", "year")
 DELTAS = {"streams": STREAMS, "hours": HOURS, "tails": TAILS}
 
@@ -93,8 +97,9 @@ class ReadingsStore:
             added["readings"] = self._write_readings({feed.name: rows.withColumn("day", day)})
             own = self._read_readings([f"{self.path}/{added['readings']}"])
             catalog = stream_candidates(self.spark, [feed], volumes=True).drop("asset", "signal")
-            for name, df in (("streams", self._streams_of(own, catalog)), ("hours", self._hours_of(own)), ("tails", self._tails_of(own))):
-                df.select(*names_of(DELTAS[name])).write.parquet(f"{folder}/{name}")
+            for name, make in (("streams", lambda: self._streams_of(own, catalog)), ("hours", lambda: self._hours_of(own)),
+                               ("tails", lambda: self._tails_of(own, self._written(f"{folder}/hours", "hours"), self._written(f"{folder}/streams", "streams").count()))):
+                make().select(*names_of(DELTAS[name])).write.parquet(f"{folder}/{name}")
                 added[name] = f"{below}/{name}"
         facts = feed.df.agg(F.count(F.lit(1)).alias("rows"), F.min(feed.time).cast("string").alias("first"), F.max(feed.time).cast("string").alias("last")).first().asDict()
         while True:
@@ -116,10 +121,15 @@ class ReadingsStore:
                     return False
 
     def _write_readings(self, by_feed: dict[str, DataFrame]) -> str:
-        """Write each feed's rows into a new folder; its place below the store."""
+        """Write each feed's rows into a new folder; its place below the store.
+        The rows go to tasks by ranges of day, stream and time, about TASK_ROWS
+        each, so that a task's sort stays in memory however many there are."""
         folder = f"readings/batch={uuid.uuid4().hex}"
         for feed, rows in by_feed.items():
-            out = rows.select(*[c for c in names_of(READINGS) if c != "feed"]).hint("rebalance", "day").sortWithinPartitions("day", "stream", "ts")
+            n = rows.count()
+            tasks = max(1, -(-n // TASK_ROWS), min(self.spark.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)))
+            out = rows.select(*[c for c in names_of(READINGS) if c != "feed"])
+            out = out.repartitionByRange(tasks, "day", "stream", "ts", "row_id").sortWithinPartitions("day", "stream", "ts")
             (out.write.partitionBy("day").option("parquet.bloom.filter.enabled#stream", "true")
              .option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{folder}/feed={escaped(feed)}"))
         return folder
@@ -164,21 +174,44 @@ class ReadingsStore:
             F.count_if("is_questionable").alias("n_questionable"))
 
     @staticmethod
-    def _tails_of(rows: DataFrame) -> DataFrame:
+    def _bounds_of(hours: DataFrame) -> DataFrame:
+        """Per stream the hours that its tails lie in: ``since`` and
+        ``since_numeric`` (NULL: all rows, also those without time), ``until``
+        for the first reading, or ``timeless``: the first has no time."""
+        hour, later = F.col("hour"), W.partitionBy("feed", "stream").orderBy(F.col("hour").desc()).rowsBetween(W.unboundedPreceding, -1)
+        after = hours.select("feed", "stream", "hour", *[F.coalesce(F.sum(c).over(later), F.lit(0)).alias(c) for c in ("n", "n_numeric")])
+        since = lambda needed: F.when(~F.bool_or(needed & hour.isNull()), F.min(F.when(needed, hour)))
+        return after.groupBy(F.col("feed").alias("f"), F.col("stream").alias("s")).agg(
+            since(F.col("n") < TAIL).alias("since"), since(F.col("n_numeric") < NUMERIC_TAIL).alias("since_numeric"),
+            (F.min("hour") + F.expr("INTERVAL 1 HOUR")).alias("until"), F.bool_or(hour.isNull()).alias("timeless"))
+
+    @classmethod
+    def _tails_of(cls, rows: DataFrame, hours: DataFrame, n_streams: int) -> DataFrame:
+        """The tails of ``rows``, whose hours are ``hours``: only the rows of
+        the hours that hold them are sorted."""
         slim = rows.select("feed", "stream", "ts", "row_id", "raw_value", "numeric_value", "uom", "is_questionable")
-        ends = slim.withColumn("kind", F.explode(F.when(F.col("numeric_value").isNotNull(), F.array(F.lit("all"), F.lit("numeric"))).otherwise(F.array(F.lit("all")))))
+        bounds = cls._bounds_of(hours)
+        bounds = F.broadcast(bounds) if n_streams <= BROADCAST_STREAMS else bounds
+        near = slim.join(bounds, F.col("feed").eqNullSafe(F.col("f")) & F.col("stream").eqNullSafe(F.col("s")))
+        ts, reach = F.col("ts"), lambda c: F.col(c).isNull() | (F.col("ts") >= F.col(c))
+        kinds = F.array_compact(F.array(F.when(reach("since"), F.lit("all")), F.when(F.col("numeric_value").isNotNull() & reach("since_numeric"), F.lit("numeric"))))
+        ends = near.select(*slim.columns, F.explode(kinds).alias("kind"))
         k = F.row_number().over(W.partitionBy("feed", "stream", "kind").orderBy(F.desc("ts"), F.desc("row_id")))
         ends = ends.withColumn("k", k).where(F.col("k") <= TAIL).where((F.col("kind") == "all") | (F.col("k") <= NUMERIC_TAIL)).drop("k")
-        return ends.unionByName(latest(slim, 1, ascending=True).withColumn("kind", F.lit("first")))
+        first = near.where(F.when(F.col("timeless"), ts.isNull()).otherwise(ts < F.col("until"))).select(*slim.columns)
+        return ends.unionByName(latest(first, 1, ascending=True).withColumn("kind", F.lit("first")))
 
     # -- reading -----------------------------------------------------------------------
     def _folders(self, name: str, manifest: dict | None = None) -> list[str]:
         manifest = self.manifests.load() if manifest is None else manifest
         return [f"{self.path}/{f}" for f in manifest.get(name, [])]
 
+    def _written(self, folders: list[str] | str, name: str) -> DataFrame:
+        return self.spark.read.schema(DELTAS[name]).parquet(*([folders] if isinstance(folders, str) else folders))
+
     def _read(self, name: str, manifest: dict | None = None) -> DataFrame:
         folders = self._folders(name, manifest)
-        return self.spark.read.schema(DELTAS[name]).parquet(*folders) if folders else self.spark.createDataFrame([], DELTAS[name])
+        return self._written(folders, name) if folders else self.spark.createDataFrame([], DELTAS[name])
 
     def _read_readings(self, folders: list[str]) -> DataFrame:
         """Feed and day are folder names, of the declared types whatever they look like."""

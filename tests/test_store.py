@@ -25,6 +25,7 @@ from histospark.operators import tables as TB
 from histospark.operators.name_search import NameIndex
 from histospark.operators.readings import rejected_values, signal_readings, unified_readings
 from histospark.sources.discovery import CatalogHistorian
+from histospark.sources import readings_store as RS
 from histospark.sources.manifest import Conflict, Manifests
 from histospark.sources.readings_store import ReadingsStore
 from histospark.streaming.ingest import incremental_ingest, read_ingested
@@ -393,3 +394,48 @@ def test_addresses_as_with_the_plain_pattern(spark, text):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(redact(F.col("t"))).first()[0] == re.sub(plain, "[EMAIL]", text)
     assert df.select(dict(redaction_stages(F.col("t")))["email"]).first()[0] == len(re.findall(plain, text))
+
+
+# --- writing: bounded tasks -----------------------------------------------------------
+
+
+def odd_rows(spark, ids=True):
+    """Streams with many rows an hour, few numbers, rows without time or name."""
+    rnd, rows = random.Random(3), []
+    for i in range(3000):
+        s = ["hot", "text", "few", "timeless", None][min(4, int(rnd.expovariate(0.9)))]
+        ts = None if s == "timeless" or rnd.random() < 0.01 else T0 + dt.timedelta(minutes=rnd.randrange(60 if s == "hot" and i % 2 else 20_000))
+        rows.append(("f", s, ts, i if ids else None, "x" if s == "text" or i % 3 == 0 else str(i), None if s == "text" or i % 3 == 0 else float(i), None, None))
+    return spark.createDataFrame(rows, "feed string, stream string, ts timestamp_ntz, row_id bigint, raw_value string, numeric_value double, uom string, is_questionable boolean")
+
+
+@pytest.mark.parametrize("n_streams", [5, RS.BROADCAST_STREAMS + 1])
+def test_tails_from_their_hours_alone(spark, n_streams):
+    rows = odd_rows(spark)
+    got = ReadingsStore._tails_of(rows, ReadingsStore._hours_of(rows), n_streams).collect()
+    key = lambda r: (r.ts is not None, r.ts or T0, r.row_id)
+    by, want = {}, set()
+    for r in rows.collect():
+        by.setdefault(r.stream, []).append(r)
+    for s, all_rows in by.items():
+        ordered = sorted(all_rows, key=key, reverse=True)
+        numbers = [r for r in ordered if r.numeric_value is not None]
+        want |= {(s, "all", r.row_id) for r in ordered[: RS.TAIL]} | {(s, "numeric", r.row_id) for r in numbers[: RS.NUMERIC_TAIL]} | {(s, "first", ordered[-1].row_id)}
+    assert len(got) == len(want) and {(r.stream, r.kind, r.row_id) for r in got} == want
+
+
+def test_tails_leave_early_hours_unsorted(spark):
+    rows = spark.range(20_000).select(F.lit("f").alias("feed"), F.lit("s").alias("stream"), (F.lit(T0) + F.make_dt_interval(mins=F.col("id").cast("int"))).cast("timestamp_ntz").alias("ts"))
+    bounds = ReadingsStore._bounds_of(ReadingsStore._hours_of(rows.withColumns({"numeric_value": F.lit(1.0), "is_questionable": F.lit(False)}))).first()
+    assert bounds.since >= T0 + dt.timedelta(minutes=20_000 - RS.TAIL - 60) and bounds.since_numeric >= T0 + dt.timedelta(minutes=20_000 - RS.NUMERIC_TAIL - 60)
+    assert bounds.until <= T0 + dt.timedelta(hours=1)
+
+
+def test_writing_tasks_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(RS, "TASK_ROWS", 500)
+    df = spark.range(6000).select((F.lit(T0) + F.make_dt_interval(mins=F.col("id").cast("int"))).cast("timestamp_ntz").alias("Timestamp"),
+                                  F.lit("a.b").alias("Field"), F.col("id").cast("string").alias("Value"), F.col("id").alias("row_id"))
+    h = Historian(spark, {"f": df})
+    h.materialise(str(tmp_path / "r"), unit="year")
+    per = [r["count"] for r in h.store.readings().groupBy(F.input_file_name()).count().collect()]
+    assert sum(per) == 6000 and max(per) <= 1000
