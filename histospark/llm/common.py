@@ -22,11 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the
     lineage, survives lost executors, and every later use reads the same rows."""
     path = workspace_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,5 +54,5 @@ def settle(spark: SparkSession) -> None:
 
 def with_row_id(df: DataFrame, name: str = "rows") -> DataFrame:
     """``df`` with a unique long per row, stored so that the ids cannot change
-    when a task runs again."""
-    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    when a task runs again. It holds the texts, so it is packed tightly."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), name, "zstd")
