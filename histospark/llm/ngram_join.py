@@ -15,7 +15,8 @@ Short lists (up to SHORT sets) are scanned for all their pairs, packed and
 counted: a pair is a candidate when it shares a subset key or SHARED single
 shingles there, which rules out most accidental sharing. A set with so few
 shingles in longer lists that any partner must share SHARED others with it is
-taken out of those lists; what stays are sets made of widely shared shingles.
+taken out of those lists; what stays are sets made of widely shared shingles,
+without the longest of their lists, as many as no pair needs to meet.
 So a pair that links is found in the short lists, or both sets stay and meet
 in a long list. Long lists are scanned with the filter that every candidate
 has to pass: parity sketches (two bits or more a
@@ -43,7 +44,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from histospark.llm import arrays as A
@@ -320,29 +321,32 @@ def near(pairs: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def long_lists(found: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """(list, id) of the members that stay in long lists."""
+    """(list, id) of the members that stay in long lists. A pair that is not
+    found in the short lists shares more than ``few`` others of these keys, so
+    it still meets when each set leaves its longest ones, ``few`` keys at most
+    (of the keys in order of their lists' length, the first that both have
+    stands before ``few`` others or more in either set)."""
     lists = found.where("kind > 0").groupBy("key", "kind").agg(F.first("x").alias("x"), F.sum("c").alias("c"))
     rows = members(lists)
-    held = rows.where("kind = 1").groupBy("id").agg(F.sum("c").alias("held"))
     # The smallest partner shares rule.shared(its size) shingles, so SHARED others than these:
     few = F.expr(f"greatest(2, floor(ceil({rule.num} * size / {rule.den}) / 25))")
-    stay = held.join(sizes, "id").where(F.col("held") > few).select("id", F.lit(1).alias("kind"))
-    single = rows.where("kind = 1").join(stay, ["id", "kind"], "left_semi")
-    return single.unionByName(rows.where("kind = 2")).select("list", "id")
+    longest = Window.partitionBy("id").orderBy(F.desc("n"), "list").rowsBetween(Window.unboundedPreceding, 0)
+    single = rows.where("kind = 1").join(sizes, "id").withColumn("held", F.sum("c").over(longest)).where(F.col("held") > few)
+    return single.select("list", "id").unionByName(rows.where("kind = 2").select("list", "id"))
 
 
 def members(lists: DataFrame) -> DataFrame:
-    """(list, kind, c, id), a row per member."""
+    """(list, kind, c, n, id), a row per member; n is the list's length."""
 
     def run(batches):
         for b in batches:
             ids = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
             if ids:
                 n = [len(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(np.asarray(b.column(k)), n)) for k in range(3)],
-                                                  pa.array(np.concatenate(ids), pa.int64())], names=["list", "kind", "c", "id"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(np.asarray(b.column(k)), n)) for k in range(3)], pa.array(np.repeat(n, n), pa.int64()),
+                                                  pa.array(np.concatenate(ids), pa.int64())], names=["list", "kind", "c", "n", "id"])
 
-    return lists.select("key", "kind", "c", "x").mapInArrow(A.task(run), "list long, kind int, c long, id long")
+    return lists.select("key", "kind", "c", "x").mapInArrow(A.task(run), "list long, kind int, c long, n long, id long")
 
 
 def blocks_of(lists: DataFrame, block: int) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from histospark.llm import (arrays, bpe, language_id, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, registry)
-from histospark.llm.common import stored
+from histospark.llm.common import stored, with_row_id
 from tests.conftest import SF_SMALL
 from tests.llm import brute
 
@@ -337,3 +337,25 @@ def test_pii_added_spans_beside_base_spans(spark):
         df = spark.createDataFrame([(base, added)], f"base {pii.SPAN}, added {pii.SPAN}")
         got = {(r.start, r.end) for r in pii.free_spans(df).first()["free"]}
         assert got == {(a.start, a.end) for a in added if not any(b.start < a.end and a.start < b.end for b in base)}
+
+
+def test_pairs_still_meet_without_the_longest_lists(spark):
+    """Sets leave their longest lists; every pair that shares more keys than that meets."""
+    rnd, rule = random.Random(9), ngram_join.Rule(90, 100)
+    size = {i: rnd.choice((30, 80, 130)) for i in range(60)}
+    lists = {k: (sorted(rnd.sample(range(60), rnd.randrange(7, 40))), rnd.choice((1, 1, 2))) for k in range(30)}
+    found = spark.createDataFrame([(1, k, bytearray(np.array(ids, np.int64).tobytes()), c) for k, (ids, c) in lists.items()], "kind int, key long, x binary, c long")
+    got = {(r["list"], r["id"]) for r in ngram_join.long_lists(found, spark.createDataFrame(list(size.items()), "id long, size long"), rule).collect()}
+    few = {i: max(2, -(-90 * n // 100) // 25) for i, n in size.items()}
+    every = {(k, i) for k, (ids, _) in lists.items() for i in ids}
+    assert got < every and all(any((k, i) not in got for k, _ in every) for i in size)
+    for a in size:
+        for b in range(a):
+            both = [k for k, (ids, _) in lists.items() if a in ids and b in ids]
+            if sum(lists[k][1] for k in both) > max(few[a], few[b]):
+                assert any((k, a) in got and (k, b) in got for k in both)
+
+
+def test_copies_of_the_texts_are_packed(spark):
+    rows = with_row_id(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+    assert rows.count() == 1 and all(f.endswith(".zstd.parquet") for f in rows.inputFiles())
