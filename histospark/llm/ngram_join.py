@@ -1,15 +1,18 @@
 """Jaccard self-join of documents on word n-gram sets: a size-aware
 heavy-light join, exact for the given threshold.
 
-Global order of shingles: frequent ones last (the FREQUENT most frequent, a
-bounded broadcast), otherwise by hash. Two sets that link share, among the
+Global order of shingles: first those that few sets have, then the repeated
+ones (a bit array of at most BLOOM_BITS that is broadcast; its false hits are in
+this place for every set), last the FREQUENT most frequent, by hash within each.
+So a set posts shingles that stand in short lists as far as it has any. Two sets that link share, among the
 first ``size - least overlap + l`` shingles of each in that order, at least
 ``l``. Light (small) sets enumerate all 2-subsets of that part (l = 2) as
 keys; heavy (large) sets post single shingles (l = SHARED and some by size),
 and so do small sets that may link with a large one. The boundary between small and large is
 where a set's number of subsets exceeds the expected length of the inverted
-lists it would scan, estimated from list lengths seen in the data. Keys with
-two or more sets are inverted lists.
+lists it would scan, estimated from list lengths seen in the data (SHORT at
+most, so that a set's keys do not grow with the table). Keys with two or more
+sets are inverted lists.
 
 Short lists (up to SHORT sets) are scanned for all their pairs, packed and
 counted: a pair is a candidate when it shares a subset key or SHARED single
@@ -53,13 +56,18 @@ from histospark.llm.components import components
 
 U = np.uint64
 #: Most frequent shingles that are demoted, and most frequent sets whose copies post once.
-FREQUENT, COPIES = 1 << 18, 1 << 12
+FREQUENT, COPIES = 1 << 16, 1 << 12
+#: Most repeated shingles (two or more sets of a chunk have them) that are marked, and the
+#: highest count of those from which the length of a list is estimated.
+MARKED, RARE = 1 << 25, 3
 #: Shingles counted, or postings gathered, in a task before they are sent.
 FLUSH = 1 << 20
 #: Least bits of a sketch; sketches double with the size.
 SKETCH_BITS = 512
 #: Postings per bucket (about), least number of buckets, and most Bloom filter bits.
 BUCKET, BUCKETS, BLOOM_BITS = 1 << 17, 256, 1 << 29
+#: Bits of a filter that one row brings to the driver.
+PIECE = 1 << 16
 #: Shingles that a pair of short lists has to share, and their longest length.
 SHARED, SHORT = 4, 6
 #: Members of a long list that are scanned in one unit, and hubs a component has in a list of several units.
@@ -131,18 +139,16 @@ class Sketches:
 
 def profile(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
     """One pass over the texts: kind 0, a row per document (id, size, sig,
-    sketch); kind 1, shingles frequent in a task and their counts; kind 2, sums
-    for the mean length of an inverted list (x: squared counts, size: counts)."""
+    sketch); kind 1, shingles that two or more different sets of a chunk have
+    (size: how many); kind 2, a row a chunk (size: its shingles)."""
 
     def run(batches):
-        held, many, docs_held = [], 0, 0
+        held, many, seen = [], 0, set()
 
         def flush():
             u, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= max(4, docs_held // 1000)
-            rest = c[~often].astype(np.int64)
-            x = np.concatenate((u[often].view(np.int64), [(rest * rest).sum()]))
-            size = np.concatenate((c[often], [rest.sum()]))
+            x = np.concatenate((u[c > 1].view(np.int64), [0]))
+            size = np.concatenate((c[c > 1], [many]))
             kind = np.ones(len(x), np.int32)
             kind[-1] = 2
             return pa.RecordBatch.from_arrays(
@@ -158,15 +164,17 @@ def profile(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
             at = base[doc] + (every & (bits[doc] - 1).astype(U)).astype(np.int64)
             packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8))
             sketch = [packed[x : x + y] for x, y in zip(base // 8, bits // 8, strict=True)]
+            sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(len(sets), np.int32)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary())],
+                 pa.array(sigs, pa.binary()), pa.array([s.tobytes() for s in sketch], pa.binary())],
                 names=["kind", "x", "size", "sig", "sketch"])
-            held.append(every)
-            many, docs_held = many + len(every), docs_held + len(sets)
+            new = np.array([g not in seen and not seen.add(g) for g in sigs], bool)  # copies post once
+            held.append(every[new[doc]])
+            many += len(held[-1])
             if many >= 4 * FLUSH:
                 yield flush()
-                held, many, docs_held = [], 0, 0
+                held, many, seen = [], 0, set()
         if many:
             yield flush()
 
@@ -182,17 +190,50 @@ def boundary(mean_list: float, rule: Rule) -> int:
     return size
 
 
-def postings(docs: DataFrame, n: int, rule: Rule, frequent, copies, small: int, bits: int) -> DataFrame:
+def repeated(seen: DataFrame, chunks: int, total: int):
+    """(marks, how many bits they have, frequent, mean): broadcasts of the bit
+    array of the repeated shingles (by their low bits) and of the most frequent
+    ones, sorted; and the expected length of a list, but for shingles that more
+    than RARE sets are known to have."""
+    spark = seen.sparkSession
+    counts = seen.where("kind = 1").groupBy("x").agg(F.sum("size").alias("c"), F.sum(F.expr("size * (size - 1)")).alias("p"))
+    counts = stored(counts, "ngram-counts")
+    by_count = counts.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("s"), F.sum("p").alias("p"))
+    by_count = sorted(by_count.collect(), reverse=True)  # 1 << 16 rows at most
+    marked, n = 0, 0
+    while marked < len(by_count) and (not n or n + by_count[marked]["n"] <= MARKED):
+        n += by_count[marked]["n"]
+        marked += 1
+    cut = by_count[marked - 1]["c"] if marked else 1 << 62
+    rest, pairs = total - sum(r["s"] for r in by_count if r["c"] > RARE), sum(r["p"] for r in by_count if r["c"] <= RARE)
+    often = counts.where(F.col("c") >= cut)
+    bits = filter_bits(n)
+    marks = bit_array(often.select(F.col("x").bitwiseAND(F.lit(bits - 1)).alias("at")), bits)
+    last = often.orderBy(F.desc("c"), "x").limit(FREQUENT).select("x").toPandas()["x"]
+    return marks, bits, share(spark, np.sort(last.to_numpy(np.int64).view(U))), 1 + pairs * chunks / max(1, rest)
+
+
+def in_order(s: np.ndarray, marks: np.ndarray, n_bits: int, often: np.ndarray) -> np.ndarray:
+    """The shingles of ``s`` (sorted) in the global order."""
+    at = (s & U(n_bits - 1)).astype(np.int64)
+    is_marked = ((marks[at >> 6] >> (at & 63).astype(U)) & U(1)).astype(bool)
+    marked = s[is_marked]
+    if not len(marked):
+        return s
+    is_often = np.zeros(len(marked), bool)
+    if len(often):
+        is_often = often[np.minimum(np.searchsorted(often, marked), len(often) - 1)] == marked
+    return np.concatenate((s[~is_marked], marked[~is_often], marked[is_often]))
+
+
+def postings(docs: DataFrame, n: int, rule: Rule, marks, n_bits: int, frequent, copies, small: int, bits: int) -> DataFrame:
     """Rows (bucket, keys, ids): packed postings, by the leading bits of the
     key; the buckets of subset keys are numbered from 2^bits up."""
     pairs: dict = {}
     k1, k2 = (int(x) for x in A.stream(2, 71))
 
-    def keys_of(s: np.ndarray, often: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        if len(often):
-            at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-            is_often = often[at] == s
-            s = np.concatenate((s[~is_often], s[is_often]))
+    def keys_of(s: np.ndarray, marked: np.ndarray, often: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        s = in_order(s, marked, n_bits, often)
         out = []
         if len(s) <= small:
             part = s[: rule.prefix(len(s), 2)]
@@ -205,7 +246,7 @@ def postings(docs: DataFrame, n: int, rule: Rule, frequent, copies, small: int,
         return out
 
     def run(batches):
-        often, rep = frequent.value, copies.value
+        marked, often, rep = marks.value, frequent.value, copies.value
         keys, ids, many, seen = [], [], 0, set()
 
         def flush():
@@ -230,7 +271,7 @@ def postings(docs: DataFrame, n: int, rule: Rule, frequent, copies, small: int,
                     continue  # a copy: its class has posted or will
                 if len(seen) < FLUSH:
                     seen.add(sig)
-                for kind, k in keys_of(s, often):
+                for kind, k in keys_of(s, marked, often):
                     keys.append(k)
                     ids.append((x, kind, len(k)))
                     many += len(k)
@@ -439,17 +480,32 @@ def candidates(rows: DataFrame, rule: Rule, n_buckets: int, nearest: bool = Fals
     return rows.groupBy("bucket").applyInPandas(run, "a long, b long").where("a < b").distinct()
 
 
+def filter_bits(n: int) -> int:
+    """Bits of a filter of ``n`` keys: 16 a key, BLOOM_BITS at most (more keys
+    only let more others through)."""
+    return min(BLOOM_BITS, max(1 << 12, 1 << (16 * n - 1).bit_length() if n else 0))
+
+
+def bit_array(places: DataFrame, bits: int):
+    """Broadcast array of ``bits`` bits with those numbered ``at`` set."""
+    size = min(bits, PIECE)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        piece = np.zeros(size, bool)
+        piece[pdf["at"].to_numpy() % size] = True
+        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "x": [np.packbits(piece, bitorder="little").tobytes()]})
+
+    pieces = places.withColumn("piece", F.floor(F.col("at") / F.lit(size))).groupBy("piece").applyInPandas(run, "piece long, x binary")
+    filled = np.zeros(bits // 64, U)
+    for r in pieces.collect():  # bits / 8 bytes in all
+        filled[r["piece"] * size // 64 : (r["piece"] + 1) * size // 64] = np.frombuffer(r["x"], U)
+    return share(places.sparkSession, filled)
+
+
 def bloom(ids: DataFrame):
-    """Broadcast bit array with the bits of all ``id`` set; at most BLOOM_BITS
-    (more ids only let more others through)."""
-    n = ids.count()
-    bits = min(BLOOM_BITS, max(1 << 12, 1 << (16 * n - 1).bit_length() if n else 0))
-    at = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select(at.alias("at")).select(F.expr("shiftright(at, 6)").alias("w"), F.expr("shiftleft(1L, cast(at % 64 AS int))").alias("x"))
-    words = words.groupBy("w").agg(F.bit_or("x").alias("x")).toPandas()
-    filled = np.zeros(bits // 64, np.int64)
-    filled[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
-    return share(ids.sparkSession, filled.view(U)), bits
+    """Broadcast bit array with the bits of all ``id`` set, and its length."""
+    bits = filter_bits(ids.count())
+    return bit_array(ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("at")), bits), bits
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -495,20 +551,17 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
     spark, rule = docs.sparkSession, Rule(num, den)
     seen = stored(profile(docs, n, rule), "ngram-sets")
     sets = seen.where("kind = 0").select(F.col("x").alias("id"), "size", "sig", "sketch")
-    totals = seen.where("kind < 3").groupBy("kind").agg(F.sum("size").alias("s"), F.sum(F.when(F.col("kind") == 2, F.col("x")).otherwise(0)).alias("q"),
-                                                        F.count(F.lit(1)).alias("c")).collect()
-    totals = {r["kind"]: r for r in totals}
+    totals = {r["kind"]: r for r in seen.where("kind != 1").groupBy("kind").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c")).collect()}
     if not totals.get(0) or not totals[0]["s"]:
         return sets.select("id", "size"), sets.select("id", F.col("id").alias("component")).limit(0)
-    chunks, mean = totals[2]["c"], totals[2]["q"] / max(1, totals[2]["s"])
-    small = boundary(1 + (mean - 1) * chunks, rule)
-    often = (seen.where("kind = 1").groupBy("x").agg(F.sum("size").alias("c")).orderBy(F.desc("c"), "x").limit(FREQUENT).toPandas())
+    marks, n_bits, often, mean = repeated(seen, totals[2]["c"], totals[2]["s"])
+    small = boundary(min(mean, SHORT), rule)
     copies = sets.where("size > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("rep")).where("c > 1")
     copies = stored(copies, "ngram-copies")
     top = {bytes(r["sig"]): r["rep"] for r in copies.orderBy(F.desc("c"), "rep").limit(COPIES).collect()}
     total = totals[0]["s"] * (1 - num / den) + SHARED * totals[0]["c"]
     bits = max(BUCKETS - 1, int(total) // BUCKET).bit_length()
-    posted = postings(docs, n, rule, share(spark, np.sort(often["x"].to_numpy(np.int64).view(U))), share(spark, top), small, bits)
+    posted = postings(docs, n, rule, marks, n_bits, often, share(spark, top), small, bits)
     found = stored(inverted_lists(posted, bits), "ngram-lists")
     facts = sets.select("id", "size", "sketch")
     lists = stored(blocks_of(long_lists(found, sets.select("id", "size"), rule), block), "ngram-long")
@@ -524,13 +577,13 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
         return rows.withColumn("label", F.coalesce("label", "id"))
 
     def extended(more):
-        """The links found so far and those among ``more``, or None without new ones."""
+        """The components found so far, as links, and the links among ``more``, or None without new ones."""
         more = stored(more.join(pairs, ["a", "b"], "left_anti"), "ngram-more")
         if more.isEmpty():
             return None
         full = sets_of(docs, more.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n)
         again = stored(links(more, stored(full, "ngram-full"), rule), "ngram-links")
-        return None if again.isEmpty() else found.unionByName(again)
+        return None if again.isEmpty() else label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(again)
 
     # Lists of several blocks: hubs of the components of all blocks, scanned together.
     if not lists.where("blocks > 1").isEmpty():
@@ -538,16 +591,14 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int
         hubs = stored(blocks_of(hubs.select("list", "id"), block), "ngram-hubs")
         wider = extended(candidates(single_blocks(hubs).join(facts, "id"), rule, 1 << bits))
         if wider is not None:
-            found = wider
-            label = stored(components(found, "a", "b"), "ngram-labels")
+            label = stored(components(wider, "a", "b"), "ngram-labels")
     # One pair for each two components of a list first: most of what links there
     # needs no further pair. Then all pairs of components that are still apart.
     for _ in range(NEAREST):
         wider = extended(candidates(mixed_blocks(labelled()).join(facts, "id"), rule, 1 << bits, nearest=True))
         if wider is None:
             break
-        found = wider
-        label = stored(components(found, "a", "b"), "ngram-labels")
+        label = stored(components(wider, "a", "b"), "ngram-labels")
     wider = extended(candidates(mixed_blocks(labelled()).join(facts, "id"), rule, 1 << bits))
     if wider is not None:
         label = components(wider, "a", "b")

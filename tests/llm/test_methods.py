@@ -359,3 +359,40 @@ def test_pairs_still_meet_without_the_longest_lists(spark):
 def test_copies_of_the_texts_are_packed(spark):
     rows = with_row_id(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
     assert rows.count() == 1 and all(f.endswith(".zstd.parquet") for f in rows.inputFiles())
+
+
+def test_sets_post_their_rare_shingles_first(spark):
+    """Shingles that a dozen sets have, none of them very frequent, make no long
+    lists where every set has rare ones; links between sets are still found."""
+    rnd = random.Random(3)
+    common = [" ".join(f"c{i}w{j}" for j in range(3)) for i in range(150)]
+    texts = []
+    for i in range(120):
+        own = [f"d{i}x{j}" for j in range(90)]
+        texts.append(" ".join(own[:45] + rnd.sample(common, 15) + own[45:]))
+    texts.append(texts[7].replace("d7x0 ", "other "))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(6).cache()
+    seen = ngram_join.profile(df, 3, rule := ngram_join.Rule(90, 100)).cache()
+    totals = {r["kind"]: r for r in seen.groupBy("kind").agg(F.sum("size").alias("s"), F.count("x").alias("c")).collect()}
+    marks, n_bits, often, mean = ngram_join.repeated(seen, totals[2]["c"], totals[2]["s"])
+    assert mean >= 1 and len(often.value) >= 100
+    posted = ngram_join.postings(df, 3, rule, marks, n_bits, often, ngram_join.share(spark, {}), 9, 8)
+    assert ngram_join.inverted_lists(posted, 8).where("kind > 0").count() == 0
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df.withColumnRenamed("id", "doc_id"), 3, 90, 100).collect()}
+    assert got == {i: i for i in range(120)} | {120: 7}
+
+
+def test_global_order_of_shingles():
+    """The same shingles stand in the same order in every set: unmarked, marked, frequent."""
+    s = np.sort(np.random.default_rng(5).integers(0, 1 << 63, 400, np.uint64))
+    marked, often = s[::4], s[::20]
+    marks = np.zeros(1 << 6, np.uint64)
+    for x in marked:
+        at = int(x) & 4095
+        marks[at >> 6] |= np.uint64(1 << (at & 63))
+    order = {x: i for i, x in enumerate(ngram_join.in_order(s, marks, 1 << 12, often).tolist())}
+    assert sorted(order) == s.tolist()
+    assert min(order[x] for x in often.tolist()) == len(s) - len(often)
+    assert all(order[x] >= len(s) - 2 * len(marked) for x in marked.tolist())
+    part = ngram_join.in_order(s[::3], marks, 1 << 12, often).tolist()
+    assert part == sorted(part, key=order.get)
